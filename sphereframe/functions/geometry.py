@@ -25,15 +25,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def face_axis(face, axes, component: int) -> Column:
-    """One component of a per-face axis as a lookup in a literal array."""
-    return F.get(F.array(*[F.lit(float(a[component])) for a in axes]), _col(face))
+def axis_sql(face: str, axes, component: int) -> str:
+    """SQL text of one component of a per-face axis: a lookup in a literal array."""
+    return f"get(array({', '.join(f'{a[component]}D' for a in axes)}), {face})"
 
 
-def face_dot(face, axes, v=VEC) -> Column:
+def face_axis(face: str, axes, component: int) -> Column:
+    return F.expr(axis_sql(face, axes, component))
+
+
+def face_dot(face: str, axes, v=VEC) -> Column:
     """Dot product of a direction with the axis that belongs to ``face``."""
-    return sum((face_axis(face, axes, k) * _col(v[k]) for k in range(1, 3)),
-               face_axis(face, axes, 0) * _col(v[0]))
+    return F.expr(" + ".join(f"{axis_sql(face, axes, k)} * {v[k]}" for k in range(3)))
 
 
 def chart_angle(index, n) -> Column:
@@ -41,8 +44,11 @@ def chart_angle(index, n) -> Column:
 
 
 def nearest_index(value) -> Column:
-    """Half-up nearest integer; differs from SQL ROUND for negative halves."""
-    return F.floor(_col(value) + F.lit(0.5)).cast("int")
+    """Half-up nearest integer; differs from SQL ROUND for negative halves.
+
+    A missing value gives -1, which is no node: the result is a join key and stays not NULL.
+    """
+    return F.coalesce(F.floor(_col(value) + F.lit(0.5)).cast("int"), F.lit(-1))
 
 
 def clip(value, low, high) -> Column:
@@ -104,17 +110,14 @@ def tent_overlap_weight(offset, size: int) -> Column:
 OVERLAP_WEIGHTS = {"linear": linear_overlap_weight, "tent": tent_overlap_weight}
 
 
-def node_key(face, y, x, n: int) -> tuple[Column, Column, Column]:
+def node_key(face: str, y: str, x: str, n: int) -> tuple[Column, Column, Column]:
     """Integer lattice triple shared by all aliases of one physical cube node."""
-    across = F.lit(2) * _col(x) - F.lit(n)
-    along = F.lit(2) * _col(y) - F.lit(n)
-
     def axis(k):
-        parts = [(NORMAL, F.lit(n)), (RIGHT, across), (DOWN, along)]
-        return sum((F.get(F.array(*[F.lit(a[k]) for a in t]), _col(face)) * c
-                    for t, c in parts[1:]),
-                   F.get(F.array(*[F.lit(a[k]) for a in parts[0][0]]), _col(face)) * parts[0][1])
-    return tuple(axis(k).cast("int") for k in range(3))
+        def of(axes):
+            return f"get(array({', '.join(str(a[k]) for a in axes)}), {face})"
+        return F.expr(f"cast({of(NORMAL)} * {n} + {of(RIGHT)} * (2 * {x} - {n}) "
+                      f"+ {of(DOWN)} * (2 * {y} - {n}) as int)")
+    return tuple(axis(k) for k in range(3))
 
 
 def key_aliases(n: int, kx="kx", ky="ky", kz="kz") -> Column:
@@ -122,18 +125,16 @@ def key_aliases(n: int, kx="kx", ky="ky", kz="kz") -> Column:
 
     A narrow expression: one to three entries, no join against an alias table.
     """
-    k = (_col(kx), _col(ky), _col(kz))
-    entries = []
-    for face in range(6):
-        def along(axis):
-            (pos,) = [i for i in range(3) if axis[i]]
-            return k[pos] if axis[pos] > 0 else -k[pos]
-        entries.append(F.when(
-            along(NORMAL[face]) == n,
-            F.struct(F.lit(face).alias("face"),
-                     ((along(DOWN[face]) + n) / 2).cast("int").alias("y"),
-                     ((along(RIGHT[face]) + n) / 2).cast("int").alias("x"))))
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    k = (kx, ky, kz)
+
+    def along(axis):
+        (position,) = [i for i in range(3) if axis[i]]
+        return k[position] if axis[position] > 0 else f"-{k[position]}"
+    entries = ", ".join(
+        f"if({along(NORMAL[f])} = {n}, named_struct('face', {f}, "
+        f"'y', cast(({along(DOWN[f])} + {n}) / 2 as int), "
+        f"'x', cast(({along(RIGHT[f])} + {n}) / 2 as int)), null)" for f in range(6))
+    return F.expr(f"array_compact(array({entries}))")
 
 
 def on_face_boundary(y, x, n: int) -> Column:
@@ -146,26 +147,21 @@ def add_direction(df: DataFrame, n: int, face="face", y="y", x="x", out=VEC,
 
     ``normalize=False`` gives the point on the unit cube instead of the unit sphere.
     """
-    df = df.withColumns({"__a": chart_angle(x, n), "__b": chart_angle(y, n)})
-    df = df.withColumns({"__ca": F.cos("__a"), "__sa": F.sin("__a"),
-                         "__cb": F.cos("__b"), "__sb": F.sin("__b")})
-    df = df.withColumns({f"__p{k}": F.col("__ca") * F.col("__cb") * face_axis(face, NORMAL, k)
-                         + F.col("__sa") * F.col("__cb") * face_axis(face, RIGHT, k)
-                         + F.col("__ca") * F.col("__sb") * face_axis(face, DOWN, k)
-                         for k in range(3)})
+    df = df.withColumns({"__a": F.expr(f"{QUARTER}D * (2D * {x} / {float(n)}D - 1D)"),
+                         "__b": F.expr(f"{QUARTER}D * (2D * {y} / {float(n)}D - 1D)")})
+    df = df.withColumns({f"__{c}{k}": F.expr(f"{fn}(__{k})") for k in "ab"
+                         for c, fn in (("c", "cos"), ("s", "sin"))})
+    df = df.withColumns({f"__p{k}": F.expr(
+        f"__ca * __cb * {axis_sql(face, NORMAL, k)} + __sa * __cb * {axis_sql(face, RIGHT, k)} "
+        f"+ __ca * __sb * {axis_sql(face, DOWN, k)}") for k in range(3)})
     # Both extended angles at exactly 90 degrees leave nothing to scale; use the in-plane part.
-    tiny = F.sqrt(F.col("__p0") ** 2 + F.col("__p1") ** 2 + F.col("__p2") ** 2) < 1e-12
-    df = df.withColumn("__tiny", tiny)
-    df = df.withColumns({f"__q{k}": F.when(
-        F.col("__tiny"), F.col("__sa") * face_axis(face, RIGHT, k)
-        + F.col("__sb") * face_axis(face, DOWN, k)).otherwise(F.col(f"__p{k}"))
-        for k in range(3)})
-    q = [F.col(f"__q{k}") for k in range(3)]
-    scale = (F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2]) if normalize
-             else F.greatest(*[F.abs(c) for c in q]))
-    df = df.withColumn("__s", scale)
-    df = df.withColumns({name: q[k] / F.col("__s") for k, name in enumerate(out)})
-    return df.drop("__a", "__b", "__ca", "__sa", "__cb", "__sb", "__tiny", "__s",
+    df = df.withColumns({f"__q{k}": F.expr(
+        f"if(sqrt(__p0 * __p0 + __p1 * __p1 + __p2 * __p2) < 1e-12D, __sa * {axis_sql(face, RIGHT, k)} "
+        f"+ __sb * {axis_sql(face, DOWN, k)}, __p{k})") for k in range(3)})
+    df = df.withColumn("__s", F.expr("sqrt(__q0 * __q0 + __q1 * __q1 + __q2 * __q2)" if normalize
+                                     else "greatest(abs(__q0), abs(__q1), abs(__q2))"))
+    df = df.withColumns({name: F.expr(f"__q{k} / __s") for k, name in enumerate(out)})
+    return df.drop("__a", "__b", "__ca", "__sa", "__cb", "__sb", "__s",
                    *[f"__p{k}" for k in range(3)], *[f"__q{k}" for k in range(3)])
 
 
@@ -181,20 +177,15 @@ def add_chart_indices(df: DataFrame, n: int, face="face", v=VEC, out=("cy", "cx"
     """Fractional index of a direction on the chart of a given face (it must face it)."""
     df = df.withColumns({"__dn": face_dot(face, NORMAL, v), "__dr": face_dot(face, RIGHT, v),
                          "__dd": face_dot(face, DOWN, v)})
-
-    def index(component):
-        return F.lit(float(n)) * (F.lit(1.0) + F.atan2(F.col(component), F.col("__dn"))
-                                  / F.lit(QUARTER)) / F.lit(2.0)
-    return df.withColumns({out[0]: index("__dd"), out[1]: index("__dr")}).drop("__dn", "__dr", "__dd")
+    return df.withColumns({name: F.expr(f"{float(n)}D * (1D + atan2({c}, __dn) / {QUARTER}D) / 2D")
+                           for name, c in zip(out, ("__dd", "__dr"))}).drop("__dn", "__dr", "__dd")
 
 
 def owning_face(v=VEC) -> Column:
     """Face of the largest absolute component; the first axis wins a tie, zero is positive."""
-    vx, vy, vz = (_col(c) for c in v)
-    ax, ay, az = F.abs(vx), F.abs(vy), F.abs(vz)
-    return (F.when((ax >= ay) & (ax >= az), F.when(vx >= 0, F.lit(0)).otherwise(F.lit(2)))
-            .when(ay >= az, F.when(vy >= 0, F.lit(1)).otherwise(F.lit(3)))
-            .otherwise(F.when(vz >= 0, F.lit(4)).otherwise(F.lit(5))))
+    x, y, z = v
+    return F.expr(f"case when abs({x}) >= abs({y}) and abs({x}) >= abs({z}) then if({x} >= 0, 0, 2) "
+                  f"when abs({y}) >= abs({z}) then if({y} >= 0, 1, 3) else if({z} >= 0, 4, 5) end")
 
 
 def add_cube_coordinates(df: DataFrame, n: int, v=VEC, out=("face", "cy", "cx")) -> DataFrame:
@@ -208,17 +199,14 @@ def add_area_weight(df: DataFrame, n: int, y="y", x="x", out="area") -> DataFram
     """Relative solid angle of one unit of chart index."""
     df = df.withColumns({"__ca": F.cos(chart_angle(x, n)), "__cb": F.cos(chart_angle(y, n)),
                          "__sb": F.sin(chart_angle(y, n))})
-    ca, cb, sb = F.col("__ca"), F.col("__cb"), F.col("__sb")
-    return df.withColumn(out, ca * cb / F.pow(cb * cb + ca * ca * sb * sb, F.lit(1.5))
+    return df.withColumn(out, F.expr("__ca * __cb / power(__cb * __cb + __ca * __ca * __sb * __sb, 1.5D)")
                          ).drop("__ca", "__cb", "__sb")
 
 
 def add_lonlat_node(df: DataFrame, h: int, v=VEC, out=("ny", "nx")) -> DataFrame:
     """Fractional longitude/latitude node index of a direction of any length."""
-    c = [_col(k) for k in v]
-    df = df.withColumn("__len", F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2]))
-    z = clip(c[2] / F.col("__len"), -1.0, 1.0)
+    x, y, z = v
+    df = df.withColumn("__z", F.expr(f"{z} / sqrt({x} * {x} + {y} * {y} + {z} * {z})"))
     return df.withColumns({
-        out[0]: F.lit(float(h)) * (F.lit(0.5) - F.asin(z) / F.lit(math.pi)),
-        out[1]: F.lit(float(h)) * (F.atan2(c[1], c[0]) / F.lit(math.pi) + F.lit(1.0)),
-    }).drop("__len")
+        out[0]: F.lit(float(h)) * (F.lit(0.5) - F.asin(clip("__z", -1.0, 1.0)) / F.lit(math.pi)),
+        out[1]: F.expr(f"{float(h)}D * (atan2({y}, {x}) / {math.pi}D + 1D)")}).drop("__z")

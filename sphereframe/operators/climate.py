@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import climate_math as cm
 from ..functions import geometry as g
+from ..sources.store import cut_lineage
 from . import sampling
 from .filters import BLOCK, _own_block, _with_blocks
 
@@ -63,7 +64,8 @@ def climate_features(coarse: DataFrame, n: int, block: int = BLOCK) -> DataFrame
     ``coarse`` has ``z`` (signed-root elevation), ``temp``, ``temp_std100``, ``precip`` and
     ``precip_cv`` columns.  The regression reads seven nodes across every face edge.
     """
-    haloed = sampling.with_halo(coarse.select(*sampling.CUBE_KEY, "z", "temp"), n, 7)
+    coarse = cut_lineage(coarse)  # read three times below
+    haloed = sampling.with_halo(coarse.select(*sampling.CUBE_KEY, "z", "temp"), n, 7, materialise=False)
     grid = haloed.select(*sampling.CUBE_KEY, "temp",
                          F.pow(F.greatest(F.col("z"), F.lit(0.0)), F.lit(2.0)).alias("elev"))
     fit = local_baseline(grid, ["face"], (-7, n + 7), (-7, n + 7), block=block)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources import grids
+from ..sources.store import cut_lineage
 from . import sampling
 from .sampling import CUBE_KEY, value_columns
 
@@ -120,21 +121,28 @@ def _add_scaled_cube(residual, n, low, n_low, values):
 
 # ----------------------------------------------------------------------------- lon/lat
 def lonlat_halo(field: DataFrame, h: int, radius_y: int = 0, radius_x: int = 0) -> DataFrame:
-    """The field plus copies beyond the poles (half a turn away) and beyond the date line."""
+    """The field plus copies beyond the poles (half a turn away) and beyond the date line.
+
+    Copies come from one narrow expression; a radius may exceed the lattice itself.
+    """
     values = value_columns(field, ["y", "x"])
     y, x, w = F.col("y"), F.col("x"), 2 * h
     if radius_y:
+        turns = range(-(radius_y // w) - 1, radius_y // w + 2)
         opposite = F.pmod(x + F.lit(h), F.lit(w)).cast("int")
-        ys = F.array(F.struct(y.alias("y"), x.alias("x")),
-                     F.when(y.between(1, radius_y), F.struct((-y).alias("y"), opposite.alias("x"))),
-                     F.when(y.between(h - radius_y, h - 1),
-                            F.struct((F.lit(2 * h) - y).alias("y"), opposite.alias("x"))))
-        field = field.select(F.explode(ys).alias("__p"), *values).where(F.col("__p").isNotNull())
+        places = [(y + F.lit(w * k), x) for k in turns] + [(F.lit(w * k) - y, opposite) for k in turns]
+        # A pole mirrors onto itself; only the unturned copy of it is kept.
+        mirrored_pole = [F.lit(False)] * len(turns) + [y.isin(0, h)] * len(turns)
+        copies = F.array(*[F.when(py.between(-radius_y, h + radius_y) & ~pole,
+                                  F.struct(py.alias("y"), px.alias("x")))
+                           for (py, px), pole in zip(places, mirrored_pole)])
+        field = field.select(F.explode(copies).alias("__p"), *values).where(F.col("__p").isNotNull())
         field = field.select(F.col("__p.y").alias("y"), F.col("__p.x").alias("x"), *values)
     if radius_x:
-        xs = F.array(F.col("x"), F.when(F.col("x") < radius_x, F.col("x") + F.lit(w)),
-                     F.when(F.col("x") >= w - radius_x, F.col("x") - F.lit(w)))
-        field = field.select("y", F.explode(xs).alias("x"), *values).where(F.col("x").isNotNull())
+        shifts = range(-(radius_x // w) - 1, radius_x // w + 2)
+        copies = F.array(*[F.when((F.col("x") + F.lit(w * k)).between(-radius_x, w - 1 + radius_x),
+                                  F.col("x") + F.lit(w * k)) for k in shifts])
+        field = field.select("y", F.explode(copies).alias("x"), *values).where(F.col("x").isNotNull())
     return field
 
 
@@ -196,7 +204,10 @@ def merge_low_frequency_lonlat(residual: DataFrame, h: int, low: DataFrame, h_lo
     scale = h // h_low
     values = value_columns(residual, ["y", "x"])
     provisional = _add_scaled_lonlat(residual, h, low, h_low, values)
-    smooth = filter_lonlat(reduce_lonlat(provisional, h, scale), h_low, grids.gaussian_kernel())
+    # Pole rows are read twice; the small reduced stages are kept so their inputs are not.
+    reduced = constrain(cut_lineage(reduce_lonlat(provisional, h, scale, constrained=False)), h_low)
+    smooth = cut_lineage(filter_lonlat(reduced, h_low, grids.gaussian_kernel(), constrained=False))
+    smooth = constrain(smooth, h_low)
     return constrain(_add_scaled_lonlat(residual, h, smooth, h_low, values), h)
 
 

@@ -28,6 +28,17 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int | None, row_bytes: int | N
     return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
+def pin(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fix computed columns as plain values of each row.
+
+    A one-element ``inline`` keeps the optimiser from tracing a join key back through its whole
+    chain of projections (for partition pruning and filter push-down), where every step would
+    repeat the geometry of the one before.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def keyed_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str = "left",
                  max_rows: int | None = None, spread_hot_keys: bool = False,
                  hot_share: float = 1e-3, salts: int = 64) -> DataFrame:

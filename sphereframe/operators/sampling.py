@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources import grids
-from .lookup import keyed_lookup
+from ..sources.store import cut_lineage
+from .lookup import keyed_lookup, pin
 
 CUBE_KEY = ["face", "y", "x"]
 
@@ -67,14 +68,16 @@ def alias_group_sizes(nodes: DataFrame, n: int) -> DataFrame:
 # ----------------------------------------------------------------------------- cells
 def _cells(field: DataFrame, extra: list[str], values: list[str], rows: int, cols: int,
            wrap: int | None, needed: DataFrame | None) -> DataFrame:
-    corners = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                        for dy in (0, 1) for dx in (0, 1)])
-    e = field.select(*extra, "y", "x", *values, F.explode(corners).alias("__o"))
-    cx = F.col("x") - F.col("__o.dx")
-    e = e.select(*extra, (F.col("y") - F.col("__o.dy")).alias("cell_y"),
-                 (F.pmod(cx, F.lit(wrap)) if wrap else cx).cast("int").alias("cell_x"),
-                 (F.col("__o.dy") * 2 + F.col("__o.dx")).alias("__slot"), *values)
-    e = e.where(F.col("cell_y").between(0, rows - 1) & F.col("cell_x").between(0, cols - 1))
+    def corner(dy, dx):
+        cy, cx = F.col("y") - F.lit(dy), F.col("x") - F.lit(dx)
+        cx = F.pmod(cx, F.lit(wrap)).cast("int") if wrap else cx
+        # NULL outside: a range filter on the cell would be inferred for the points as well and
+        # pushed below their projections with all geometry inlined.
+        return F.when(cy.between(0, rows - 1) & cx.between(0, cols - 1), F.struct(
+            cy.alias("cell_y"), cx.alias("cell_x"), F.lit(2 * dy + dx).alias("slot")))
+    corners = F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])
+    e = field.select(*extra, *values, F.explode(corners).alias("__o")).where(F.col("__o").isNotNull())
+    e = e.select(*extra, "__o.cell_y", "__o.cell_x", F.col("__o.slot").alias("__slot"), *values)
     if needed is not None:
         e = e.join(needed, [*extra, "cell_y", "cell_x"], "left_semi")
     return e.groupBy(*extra, "cell_y", "cell_x").agg(
@@ -101,16 +104,22 @@ def _blend(v: str) -> Column:
             + fy * ((one - fx) * F.col(f"__{v}_2") + fx * F.col(f"__{v}_3")))
 
 
-def _split_index(df: DataFrame, y, x, rows: int, cols: int | None) -> DataFrame:
-    """Integer cell and fraction; the last row of nodes belongs to the last cell."""
-    df = df.withColumns({"cell_y": F.least(F.floor(y), F.lit(rows - 1)).cast("int"),
-                         "cell_x": (F.floor(x) if cols is None
-                                    else F.least(F.floor(x), F.lit(cols - 1))).cast("int")})
+def _split_index(df: DataFrame, y, x, rows: int, cols: int) -> DataFrame:
+    """Integer cell and fraction; the last row of nodes belongs to the last cell.
+
+    Keys never become NULL: a missing coordinate falls in cell -1, which holds nothing.  Join
+    keys that cannot be NULL also spare Catalyst from pushing null checks, with the whole
+    coordinate expression inlined, below the projections.
+    """
+    def whole(c, count):
+        return F.coalesce(F.least(F.floor(c), F.lit(count - 1)).cast("int"), F.lit(-1))
+    df = df.withColumns({"cell_y": whole(y, rows), "cell_x": whole(x, cols)})
     return df.withColumns({"__fy": y - F.col("cell_y"), "__fx": x - F.col("cell_x")})
 
 
 def _interpolate(points: DataFrame, cells_of, keys: list[str], values: list[str],
                  out: list[str], max_cells: int, prune: bool, spread_hot_keys: bool) -> DataFrame:
+    points = pin(points, [*keys, "__fy", "__fx"])
     needed = points.select(*keys).distinct() if prune else None
     hit = keyed_lookup(points, cells_of(needed), keys, max_rows=max_cells,
                        spread_hot_keys=spread_hot_keys)
@@ -149,6 +158,7 @@ def sample_cube_nearest(points: DataFrame, field: DataFrame, n: int, *, v=g.VEC,
     p = p.withColumns({"__y": g.nearest_index("__cy"), "__x": g.nearest_index("__cx")})
     table = field.select(F.col("face").alias("__face"), F.col("y").alias("__y"),
                          F.col("x").alias("__x"), *values)
+    p = pin(p, ["__face", "__y", "__x"])
     hit = keyed_lookup(p, table, ["__face", "__y", "__x"], max_rows=6 * (n + 1) ** 2,
                        spread_hot_keys=spread_hot_keys)
     return hit.select(*points.columns, *values)
@@ -180,7 +190,7 @@ def gather_lonlat(points: DataFrame, field: DataFrame, h: int, *, y="y", x="x",
     """Node values at integer node indices, which may lie beyond a pole or the date line."""
     values = value_columns(field, ["y", "x"])
     kept = points.columns
-    p = points.withColumns({k: c.cast("int") for k, c in
+    p = points.withColumns({k: F.coalesce(c.cast("int"), F.lit(-1)) for k, c in
                             zip(("__gy", "__gx"), g.fold_lonlat(y, x, h))})
     table = field.select(F.col("y").alias("__gy"), F.col("x").alias("__gx"), *values)
     hit = keyed_lookup(p, table, ["__gy", "__gx"], max_rows=(h + 1) * 2 * h,
@@ -192,29 +202,29 @@ def gather_lonlat(points: DataFrame, field: DataFrame, h: int, *, y="y", x="x",
 def halo_nodes(nodes: DataFrame, n: int, radius: int, axes=("y", "x")) -> DataFrame:
     """Chart indices outside each face, up to ``radius`` away along the given axes.
 
-    Made from the face-edge rows of ``nodes``, so the count is linear in ``n``.
+    One range whose length is linear in ``n``.
     """
-    def span(axis):
-        return (-radius, n + radius) if axis in axes else (0, n)
-    (y0, y1), (x0, x1) = span("y"), span("x")
-    spark = nodes.sparkSession
-    parts = []
-    strips = []
-    if "y" in axes:
-        strips += [(y0, -1, x0, x1), (n + 1, y1, x0, x1)]
-    if "x" in axes:
-        strips += [(0, n, x0, -1), (0, n, n + 1, x1)]
-    for a, b, c, d in strips:
-        wide, tall = d - c + 1, b - a + 1
-        i = F.col("id")
-        parts.append(grids._ranged(spark, 6 * wide * tall).select(
-            F.floor(i / F.lit(wide * tall)).cast("int").alias("face"),
-            (F.lit(a) + F.floor(F.pmod(i, F.lit(wide * tall)) / F.lit(wide))).cast("int").alias("y"),
-            (F.lit(c) + F.pmod(i, F.lit(wide))).cast("int").alias("x")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    side, up = n + 1, radius if "y" in axes else 0
+    wide = side + (2 * radius if "x" in axes else 0)
+    # One strip above and one below over the full width, then the columns beside the face.
+    strip, beside = 2 * up * wide, side * (wide - side)
+    i = F.col("id")
+    k = F.pmod(i, F.lit(strip + beside)).cast("int")
+    p = grids._ranged(nodes.sparkSession, 6 * (strip + beside)).select(
+        F.floor(i / F.lit(strip + beside)).cast("int").alias("face"), k.alias("k"))
+    line = F.floor(F.col("k") / F.lit(wide)).cast("int")
+    left = F.lit((side - wide) // 2)
+    rest = F.col("k") - F.lit(strip)
+    per = max(1, wide - side)
+    past = F.pmod(rest, F.lit(per))
+    in_strip = F.col("k") < strip
+    return p.select(
+        "face",
+        F.when(in_strip, F.when(line < up, line - F.lit(up)).otherwise(line - F.lit(up) + F.lit(side)))
+        .otherwise(F.floor(rest / F.lit(per)).cast("int")).alias("y"),
+        F.when(in_strip, left + F.pmod("k", F.lit(wide)))
+        .otherwise(F.when(past < radius, past - F.lit(radius)).otherwise(past - F.lit(radius) + F.lit(side)))
+        .alias("x"))
 
 
 def read_chart(requests: DataFrame, field: DataFrame, n: int, nearest: bool = False,
@@ -227,7 +237,7 @@ def read_chart(requests: DataFrame, field: DataFrame, n: int, nearest: bool = Fa
     p = g.add_direction(requests, n, normalize=False)
     inside = F.col("y").between(0, n) & F.col("x").between(0, n)
     p = g.add_cube_coordinates(p, n, out=("__of", "__oy", "__ox"))
-    p = p.withColumns({"__pf": F.when(inside, F.col("face")).otherwise(F.col("__of")),
+    p = p.withColumns({"__pf": F.coalesce(F.when(inside, F.col("face")).otherwise(F.col("__of")), F.lit(-1)),
                        "__py": F.when(inside, F.col("y").cast("double")).otherwise(F.col("__oy")),
                        "__px": F.when(inside, F.col("x").cast("double")).otherwise(F.col("__ox"))})
     p = p.select(*requests.columns, "__pf", "__py", "__px")
@@ -236,6 +246,7 @@ def read_chart(requests: DataFrame, field: DataFrame, n: int, nearest: bool = Fa
         p = p.withColumns({"__iy": g.nearest_index("__py"), "__ix": g.nearest_index("__px")})
         table = field.select(F.col("face").alias("__pf"), F.col("y").alias("__iy"),
                              F.col("x").alias("__ix"), *[F.col(v).alias(f"__v_{v}") for v in values])
+        p = pin(p, ["__pf", "__iy", "__ix"])
         hit = keyed_lookup(p, table, ["__pf", "__iy", "__ix"], max_rows=6 * (n + 1) ** 2,
                            spread_hot_keys=spread_hot_keys)
         return hit.select(*requests.columns, *[F.col(f"__v_{v}").alias(v) for v in values])
@@ -246,11 +257,15 @@ def read_chart(requests: DataFrame, field: DataFrame, n: int, nearest: bool = Fa
     return done.select(*requests.columns, *values)
 
 
-def with_halo(field: DataFrame, n: int, radius: int, axes=("y", "x")) -> DataFrame:
+def with_halo(field: DataFrame, n: int, radius: int, axes=("y", "x"),
+              materialise: bool = True) -> DataFrame:
     """The field plus its cross-face halo rows.
 
     Only nodes near face edges can be read by a halo, so the join sees two linear-size sides.
+    The field is used twice; ``materialise`` writes a derived one to the checkpoint folder first,
+    so a chain of filters is not computed again at every level.  Not needed for stored tables.
     """
+    field = cut_lineage(field) if materialise else field
     reach = 2 * radius + 2
     band = ((F.col("y") <= reach) | (F.col("y") >= n - reach)
             | (F.col("x") <= reach) | (F.col("x") >= n - reach))
