@@ -1,7 +1,8 @@
 """Sphere inputs derived from the driver tables.
 
 Lattice sizes follow the row counts, so every input grows with its table while each lattice cell
-keeps about the same number of source rows.  Means are exact integer sums divided once.
+keeps about the same number of source rows.  Means are exact integer sums divided once,
+by multiples of a prime, so that results do not sit on decimal ties when they are rounded.
 """
 from __future__ import annotations
 
@@ -73,7 +74,7 @@ def node_field(spark, sf_dir) -> DataFrame:
     sums = cells.groupBy("y", F.when(pole, F.lit(0)).otherwise(F.col("x")).alias("x")).agg(
         F.sum("cents").alias("s"), F.count(F.lit(1)).alias("c"))
     columns = F.when(pole, F.sequence(F.lit(0), F.lit(2 * h - 1))).otherwise(F.array("x"))
-    return sums.select("y", F.explode(columns).alias("x"), (F.col("s") / (F.col("c") * F.lit(1000.0))).alias("v"))
+    return sums.select("y", F.explode(columns).alias("x"), (F.col("s") / (F.col("c") * F.lit(1007.0))).alias("v"))
 
 
 def climate_nodes(spark, sf_dir) -> DataFrame:
@@ -94,7 +95,7 @@ def _climate_parts():
 
 def _climate_means():
     c = F.count(F.lit(1))
-    return [(F.sum("cents") / (c * F.lit(1000.0))).alias("elev"),
+    return [(F.sum("cents") / (c * F.lit(1007.0))).alias("elev"),
             (F.lit(30.0) - F.sum("qty") / (c * F.lit(5.0))).alias("temp"),
             (F.lit(300.0) + F.sum("disc") * F.lit(10.0) / c).alias("temp_std100"),
             (F.lit(400.0) + F.sum("tax") * F.lit(200.0) / c).alias("precip"),
@@ -115,7 +116,7 @@ def cube_raw(spark, sf_dir) -> DataFrame:
     """Cube field whose aliases still disagree."""
     cells = _cube_cells(spark, sf_dir, (_cents("l_extendedprice") - 4000000).alias("cents"))
     return cells.groupBy("face", "y", "x").agg(
-        (F.sum("cents") / (F.count(F.lit(1)) * F.lit(1000.0))).alias("v"))
+        (F.sum("cents") / (F.count(F.lit(1)) * F.lit(1007.0))).alias("v"))
 
 
 def cube_field(spark, sf_dir) -> DataFrame:
@@ -142,7 +143,7 @@ def _pixel_groups(spark, sf_dir, *aggs) -> DataFrame:
 
 def pixels(spark, sf_dir) -> DataFrame:
     """Global raster; pixels without a pending order are nodata, and some are absent."""
-    v = F.when(F.col("open") > 0, F.col("s") / (F.col("c") * F.lit(5000.0)) - F.lit(4000.0))
+    v = F.when(F.col("open") > 0, F.col("s") / (F.col("c") * F.lit(5003.0)) - F.lit(4000.0))
     return _pixel_groups(spark, sf_dir).select(F.lit("heightmap").alias("band"), "row_i", "col_i", v.alias("v"))
 
 

@@ -186,17 +186,17 @@ part("items", ["dims"], f"""SELECT l_partkey % ({H}+1) AS y, (l_suppkey*31+l_lin
   (l_orderkey*31+l_partkey*7+l_suppkey*13+l_linenumber) % (6*({N}+1)*({N}+1)) AS cell,
   CAST(ROUND(l_extendedprice*100) AS BIGINT)-4000000 AS cents, CAST(ROUND(l_quantity) AS BIGINT) AS qty,
   CAST(ROUND(l_discount*100) AS BIGINT) AS disc, CAST(ROUND(l_tax*100) AS BIGINT) AS tax, l_linenumber AS ln FROM lineitem""")
-part("node_field", ["items"], f"""SELECT y, x, CAST(SUM(cents) AS BIGINT)/(COUNT(*)*1000e0) AS v FROM items
+part("node_field", ["items"], f"""SELECT y, x, CAST(SUM(cents) AS BIGINT)/(COUNT(*)*1007e0) AS v FROM items
   WHERE y NOT IN (0, {H}) GROUP BY y, x UNION ALL
-  SELECT p.y, k.x, p.s/(p.c*1000e0) AS v FROM (SELECT y, CAST(SUM(cents) AS BIGINT) AS s, COUNT(*) AS c FROM items
+  SELECT p.y, k.x, p.s/(p.c*1007e0) AS v FROM (SELECT y, CAST(SUM(cents) AS BIGINT) AS s, COUNT(*) AS c FROM items
   WHERE y IN (0, {H}) GROUP BY y) p, (SELECT DISTINCT x FROM items) k""")
-CLIMATE = """CAST(SUM(cents) AS BIGINT)/(COUNT(*)*1000e0) AS elev, 30e0-CAST(SUM(qty) AS BIGINT)/(COUNT(*)*5e0) AS temp,
+CLIMATE = """CAST(SUM(cents) AS BIGINT)/(COUNT(*)*1007e0) AS elev, 30e0-CAST(SUM(qty) AS BIGINT)/(COUNT(*)*5e0) AS temp,
   300e0+CAST(SUM(disc) AS BIGINT)*10e0/COUNT(*) AS temp_std100, 400e0+CAST(SUM(tax) AS BIGINT)*200e0/COUNT(*) AS precip,
   40e0+CAST(SUM(ln) AS BIGINT)/(COUNT(*)*1e0) AS precip_cv"""
 part("climate_nodes", ["items"], f"SELECT y, x, {CLIMATE} FROM items GROUP BY y, x")
 part("cells", ["items"], f"""SELECT CAST(FLOOR(cell/(1e0*({N}+1)*({N}+1))) AS BIGINT) AS face,
   CAST(FLOOR(cell/(1e0*({N}+1))) AS BIGINT) % ({N}+1) AS y, cell % ({N}+1) AS x, * EXCLUDE (y, x) FROM items""")
-part("cube_raw", ["cells"], "SELECT face, y, x, CAST(SUM(cents) AS BIGINT)/(COUNT(*)*1000e0) AS v FROM cells GROUP BY face, y, x")
+part("cube_raw", ["cells"], "SELECT face, y, x, CAST(SUM(cents) AS BIGINT)/(COUNT(*)*1007e0) AS v FROM cells GROUP BY face, y, x")
 part("cube_field_k", ["cube_raw"], f"SELECT *, {key(N)} FROM cube_raw")
 part("cube_field", ["cube_field_k"], "SELECT face, y, x, AVG(v) OVER (PARTITION BY kx, ky, kz) AS v, kx, ky, kz FROM cube_field_k")
 part("cube_climate_m", ["cells"], f"SELECT face, y, x, {CLIMATE} FROM cells GROUP BY face, y, x")
@@ -208,7 +208,7 @@ part("px", ["pdims"], f"""SELECT o_orderkey % {PH} AS row_i,
   (o_custkey*7+CAST(FLOOR(o_orderkey/(1e0*{PH})) AS BIGINT)) % (2*{PH}) AS col_i,
   CAST(SUM(CAST(ROUND(o_totalprice*100) AS BIGINT)) AS BIGINT) AS s, COUNT(*) AS c,
   COUNT(*) FILTER (o_orderstatus = 'P') AS open FROM orders GROUP BY 1, 2""")
-part("pixels", ["px"], "SELECT row_i, col_i, CASE WHEN open > 0 THEN s/(c*5000e0)-4000e0 END AS v FROM px")
+part("pixels", ["px"], "SELECT row_i, col_i, CASE WHEN open > 0 THEN s/(c*5003e0)-4000e0 END AS v FROM px")
 part("bright", ["px"], """SELECT row_i, col_i, CASE WHEN c % 2 = 0 THEN s % 65536 ELSE s % 256 END AS code,
   CASE WHEN c % 2 = 0 THEN 16 ELSE 8 END AS bits, CASE WHEN open > 0 THEN 1e0 ELSE 0e0 END AS alpha FROM px""")
 part("tiles", ["tdims"], f"""SELECT vec_id % 6 AS face, -4+4*(slot // {P}) AS ty, -4+4*(slot % {P}) AS tx, tile, vec_id, label
