@@ -25,18 +25,36 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def axis_sql(face: str, axes, component: int) -> str:
-    """SQL text of one component of a per-face axis: a lookup in a literal array."""
-    return f"get(array({', '.join(f'{a[component]}D' for a in axes)}), {face})"
+def _by_face(face: str, terms) -> str:
+    """SQL CASE over the faces; a literal-array lookup would make every later value nullable."""
+    *first, last = terms
+    return (f"case {face} " + " ".join(f"when {f} then {t}" for f, t in enumerate(first))
+            + f" else {last} end")
+
+
+def _signed(axis, names) -> str:
+    """The signed component that a unit axis selects."""
+    (position,) = [k for k in range(3) if axis[k]]
+    return names[position] if axis[position] > 0 else f"-{names[position]}"
+
+
+def face_combination(face: str, along_normal: str, along_right: str, along_down: str) -> list[str]:
+    """SQL text of the x, y and z components of a combination of a face's three axes."""
+    frames = list(zip(NORMAL, RIGHT, DOWN))
+
+    def component(frame, k):
+        ((axis, name),) = [(a, t) for a, t in zip(frame, (along_normal, along_right, along_down)) if a[k]]
+        return name if axis[k] > 0 else f"-{name}"
+    return [_by_face(face, [component(f, k) for f in frames]) for k in range(3)]
 
 
 def face_axis(face: str, axes, component: int) -> Column:
-    return F.expr(axis_sql(face, axes, component))
+    return F.expr(_by_face(face, [f"{float(a[component])}D" for a in axes]))
 
 
 def face_dot(face: str, axes, v=VEC) -> Column:
     """Dot product of a direction with the axis that belongs to ``face``."""
-    return F.expr(" + ".join(f"{axis_sql(face, axes, k)} * {v[k]}" for k in range(3)))
+    return F.expr(_by_face(face, [_signed(a, v) for a in axes]))
 
 
 def chart_angle(index, n) -> Column:
@@ -112,12 +130,8 @@ OVERLAP_WEIGHTS = {"linear": linear_overlap_weight, "tent": tent_overlap_weight}
 
 def node_key(face: str, y: str, x: str, n: int) -> tuple[Column, Column, Column]:
     """Integer lattice triple shared by all aliases of one physical cube node."""
-    def axis(k):
-        def of(axes):
-            return f"get(array({', '.join(str(a[k]) for a in axes)}), {face})"
-        return F.expr(f"cast({of(NORMAL)} * {n} + {of(RIGHT)} * (2 * {x} - {n}) "
-                      f"+ {of(DOWN)} * (2 * {y} - {n}) as int)")
-    return tuple(axis(k) for k in range(3))
+    return tuple(F.expr(f"cast({c} as int)") for c in face_combination(
+        face, str(n), f"(2 * {x} - {n})", f"(2 * {y} - {n})"))
 
 
 def key_aliases(n: int, kx="kx", ky="ky", kz="kz") -> Column:
@@ -128,8 +142,7 @@ def key_aliases(n: int, kx="kx", ky="ky", kz="kz") -> Column:
     k = (kx, ky, kz)
 
     def along(axis):
-        (position,) = [i for i in range(3) if axis[i]]
-        return k[position] if axis[position] > 0 else f"-{k[position]}"
+        return _signed(axis, k)
     entries = ", ".join(
         f"if({along(NORMAL[f])} = {n}, named_struct('face', {f}, "
         f"'y', cast(({along(DOWN[f])} + {n}) / 2 as int), "
@@ -151,18 +164,18 @@ def add_direction(df: DataFrame, n: int, face="face", y="y", x="x", out=VEC,
                          "__b": F.expr(f"{QUARTER}D * (2D * {y} / {float(n)}D - 1D)")})
     df = df.withColumns({f"__{c}{k}": F.expr(f"{fn}(__{k})") for k in "ab"
                          for c, fn in (("c", "cos"), ("s", "sin"))})
-    df = df.withColumns({f"__p{k}": F.expr(
-        f"__ca * __cb * {axis_sql(face, NORMAL, k)} + __sa * __cb * {axis_sql(face, RIGHT, k)} "
-        f"+ __ca * __sb * {axis_sql(face, DOWN, k)}") for k in range(3)})
+    df = df.withColumns({"__n": F.expr("__ca * __cb"), "__r": F.expr("__sa * __cb"), "__d": F.expr("__ca * __sb")})
     # Both extended angles at exactly 90 degrees leave nothing to scale; use the in-plane part.
-    df = df.withColumns({f"__q{k}": F.expr(
-        f"if(sqrt(__p0 * __p0 + __p1 * __p1 + __p2 * __p2) < 1e-12D, __sa * {axis_sql(face, RIGHT, k)} "
-        f"+ __sb * {axis_sql(face, DOWN, k)}, __p{k})") for k in range(3)})
+    tiny = "__n * __n + __r * __r + __d * __d < 1e-24D"
+    df = df.withColumns({"__r": F.expr(f"if({tiny}, __sa, __r)"), "__d": F.expr(f"if({tiny}, __sb, __d)"),
+                         "__n": F.expr(f"if({tiny}, 0D, __n)")})
+    df = df.withColumns({f"__q{k}": F.expr(c) for k, c in enumerate(
+        face_combination(face, "__n", "__r", "__d"))})
     df = df.withColumn("__s", F.expr("sqrt(__q0 * __q0 + __q1 * __q1 + __q2 * __q2)" if normalize
                                      else "greatest(abs(__q0), abs(__q1), abs(__q2))"))
     df = df.withColumns({name: F.expr(f"__q{k} / __s") for k, name in enumerate(out)})
-    return df.drop("__a", "__b", "__ca", "__sa", "__cb", "__sb", "__s",
-                   *[f"__p{k}" for k in range(3)], *[f"__q{k}" for k in range(3)])
+    return df.drop("__a", "__b", "__ca", "__sa", "__cb", "__sb", "__s", "__n", "__r", "__d",
+                   *[f"__q{k}" for k in range(3)])
 
 
 def add_lonlat_direction(df: DataFrame, lon="lon", lat="lat", out=VEC) -> DataFrame:

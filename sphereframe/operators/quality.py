@@ -142,7 +142,7 @@ def shared_node_error(field: DataFrame, n: int, value: str = "v") -> DataFrame:
     """Largest disagreement between aliases of one physical node and its first owner."""
     kx, ky, kz = g.node_key("face", "y", "x", n)
     edge = field.where(g.on_face_boundary("y", "x", n))
-    v, owner = F.col(value), F.min_by(value, F.struct(*sampling.CUBE_KEY))
+    v, owner = F.col(value), F.min_by(value, F.expr(f"(face * {n + 1}L + y) * {n + 1}L + x"))
     nodes = edge.groupBy(kx, ky, kz).agg(F.max(v).alias("hi"), F.min(v).alias("lo"), owner.alias("o"))
     return nodes.agg(F.max(F.greatest(F.col("hi") - F.col("o"), F.col("o") - F.col("lo")))
                      .alias("shared_node_error"))

@@ -43,7 +43,9 @@ def identify(field: DataFrame, n: int, how: str = "mean", boundary_only: bool =
     if how == "mean":
         aggs = [F.avg(v).alias(v) for v in values]
     elif how == "owner":
-        aggs = [F.min_by(v, F.struct(*CUBE_KEY)).alias(v) for v in values]
+        # One BIGINT as the order keeps the aggregate buffer flat, so it stays a hash aggregate.
+        order = F.expr(f"(face * {n + 1}L + y) * {n + 1}L + x")
+        aggs = [F.min_by(v, order).alias(v) for v in values]
     else:
         raise ValueError("how must be 'mean' or 'owner'")
     return spread_to_aliases(keyed.groupBy("kx", "ky", "kz").agg(*aggs), n)
