@@ -155,7 +155,8 @@ def smooth_field(seed: int, v=g.VEC) -> Column:
     return sum(terms[1:], terms[0]) / F.lit(math.sqrt(6.0))
 
 
-def _guide_channels(nodes: DataFrame, seed: int) -> DataFrame:
+def guide_channels(nodes: DataFrame, seed: int) -> DataFrame:
+    """Five raw channels of the smooth seeded world at directions."""
     d = nodes.withColumn("__f", smooth_field(seed))
     f, zz = F.col("__f"), F.col("vz") * F.col("vz")
     return d.withColumns({
@@ -168,7 +169,7 @@ def _guide_channels(nodes: DataFrame, seed: int) -> DataFrame:
 
 def smooth_guide_cube(spark: SparkSession, seed: int, n: int, encoded: bool = True) -> DataFrame:
     """Five smooth seeded channels on the cube, the default fallback of a guide."""
-    nodes = _guide_channels(g.add_direction(grids.cube_nodes(spark, n), n), seed).drop(*g.VEC)
+    nodes = guide_channels(g.add_direction(grids.cube_nodes(spark, n), n), seed).drop(*g.VEC)
     if encoded:
         nodes = nodes.withColumn(cm.CHANNELS[0], g.signed_sqrt(cm.CHANNELS[0]))
     return sampling.identify(nodes, n)
@@ -176,7 +177,7 @@ def smooth_guide_cube(spark: SparkSession, seed: int, n: int, encoded: bool = Tr
 
 def smooth_guide_lonlat(spark: SparkSession, seed: int, h: int) -> DataFrame:
     nodes = sampling.add_node_direction(grids.lonlat_nodes(spark, h), h)
-    guide = _guide_channels(nodes, seed).drop(*g.VEC)
+    guide = guide_channels(nodes, seed).drop(*g.VEC)
     guide = guide.withColumn(cm.CHANNELS[0], g.signed_sqrt(cm.CHANNELS[0]))
     return constrain(guide, h)
 

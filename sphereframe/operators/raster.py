@@ -67,6 +67,18 @@ def check_raster(pixels: DataFrame, h: int) -> DataFrame:
         F.count_if(ok).alias("valid"))
 
 
+def require_raster(pixels: DataFrame, h: int) -> DataFrame:
+    """Fail when a band breaks its contract; returns the pixels unchanged."""
+    if h < 2:
+        raise ValueError("a raster needs at least two rows")
+    bad = check_raster(pixels, h).where((F.col("outside") > 0) | (F.col("negative") > 0)
+                                        | (F.col("too_large") > 0) | (F.col("pixels") > 2 * h * h))
+    wrong = bad.limit(len(cm.CHANNELS)).collect()  # one row per band
+    if wrong:
+        raise ValueError("; ".join(f"{r.band}: {r.asDict()}" for r in wrong))
+    return pixels
+
+
 def premultiply(pixels: DataFrame, scale: float = 1.0, offset: float = 0.0,
                 band: str | None = None) -> DataFrame:
     """Values times validity, plus validity, so that later means stay linear.
@@ -106,15 +118,11 @@ def corner_mean(pixels: DataFrame, h: int, extra: Sequence[str] = ()) -> DataFra
                        *[(F.col(v) / count).alias(v) for v in values])
 
 
-def complete_lattice(nodes: DataFrame, h: int, extra: DataFrame | None = None) -> DataFrame:
+def complete_lattice(nodes: DataFrame, h: int) -> DataFrame:
     """Nodes that no pixel touched appear with zero value and coverage."""
-    keys = ["y", "x"] if extra is None else [*extra.columns, "y", "x"]
-    grid = grids.lonlat_nodes(nodes.sparkSession, h)
-    if extra is not None:
-        grid = grid.join(F.broadcast(extra))  # a handful of band names
-    values = [c for c in nodes.columns if c not in keys]
-    return grid.join(nodes, keys, "left").select(
-        *keys, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+    values = [c for c in nodes.columns if c not in ("y", "x")]
+    return grids.lonlat_nodes(nodes.sparkSession, h).join(nodes, ["y", "x"], "left").select(
+        "y", "x", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
 
 
 def footprint_mean(nodes: DataFrame, raster: DataFrame, h: int, n: int,

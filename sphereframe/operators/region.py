@@ -101,6 +101,11 @@ def guard_cost(requests: DataFrame, estimates: DataFrame, limit: int = 2000,
     return j.withColumn("error", F.coalesce("error", F.when(F.col("tiles") > limit, "too_many_tiles")))
 
 
+def exceeds(df: DataFrame, limit: int) -> bool:
+    """Whether a result has more than ``limit`` rows; stops reading as soon as that is known."""
+    return df.limit(limit + 1).count() > limit
+
+
 def export_window(field: DataFrame, h: int, height: int,
                   window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Point evaluation at the pixel centres of a global grid or of a window of it.

@@ -5,7 +5,7 @@ import json
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,19 @@ TILE_KEY = ["face", "ty", "tx"]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without one (tests) gets a temporary folder.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -178,6 +184,27 @@ def write_region(df: DataFrame, path: str, identity: dict) -> None:
     write_grid(df, f"{path}/grid", ["request_id", "row_i", "col_i"])
 
 
+def write_export(df: DataFrame, path: str, h: int, height: int, identity: dict,
+                 window: tuple[int, int, int, int] | None = None) -> None:
+    """Save an exported grid with its place: pixel size, edges and window of the global grid."""
+    x, y, width, rows = window or (0, 0, 2 * height, height)
+    step = 180 / height
+    write_manifest(df.sparkSession, f"{path}/identity", {
+        **identity, "native_height": h, "export_height": height, "window": [x, y, width, rows],
+        "pixel_degrees": step, "west": -180 + x * step, "north": 90 - y * step,
+        "east": -180 + (x + width) * step, "south": 90 - (y + rows) * step,
+        "sampling": "point evaluation at pixel centres"})
+    write_grid(df, f"{path}/grid", ["row_i", "col_i"])
+
+
+def observe_stage(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Count rows and bad values of a stage while it is being written, without another pass."""
+    values = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    bad = sum((F.count_if(F.col(v).isNull() | F.isnan(v)) for v in values), F.lit(0))
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), bad.alias("bad")), seen
+
+
 def record_stage(df: DataFrame, path: str, keys: Sequence[str], rows: int, name: str) -> DataFrame:
     """Write a stage, read it back (this ends its lineage) and validate it; restore if present."""
     spark = df.sparkSession
