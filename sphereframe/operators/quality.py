@@ -263,7 +263,9 @@ def layout_compare(values: DataFrame, painted: DataFrame, h: int, factor: int, w
     s = j.agg(area(land & want).alias("inter"), area(land | want).alias("union"),
               area(land == want).alias("agree"), F.sum("w").alias("total"), area(want).alias("want"),
               area(~want).alias("sea"), area((v < 0) & ~want).alias("below"),
-              F.corr(F.when(want, v), F.when(want, F.col("height"))).alias("land_height_correlation"),
+              F.try_divide(F.covar_pop(F.when(want, v), F.when(want, F.col("height"))),
+                           F.stddev_pop(F.when(want, v)) * F.stddev_pop(F.when(want, F.col("height"))))
+              .alias("land_height_correlation"),  # NULL where either side is constant
               F.min("v").alias("low"), F.max("v").alias("high"),
               F.min(F.when(~want, v)).alias("ocean_low"), F.max(F.when(~want, v)).alias("ocean_high"),
               F.stddev_pop(F.when(~want, v)).alias("ocean_std"))

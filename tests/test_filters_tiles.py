@@ -231,6 +231,6 @@ def test_estimate_spans_tiles_and_grows_with_the_region(spark):
 def test_clustered_points_keep_all_rows_and_split_a_hot_tile(spark):
     p = spark.range(6000).select(F.col("id").alias("point_id"), F.when(F.col("id") % 2 == 0, F.lit(12.3)).otherwise(
         F.col("id") % 360 - F.lit(180.0)).alias("lon"), F.lit(5.5).alias("lat"))
-    c = tiles.cluster_points(g.add_lonlat_direction(p), 64, 16)
+    c = tiles.cluster_points(g.add_lonlat_direction(p), 64, 16, partitions=6)
     sizes = [r[0] for r in c.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 6000 and max(sizes) < 3000
