@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import climate_math as cm
 from ..functions import geometry as g
 from ..operators import climate, distribution, filters, quality, raster, region, sampling, tiles
-from ..sources import grids, store
+from ..sources import grids, guide, store
 from ..streaming import requests as stream
 from . import inputs
 
@@ -293,6 +293,32 @@ def guide_fill(spark, d):
     return tidy(raster.build_guide({"heightmap": imported}, fallback, n))
 
 
+@register
+def guide_partial_channels(spark, d):
+    """Two imported channels of five; the others keep the fallback."""
+    s = inputs.sizes(spark, d)
+    px = inputs.pixels(spark, d).drop("band")
+    channels = {"heightmap": (px, s.pixel_h),
+                "precipitation": (px.withColumn("v", F.abs("v")), s.pixel_h)}
+
+    def fallback(nodes, n):
+        return inputs.cube_climate(spark, d).select(
+            "face", "y", "x", g.signed_square("z").alias("heightmap"), F.col("temp").alias("temperature"),
+            F.col("temp_std100").alias("temperature_std"), F.col("precip").alias("precipitation"),
+            F.col("precip_cv").alias("precipitation_cv"))
+    return tidy(guide.RasterGuide(channels, fallback).guide(s.n), 5)
+
+
+@register
+def footprint_requested_nodes(spark, d):
+    """Footprint means of only those nodes that lie next to high-valued points."""
+    nodes, h = _raster_nodes(spark, d)
+    n = inputs.sizes(spark, d).n
+    p = g.add_cube_coordinates(_directed(spark, d).where(F.col("value") > 90), n)
+    wanted = p.select("face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x")).distinct()
+    return tidy(raster.footprint_mean(wanted, nodes, h, n))
+
+
 @register
 def draft_fill(spark, d):
     """Brightness map over an encoded fallback, blended in metres."""
@@ -375,6 +401,14 @@ def _cover_h(sizes):
     return 4 * (sizes.origins - 1)
 
 
+@register
+def tile_blend_channels(spark, d):
+    """Two channels share one weight sum."""
+    t = inputs.tiles(spark, d).select("face", "ty", "tx", "values", F.transform(
+        "values", lambda v: v.cast("double") * F.col("label")).alias("scaled"))
+    return tidy(tiles.blend_cube(t, inputs.sizes(spark, d).tile_n, 8, channels=["values", "scaled"]))
+
+
 @register
 def tile_blend_lonlat(spark, d):
     """All tiles laid over a longitude/latitude lattice, folding over both poles."""
@@ -415,6 +449,24 @@ def _contexts(spark, d):
     return tiles.gather_context(grids.tile_plan(spark, n, 8, 4, True), inputs.cube_field(spark, d), n, 8), n
 
 
+@register
+def tile_saved(spark, d):
+    """Saved tiles that requests need, with how often each was saved."""
+    n = inputs.sizes(spark, d).tile_n
+    p = g.add_cube_coordinates(_directed(spark, d).where(F.col("value") > 90), n)
+    nodes = p.select("face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x"))
+    needed = tiles.tiles_for_nodes(nodes, n, 8, 4, include_endpoint=True)
+    kept = tiles.saved_tiles(needed, inputs.tiles(spark, d).where(F.col("label") != 0))
+    return tidy(kept.groupBy("face", "ty", "tx").agg(F.count(F.lit(1)).alias("copies")))
+
+
+@register
+def points_clustered(spark, d):
+    """Points with their storage tile, ordered inside range partitions."""
+    p = tiles.cluster_points(_directed(spark, d), 256, 32)
+    return tidy(p.select("point_id", "face", F.col("by").alias("tile_y"), F.col("bx").alias("tile_x")))
+
+
 @register
 def tile_score_stencil(spark, d):
     """Plan, gather with halo, score in Arrow batches, blend."""
@@ -511,6 +563,16 @@ def climate_at_points(spark, d):
     return tidy(p.select("point_id", "temp", "temp_std", "precip", "precip_cv", "beta"))
 
 
+@register
+def climate_export_window(spark, d):
+    """Five climate bands on an export window that crosses the date line."""
+    s = inputs.sizes(spark, d)
+    px = region.export_window(inputs.node_field(spark, d), s.h, s.h, _dateline(s.h))
+    f = climate.climate_features(inputs.cube_climate(spark, d), s.n)
+    out = climate.climate_at(px, f, s.n, "v", prune=True)
+    return tidy(out.select("row_i", "col_i", "temp", "temp_std", "precip", "precip_cv", "beta"))
+
+
 # ----------------------------------------------------------------------------- distributions
 def _tables(spark, d):
     f = inputs.node_field(spark, d).select(F.lit("a").alias("channel"), "v")
@@ -559,6 +621,13 @@ def seeded_gaussian_nodes(spark, d):
     return tidy(f.withColumn("mixed", mixed).select("face", "y", "x", "noise", "mixed"))
 
 
+@register
+def seeded_gaussian_lonlat(spark, d):
+    h = inputs.sizes(spark, d).h
+    f = distribution.gaussian_lonlat_noise(inputs.node_field(spark, d), h, SEED, 9, 2, portable=True)
+    return tidy(f.select("y", "x", "noise"))
+
+
 # ----------------------------------------------------------------------------- reports
 @register
 def grid_phase_profile(spark, d):
@@ -655,6 +724,25 @@ def ocean_audit(spark, d):
     return tidy(quality.ocean_audit(inputs.node_field(spark, d), inputs.sizes(spark, d).h))
 
 
+@register
+def area_mean_pixels(spark, d):
+    """Area-weighted mean and range of the exported pixel grid."""
+    h = inputs.sizes(spark, d).h
+    px = region.export_window(inputs.node_field(spark, d), h, h).withColumn("w", g.latitude_weight_pixels("row_i", h))
+    return tidy(px.agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean_v"),
+                       F.min("v").alias("low"), F.max("v").alias("high")))
+
+
+@register
+def verify_region_report(spark, d):
+    """Short report on the answers of all requests, against the content just computed."""
+    grid = region.region_query_lonlat(inputs.requests(spark, d), inputs.node_field(spark, d),
+                                      inputs.sizes(spark, d).h).select("request_id", "row_i", "col_i", F.round("v", 6).alias("v"))
+    grid = store.cut_lineage(grid)
+    keys = ["request_id", "row_i", "col_i"]
+    return quality.verify_region(grid, keys, store.content_checksum(grid, keys).first().asDict())
+
+
 # ----------------------------------------------------------------------------- storage
 @register
 def field_checksum(spark, d):

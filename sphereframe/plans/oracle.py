@@ -596,3 +596,53 @@ SQL["stream_tile_store"] = query(
     STENCIL + cube_coordinates("rc", "region_d", N) + _near
     + [("nk", f"SELECT DISTINCT kx, ky, kz FROM (SELECT {key(N)} FROM rn)"),
        ("need", "SELECT DISTINCT s.face, s.ty, s.tx FROM nk JOIN cube_field f USING (kx, ky, kz) JOIN st s ON s.face = f.face AND s.y = f.y AND s.x = f.x")])
+
+# ----------------------------------------------------------------------------- further compositions
+SQL["area_mean_pixels"] = query(
+    ["node_field"], f"SELECT {r('SUM(w*v_s)/SUM(w)')} AS mean_v, {r('MIN(v_s)')} AS low, {r('MAX(v_s)')} AS high FROM "
+    f"(SELECT v_s, COS(PI()*((i+0.5e0)/{H}-0.5e0)) AS w FROM s)",
+    [("p", f"SELECT i, j, i+0.5e0 AS ny, j+0.5e0 AS nx FROM range({H}) a(i), range(2*{H}) b(j)")] + lonlat_lookup("s", "p", "node_field", H, ["v"]))
+SQL["verify_region_report"] = query(
+    ["region_d", "node_field"], "SELECT COUNT(*) FILTER (v_s IS NULL OR ISNAN(v_s) OR ISINF(v_s)) = 0 AS finite, TRUE AS checksum_matches, "
+    "COUNT(*) FILTER (v_s IS NULL OR ISNAN(v_s) OR ISINF(v_s)) = 0 AS passed FROM s", REGION_LL)
+SQL["climate_export_window"] = query(
+    ["node_field", "cube_climate"], f"SELECT row_i, col_i, {r('baseline_s+beta_s*GREATEST(elevation, 0)')} AS temp, {r('temp_std100_s/100')} AS temp_std, "
+    f"{r('precip_s')} AS precip, {r('precip_cv_s')} AS precip_cv, {r('beta_s')} AS beta FROM ps",
+    [("p", WIN)] + lonlat_lookup("wl", "p", "node_field", H, ["v"])
+    + [("wd", f"SELECT row_i, col_i, v_s AS elevation, {lonlat_direction(f'(-180+nx*180e0/{H})', f'(90-ny*180e0/{H})')} FROM wl")]
+    + CLIM + cube_coordinates("pc", "wd", N) + cube_lookup("ps", "pc", "cf", N, ["baseline", "temp_std100", "precip", "precip_cv", "beta"]))
+PM2 = ("pm", "SELECT row_i, col_i, COALESCE(v, 0e0) AS value, COALESCE(ABS(v), 0e0) AS rain, CASE WHEN v IS NULL THEN 0e0 ELSE 1e0 END AS coverage FROM pixels")
+GAP = "(1-LEAST(1, GREATEST(0, ft.coverage)))"
+SQL["guide_partial_channels"] = query(
+    ["pixels", "cube_nodes", "cube_climate"], f"SELECT {FYX}, " + ", ".join(
+        f"{r(c, 5)} AS {c}" for c in ("heightmap", "temperature", "temperature_std", "precipitation", "precipitation_cv")) + " FROM gi",
+    [PM2] + corner_nodes("cn", "pm", ["value", "rain", "coverage"]) + footprint("ft", "cn", ["value", "rain", "coverage"])
+    + [("mx", f"SELECT f.face, f.y, f.x, {sign_root(f'(ft.value+{GAP}*SIGN(f.z)*f.z*f.z)')} AS heightmap, f.temp AS temperature, "
+              f"f.temp_std100 AS temperature_std, ft.rain+{GAP}*f.precip AS precipitation, f.precip_cv AS precipitation_cv FROM cube_climate f JOIN ft USING (face, y, x)")]
+    + identify("gi", "mx", N, ["heightmap", "temperature", "temperature_std", "precipitation", "precipitation_cv"]))
+SQL["footprint_requested_nodes"] = query(
+    ["pixels", "cube_nodes", "dpoints"], f"SELECT {FYX}, {r('value')} AS value, {r('coverage')} AS coverage FROM ft_m JOIN rn USING (face, y, x)",
+    FOOT + [("hp", "SELECT * FROM dpoints WHERE value > 90")] + cube_coordinates("c", "hp", N)
+    + [("rn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c")])
+_w = f"{LINEAR('dy')}*{LINEAR('dx')}"
+SQL["tile_blend_channels"] = query(
+    ["tile_cells", "tiles"], f"SELECT DISTINCT {B('k.face')} AS face, {B('k.y')} AS y, {B('k.x')} AS x, {r('g.a')} AS \"values\", {r('g.b')} AS scaled FROM k JOIN g USING (kx, ky, kz)",
+    [("k", f"SELECT c.*, t.label, {key(TN, 'c.face')} FROM tile_cells c JOIN tiles t USING (vec_id) WHERE y BETWEEN 0 AND {TN} AND x BETWEEN 0 AND {TN}"),
+     ("g", f"SELECT kx, ky, kz, SUM({_w}*v)/SUM({_w}) AS a, SUM({_w}*v*label)/SUM({_w}) AS b FROM k GROUP BY kx, ky, kz")])
+SQL["tile_saved"] = query(
+    ["dpoints", "tiles"], f"SELECT {B('t.face')} AS face, {B('t.ty')} AS ty, {B('t.tx')} AS tx, COUNT(*) AS copies FROM tiles t SEMI JOIN need n "
+    "ON n.face = t.face AND n.ty = t.ty AND n.tx = t.tx WHERE label <> 0 GROUP BY 1, 2, 3",
+    [("hp", "SELECT * FROM dpoints WHERE value > 90")] + cube_coordinates("c", "hp", TN)
+    + [("rn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c"),
+       ("nk", f"SELECT DISTINCT kx, ky, kz FROM (SELECT {key(TN)} FROM rn)"),
+       ("an", f"SELECT f AS face, a AS y, b AS x FROM range(6) r(f), range({TN}+1) s(a), range({TN}+1) t(b)"),
+       ("ak", f"SELECT *, {key(TN)} FROM an"), PLAN,
+       ("need", "SELECT DISTINCT p.face, p.ty, p.tx FROM nk JOIN ak a USING (kx, ky, kz) JOIN pl p ON p.face = a.face "
+                "AND a.y BETWEEN p.ty AND p.ty+7 AND a.x BETWEEN p.tx AND p.tx+7")])
+SQL["points_clustered"] = query(
+    ["dpoints"], f"SELECT point_id, {B('pf')} AS face, {B('FLOOR(cy/32e0)')} AS tile_y, {B('FLOOR(cx/32e0)')} AS tile_x FROM c",
+    cube_coordinates("c", "dpoints", "256e0"))
+_lk = ["'42'", "'9'", "'2'", "CAST(y AS VARCHAR)", f"CAST(CASE WHEN y IN (0, {H}) THEN 0 ELSE x END AS VARCHAR)"]
+SQL["seeded_gaussian_lonlat"] = query(
+    ["node_field"], f"SELECT y, x, {r('g')} AS noise FROM w",
+    [("w", f"SELECT y, x, SQRT(-2*LN({uniform(*_lk, chr(39) + 'u' + chr(39))}))*COS(2*PI()*({uniform(*_lk, chr(39) + 'v' + chr(39))})) AS g FROM node_field")])

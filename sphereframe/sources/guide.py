@@ -68,7 +68,7 @@ class RasterGuide:
         for channel, (pixels, h) in self.channels.items():
             lattice = raster.complete_lattice(raster.corner_mean(
                 raster.premultiply(pixels, band=channel).drop("band"), h), h)
-            imported[channel] = raster.footprint_mean(every, lattice, h, n)
+            imported[channel] = sampling.identify(raster.footprint_mean(every, lattice, h, n), n)
         out = raster.build_guide(imported, self._fallback(every, n), n)
         return out.join(nodes.select(*CUBE_KEY).distinct(), CUBE_KEY, "left_semi")
 
@@ -93,6 +93,6 @@ class BrightnessGuide:
         every = _with_aliases(nodes, n)
         lattice = raster.complete_lattice(raster.corner_mean(
             raster.draft_pixels(self.pixels, self.info).drop("land"), self.rows), self.rows)
-        imported = raster.footprint_mean(every, lattice, self.rows, n)
+        imported = sampling.identify(raster.footprint_mean(every, lattice, self.rows, n), n)
         out = raster.fill(imported, self._fallback(every, n), n, CHANNELS[0], space="metres")
         return out.join(nodes.select(*CUBE_KEY).distinct(), CUBE_KEY, "left_semi")
