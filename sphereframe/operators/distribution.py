@@ -20,47 +20,48 @@ def quantile_points(count: int = 64, eps: float = 1e-4) -> list[float]:
     return [eps + (1 - 2 * eps) * i / (count - 1) for i in range(count)]
 
 
-def exact_quantiles(df: DataFrame, value: str, points: Sequence[float],
+def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = (),
                     partitions: int | None = None) -> DataFrame:
-    """Interpolated order statistics of one column, without a global sort in one task.
+    """Interpolated order statistics of one column, per group, without sorting a group in one task.
 
     Equal values are counted first, so a value that holds a third of all rows is one row from
-    then on.  Distinct values are range partitioned once and kept in the checkpoint folder; only
-    one total per partition is accumulated in order, and only partitions that contain a wanted
-    rank are looked at again.
+    then on.  Distinct values are range partitioned once, across groups, and kept in the
+    checkpoint folder; only one total per partition and group is accumulated in order, and only
+    partitions that contain a wanted rank are looked at again.
     """
+    by = list(by)
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = (df.where(F.col(value).isNotNull() & ~F.isnan(value))
-              .groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    ranged = cut_lineage(counts.repartitionByRange(partitions, "v")
+              .groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    ranged = cut_lineage(counts.repartitionByRange(partitions, *by, "v")
                          .withColumn("part", F.spark_partition_id()))
-    totals = ranged.groupBy("part").agg(F.sum("c").alias("t"))  # one row per partition
-    run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    starts = totals.select("part", "t", (F.sum("t").over(run) - F.col("t")).alias("before"),
-                           F.sum("t").over(everything).alias("total"))
+    totals = ranged.groupBy(*by, "part").agg(F.sum("c").alias("t"))  # at most partitions x groups rows
+    run = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    starts = totals.select(*by, "part", "t", (F.sum("t").over(run) - F.col("t")).alias("before"),
+                           F.sum("t").over(Window.partitionBy(*by)).alias("total"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                        for i, p in enumerate(points)])
-    ranks = starts.select("part", "before", "t", "total", F.explode(wanted).alias("__w"))
+    ranks = starts.select(*by, "part", "before", "t", "total", F.explode(wanted).alias("__w"))
     place = F.col("__w.p") * (F.col("total") - F.lit(1))
-    ranks = ranks.select("part", "before", F.col("__w.i").alias("i"), place.alias("place"), "t",
+    ranks = ranks.select(*by, "part", "before", F.col("__w.i").alias("i"), place.alias("place"), "t",
                          F.explode(F.array(F.lit(0), F.lit(1))).alias("upper"), "total")
     rank = F.least(F.floor("place") + F.col("upper"), F.col("total") - F.lit(1))
     ranks = ranks.withColumn("rank", rank).where(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("t")))
-    # At most two ranks per wanted point, whatever the data size.
-    touched = ranged.join(F.broadcast(ranks.select("part").distinct()), "part", "left_semi")
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    spans = touched.select("part", "v", "c", F.sum("c").over(inside).alias("end"))
-    hit = spans.join(F.broadcast(ranks), "part").where(
+    # Two ranks per wanted point and group, whatever the data size.
+    key = [*by, "part"]
+    touched = ranged.join(ranks.select(*key).distinct(), key, "left_semi")
+    inside = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    spans = touched.select(*key, "v", "c", F.sum("c").over(inside).alias("end"))
+    hit = spans.join(ranks, key).where(
         (F.col("rank") - F.col("before") < F.col("end"))
         & (F.col("rank") - F.col("before") >= F.col("end") - F.col("c")))
-    both = hit.groupBy("i").agg(F.max(F.when(F.col("upper") == 0, F.col("v"))).alias("lo"),
-                                F.max(F.when(F.col("upper") == 1, F.col("v"))).alias("hi"),
-                                F.max("place").alias("place"))
+    both = hit.groupBy(*by, "i").agg(F.max(F.when(F.col("upper") == 0, F.col("v"))).alias("lo"),
+                                     F.max(F.when(F.col("upper") == 1, F.col("v"))).alias("hi"),
+                                     F.max("place").alias("place"))
     share = F.col("place") - F.floor("place")
-    return both.select("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("q"))
+    return both.select(*by, "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("q"))
 
 
 def break_ties(table: DataFrame) -> DataFrame:
@@ -76,20 +77,26 @@ def break_ties(table: DataFrame) -> DataFrame:
     return t.withColumn("q", fixed).drop("__step")
 
 
-def quantile_table(df: DataFrame, value: str, channel: str, count: int = 64, eps: float = 1e-4,
-                   approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """One row ``(channel, q ARRAY)`` with ``count`` strictly increasing quantiles.
+def quantile_tables(df: DataFrame, value: str, channel: str = "channel", count: int = 64,
+                    eps: float = 1e-4, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """One row ``(channel, q ARRAY)`` per channel, with ``count`` strictly increasing quantiles.
 
     ``approximate=True`` merges bounded sketches instead of counting distinct values.
     """
     points = quantile_points(count, eps)
     if approximate:
-        clean = df.where(~F.isnan(value))
-        row = clean.agg(F.percentile_approx(value, [float(p) for p in points], accuracy).alias("q"))
+        rows = df.where(~F.isnan(value)).groupBy(F.col(channel).alias("channel")).agg(
+            F.percentile_approx(value, [float(p) for p in points], accuracy).alias("q"))
     else:
-        row = exact_quantiles(df, value, points).agg(  # ``count`` rows
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))
-    return break_ties(row.select(F.lit(channel).alias("channel"), "q"))
+        ordered = F.array_sort(F.collect_list(F.struct("i", "q")))  # ``count`` entries per channel
+        rows = exact_quantiles(df.withColumnRenamed(channel, "channel"), value, points, ["channel"]).groupBy(
+            "channel").agg(F.transform(ordered, lambda s: s["q"]).alias("q"))
+    return break_ties(rows)
+
+
+def quantile_table(df: DataFrame, value: str, channel: str, **options) -> DataFrame:
+    """The table of a single population, labelled ``channel``."""
+    return quantile_tables(df.select(F.lit(channel).alias("channel"), value), value, **options)
 
 
 def quantile_map(df: DataFrame, value: str, source: DataFrame, target: DataFrame, count: int = 64,

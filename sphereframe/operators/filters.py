@@ -76,30 +76,41 @@ def differences(df: DataFrame, line: Sequence[str], axis: str, value: str, low:
 
 
 # ----------------------------------------------------------------------------- cube
-def filter_cube_axis(field: DataFrame, n: int, weights: Sequence[float], axis: str,
-                     every: int = 1, block: int = BLOCK) -> DataFrame:
-    """One pass of a separable filter on all faces, reading across face edges."""
+def _cube_pass(field: DataFrame, n: int, weights: Sequence[float], axis: str, every: int,
+               block: int) -> DataFrame:
+    """One unidentified filter pass; reads ``field`` twice (faces and the band at their edges)."""
     other = "x" if axis == "y" else "y"
     values = value_columns(field, CUBE_KEY)
-    radius = len(weights) // 2
-    haloed = sampling.with_halo(field, n, radius, axes=(axis,))
+    haloed = sampling.with_halo(field, n, len(weights) // 2, axes=(axis,), materialise=False)
     out = tap_filter(haloed, ["face", other], axis, weights, values, 0, n, every, block)
-    if every == 1:
-        return sampling.identify(out.select(*CUBE_KEY, *values), n)
     return out.select(*CUBE_KEY, *values)
 
 
-def filter_cube(field: DataFrame, n: int, weights: Sequence[float], block: int = BLOCK) -> DataFrame:
-    once = filter_cube_axis(field, n, weights, "x", block=block)
-    return filter_cube_axis(once, n, weights, "y", block=block)
+def filter_cube_axis(field: DataFrame, n: int, weights: Sequence[float], axis: str, *,
+                     stored: bool = False, block: int = BLOCK) -> DataFrame:
+    """One pass of a separable filter on all faces, reading across face edges.
+
+    The pass is written to the checkpoint folder, because the next one reads it twice; after
+    that, only face-edge rows are shuffled to identify aliases.  ``stored=True`` says that
+    ``field`` is itself cheap to read twice (a saved table or an earlier pass).
+    """
+    field = field if stored else cut_lineage(field)
+    out = cut_lineage(_cube_pass(field, n, weights, axis, 1, block))
+    return sampling.identify(out, n, boundary_only=True)
+
+
+def filter_cube(field: DataFrame, n: int, weights: Sequence[float], *, stored: bool = False,
+                block: int = BLOCK) -> DataFrame:
+    once = filter_cube_axis(field, n, weights, "x", stored=stored, block=block)
+    return filter_cube_axis(once, n, weights, "y", stored=True, block=block)
 
 
-def reduce_cube(field: DataFrame, n: int, scale: int, block: int = BLOCK) -> DataFrame:
+def reduce_cube(field: DataFrame, n: int, scale: int, *, stored: bool = False,
+                block: int = BLOCK) -> DataFrame:
     """Antialiased reduction by an integer factor; only kept nodes pass the second filter."""
     weights = grids.triangular_kernel(scale)
-    once = filter_cube_axis(field, n, weights, "x", block=block)
-    kept = filter_cube_axis(once, n, weights, "y", every=scale, block=block)
-    kept = kept.where(F.pmod(F.col("x"), F.lit(scale)) == 0)
+    once = filter_cube_axis(field, n, weights, "x", stored=stored, block=block)
+    kept = _cube_pass(once, n, weights, "y", scale, block).where(F.pmod(F.col("x"), F.lit(scale)) == 0)
     small = kept.withColumns({c: (F.col(c) / F.lit(scale)).cast("int") for c in ("y", "x")})
     return sampling.identify(small, n // scale)
 

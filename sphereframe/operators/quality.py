@@ -25,6 +25,14 @@ def _not_finite(v):
     return v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
 
 
+def _combine(parts: list[DataFrame]) -> DataFrame:
+    """One row from several one-row tables with different columns, without a join."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 # ----------------------------------------------------------------------------- grid phase
 def grid_phase_profile(grid: DataFrame, rows: int, cols: int, period: int = 8,
                        value: str = "v") -> DataFrame:
@@ -153,7 +161,7 @@ def verify_state(field: DataFrame, h: int, expected: dict | None = None, value:
     """One-row integrity report of a global node field.
 
     Probe points, seam, ordinary edges, phase profile and content each reduce to one row on
-    their own; the rows are then joined on a constant key.
+    their own; the rows are then merged by a union.
     """
     spark, field = field.sparkSession, field.select("y", "x", value)
     eps = 1e-6
@@ -192,9 +200,7 @@ def verify_state(field: DataFrame, h: int, expected: dict | None = None, value:
         parts.append(content_checksum(field, ["y", "x"]).select(
             ((F.col("hash_sum") == expected["hash_sum"]) & (F.col("hash_xor") == expected["hash_xor"]))
             .alias("checksum_matches")))
-    report = parts[0].withColumn("__one", F.lit(1))
-    for part in parts[1:]:
-        report = report.join(F.broadcast(part.withColumn("__one", F.lit(1))), "__one")  # one row each
+    report = _combine(parts)
     matches = F.col("checksum_matches") if expected is not None else F.lit(True)
     report = report.withColumn("edge_ratio", F.col("seam_edge_rms")
                                / F.greatest(F.col("ordinary_edge_rms"), F.lit(EPS)))
@@ -204,14 +210,13 @@ def verify_state(field: DataFrame, h: int, expected: dict | None = None, value:
               & (F.col("cap_s") <= F.col("far_s") * 0.011 + 1e-5))
     return report.withColumns({
         "passed": passed, "seam_outlier": F.col("edge_ratio") > 5,
-        "phase_warning": F.greatest("row_phase_ratio", "column_phase_ratio") > 1.15}).drop("__one")
+        "phase_warning": F.greatest("row_phase_ratio", "column_phase_ratio") > 1.15})
 
 
 def verify_region(grid: DataFrame, keys: Sequence[str], expected: dict, value: str = "v") -> DataFrame:
     """Short integrity report of a regional grid: finite values and intact content."""
-    finite = grid.agg((F.count_if(_not_finite(value)) == 0).alias("finite")).withColumn("__one", F.lit(1))
-    check = content_checksum(grid, keys).withColumn("__one", F.lit(1))
-    both = finite.join(F.broadcast(check), "__one")
+    finite = grid.agg((F.count_if(_not_finite(value)) == 0).alias("finite"))
+    both = _combine([finite, content_checksum(grid, keys)])
     same = ((F.col("hash_sum") == expected["hash_sum"]) & (F.col("hash_xor") == expected["hash_xor"]))
     return both.select("finite", same.alias("checksum_matches"), (F.col("finite") & same).alias("passed"))
 
@@ -307,11 +312,9 @@ def tile_boundary_ratio(field: DataFrame, n: int, stride: int, value: str = "v")
 
 def residual_stats(field: DataFrame, n: int, value: str = "v") -> DataFrame:
     """Spread, neighbour RMS along x and range of a cube field."""
-    d = differences(field.select(*sampling.CUBE_KEY, value), ["face", "y"], "x", value, 0, n).agg(
-        _rms("d").alias("neighbour_rms")).withColumn("__one", F.lit(1))
-    s = field.agg(F.stddev_pop(value).alias("std"), F.min(value).alias("low"),
-                  F.max(value).alias("high")).withColumn("__one", F.lit(1))
-    return s.join(F.broadcast(d), "__one").drop("__one")
+    d = differences(field.select(*sampling.CUBE_KEY, value), ["face", "y"], "x", value, 0, n)
+    s = field.agg(F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return _combine([s, d.agg(_rms("d").alias("neighbour_rms"))])
 
 
 def row_spread(field: DataFrame, value: str = "v") -> DataFrame:
@@ -332,15 +335,14 @@ def field_extremes(field: DataFrame, keys: Sequence[str], value: str = "v") -> D
 def ocean_audit(field: DataFrame, h: int, value: str = "v") -> DataFrame:
     """Underwater nodes: count, share of area, depth range, and RMS of neighbour differences."""
     v, w = F.col(value), g.latitude_weight_nodes("y", h)
-    d = differences(field.withColumn("wet", v < 0).select("y", "x", value, "wet"), ["y"], "x", value, 0, 2 * h - 1)
+    d = differences(field.select("y", "x", value), ["y"], "x", value, 0, 2 * h - 1)
     wet_pair = (v < 0) & (v - F.col("d") < 0)
-    rms = d.agg(F.sqrt(F.avg(F.when(wet_pair, F.col("d") * F.col("d")))).alias("neighbour_rms")
-                ).withColumn("__one", F.lit(1))
+    rms = d.agg(F.sqrt(F.avg(F.when(wet_pair, F.col("d") * F.col("d")))).alias("neighbour_rms"))
     s = field.agg(F.count_if(v < 0).alias("underwater"),
                   (F.sum(F.when(v < 0, w).otherwise(0.0)) / F.sum(w)).alias("area_share"),
                   F.min(F.when(v < 0, v)).alias("deepest"), F.max(F.when(v < 0, v)).alias("shallowest"),
-                  F.count_if(v == 0).alias("exactly_zero")).withColumn("__one", F.lit(1))
-    return s.join(F.broadcast(rms), "__one").drop("__one")
+                  F.count_if(v == 0).alias("exactly_zero"))
+    return _combine([s, rms])
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered queries: every operator applied to inputs derived from whole driver tables."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the session's checkpoints, for queries that write."""
     root = store.checkpoint_folder(spark)
-    return f"{root}/{name}-{next(tempfile._get_candidate_names())}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def _directed(spark, d):
@@ -532,7 +532,7 @@ def filter_triangular_reduce_cube(spark, d):
 def laplacian_merge_cube(spark, d):
     n = inputs.sizes(spark, d).n
     f = store.cut_lineage(inputs.cube_field(spark, d))
-    low = store.cut_lineage(filters.reduce_cube(f, n, 2))
+    low = store.cut_lineage(filters.reduce_cube(f, n, 2, stored=True))
     return tidy(filters.merge_low_frequency_cube(f, n, low, n // 2), 5)
 
 
@@ -574,13 +574,6 @@ def climate_export_window(spark, d):
 
 
 # ----------------------------------------------------------------------------- distributions
-def _tables(spark, d):
-    f = inputs.node_field(spark, d).select(F.lit("a").alias("channel"), "v")
-    source = distribution.quantile_table(f, "v", "a")
-    target = distribution.quantile_table(inputs.table(spark, d, "orders"), "o_totalprice", "a")
-    return f, source, target
-
-
 @register
 def quantile_table(spark, d):
     q = distribution.quantile_table(inputs.table(spark, d, "lineitem"), "l_extendedprice", "price")
@@ -602,9 +595,14 @@ def quantile_table_ties(spark, d):
 
 @register
 def quantile_map(spark, d):
-    _, source, target = _tables(spark, d)
-    f = inputs.node_field(spark, d).withColumn("channel", F.lit("a"))
-    return tidy(distribution.quantile_map(f, "v", source, target).select("y", "x", "mapped"), 4)
+    """Two populations, each with its own target: northern rows to orders, southern to line items."""
+    h = inputs.sizes(spark, d).h
+    f = inputs.node_field(spark, d).withColumn("channel", F.when(F.col("y") < h // 2, F.lit("n")).otherwise(F.lit("s")))
+    prices = inputs.table(spark, d, "orders").select(F.lit("n").alias("channel"), F.col("o_totalprice").alias("p")).unionByName(
+        inputs.table(spark, d, "lineitem").select(F.lit("s").alias("channel"), F.col("l_extendedprice").alias("p")))
+    mapped = distribution.quantile_map(f, "v", distribution.quantile_tables(f, "v"),
+                                       distribution.quantile_tables(prices, "p"))
+    return tidy(mapped.select("y", "x", "channel", "mapped"), 4)
 
 
 @register

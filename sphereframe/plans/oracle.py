@@ -439,12 +439,20 @@ def quantiles(name, source, value):
 
 SQL["quantile_table"] = query(["dims"], f"SELECT 'price' AS channel, i, {r('v', 4)} AS q FROM t", quantiles("t", "lineitem", "l_extendedprice"))
 SQL["quantile_table_ties"] = query(["dims"], f"SELECT 'quantity' AS channel, i, {r('v', 4)} AS q FROM t", quantiles("t", "lineitem", "l_quantity"))
+def mapped(name, part, source, target):
+    """Segment join of one population against its two tables, clamped at both ends."""
+    return [(f"{name}_g", f"SELECT a.v AS s0, b.v AS s1, c.v AS t0, d.v AS t1 FROM {source} a JOIN {source} b ON b.i = a.i+1 "
+                          f"JOIN {target} c ON c.i = a.i JOIN {target} d ON d.i = a.i+1"),
+            (name, f"SELECT f.y, f.x, CASE WHEN f.v <= (SELECT MIN(v) FROM {source}) THEN (SELECT MIN(v) FROM {target}) "
+                   f"WHEN f.v >= (SELECT MAX(v) FROM {source}) THEN (SELECT MAX(v) FROM {target}) ELSE t0+(f.v-s0)*(t1-t0)/(s1-s0) END AS m "
+                   f"FROM {part} f LEFT JOIN {name}_g g ON f.v >= g.s0 AND f.v < g.s1")]
+
+
 SQL["quantile_map"] = query(
-    ["node_field"], f"SELECT y, x, {r('m', 4)} AS mapped FROM (SELECT f.y, f.x, CASE WHEN f.v <= (SELECT MIN(v) FROM s) THEN (SELECT MIN(v) FROM t) "
-    "WHEN f.v >= (SELECT MAX(v) FROM s) THEN (SELECT MAX(v) FROM t) ELSE t0+(f.v-s0)*(t1-t0)/(s1-s0) END AS m FROM node_field f "
-    "LEFT JOIN seg ON f.v >= seg.s0 AND f.v < seg.s1)",
-    quantiles("s", "node_field", "v") + quantiles("t", "orders", "o_totalprice")
-    + [("seg", "SELECT a.v AS s0, b.v AS s1, c.v AS t0, d.v AS t1 FROM s a JOIN s b ON b.i = a.i+1 JOIN t c ON c.i = a.i JOIN t d ON d.i = a.i+1")])
+    ["node_field"], f"SELECT y, x, 'n' AS channel, {r('m', 4)} AS mapped FROM mn UNION ALL SELECT y, x, 's', {r('m', 4)} FROM ms",
+    [("fn", f"SELECT * FROM node_field WHERE y < {H}//2"), ("fs", f"SELECT * FROM node_field WHERE y >= {H}//2")]
+    + quantiles("sn", "fn", "v") + quantiles("ss", "fs", "v") + quantiles("tn", "orders", "o_totalprice")
+    + quantiles("ts", "lineitem", "l_extendedprice") + mapped("mn", "fn", "sn", "tn") + mapped("ms", "fs", "ss", "ts"))
 
 
 def uniform(*parts):

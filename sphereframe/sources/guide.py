@@ -11,7 +11,7 @@ from ..functions import climate_math as cm
 from ..functions import geometry as g
 from ..operators import distribution, raster, sampling
 from . import grids
-from .store import CUBE_KEY, _exists
+from .store import CUBE_KEY, _exists, cut_lineage
 
 CHANNELS = cm.CHANNELS
 PIXEL_SCHEMA = "row_i int, col_i int, v double"
@@ -35,6 +35,17 @@ def read_channels(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found
 
 
+def _lattice(channels: dict[str, DataFrame], h: int) -> DataFrame:
+    """Corner means of several rasters of one resolution side by side."""
+    out = None
+    for c, pixels in channels.items():
+        part = raster.premultiply(pixels.select("row_i", "col_i", "v"), band=c)
+        part = raster.complete_lattice(raster.corner_mean(part, h), h).select(
+            "y", "x", F.col("value").alias(f"{c}_value"), F.col("coverage").alias(f"{c}_coverage"))
+        out = part if out is None else out.join(part, ["y", "x"])
+    return out
+
+
 def _with_aliases(nodes: DataFrame, n: int) -> DataFrame:
     """Every chart entry of the requested physical nodes, so that edges agree with the full guide."""
     kx, ky, kz = g.node_key("face", "y", "x", n)
@@ -65,10 +76,12 @@ class RasterGuide:
     def guide_nodes(self, nodes: DataFrame, n: int) -> DataFrame:
         every = _with_aliases(nodes, n)
         imported = {}
-        for channel, (pixels, h) in self.channels.items():
-            lattice = raster.complete_lattice(raster.corner_mean(
-                raster.premultiply(pixels, band=channel).drop("band"), h), h)
-            imported[channel] = sampling.identify(raster.footprint_mean(every, lattice, h, n), n)
+        for h in sorted({rows for _, rows in self.channels.values()}):
+            same = {c: px for c, (px, rows) in self.channels.items() if rows == h}
+            means = cut_lineage(sampling.identify(raster.footprint_mean(every, _lattice(same, h), h, n), n))
+            for c in same:  # channels of one resolution share a footprint pass
+                imported[c] = means.select(*CUBE_KEY, F.col(f"{c}_value").alias("value"),
+                                           F.col(f"{c}_coverage").alias("coverage"))
         out = raster.build_guide(imported, self._fallback(every, n), n)
         return out.join(nodes.select(*CUBE_KEY).distinct(), CUBE_KEY, "left_semi")
 

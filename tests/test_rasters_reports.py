@@ -203,6 +203,16 @@ def test_exact_quantiles_with_one_dominant_value(spark):
     assert len(got) == 64 and max(abs(got[i] - want[i]) for i in range(64)) < 1e-12
 
 
+def test_quantiles_per_channel(spark):
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=900), "b": np.full(700, 2.0), "c": rng.uniform(size=3)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "channel string, v double")
+    points = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = {(r.channel, r.i): r.q for r in distribution.exact_quantiles(df, "v", points, ["channel"], partitions=3).collect()}
+    for k, v in groups.items():
+        assert max(abs(got[k, i] - q) for i, q in enumerate(np.quantile(v, points))) < 1e-12
+
+
 def test_single_value_and_tie_repair(spark):
     df = spark.createDataFrame([(3.0,)] * 10, "v double")
     q = distribution.quantile_table(df, "v", "c").first()["q"]
