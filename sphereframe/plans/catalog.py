@@ -474,6 +474,25 @@ def tile_score_stencil(spark, d):
     return tidy(tiles.blend_cube(tiles.score_tiles(contexts, tiles.stencil_scorer(0.25), 8), n, 8))
 
 
+@register
+def tile_score_channels(spark, d):
+    """Two context channels and a coarse condition go in, two blended channels come out."""
+    n = inputs.sizes(spark, d).n
+    field = store.cut_lineage(inputs.cube_climate(spark, d).select("face", "y", "x", "temp", "precip"))
+    origins = grids.tile_plan(spark, n, 8, 4, True)
+    context = tiles.gather_context(origins, field, n, 8, {"temp": "temp", "precip": "precip"})
+    low = tiles.crop_context(origins, field, n, 4, value="temp").withColumnRenamed("values", "cond")
+
+    def load():
+        def predict(a):
+            mean = a["cond"].mean(axis=(1, 2), keepdims=True)
+            return {"temp": a["temp"] - mean, "precip": 0.5 * a["precip"]}
+        return predict
+    scored = tiles.score_tiles(context.join(low, ["face", "ty", "tx"]), load, 8,
+                               {"temp": (8, 8), "precip": (8, 8), "cond": (4, 4)}, ["temp", "precip"])
+    return tidy(tiles.blend_cube(scored, n, 8, channels=["temp", "precip"]))
+
+
 @register
 def tile_score_columns(spark, d):
     """The same scorer as array expressions."""

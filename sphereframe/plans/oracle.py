@@ -302,10 +302,10 @@ def context_cells(name, n, size, stride, read):
     return [(f"{name}_e", cells)] + read(name, f"{name}_e", n)
 
 
-def nearest_read(name, source, n):
+def nearest_read(name, source, n, field="cube_field", columns="f.v"):
     inside = f"y BETWEEN 0 AND {n} AND x BETWEEN 0 AND {n}"
     return (cube_direction(f"{name}_d", source, n, unit=False) + cube_coordinates(f"{name}_c", f"{name}_d", n)
-            + [(name, f"SELECT q.* EXCLUDE (vx, vy, vz, pf, cy, cx), f.v FROM {name}_c q JOIN cube_field f ON "
+            + [(name, f"SELECT q.* EXCLUDE (vx, vy, vz, pf, cy, cx), {columns} FROM {name}_c q JOIN {field} f ON "
                 f"f.face = CASE WHEN q.{inside.replace('AND x', 'AND q.x')} THEN q.face ELSE q.pf END AND "
                 f"f.y = CASE WHEN q.{inside.replace('AND x', 'AND q.x')} THEN q.y ELSE FLOOR(q.cy+0.5e0) END AND "
                 f"f.x = CASE WHEN q.{inside.replace('AND x', 'AND q.x')} THEN q.x ELSE FLOOR(q.cx+0.5e0) END")])
@@ -654,3 +654,12 @@ _lk = ["'42'", "'9'", "'2'", "CAST(y AS VARCHAR)", f"CAST(CASE WHEN y IN (0, {H}
 SQL["seeded_gaussian_lonlat"] = query(
     ["node_field"], f"SELECT y, x, {r('g')} AS noise FROM w",
     [("w", f"SELECT y, x, SQRT(-2*LN({uniform(*_lk, chr(39) + 'u' + chr(39))}))*COS(2*PI()*({uniform(*_lk, chr(39) + 'v' + chr(39))})) AS g FROM node_field")])
+
+_crop = (f"SELECT DISTINCT face, ty, tx, k, ty/4e0-1+k//4 AS y, tx/4e0-1+k%4 AS x FROM cx0, range(16) u(k)")
+SQL["tile_score_channels"] = query(
+    ["cube_climate"], f"SELECT {FYX}, {r('a')} AS temp, {r('b')} AS precip FROM (SELECT DISTINCT k.face, k.y, k.x, g.a, g.b FROM k JOIN g USING (kx, ky, kz))",
+    context_cells("cx0", N, 8, 4, lambda name, source, n: nearest_read(name, source, n, "cube_climate", "f.temp, f.precip"))
+    + [("ce", _crop)] + chart_read("cr", "ce", "cube_climate", N, ["temp"])
+    + [("cm", "SELECT face, ty, tx, AVG(temp_s) AS m FROM cr GROUP BY face, ty, tx"),
+       ("k", f"SELECT c.*, m, {key(N, 'c.face')} FROM cx0 c JOIN cm USING (face, ty, tx) WHERE y BETWEEN 0 AND {N} AND x BETWEEN 0 AND {N}"),
+       ("g", f"SELECT kx, ky, kz, SUM({_w}*(temp-m))/SUM({_w}) AS a, SUM({_w}*0.5e0*precip)/SUM({_w}) AS b FROM k GROUP BY kx, ky, kz")])

@@ -63,7 +63,7 @@ def score_incremental(needed: DataFrame, contexts_of, load, size: int, path: str
     spark = needed.sparkSession
     todo = store.cut_lineage(tiles.missing_tiles(needed, store.read_tiles(spark, path)))
     if not todo.isEmpty():
-        store.write_tiles(tiles.score_tiles(contexts_of(todo), load, size, inputs, batch), path)
+        store.write_tiles(tiles.score_tiles(contexts_of(todo), load, size, inputs, batch=batch), path)
     return tiles.saved_tiles(needed, store.read_tiles(spark, path))
 
 
