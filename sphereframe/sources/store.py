@@ -103,14 +103,23 @@ def field_schema(values: Sequence[str], keys: Sequence[str] = CUBE_KEY) -> T.Str
                         + [T.StructField(v, T.FloatType()) for v in values])
 
 
-def _stage_check(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> None:
+def _survey(df: DataFrame, keys: Sequence[str]) -> dict:
+    """Rows, bad values and content hashes of a stored table in one scan."""
     values = [c for c in df.columns if c not in keys]
     bad = sum((F.count_if(F.col(v).isNull() | F.isnan(v)) for v in values), F.lit(0))
-    found = df.agg(F.count(F.lit(1)).alias("rows"), bad.alias("bad")).first()
+    h = F.xxhash64(*[F.col(c) for c in [*keys, *values]])
+    return df.agg(F.count(F.lit(1)).alias("rows"), bad.alias("bad"),
+                  F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"),
+                  F.bit_xor(h).alias("hash_xor")).first().asDict()
+
+
+def _require_complete(found: dict, rows: int, name: str) -> dict:
+    """The content hashes of a stage, if it has all its rows and only finite values."""
     if found["rows"] != rows:
         raise ValueError(f"{name}: expected {rows} rows, found {found['rows']}")
     if found["bad"]:
         raise FloatingPointError(f"{name}: {found['bad']} values are missing or not finite")
+    return {k: v for k, v in found.items() if k != "bad"}
 
 
 def write_cube_field(df: DataFrame, path: str, n: int, identity: dict, block: int = 256) -> DataFrame:
@@ -128,24 +137,15 @@ def write_cube_field(df: DataFrame, path: str, n: int, identity: dict, block: in
     by, bx = F.floor(F.col("y") / F.lit(block)), F.floor(F.col("x") / F.lit(block))
     (out.repartitionByRange("face", by, bx).sortWithinPartitions("face", by, bx, "y", "x")
      .write.mode("errorifexists").partitionBy("face").parquet(f"{path}/field"))
-    saved = load_cube_field(spark, path, n, values, check=True)
-    write_manifest(spark, f"{path}/identity", {
-        **identity, "intervals": n, "values": values, **_checksum_dict(saved, CUBE_KEY)})
+    saved = load_cube_field(spark, path, values)
+    content = _require_complete(_survey(saved, CUBE_KEY), 6 * (n + 1) ** 2, path)
+    write_manifest(spark, f"{path}/identity", {**identity, "intervals": n, "values": values, **content})
     return saved
 
 
-def _checksum_dict(df, keys) -> dict:
-    row = content_checksum(df, keys).first()
-    return {"rows": row["rows"], "hash_sum": row["hash_sum"], "hash_xor": row["hash_xor"]}
-
-
-def load_cube_field(spark: SparkSession, path: str, n: int, values: Sequence[str],
-                    check: bool = False) -> DataFrame:
-    schema = field_schema(values)
-    df = spark.read.schema(schema).parquet(f"{path}/field").select(*CUBE_KEY, *values)
-    if check:
-        _stage_check(df, CUBE_KEY, 6 * (n + 1) ** 2, path)
-    return df
+def load_cube_field(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
+    """The table itself, with a fixed schema; :func:`open_run` also verifies it."""
+    return spark.read.schema(field_schema(values)).parquet(f"{path}/field").select(*CUBE_KEY, *values)
 
 
 def write_grid(df: DataFrame, path: str, keys: Sequence[str], block_rows: int = 128) -> None:
@@ -164,18 +164,14 @@ def write_lonlat_field(df: DataFrame, path: str, h: int, identity: dict) -> Data
     out = df.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
                     *[F.col(v).cast("float").alias(v) for v in values])
     write_grid(out, f"{path}/field", ["y", "x"])
-    saved = load_lonlat_field(spark, path, h, values, check=True)
-    write_manifest(spark, f"{path}/identity", {
-        **identity, "native_height": h, "values": values, **_checksum_dict(saved, ["y", "x"])})
+    saved = load_lonlat_field(spark, path, values)
+    content = _require_complete(_survey(saved, ["y", "x"]), (h + 1) * 2 * h, path)
+    write_manifest(spark, f"{path}/identity", {**identity, "native_height": h, "values": values, **content})
     return saved
 
 
-def load_lonlat_field(spark: SparkSession, path: str, h: int, values: Sequence[str],
-                      check: bool = False) -> DataFrame:
-    df = spark.read.schema(field_schema(values, ["y", "x"])).parquet(f"{path}/field")
-    if check:
-        _stage_check(df, ["y", "x"], (h + 1) * 2 * h, path)
-    return df
+def load_lonlat_field(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
+    return spark.read.schema(field_schema(values, ["y", "x"])).parquet(f"{path}/field")
 
 
 def write_region(df: DataFrame, path: str, identity: dict) -> None:
@@ -211,7 +207,7 @@ def record_stage(df: DataFrame, path: str, keys: Sequence[str], rows: int, name:
     if not _exists(spark, path):
         df.write.mode("errorifexists").parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
-    _stage_check(saved, keys, rows, name)
+    _require_complete(_survey(saved, keys), rows, name)
     return saved
 
 
@@ -229,8 +225,8 @@ def open_run(spark: SparkSession, path: str, identity: dict) -> tuple[DataFrame,
     wrong = sorted(k for k, v in identity.items() if saved.get(k) != v)
     if wrong:
         raise ValueError(f"saved field has a different identity: {', '.join(wrong)}")
-    field = load_cube_field(spark, path, saved["intervals"], saved["values"], check=True)
-    now = _checksum_dict(field, CUBE_KEY)
+    field = load_cube_field(spark, path, saved["values"])
+    now = _require_complete(_survey(field, CUBE_KEY), 6 * (saved["intervals"] + 1) ** 2, path)
     if any(saved[k] != v for k, v in now.items()):
         raise ValueError("saved field does not match its checksum")
     return field, saved

@@ -29,7 +29,7 @@ def test_corrupt_content_fails_the_checksum(spark, tmp_path):
     n, path = 2, str(tmp_path / "run")
     _, df = random_cube(spark, n)
     store.write_cube_field(df, path, n, {})
-    changed = store.load_cube_field(spark, path, n, ["v"]).withColumn("v", F.col("v") + (F.col("y") == 1).cast("float"))
+    changed = store.load_cube_field(spark, path, ["v"]).withColumn("v", F.col("v") + (F.col("y") == 1).cast("float"))
     changed = spark.createDataFrame(changed.collect(), changed.schema)  # nine rows per face
     changed.write.mode("overwrite").partitionBy("face").parquet(f"{path}/field")
     with pytest.raises(ValueError, match="checksum"):
