@@ -370,7 +370,8 @@ def tile_cost_estimate(spark, d):
 def tile_cost_guard(spark, d):
     r = region.validate(_inset_requests(spark, d))
     est = tiles.estimate_tiles(r.where(F.col("error").isNull()), 4096)
-    return tidy(region.guard_cost(r, est, limit=12).select("request_id", "tiles", "error"))
+    return tidy(region.guard_cost(r, est, limit=12).select(
+        "request_id", F.coalesce("tiles", F.lit(0)).alias("tiles"), "error"))
 
 
 @register

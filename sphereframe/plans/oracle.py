@@ -250,7 +250,7 @@ EST = ([("s0", "SELECT request_id, west+3e-3 AS west, north-2e-3 AS north, CASE
           ("est", f"SELECT request_id, COUNT(*) AS tiles FROM t0 WHERE py*384 <= {EST_N} AND px*384 <= {EST_N} GROUP BY request_id")])
 SQL["tile_cost_estimate"] = query(["requests"], "SELECT request_id, tiles FROM est", EST)
 SQL["tile_cost_guard"] = query(
-    ["requests"], "SELECT q.request_id, e.tiles, CASE WHEN NOT (q.south < q.north) THEN 'bounds_order' WHEN e.tiles > 12 THEN 'too_many_tiles' END AS error "
+    ["requests"], "SELECT q.request_id, COALESCE(e.tiles, 0) AS tiles, CASE WHEN NOT (q.south < q.north) THEN 'bounds_order' WHEN e.tiles > 12 THEN 'too_many_tiles' END AS error "
     "FROM requests q LEFT JOIN est e USING (request_id)", EST)
 SQL["tile_round_trip"] = "SELECT COUNT(*) AS tiles, COUNT(*) AS same FROM embeddings"
 
