@@ -14,6 +14,7 @@ from ..sources import grids
 from ..sources.store import cut_lineage
 from . import sampling
 from .filters import constrain
+from .lookup import broadcast_if_bounded
 
 
 def quantile_points(count: int = 64, eps: float = 1e-4) -> list[float]:
@@ -100,14 +101,16 @@ def quantile_table(df: DataFrame, value: str, channel: str, **options) -> DataFr
 
 
 def quantile_map(df: DataFrame, value: str, source: DataFrame, target: DataFrame, count: int = 64,
-                 out: str = "mapped") -> DataFrame:
+                 out: str = "mapped", max_channels: int = 1000) -> DataFrame:
     """Replace each value by the target value at the same quantile.
 
     ``source`` and ``target`` are quantile tables keyed by ``channel``; ``df`` has that column.
     """
     tables = source.select("channel", F.col("q").alias("__s")).join(
         target.select("channel", F.col("q").alias("__t")), "channel")
-    j = df.join(F.broadcast(tables), "channel", "left")  # one row of 2 x 64 numbers per channel
+    # One row of two arrays per channel; broadcast while ``max_channels`` of them stay small.
+    tables = broadcast_if_bounded(tables, max_channels, 64 + 16 * count)
+    j = df.join(tables, "channel", "left")
     v = F.col(value)
     index = sum(((v >= F.get("__s", F.lit(k))).cast("int") for k in range(1, count - 1)), F.lit(0))
     j = j.withColumn("__k", index)
