@@ -533,7 +533,7 @@ def filter_triangular_reduce(spark, d):
 @register
 def laplacian_merge_lonlat(spark, d):
     h = inputs.sizes(spark, d).h
-    f = inputs.node_field(spark, d)
+    f = store.cut_lineage(inputs.node_field(spark, d))  # read by every level of the merge
     low = filters.reduce_lonlat(f, h, 4)
     return tidy(filters.merge_low_frequency_lonlat(f, h, low, h // 4), 5)
 
