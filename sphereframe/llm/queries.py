@@ -1,11 +1,14 @@
 """Registered queries of the document operators over their whole tables, and their comparison SQL."""
 from __future__ import annotations
 
+import zlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, warc
-from .common import scratch, table
+from . import decontaminate, fingerprints, secret_scan, token_store, tokens, warc
+from .common import scratch, stage, table
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -16,11 +19,26 @@ def register(fn):
     return fn
 
 
+@register
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stage(fingerprints.edits(table(spark, sf_dir, "documents")), "fingerprints")
+    near = fingerprints.near_counts(rows.select(F.col("print").alias("fingerprint")))
+    near = near.select(F.col("fingerprint").alias("print"), (F.col("copies") - 1 + F.col("near")).alias("near_docs"))
+    return rows.join(near, "print").drop("print")
+
+
 @register
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+@register
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), tokens.SPACED)
+    return token_store.map_documents(spark, path, lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), "ids_crc32 bigint")
+
+
 @register
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
