@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, secret_scan, token_store, tokens, warc
+from . import decontaminate, fingerprints, language, quality, secret_scan, token_store, tokens, warc
 from .common import scratch, stage, table
 
 QUERIES = {}
@@ -27,6 +27,20 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(near, "print").drop("print")
 
 
+@register
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+    network = language.fit(docs, learn="crc32(cast(doc_id as binary)) % 5 != 0")
+    return language.predict(docs, network).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @register
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
