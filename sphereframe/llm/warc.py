@@ -123,7 +123,7 @@ def _header(record_id, chunk_no, page_id, url, record_type, refers_to, size, dig
 
 
 def write_archives(chunks: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """One uncompressed archive for each partition, committed by Spark's text writer."""
+    """One gzip archive for each partition, committed by Spark's text writer."""
     def run(batches):
         for batch in batches:
             columns = batch.columns
@@ -134,7 +134,7 @@ def write_archives(chunks: DataFrame, path: str, date: str = "1970-01-01T00:00:0
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     rows = chunks.mapInArrow(run, "value string")
     rows = rows.select(F.when(first, F.concat(F.lit(f"{VERSION}\r\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
-    rows.write.option("lineSep", BREAK).text(path)
+    rows.write.option("lineSep", BREAK).text(path, compression="gzip")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
