@@ -30,9 +30,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str | bytes) -> np.ndarray:
     """A 64-bit hash for every word of the text; words are separated by white space of ASCII."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer(text.encode("utf-8", "replace") if isinstance(text, str) else text, np.uint8)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     inside = ~gap
     starts = np.flatnonzero(inside & np.concatenate(([True], gap[:-1]))) if len(data) else np.zeros(0, np.int64)
@@ -51,10 +51,16 @@ def term_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     w = word_hashes(text)
     if len(w) < shingle:
         return w
-    runs = w[:len(w) - shingle + 1].copy()
-    for k in range(1, shingle):
-        runs = _mix(runs * _MULTIPLY + w[k:len(w) - shingle + 1 + k])
-    return np.concatenate([w, runs])
+    return np.concatenate([w, run_hashes(w, shingle)])
+
+
+def run_hashes(w: np.ndarray, size: int) -> np.ndarray:
+    """A hash for every run of ``size`` words, or one for a shorter text."""
+    n = max(1, len(w) - size + 1)
+    runs = w[:n].copy()
+    for k in range(1, min(size, len(w))):
+        runs = _mix(runs * _MULTIPLY + w[k:n + k])
+    return runs
 
 
 def fingerprint(text: str) -> int:
