@@ -1,7 +1,57 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus pipeline: from raw documents to packed training sequences.
 
+Every stage gets the documents that the one before kept, reread from Parquet.  Filtering stages return rows with all columns
+of the table; the last one returns the pieces of packed sequences.
+"""
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from sphereframe.llm import decontaminate, jaccard_join, packing, quality, secret_scan, tokens
+from sphereframe.llm.common import scratch, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model keeps; null and blank texts go."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or near texts."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked and ``n_chars`` following."""
+    return secret_scan.redact(docs)
+
+
+def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids, neighbours together, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens.WORDS)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_masking", secret_masking),
+    ("lexical_packing", lexical_packing),
+]
+ORACLE_SQL = None  # trained models, MinHash and retrieval have no SQL form
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

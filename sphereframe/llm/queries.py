@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language, quality, secret_scan, token_store, tokens, warc
+from . import decontaminate, fingerprints, jaccard_join, language, packing, quality, secret_scan, token_store, tokens, warc
 from .common import scratch, stage, table
 
 QUERIES = {}
@@ -66,6 +66,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tokens.WORDS,
+                        with_ids=False).drop("ids")
+
+
 SQL["op6_decontaminate"] = r"""
 WITH fold AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
