@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language, packing, quality, secret_scan, token_store, tokens, warc
+from . import decontaminate, fingerprints, jaccard_join, language, lm_score, packing, quality, secret_scan, token_store, tokens, warc
 from .common import scratch, stage, table
 
 QUERIES = {}
@@ -35,6 +35,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, network).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
 
 
+@register
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
