@@ -11,11 +11,11 @@ from .geometry import clip
 # Channel order of a guide and the units of the five climate bands.
 CHANNELS = ["heightmap", "temperature", "temperature_std", "precipitation", "precipitation_cv"]
 BAND_UNITS = {
-    "baseline": ("Temperature adjusted for generated elevation", "degC"),
-    "temp_std100": ("Temperature standard deviation", "degC"),
-    "precip": ("Annual precipitation", "mm"),
-    "precip_cv": ("Precipitation coefficient of variation", "%"),
-    "beta": ("Temperature lapse rate", "degC/m"),
+    "baseline": ("Air temperature at the surface height", "degC"),
+    "temp_std100": ("Seasonal spread of temperature", "degC"),
+    "precip": ("Rain and snow in a year", "mm"),
+    "precip_cv": ("Relative spread of monthly precipitation", "%"),
+    "beta": ("Change of temperature with height", "degC/m"),
 }
 
 

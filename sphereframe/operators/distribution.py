@@ -1,10 +1,11 @@
 """Quantile tables, histogram matching and seeded random fields."""
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,12 +158,22 @@ def gaussian_lonlat_noise(nodes: DataFrame, h: int, seed: int | str, stream: int
 
 def smooth_field(seed: int, v=g.VEC) -> Column:
     """Sum of twelve sine waves over the sphere with seeded directions and phases."""
-    rng = np.random.default_rng(np.random.SeedSequence([seed, 910]))
-    waves, phases = rng.normal(size=(12, 3)), rng.uniform(0, 2 * np.pi, 12)
-    vx, vy, vz = (F.col(c) for c in v)
-    terms = [F.sin(F.lit(float(2 * w[0])) * vx + F.lit(float(2 * w[1])) * vy
-                   + F.lit(float(2 * w[2])) * vz + F.lit(float(p))) for w, p in zip(waves, phases)]
-    return sum(terms[1:], terms[0]) / F.lit(math.sqrt(6.0))
+    total = F.lit(0.0)
+    for wave in smooth_waves(seed):
+        inner = F.lit(wave[-1])
+        for c, k in zip(v, wave):
+            inner = inner + F.lit(k) * F.col(c)
+        total = total + F.sin(inner)
+    return total / F.lit(math.sqrt(6.0))
+
+
+def smooth_waves(seed: int, count: int = 12) -> list[tuple[float, float, float, float]]:
+    """Wave vectors (normal, spread 2) and phases, every number a digest of the seed and its place."""
+    def unit(wave, part):
+        digest = hashlib.sha256(f"smooth:{seed}:{wave}:{part}".encode()).digest()
+        return (int.from_bytes(digest[:6], "big") + 0.5) / 2 ** 48
+    normal = NormalDist(0.0, 2.0)
+    return [(*(normal.inv_cdf(unit(k, axis)) for axis in "xyz"), 2 * math.pi * unit(k, "phase")) for k in range(count)]
 
 
 def guide_channels(nodes: DataFrame, seed: int) -> DataFrame:

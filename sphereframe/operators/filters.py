@@ -37,13 +37,19 @@ def _own_block(axis: str, radius: int, length: int, block: int) -> Column:
     return F.floor(F.col(axis) / F.lit(block)) == F.col("__block")
 
 
+def _follows(axis: str, w) -> Column:
+    """Whether the index of a row is the one after the row before it (the first row of a line has none)."""
+    return F.coalesce(F.lag(axis).over(w) == F.col(axis) - 1, F.lit(True))
+
+
 def tap_filter(df: DataFrame, line: Sequence[str], axis: str, weights: Sequence[float],
                values: Sequence[str], low: int, high: int, every: int = 1,
                block: int = BLOCK) -> DataFrame:
     """Weighted sum of neighbours along ``axis`` in a fixed order of terms.
 
     ``df`` must hold a gap-free run of indices from ``low - radius`` to ``high + radius`` in every
-    line.  Only outputs in ``low..high`` that are multiples of ``every`` are kept.
+    line; a gap or a repeated index is an error.  Only outputs in ``low..high`` that are multiples of
+    ``every`` are kept.
     """
     radius = len(weights) // 2
     length = high - low + 1
@@ -56,7 +62,7 @@ def tap_filter(df: DataFrame, line: Sequence[str], axis: str, weights: Sequence[
                    F.lag(v, -offset).over(w) if offset < 0 else F.lead(v, offset).over(w))
             term = F.lit(float(weight)) * tap
             total = term if total is None else total + term
-        return total
+        return F.when(_follows(axis, w), total).otherwise(F.raise_error(F.lit(f"a line has gaps along {axis}")).cast("double"))
     keep = F.col(axis).between(low, high) & _own_block(axis, radius, length, block)
     if every > 1:
         keep &= F.pmod(F.col(axis), F.lit(every)) == 0
@@ -71,7 +77,8 @@ def differences(df: DataFrame, line: Sequence[str], axis: str, value: str, low:
     w = Window.partitionBy(*line, "__block").orderBy(axis)
     length = high - low + 1
     d = _with_blocks(df, axis, 1, length, block).withColumn(
-        out, F.col(value) - F.lag(value).over(w))
+        out, F.when(_follows(axis, w), F.col(value) - F.lag(value).over(w)).otherwise(
+            F.raise_error(F.lit(f"a line has gaps along {axis}")).cast("double")))
     return d.where(F.col(out).isNotNull() & _own_block(axis, 1, length, block)).drop("__block")
 
 
@@ -108,6 +115,8 @@ def filter_cube(field: DataFrame, n: int, weights: Sequence[float], *, stored: b
 def reduce_cube(field: DataFrame, n: int, scale: int, *, stored: bool = False,
                 block: int = BLOCK) -> DataFrame:
     """Antialiased reduction by an integer factor; only kept nodes pass the second filter."""
+    if scale < 1 or n % scale:
+        raise ValueError("the scale must divide the intervals of a face")
     weights = grids.triangular_kernel(scale)
     once = filter_cube_axis(field, n, weights, "x", stored=stored, block=block)
     kept = _cube_pass(once, n, weights, "y", scale, block).where(F.pmod(F.col("x"), F.lit(scale)) == 0)
@@ -117,6 +126,8 @@ def reduce_cube(field: DataFrame, n: int, scale: int, *, stored: bool = False,
 
 def merge_low_frequency_cube(residual: DataFrame, n: int, low: DataFrame, n_low: int) -> DataFrame:
     """Residual detail plus a low-frequency field that was made consistent with it."""
+    if n_low < 1 or n % n_low:
+        raise ValueError("the low lattice must divide the intervals of a face")
     scale = n // n_low
     values = value_columns(residual, CUBE_KEY)
     provisional = _add_scaled_cube(residual, n, low, n_low, values)
@@ -212,6 +223,8 @@ def constrain(field: DataFrame, h: int) -> DataFrame:
 
 
 def merge_low_frequency_lonlat(residual: DataFrame, h: int, low: DataFrame, h_low: int) -> DataFrame:
+    if h_low < 1 or h % h_low:
+        raise ValueError("the low lattice must divide the latitude intervals")
     scale = h // h_low
     values = value_columns(residual, ["y", "x"])
     provisional = _add_scaled_lonlat(residual, h, low, h_low, values)

@@ -52,7 +52,8 @@ def keyed_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, how:
            .where(F.col("__rows") > max(1, int(total * hot_share)))
            .select(*keys, F.lit(True).alias("__hot")))
     hot = F.broadcast(hot)  # at most 1/hot_share rows
-    mixed = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    # The place of a row in its partition, so that equal rows of a hot key get different sub-keys too.
+    mixed = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     salted = rows.join(hot, keys, "left").withColumn(
         "__salt", F.when(F.col("__hot"), mixed).otherwise(F.lit(0))).drop("__hot")
     copies = table.join(hot, keys, "left").withColumn("__salt", F.explode(

@@ -222,11 +222,18 @@ def verify_region(grid: DataFrame, keys: Sequence[str], expected: dict, value: s
 
 
 # ----------------------------------------------------------------------------- comparisons
+def _pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both sides by key; a key that only one side has is an error."""
+    both = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), list(keys), "full_outer")
+    alone = F.raise_error(F.lit("the compared tables do not hold the same keys")).cast("boolean")
+    matched = F.when(F.col("__l") & F.col("__r"), F.lit(True)).otherwise(alone)
+    return both.where(matched).drop("__l", "__r")
+
+
 def land_metrics(actual: DataFrame, expected: DataFrame, h: int, value: str = "v") -> DataFrame:
     """Area-weighted land and elevation scores of one node field against another."""
     key = ["y", "x"]
-    both = actual.select(*key, F.col(value).alias("a")).join(
-        expected.select(*key, F.col(value).alias("e")), key)
+    both = _pairs(actual.select(*key, F.col(value).alias("a")), expected.select(*key, F.col(value).alias("e")), key)
     both = both.where(F.col("y") < h).withColumn("w", g.latitude_weight_nodes("y", h))
     w, land, want = F.col("w"), F.col("a") > 0, F.col("e") > 0
 
@@ -258,7 +265,7 @@ def layout_compare(values: DataFrame, painted: DataFrame, h: int, factor: int, w
                             F.floor(F.col("col_i") / F.lit(factor)).cast("int").alias("col_i")).agg(
         F.avg(F.when(F.col("code") > 0, 1.0).otherwise(0.0)).alias("share"),
         (F.avg("code") * F.lit(white / 255.0)).alias("height"))
-    j = values.join(block, ["row_i", "col_i"]).withColumns(
+    j = _pairs(values, block, ["row_i", "col_i"]).withColumns(
         {"want": F.col("share") >= 0.5, "w": g.latitude_weight_pixels("row_i", h)})
     w, land, want, v = F.col("w"), F.col("v") > 0, F.col("want"), F.col("v")
 
@@ -283,8 +290,7 @@ def layout_compare(values: DataFrame, painted: DataFrame, h: int, factor: int, w
 
 def field_error(actual: DataFrame, expected: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     """RMSE, largest error and RMSE relative to the expected field."""
-    both = actual.select(*keys, F.col(value).alias("a")).join(
-        expected.select(*keys, F.col(value).alias("e")), list(keys))
+    both = _pairs(actual.select(*keys, F.col(value).alias("a")), expected.select(*keys, F.col(value).alias("e")), keys)
     d = F.col("a") - F.col("e")
     s = both.agg(_rms(d).alias("rmse"), F.max(F.abs(d)).alias("max_absolute"), _rms("e").alias("__e"))
     return s.select("rmse", "max_absolute",

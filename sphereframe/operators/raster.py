@@ -55,30 +55,58 @@ def draft_pixels(pixels: DataFrame, info: dict) -> DataFrame:
                          (F.when(grey > 0, F.col("alpha")).otherwise(F.lit(0.0))).alias("land"))
 
 
-def check_raster(pixels: DataFrame, h: int) -> DataFrame:
-    """One row per band with the counts that decide whether a raster keeps its contract."""
+def converted(scale: float = 1.0, offset: float = 0.0) -> Column:
+    """Pixel values as the guide uses them: scaled, and spread of temperature in hundredths."""
+    factor = F.when(F.col("band") == "temperature_std", F.lit(100.0)).otherwise(F.lit(1.0))
+    return (F.col("v") * F.lit(float(scale)) + F.lit(float(offset))) * factor
+
+
+def check_raster(pixels: DataFrame, h: int, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """One row per band with the counts that decide whether a raster keeps its contract.
+
+    Limits apply to converted values.  Pixels of one place are counted first, so ``duplicates`` is the
+    number of rows too many.
+    """
+    pixels = pixels.withColumn("v", converted(scale, offset))
     ok = valid_value("v")
     index = F.when(F.col("band") == "heightmap", 0).when(F.col("band") == "temperature", 1).otherwise(2)
-    return pixels.groupBy("band").agg(
-        F.count(F.lit(1)).alias("pixels"),
-        F.count_if(~F.col("row_i").between(0, h - 1) | ~F.col("col_i").between(0, 2 * h - 1)).alias("outside"),
+    places = pixels.groupBy("band", "row_i", "col_i").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("valid"),
         F.count_if(ok & (index == 2) & (F.col("v") < 0)).alias("negative"),
-        F.count_if(ok & (F.abs("v") > FLOAT32_QUARTER)).alias("too_large"),
-        F.count_if(ok).alias("valid"))
+        F.count_if(ok & (F.abs("v") > FLOAT32_QUARTER)).alias("too_large"))
+    return places.groupBy("band").agg(
+        F.sum("rows").alias("pixels"), F.sum(F.col("rows") - 1).alias("duplicates"),
+        F.sum(F.when(F.col("row_i").between(0, h - 1) & F.col("col_i").between(0, 2 * h - 1), 0)
+              .otherwise(F.col("rows"))).alias("outside"),
+        F.sum("negative").alias("negative"), F.sum("too_large").alias("too_large"), F.sum("valid").alias("valid"))
 
 
-def require_raster(pixels: DataFrame, h: int) -> DataFrame:
+def require_raster(pixels: DataFrame, h: int, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
     """Fail when a band breaks its contract; returns the pixels unchanged."""
     if h < 2:
         raise ValueError("a raster needs at least two rows")
-    bad = check_raster(pixels, h).where((F.col("outside") > 0) | (F.col("negative") > 0)
-                                        | (F.col("too_large") > 0) | (F.col("pixels") > 2 * h * h))
-    wrong = bad.limit(len(cm.CHANNELS)).collect()  # one row per band
+    bad = check_raster(pixels, h, scale, offset).where(
+        (F.col("outside") > 0) | (F.col("negative") > 0) | (F.col("too_large") > 0) | (F.col("duplicates") > 0))
+    wrong = bad.collect()  # one row per band
     if wrong:
         raise ValueError("; ".join(f"{r.band}: {r.asDict()}" for r in wrong))
     return pixels
 
 
+def require_brightness(pixels: DataFrame, rows: int) -> DataFrame:
+    """Fail unless a painted map has two rows at least and lies within ``rows x 2 rows`` places, one pixel each."""
+    if rows < 2:
+        raise ValueError("a painted map needs at least two rows")
+    inside = F.col("row_i").between(0, rows - 1) & F.col("col_i").between(0, 2 * rows - 1)
+    found = pixels.groupBy("row_i", "col_i").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum(F.when(inside, 0).otherwise(F.col("n"))), F.lit(0)).alias("outside"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.max("row_i").alias("last"),
+        F.max("col_i").alias("right")).first()
+    if found.outside or found.duplicates or found.last != rows - 1 or found.right != 2 * rows - 1:
+        raise ValueError(f"a painted map must be twice as wide as high, with one pixel for each place: {found.asDict()}")
+    return pixels
+
+
 def premultiply(pixels: DataFrame, scale: float = 1.0, offset: float = 0.0,
                 band: str | None = None) -> DataFrame:
     """Values times validity, plus validity, so that later means stay linear.

@@ -90,22 +90,16 @@ def region_query_lonlat(requests: DataFrame, field: DataFrame, h: int, *, signed
     return sampling.sample_lonlat(p, field, h, prune=prune).drop(*g.VEC, "ny", "nx")
 
 
-def guard_cost(requests: DataFrame, estimates: DataFrame, limit: int = 2000,
-               allow_large: bool = False) -> DataFrame:
-    """Mark requests whose tile estimate is above the limit as error rows."""
+def guard_cost(requests: DataFrame, estimates: DataFrame, limit: int | None) -> DataFrame:
+    """Mark requests whose tile estimate is above the limit as error rows; without a limit all pass."""
     j = requests.join(estimates, "request_id", "left")
     if "error" not in j.columns:
         j = j.withColumn("error", F.lit(None).cast("string"))
-    if allow_large:
+    if limit is None:
         return j
     return j.withColumn("error", F.coalesce("error", F.when(F.col("tiles") > limit, "too_many_tiles")))
 
 
-def exceeds(df: DataFrame, limit: int) -> bool:
-    """Whether a result has more than ``limit`` rows; stops reading as soon as that is known."""
-    return df.limit(limit + 1).count() > limit
-
-
 def export_window(field: DataFrame, h: int, height: int,
                   window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Point evaluation at the pixel centres of a global grid or of a window of it.

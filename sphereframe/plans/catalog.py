@@ -234,23 +234,30 @@ def window_equals_global(spark, d):
 
 @register
 def sub_region_equals_region(spark, d):
-    """Halves of a request hold the same pixel values as the request itself."""
+    """Both halves of a request hold the same pixel values as the request itself."""
     h = inputs.sizes(spark, d).h
     r, f = region.good_requests(inputs.requests(spark, d)), inputs.node_field(spark, d)
     full = region.region_query_lonlat(r, f, h).select(
         "request_id", "row_i", "col_i", F.round("v", 6).alias("v"))
-    top = r.withColumns({"south": (F.col("south") + F.col("north")) / 2, "height": F.col("height") / 2})
-    top = top.withColumn("height", F.col("height").cast("int"))
-    half = region.region_query_lonlat(top, f, h).select(
-        "request_id", "row_i", "col_i", F.round("v", 6).alias("v"))
-    surplus = quality.same_rows(full.where(F.col("row_i") == 0), half)
+    middle, rows = (F.col("south") + F.col("north")) / 2, (F.col("height") / 2).cast("int")
+    halves = []
+    for edge, below in (("south", 0), ("north", 1)):
+        part = r.withColumns({edge: middle, "height": rows})
+        halves.append(region.region_query_lonlat(part, f, h).select(
+            "request_id", (F.col("row_i") + F.lit(below)).alias("row_i"), "col_i", F.round("v", 6).alias("v")))
+    surplus = quality.same_rows(full, halves[0].unionByName(halves[1]))
     return tidy(surplus.agg(F.count(F.lit(1)).alias("different")))
 
 
 # ----------------------------------------------------------------------------- rasters and guides
 @register
 def raster_contract(spark, d):
-    return tidy(raster.check_raster(inputs.pixels(spark, d), inputs.sizes(spark, d).pixel_h))
+    """Contract counts of three bands, two of which break every rule somewhere."""
+    px = inputs.pixels(spark, d)
+    shifted = px.select(F.lit("precipitation").alias("band"), (F.col("row_i") - 1).alias("row_i"), "col_i", "v")
+    folded = px.select(F.lit("temperature_std").alias("band"), "row_i", F.floor(F.col("col_i") / 2).cast("int").alias("col_i"),
+                       (F.col("v") * F.lit(5e34)).alias("v"))
+    return tidy(raster.check_raster(px.unionByName(shifted).unionByName(folded), inputs.sizes(spark, d).pixel_h, 2.0, -120.0))
 
 
 def _raster_nodes(spark, d):
@@ -311,10 +318,10 @@ def guide_partial_channels(spark, d):
 
 @register
 def footprint_requested_nodes(spark, d):
-    """Footprint means of only those nodes that lie next to high-valued points."""
+    """Footprint means of only those nodes that lie next to a point."""
     nodes, h = _raster_nodes(spark, d)
     n = inputs.sizes(spark, d).n
-    p = g.add_cube_coordinates(_directed(spark, d).where(F.col("value") > 90), n)
+    p = g.add_cube_coordinates(_directed(spark, d), n)
     wanted = p.select("face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x")).distinct()
     return tidy(raster.footprint_mean(wanted, nodes, h, n))
 
@@ -434,15 +441,16 @@ def tile_blend_at_nodes(spark, d):
 def tile_dependencies(spark, d):
     n = inputs.sizes(spark, d).tile_n
     p = g.add_cube_coordinates(_directed(spark, d), n)
-    nodes = p.where(F.col("value") > 50).select(
+    nodes = p.select(
         "face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x"))
     return tidy(tiles.tiles_for_nodes(nodes, n, 8, 4, include_endpoint=True))
 
 
 @register
 def tile_missing(spark, d):
-    saved = inputs.tiles(spark, d).where(F.col("label") != 0)
-    return tidy(tiles.missing_tiles(_plan(spark, d), saved))
+    """Planned tiles of the doubled lattice that the saved table lacks."""
+    saved = inputs.tiles(spark, d)
+    return tidy(tiles.missing_tiles(grids.tile_plan(spark, 2 * inputs.sizes(spark, d).tile_n, 8, 4, include_endpoint=True), saved))
 
 
 def _contexts(spark, d):
@@ -454,10 +462,10 @@ def _contexts(spark, d):
 def tile_saved(spark, d):
     """Saved tiles that requests need, with how often each was saved."""
     n = inputs.sizes(spark, d).tile_n
-    p = g.add_cube_coordinates(_directed(spark, d).where(F.col("value") > 90), n)
+    p = g.add_cube_coordinates(_directed(spark, d), n)
     nodes = p.select("face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x"))
     needed = tiles.tiles_for_nodes(nodes, n, 8, 4, include_endpoint=True)
-    kept = tiles.saved_tiles(needed, inputs.tiles(spark, d).where(F.col("label") != 0))
+    kept = tiles.saved_tiles(needed, inputs.tiles(spark, d))
     return tidy(kept.groupBy("face", "ty", "tx").agg(F.count(F.lit(1)).alias("copies")))
 
 
@@ -602,8 +610,18 @@ def quantile_table(spark, d):
 
 @register
 def quantile_table_approximate(spark, d):
-    q = distribution.quantile_table(inputs.table(spark, d, "lineitem"), "l_extendedprice", "price", approximate=True)
-    return tidy(q.select("channel", F.posexplode("q").alias("i", "q")), 4)
+    """Whether the true rank of each approximate quantile is within one part in ``accuracy`` of the wanted one."""
+    rows, accuracy = inputs.table(spark, d, "lineitem").select("l_extendedprice"), 10_000
+    table = distribution.quantile_table(rows, "l_extendedprice", "price", approximate=True, accuracy=accuracy)
+    q = table.first()["q"]  # one row of 64 numbers
+    below = [F.count_if(F.col("l_extendedprice") < v) for v in q]
+    upto = [F.count_if(F.col("l_extendedprice") <= v) for v in q]
+    ranks = rows.agg(F.count("l_extendedprice").alias("n"), F.array(*below).alias("below"), F.array(*upto).alias("upto"))
+    points = F.array(*[F.lit(float(p)) for p in distribution.quantile_points(len(q))])
+    each = ranks.select("n", F.posexplode(F.arrays_zip(points.alias("p"), "below", "upto")).alias("i", "r"))
+    wanted, slack = F.col("r.p") * F.col("n"), F.col("n") / accuracy + 1
+    return tidy(each.select(F.lit("price").alias("channel"), "i", (
+        (F.col("r.below") - slack <= wanted) & (wanted <= F.col("r.upto") + slack)).alias("within")))
 
 
 @register
@@ -753,12 +771,17 @@ def area_mean_pixels(spark, d):
 
 @register
 def verify_region_report(spark, d):
-    """Short report on the answers of all requests, against the content just computed."""
+    """Short reports on the answers of all requests as saved, and on a copy in which one value changed."""
     grid = region.region_query_lonlat(inputs.requests(spark, d), inputs.node_field(spark, d),
                                       inputs.sizes(spark, d).h).select("request_id", "row_i", "col_i", F.round("v", 6).alias("v"))
-    grid = store.cut_lineage(grid)
-    keys = ["request_id", "row_i", "col_i"]
-    return quality.verify_region(grid, keys, store.content_checksum(grid, keys).first().asDict())
+    keys, path = ["request_id", "row_i", "col_i"], _scratch(spark, "region")
+    store.write_region(grid, path, {"source": "requests"})
+    saved = store.load_region(spark, path)
+    digest = store.read_manifest(spark, f"{path}/identity")
+    first = saved.agg(F.min(F.struct(*keys)).alias("k")).select("k.*").withColumn("__hit", F.lit(1.0))
+    wrong = saved.join(F.broadcast(first), keys, "left").withColumn("v", F.col("v") + F.coalesce("__hit", F.lit(0.0))).drop("__hit")
+    return quality.verify_region(saved, keys, digest).withColumn("copy", F.lit("saved")).unionByName(
+        quality.verify_region(wrong, keys, digest).withColumn("copy", F.lit("changed")))
 
 
 # ----------------------------------------------------------------------------- storage
@@ -830,22 +853,25 @@ def stream_region_requests(spark, d):
 
 @register
 def stream_bad_requests(spark, d):
-    """Error rows of the request loop; good rows went to their own sink."""
+    """What the request loop wrote: an error for each bad request, and the pixels of each good one."""
     s = inputs.sizes(spark, d)
     field = store.cut_lineage(inputs.node_field(spark, d))
     path = _scratch(spark, "served")
     q = stream.serve(_request_stream(spark, d), field, s.h, f"{path}/good", f"{path}/bad", f"{path}/state")
     q.awaitTermination()
-    return spark.read.schema("request_id bigint, ts timestamp, error string, batch int").parquet(
-        f"{path}/bad").select("request_id", "error")
+    bad = spark.read.schema("request_id bigint, ts timestamp, error string, batch int").parquet(f"{path}/bad")
+    good = spark.read.schema("request_id bigint, row_i int, col_i int, v double, batch int").parquet(f"{path}/good")
+    good = good.groupBy("request_id").agg(F.count("v").alias("pixels"), F.sum("v").alias("total"))
+    return tidy(bad.select("request_id", "error", F.lit(0).alias("pixels"), F.lit(0.0).alias("total")).unionByName(
+        good.select("request_id", F.lit(None).cast("string").alias("error"), "pixels", "total")), 4)
 
 
 @register
 def stream_progress(spark, d):
-    """Served requests per hour of event time; windows still open at the end are not reported."""
-    out = stream.progress(_request_stream(spark, d), "1 hour", "1 hour")
-    path = _run_append(out, _scratch(spark, "progress"))
-    rows = spark.read.schema("start timestamp, requests bigint, errors bigint").parquet(path)
+    """Requests per hour of event time, every window included."""
+    path = _scratch(spark, "progress")
+    stream.keep_progress(_request_stream(spark, d), f"{path}/out", f"{path}/state").awaitTermination()
+    rows = stream.latest_progress(spark, f"{path}/out")
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -33,8 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _versions(spark, sf_dir) -> tuple[int, ...]:
+    """When the counted tables were last written."""
+    out = []
+    for t in ("lineitem", "orders", "embeddings"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        out.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(out)
+
+
 @lru_cache(maxsize=32)
-def _sizes(spark, sf_dir) -> Sizes:
+def _sizes(spark, sf_dir, versions) -> Sizes:
     items, orders, vectors = (table(spark, sf_dir, t).count()  # answered from Parquet footers
                               for t in ("lineitem", "orders", "embeddings"))
     return Sizes(h=16 * max(1, floor(sqrt(items / 15000))), n=4 * max(1, floor(sqrt(items / 210) / 4)),
@@ -42,7 +51,7 @@ def _sizes(spark, sf_dir) -> Sizes:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> Sizes:
-    return _sizes(spark, sf_dir)
+    return _sizes(spark, sf_dir, _versions(spark, sf_dir))
 
 
 def _mod(c, by):

@@ -3,8 +3,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-
+from ..operators.distribution import smooth_waves
 from .catalog import COEFFICIENTS, DRAFT, SEED
 from .oracle_parts import (H, N, P, PH, TN, constrain, cube_coordinates, cube_direction, cube_lookup,
                            filter_lonlat, fold_x, fold_y, identify, key, lonlat_direction, lonlat_lookup,
@@ -137,20 +136,26 @@ SQL["window_equals_global"] = query(
     f"LEFT JOIN t ON t.row_i = s.row_i+{H}/2-4 AND t.col_i = (s.col_i+2*{H}-8) % (2*{H})",
     [("p", WIN), ("w", f"SELECT i AS row_i, j AS col_i, i+0.5e0 AS ny, j+0.5e0 AS nx FROM range({H}) a(i), range(2*{H}) b(j)")]
     + lonlat_lookup("s", "p", "node_field", H, ["v"]) + lonlat_lookup("t", "w", "node_field", H, ["v"]))
-HALF_PX = (f"SELECT *, {lonlat_direction()} FROM (SELECT request_id, 0 AS row_i, j AS col_i, "
+HALF_PX = (f"SELECT *, {lonlat_direction()} FROM (SELECT request_id, k AS row_i, j AS col_i, "
            "west+(j+0.5e0)*(CASE WHEN east<west THEN east+360 ELSE east END-west)/width AS lon, "
-           "north-0.5e0*(north-(south+north)/2) AS lat FROM requests, range(4) b(j) WHERE south < north)")
+           "CASE WHEN k = 0 THEN north-0.5e0*(north-(south+north)/2) ELSE (south+north)/2-0.5e0*((south+north)/2-south) END AS lat "
+           "FROM requests, range(4) b(j), range(2) c(k) WHERE south < north)")
 SQL["sub_region_equals_region"] = query(
     ["region_d", "node_field", "requests"],
     "SELECT COUNT(*) AS different FROM s FULL JOIN t USING (request_id, row_i, col_i) "
-    "WHERE COALESCE(row_i, 0) = 0 AND ROUND(s.v_s, 6) IS DISTINCT FROM ROUND(t.v_s, 6)",
+    "WHERE ROUND(s.v_s, 6) IS DISTINCT FROM ROUND(t.v_s, 6)",
     REGION_LL + [("hp", HALF_PX), ("hq", f"SELECT *, {lonlat_node(H)} FROM hp")]
     + lonlat_lookup("t", "hq", "node_field", H, ["v"]))
 
 # ----------------------------------------------------------------------------- rasters and guides
 SQL["raster_contract"] = query(
-    ["pixels"], "SELECT 'heightmap' AS band, COUNT(*) AS pixels, 0::BIGINT AS outside, 0::BIGINT AS negative, 0::BIGINT AS too_large, "
-    "COUNT(v) AS valid FROM pixels")
+    ["pixels"], "SELECT band, CAST(COUNT(*) AS BIGINT) AS pixels, CAST(COUNT(*)-COUNT(DISTINCT (row_i, col_i)) AS BIGINT) AS duplicates, "
+    f"COUNT(*) FILTER (row_i NOT BETWEEN 0 AND {PH}-1 OR col_i NOT BETWEEN 0 AND 2*{PH}-1) AS outside, "
+    "COUNT(*) FILTER (band IN ('precipitation', 'temperature_std') AND w < 0) AS negative, "
+    "COUNT(*) FILTER (ABS(w) > 3.4028234663852886e38/4) AS too_large, COUNT(w) AS valid FROM "
+    "(SELECT band, row_i, col_i, CASE WHEN band = 'temperature_std' THEN 100e0 ELSE 1e0 END*(2e0*v-120) AS w FROM wrong) GROUP BY band",
+    [("wrong", f"SELECT 'heightmap' AS band, row_i, col_i, v FROM pixels UNION ALL SELECT 'precipitation', row_i-1, col_i, v FROM pixels "
+               f"UNION ALL SELECT 'temperature_std', row_i, col_i//2, v*5e34 FROM pixels")])
 
 
 def corner_nodes(name, source, columns):
@@ -219,10 +224,8 @@ SQL["climate_finalise"] = query(
      ("a2", "SELECT *, CASE WHEN t0 > 20 THEN t0 ELSE (t0-20)*1.25e0+20 END AS t FROM a"),
      ("b", f"SELECT *, GREATEST({C1}, -({CA}*t+{CB})) AS base FROM a2")])
 
-_rng = np.random.default_rng(np.random.SeedSequence([SEED, 910]))
-_waves, _phases = _rng.normal(size=(12, 3)), _rng.uniform(0, 2 * np.pi, 12)
-SMOOTH = "(" + " + ".join(f"SIN(2*({w[0]!r}::DOUBLE*vx + {w[1]!r}::DOUBLE*vy + {w[2]!r}::DOUBLE*vz) + {p!r}::DOUBLE)"
-                          for w, p in zip(_waves.tolist(), _phases.tolist())) + ")/SQRT(6e0)"
+SMOOTH = "(" + " + ".join(f"SIN({a!r}::DOUBLE*vx + {b!r}::DOUBLE*vy + {c!r}::DOUBLE*vz + {p!r}::DOUBLE)"
+                          for a, b, c, p in smooth_waves(SEED)) + ")/SQRT(6e0)"
 SQL["smooth_guide_at_points"] = query(["dpoints"], f"SELECT point_id, {r('f')} AS f, {r('2200*f-900')} AS elev FROM "
                                       f"(SELECT point_id, {SMOOTH} AS f FROM dpoints)")
 
@@ -285,12 +288,13 @@ SQL["tile_blend_at_nodes"] = query(
 SQL["tile_dependencies"] = query(
     ["dpoints", "tiles"], "SELECT DISTINCT CAST(a.face AS BIGINT) AS face, CAST(p.ty AS BIGINT) AS ty, CAST(p.tx AS BIGINT) AS tx FROM nk k JOIN ak a USING (kx, ky, kz) "
     "JOIN pl p ON p.face = a.face AND a.y BETWEEN p.ty AND p.ty+7 AND a.x BETWEEN p.tx AND p.tx+7",
-    [("dp", "SELECT * FROM dpoints WHERE value > 50")] + cube_coordinates("c", "dp", TN)
+    cube_coordinates("c", "dpoints", TN)
     + [("nn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c"),
        ("nk", f"SELECT DISTINCT kx, ky, kz FROM (SELECT {key(TN)} FROM nn)"),
        ("an", f"SELECT f AS face, a AS y, b AS x FROM range(6) r(f), range({TN}+1) s(a), range({TN}+1) t(b)"),
        ("ak", f"SELECT *, {key(TN)} FROM an"), PLAN])
-SQL["tile_missing"] = query(["tiles"], f"SELECT {FTT} FROM pl ANTI JOIN (SELECT * FROM tiles WHERE label <> 0) USING (face, ty, tx)", [PLAN])
+SQL["tile_missing"] = query(["tiles"], f"SELECT {FTT} FROM pl2 ANTI JOIN tiles USING (face, ty, tx)", [
+    ("pl2", f"SELECT f AS face, -4+4*a AS ty, -4+4*b AS tx FROM range(6) r(f), range(CAST(2*{TN}//4 AS BIGINT)+2) s(a), range(CAST(2*{TN}//4 AS BIGINT)+2) t(b)")])
 
 
 def context_cells(name, n, size, stride, read):
@@ -438,6 +442,7 @@ def quantiles(name, source, value):
 
 
 SQL["quantile_table"] = query(["dims"], f"SELECT 'price' AS channel, i, {r('v', 4)} AS q FROM t", quantiles("t", "lineitem", "l_extendedprice"))
+SQL["quantile_table_approximate"] = "SELECT 'price' AS channel, i, TRUE AS within FROM range(64) t(i)"
 SQL["quantile_table_ties"] = query(["dims"], f"SELECT 'quantity' AS channel, i, {r('v', 4)} AS q FROM t", quantiles("t", "lineitem", "l_quantity"))
 def mapped(name, part, source, target):
     """Segment join of one population against its two tables, clamped at both ends."""
@@ -594,10 +599,12 @@ SQL["stored_field_query"] = query(
 # ----------------------------------------------------------------------------- streaming
 SQL["stream_region_requests"] = query(
     ["region_d", "node_field"], f"SELECT request_id, row_i, col_i, {r('v_s')} AS v FROM s", REGION_LL)
-SQL["stream_bad_requests"] = query(["requests"], "SELECT request_id, 'bounds_order' AS error FROM requests WHERE south >= north")
+SQL["stream_bad_requests"] = query(
+    ["requests", "region_d", "node_field"], "SELECT request_id, 'bounds_order' AS error, 0::BIGINT AS pixels, 0e0 AS total FROM requests WHERE south >= north "
+    f"UNION ALL SELECT request_id, NULL, COUNT(v_s), {r('SUM(v_s)', 4)} FROM s GROUP BY request_id", REGION_LL)
 SQL["stream_progress"] = query(
     ["requests"], "SELECT STRFTIME(DATE_TRUNC('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, COUNT(*) AS requests, COUNT(*) FILTER (south >= north) AS errors FROM requests "
-    "GROUP BY DATE_TRUNC('hour', ts) HAVING DATE_TRUNC('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM requests) - INTERVAL 1 HOUR")
+    "GROUP BY DATE_TRUNC('hour', ts)")
 _near = [("rn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM rc")]
 SQL["stream_tile_store"] = query(
     ["cube_field", "region_d"], f"SELECT {FTT}, {r('SUM(4*v)', 4)} AS total FROM st JOIN need USING (face, ty, tx) GROUP BY face, ty, tx",
@@ -611,8 +618,8 @@ SQL["area_mean_pixels"] = query(
     f"(SELECT v_s, COS(PI()*((i+0.5e0)/{H}-0.5e0)) AS w FROM s)",
     [("p", f"SELECT i, j, i+0.5e0 AS ny, j+0.5e0 AS nx FROM range({H}) a(i), range(2*{H}) b(j)")] + lonlat_lookup("s", "p", "node_field", H, ["v"]))
 SQL["verify_region_report"] = query(
-    ["region_d", "node_field"], "SELECT COUNT(*) FILTER (v_s IS NULL OR ISNAN(v_s) OR ISINF(v_s)) = 0 AS finite, TRUE AS checksum_matches, "
-    "COUNT(*) FILTER (v_s IS NULL OR ISNAN(v_s) OR ISINF(v_s)) = 0 AS passed FROM s", REGION_LL)
+    ["region_d", "node_field"], "SELECT finite, copy, same AS checksum_matches, finite AND same AS passed FROM "
+    "(SELECT COUNT(*) FILTER (v_s IS NULL OR ISNAN(v_s) OR ISINF(v_s)) = 0 AS finite FROM s), (VALUES ('saved', TRUE), ('changed', FALSE)) c(copy, same)", REGION_LL)
 SQL["climate_export_window"] = query(
     ["node_field", "cube_climate"], f"SELECT row_i, col_i, {r('baseline_s+beta_s*GREATEST(elevation, 0)')} AS temp, {r('temp_std100_s/100')} AS temp_std, "
     f"{r('precip_s')} AS precip, {r('precip_cv_s')} AS precip_cv, {r('beta_s')} AS beta FROM ps",
@@ -630,7 +637,7 @@ SQL["guide_partial_channels"] = query(
     + identify("gi", "mx", N, ["heightmap", "temperature", "temperature_std", "precipitation", "precipitation_cv"]))
 SQL["footprint_requested_nodes"] = query(
     ["pixels", "cube_nodes", "dpoints"], f"SELECT {FYX}, {r('value')} AS value, {r('coverage')} AS coverage FROM ft_m JOIN rn USING (face, y, x)",
-    FOOT + [("hp", "SELECT * FROM dpoints WHERE value > 90")] + cube_coordinates("c", "hp", N)
+    FOOT + cube_coordinates("c", "dpoints", N)
     + [("rn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c")])
 _w = f"{LINEAR('dy')}*{LINEAR('dx')}"
 SQL["tile_blend_channels"] = query(
@@ -639,8 +646,8 @@ SQL["tile_blend_channels"] = query(
      ("g", f"SELECT kx, ky, kz, SUM({_w}*v)/SUM({_w}) AS a, SUM({_w}*v*label)/SUM({_w}) AS b FROM k GROUP BY kx, ky, kz")])
 SQL["tile_saved"] = query(
     ["dpoints", "tiles"], f"SELECT {B('t.face')} AS face, {B('t.ty')} AS ty, {B('t.tx')} AS tx, COUNT(*) AS copies FROM tiles t SEMI JOIN need n "
-    "ON n.face = t.face AND n.ty = t.ty AND n.tx = t.tx WHERE label <> 0 GROUP BY 1, 2, 3",
-    [("hp", "SELECT * FROM dpoints WHERE value > 90")] + cube_coordinates("c", "hp", TN)
+    "ON n.face = t.face AND n.ty = t.ty AND n.tx = t.tx GROUP BY 1, 2, 3",
+    cube_coordinates("c", "dpoints", TN)
     + [("rn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c"),
        ("nk", f"SELECT DISTINCT kx, ky, kz FROM (SELECT {key(TN)} FROM rn)"),
        ("an", f"SELECT f AS face, a AS y, b AS x FROM range(6) r(f), range({TN}+1) s(a), range({TN}+1) t(b)"),

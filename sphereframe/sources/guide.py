@@ -63,6 +63,10 @@ class RasterGuide:
     fallback: object = None
     seed: int = 0
 
+    def __post_init__(self):
+        for channel, (pixels, rows) in self.channels.items():
+            raster.require_raster(pixels.withColumn("band", F.lit(channel)), rows)
+
     def _fallback(self, nodes: DataFrame, n: int) -> DataFrame:
         nodes = g.add_direction(nodes.select(*CUBE_KEY), n)
         if self.fallback is not None:
@@ -94,6 +98,9 @@ class BrightnessGuide:
     info: dict
     seed: int = 0
 
+    def __post_init__(self):
+        raster.require_brightness(self.pixels, self.rows)
+
     def _fallback(self, nodes: DataFrame, n: int) -> DataFrame:
         d = g.add_direction(nodes.select(*CUBE_KEY), n)
         raw = distribution.guide_channels(d, self.seed).drop(*g.VEC)

@@ -103,12 +103,16 @@ def field_schema(values: Sequence[str], keys: Sequence[str] = CUBE_KEY) -> T.Str
                         + [T.StructField(v, T.FloatType()) for v in values])
 
 
+def _bad(values: Sequence[str]) -> Column:
+    """How many values are missing, not a number or infinite."""
+    return sum((F.count_if(F.col(v).isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) for v in values), F.lit(0))
+
+
 def _survey(df: DataFrame, keys: Sequence[str]) -> dict:
     """Rows, bad values and content hashes of a stored table in one scan."""
     values = [c for c in df.columns if c not in keys]
-    bad = sum((F.count_if(F.col(v).isNull() | F.isnan(v)) for v in values), F.lit(0))
     h = F.xxhash64(*[F.col(c) for c in [*keys, *values]])
-    return df.agg(F.count(F.lit(1)).alias("rows"), bad.alias("bad"),
+    return df.agg(F.count(F.lit(1)).alias("rows"), _bad(values).alias("bad"),
                   F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"),
                   F.bit_xor(h).alias("hash_xor")).first().asDict()
 
@@ -174,10 +178,22 @@ def load_lonlat_field(spark: SparkSession, path: str, values: Sequence[str]) ->
     return spark.read.schema(field_schema(values, ["y", "x"])).parquet(f"{path}/field")
 
 
+REGION_KEY = ["request_id", "row_i", "col_i"]
+
+
 def write_region(df: DataFrame, path: str, identity: dict) -> None:
-    """Save regional grids at their own bounds and resolution."""
-    write_manifest(df.sparkSession, f"{path}/identity", {**identity, "coverage": "region"})
-    write_grid(df, f"{path}/grid", ["request_id", "row_i", "col_i"])
+    """Save regional grids at their own bounds and resolution, with the digest of what was written."""
+    spark = df.sparkSession
+    write_grid(df, f"{path}/grid", REGION_KEY)
+    content = _survey(spark.read.schema(df.schema).parquet(f"{path}/grid"), REGION_KEY)
+    write_manifest(spark, f"{path}/identity", {**identity, "coverage": "region", **content,
+                                               "schema": json.loads(df.schema.json())})
+
+
+def load_region(spark: SparkSession, path: str) -> DataFrame:
+    """Saved regional grids; :func:`sphereframe.operators.quality.verify_region` checks them."""
+    schema = T.StructType.fromJson(read_manifest(spark, f"{path}/identity")["schema"])
+    return spark.read.schema(schema).parquet(f"{path}/grid")
 
 
 def write_export(df: DataFrame, path: str, h: int, height: int, identity: dict,
@@ -196,9 +212,8 @@ def write_export(df: DataFrame, path: str, h: int, height: int, identity: dict,
 def observe_stage(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count rows and bad values of a stage while it is being written, without another pass."""
     values = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    bad = sum((F.count_if(F.col(v).isNull() | F.isnan(v)) for v in values), F.lit(0))
     seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), bad.alias("bad")), seen
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), _bad(values).alias("bad")), seen
 
 
 def record_stage(df: DataFrame, path: str, keys: Sequence[str], rows: int, name: str) -> DataFrame:

@@ -41,13 +41,32 @@ def serve(requests: DataFrame, field: DataFrame, h: int, good_path: str, bad_pat
 
 
 def progress(requests: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Requests and errors per event-time window; late rows beyond the watermark are left out."""
+    """Requests and errors per event-time window; rows later than the watermark are left out.
+
+    In update mode every batch gives the windows that it changed, so no window waits for its end.
+    """
     checked = region.validate(requests).withWatermark("ts", lateness)
     return checked.groupBy(F.window("ts", window)).agg(
         F.count(F.lit(1)).alias("requests"), F.count("error").alias("errors")).select(
         F.col("window.start").alias("start"), "requests", "errors")
 
 
+def keep_progress(requests: DataFrame, path: str, checkpoint: str, window: str = "1 hour", lateness: str = "1 hour",
+                  trigger: dict | None = None):
+    """Write the state of every changed window, a folder for each batch; :func:`latest_progress` reads it."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return (progress(requests, window, lateness).writeStream.outputMode("update").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def latest_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The last written state of each window, windows that are still open included."""
+    rows = spark.read.schema("start timestamp, requests bigint, errors bigint, batch bigint").parquet(path)
+    last = rows.groupBy("start").agg(F.max_by(F.struct("requests", "errors"), "batch").alias("s"))
+    return last.select("start", "s.requests", "s.errors")
+
+
 def unique_requests(requests: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Drop repeats of a request id that arrive within the lateness bound."""
     return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"])

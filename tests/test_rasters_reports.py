@@ -311,9 +311,8 @@ def test_window_equals_global_and_edges(spark):
 def test_cost_guard(spark):
     r = spark.createDataFrame([(1,), (2,)], "request_id int")
     est = spark.createDataFrame([(1, 10), (2, 5000)], "request_id int, tiles bigint")
-    assert {x.request_id: x.error for x in region.guard_cost(r, est).collect()} == {1: None, 2: "too_many_tiles"}
-    assert region.guard_cost(r, est, allow_large=True).where("error is not null").isEmpty()
-    assert region.exceeds(spark.range(11), 10) and not region.exceeds(spark.range(10), 10)
+    assert {x.request_id: x.error for x in region.guard_cost(r, est, 2000).collect()} == {1: None, 2: "too_many_tiles"}
+    assert region.guard_cost(r, est, None).where("error is not null").isEmpty()
 
 
 # ----------------------------------------------------------------------------- reports
@@ -374,6 +373,10 @@ def test_land_metrics_and_layout(spark):
     d = sampling.add_node_direction(grids.lonlat_nodes(spark, h), h).select("y", "x", (F.col("vz") * 100).alias("v"))
     same = quality.land_metrics(d, d, h).first()
     assert same.land_iou == 1 and same.agreement == 1 and same.rmse == 0 and abs(same.mean_elevation) < 1e-9
+    with pytest.raises(Exception, match="same keys"):
+        quality.land_metrics(d.where("y <> 2"), d, h).collect()
+    with pytest.raises(Exception, match="same keys"):
+        quality.field_error(d.where("y <> 2"), d, ["y", "x"]).collect()
     opposite = quality.land_metrics(d, d.withColumn("v", -F.col("v")), h).first()
     assert opposite.land_iou == 0
     painted = grids.pixel_lattice(spark, 16, 32).withColumn("code", F.when(F.col("row_i") < 8, 200).otherwise(0))
