@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..sources import grids
+from ..sources import grids, store
 from . import sampling
 
 BOUNDS = ["west", "south", "east", "north"]
@@ -79,6 +79,15 @@ def region_query(requests: DataFrame, field: DataFrame, n: int, *, signed_root:
     return sampling.sample_cube(g.add_lonlat_direction(pixels), field, n, prune=prune).drop(*g.VEC)
 
 
+def region_query_stored(requests: DataFrame, path: str, native_height: int | None = None) -> DataFrame:
+    """Region grids of all good requests from a saved cube field; only the blocks under the requests are read."""
+    spark = requests.sparkSession
+    info = store.read_manifest(spark, f"{path}/identity")
+    pixels = g.add_lonlat_direction(region_pixels(good_requests(requests, native_height)))
+    blocks = store.load_blocks(spark, path, info["values"])
+    return sampling.sample_stored_cube(pixels, blocks, info["intervals"], info["block"]).drop(*g.VEC)
+
+
 def region_query_lonlat(requests: DataFrame, field: DataFrame, h: int, *, signed_root: str | None = None,
                         native_height: int | None = None, prune: bool = False,
                         spread: bool = True) -> DataFrame:

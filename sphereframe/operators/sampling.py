@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources import grids
 from ..sources.store import cut_lineage
-from .lookup import keyed_lookup, pin
+from .lookup import broadcast_if_bounded, keyed_lookup, pin
 
 CUBE_KEY = ["face", "y", "x"]
 
@@ -152,6 +152,31 @@ def sample_cube(points: DataFrame, field: DataFrame, n: int, *, v=g.VEC,
     return done.select(*kept, *out)
 
 
+def touched_blocks(points: DataFrame, n: int, block: int, v=g.VEC) -> DataFrame:
+    """Distinct ``face, by, bx`` of the stored blocks that hold the corners of the points' cells."""
+    p = g.add_cube_coordinates(points, n, v, ("face", "__cy", "__cx")).select("face", "__cy", "__cx")
+    p = _split_index(p, F.col("__cy"), F.col("__cx"), n, n).select("face", "cell_y", "cell_x").distinct()
+    size = F.lit(block)
+    corners = [F.struct(F.floor((F.col("cell_y") + dy) / size).cast("int").alias("by"),
+                        F.floor((F.col("cell_x") + dx) / size).cast("int").alias("bx")) for dy in (0, 1) for dx in (0, 1)]
+    p = p.select("face", F.explode(F.array(*corners)).alias("__b")).select("face", "__b.*")
+    # A missing coordinate falls before the first block.  The filter also tells the optimiser that pruning pays.
+    return p.where((F.col("by") >= 0) & (F.col("bx") >= 0)).distinct()
+
+
+def sample_stored_cube(points: DataFrame, blocks: DataFrame, n: int, block: int, *, v=g.VEC) -> DataFrame:
+    """Bilinear values from a stored field (:func:`sphereframe.sources.store.load_blocks`).
+
+    The blocks that the points touch are found first, on the side of the points; joining them on the
+    table's partition columns prunes the scan to their files, and cells are built from those only.
+    There are at most ``6 (n / block + 1)^2`` blocks, so their list has a proven bound.
+    """
+    most = 6 * (n // block + 1) ** 2
+    needed = broadcast_if_bounded(touched_blocks(points, n, block, v), most)
+    field = blocks.join(needed, ["face", "by", "bx"], "left_semi").drop("by", "bx")
+    return sample_cube(points, field, n, v=v, prune=True)
+
+
 def sample_cube_nearest(points: DataFrame, field: DataFrame, n: int, *, v=g.VEC,
                         spread_hot_keys: bool = False) -> DataFrame:
     """Value of the nearest node on the owning face."""

@@ -195,6 +195,15 @@ def region_query_multi(spark, d):
                                     signed_root="v").select("request_id", "row_i", "col_i", "v"))
 
 
+@register
+def region_query_stored(spark, d):
+    """The same requests from a field saved in blocks, of which the touched ones are read."""
+    path = _scratch(spark, "blocks")
+    store.write_cube_field(inputs.cube_field(spark, d), path, inputs.sizes(spark, d).n, {"units": "m"}, block=8)
+    out = region.region_query_stored(inputs.requests(spark, d), path)
+    return tidy(out.select("request_id", "row_i", "col_i", "v"), 3)
+
+
 @register
 def region_query_lonlat(spark, d):
     out = region.region_query_lonlat(inputs.requests(spark, d), inputs.node_field(spark, d), inputs.sizes(spark, d).h)

@@ -119,6 +119,10 @@ ROOTED = ("f", f"SELECT face, y, x, SIGN(v)*POWER({sign_root('v')}, 2) AS v FROM
 SQL["region_query_multi"] = query(
     ["region_d", "cube_field"], f"SELECT request_id, row_i, col_i, {r('v_s')} AS v FROM s",
     [ROOTED] + cube_coordinates("c", "region_d", N) + cube_lookup("s", "c", "f", N, ["v"]))
+SQL["region_query_stored"] = query(
+    ["region_d", "cube_field"], f"SELECT request_id, row_i, col_i, {r('v_s', 3)} AS v FROM s",
+    [("f", "SELECT face, y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM cube_field")]
+    + cube_coordinates("c", "region_d", N) + cube_lookup("s", "c", "f", N, ["v"]))
 REGION_LL = [("rp", f"SELECT *, {lonlat_node(H)} FROM region_d")] + lonlat_lookup("s", "rp", "node_field", H, ["v"])
 SQL["region_query_lonlat"] = query(
     ["region_d", "node_field"], f"SELECT request_id, row_i, col_i, {r('lon')} AS lon, {r('lat')} AS lat, {r('v_s')} AS v FROM s", REGION_LL)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CUBE_KEY = ["face", "y", "x"]
+BLOCK_KEY = ["face", "by", "bx"]
 TILE_KEY = ["face", "ty", "tx"]
 
 
@@ -127,10 +128,10 @@ def _require_complete(found: dict, rows: int, name: str) -> dict:
 
 
 def write_cube_field(df: DataFrame, path: str, n: int, identity: dict, block: int = 256) -> DataFrame:
-    """Save a cube field as float32, partitioned by face and clustered in square blocks.
+    """Save a cube field as float32, partitioned by face and square block of ``block`` nodes.
 
-    Refuses to overwrite.  Clustering keeps row-group statistics tight for regional reads; ranges
-    split a face over many tasks.  Returns the saved table.
+    Refuses to overwrite.  Regional reads open the files of the blocks they touch only.  Returns the
+    saved table.
     """
     spark = df.sparkSession
     if _exists(spark, path):
@@ -138,18 +139,24 @@ def write_cube_field(df: DataFrame, path: str, n: int, identity: dict, block: in
     values = [c for c in df.columns if c not in CUBE_KEY]
     out = df.select(*[F.col(k).cast("int").alias(k) for k in CUBE_KEY],
                     *[F.col(v).cast("float").alias(v) for v in values])
-    by, bx = F.floor(F.col("y") / F.lit(block)), F.floor(F.col("x") / F.lit(block))
-    (out.repartitionByRange("face", by, bx).sortWithinPartitions("face", by, bx, "y", "x")
-     .write.mode("errorifexists").partitionBy("face").parquet(f"{path}/field"))
+    out = out.withColumns({b: F.floor(F.col(c) / F.lit(block)).cast("int") for b, c in (("by", "y"), ("bx", "x"))})
+    (out.repartitionByRange(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "y", "x")
+     .write.mode("errorifexists").partitionBy(*BLOCK_KEY).parquet(f"{path}/field"))
     saved = load_cube_field(spark, path, values)
     content = _require_complete(_survey(saved, CUBE_KEY), 6 * (n + 1) ** 2, path)
-    write_manifest(spark, f"{path}/identity", {**identity, "intervals": n, "values": values, **content})
+    write_manifest(spark, f"{path}/identity", {**identity, "intervals": n, "block": block, "values": values, **content})
     return saved
 
 
 def load_cube_field(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
     """The table itself, with a fixed schema; :func:`open_run` also verifies it."""
-    return spark.read.schema(field_schema(values)).parquet(f"{path}/field").select(*CUBE_KEY, *values)
+    return load_blocks(spark, path, values).select(*CUBE_KEY, *values)
+
+
+def load_blocks(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
+    """The table with its block columns ``by, bx``, which are partitions: a filter or join on them prunes files."""
+    schema = T.StructType([*field_schema(values), *[T.StructField(b, T.IntegerType()) for b in BLOCK_KEY[1:]]])
+    return spark.read.schema(schema).parquet(f"{path}/field").select(*CUBE_KEY, *values, *BLOCK_KEY[1:])
 
 
 def write_grid(df: DataFrame, path: str, keys: Sequence[str], block_rows: int = 128) -> None:

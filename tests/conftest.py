@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,6 +13,7 @@ def spark():
     s = (SparkSession.builder.master("local[8]").appName("tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
          .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
