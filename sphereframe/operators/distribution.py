@@ -18,6 +18,9 @@ from .filters import constrain
 from .lookup import broadcast_if_bounded
 
 
+RANGE_VALUES = 2_000_000  # distinct values in a range partition
+
+
 def quantile_points(count: int = 64, eps: float = 1e-4) -> list[float]:
     return [eps + (1 - 2 * eps) * i / (count - 1) for i in range(count)]
 
@@ -33,7 +36,9 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     """
     by = list(by)
     spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:  # a range of distinct values has to fit one task
+        distinct = df.agg(F.approx_count_distinct(value)).first()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct / RANGE_VALUES))
     counts = (df.where(F.col(value).isNotNull() & ~F.isnan(value))
               .groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     ranged = cut_lineage(counts.repartitionByRange(partitions, *by, "v")
@@ -102,15 +107,16 @@ def quantile_table(df: DataFrame, value: str, channel: str, **options) -> DataFr
 
 
 def quantile_map(df: DataFrame, value: str, source: DataFrame, target: DataFrame, count: int = 64,
-                 out: str = "mapped", max_channels: int = 1000) -> DataFrame:
+                 out: str = "mapped") -> DataFrame:
     """Replace each value by the target value at the same quantile.
 
     ``source`` and ``target`` are quantile tables keyed by ``channel``; ``df`` has that column.
     """
     tables = source.select("channel", F.col("q").alias("__s")).join(
         target.select("channel", F.col("q").alias("__t")), "channel")
-    # One row of two arrays per channel; broadcast while ``max_channels`` of them stay small.
-    tables = broadcast_if_bounded(tables, max_channels, 64 + 16 * count)
+    # One row of two arrays per channel, made once and counted; broadcast while that is small.
+    tables = cut_lineage(tables)
+    tables = broadcast_if_bounded(tables, tables.count(), 64 + 16 * count)
     j = df.join(tables, "channel", "left")
     v = F.col(value)
     index = sum(((v >= F.get("__s", F.lit(k))).cast("int") for k in range(1, count - 1)), F.lit(0))

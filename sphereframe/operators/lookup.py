@@ -21,10 +21,16 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None, row_bytes: int | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast only when its largest possible size is under the limit."""
+    """Mark ``df`` for broadcast only when its largest possible size is under the limit.
+
+    Without ``row_bytes`` the columns must be of fixed width; others have no bound.
+    """
     if max_rows is None:
         return df
-    row_bytes = row_bytes or 16 + 12 * len(df.columns)
+    if row_bytes is None:
+        if any(t.startswith(("string", "binary", "array", "map", "struct")) for _, t in df.dtypes):
+            return df
+        row_bytes = 16 + 16 * len(df.columns)
     return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
