@@ -27,6 +27,11 @@ def unstandardise(value, mean, std) -> Column:
     return value * std + mean
 
 
+def channel_difference(first, second) -> Column:
+    """The part of one stored channel that another does not explain."""
+    return first - second
+
+
 def mix_signal_noise(signal, noise, snr: float) -> Column:
     """Rotate between a signal and unit noise by the angle ``atan(snr)``."""
     angle = math.atan(snr)

@@ -297,6 +297,18 @@ def field_error(actual: DataFrame, expected: DataFrame, keys: Sequence[str], val
                     (F.col("rmse") / F.greatest(F.col("__e"), F.lit(EPS))).alias("relative_rmse"))
 
 
+def within_tolerance(actual: DataFrame, expected: DataFrame, keys: Sequence[str], value: str = "v",
+                     relative: float = 1e-5, absolute: float = 1e-8) -> DataFrame:
+    """How many values there are, and how many lie within ``absolute + relative * |expected|``.
+
+    Values that are not finite agree with nothing; keys of one side only are an error.
+    """
+    both = _pairs(actual.select(*keys, F.col(value).alias("a")), expected.select(*keys, F.col(value).alias("e")), keys)
+    near = F.abs(F.col("a") - F.col("e")) <= F.lit(absolute) + F.lit(relative) * F.abs("e")
+    good = ~_not_finite("a") & ~_not_finite("e") & near
+    return both.agg(F.count(F.lit(1)).alias("values"), F.count_if(good).alias("within"))
+
+
 def tile_boundary_ratio(field: DataFrame, n: int, stride: int, value: str = "v") -> DataFrame:
     """Jump RMS at tile boundaries against jumps eight nodes to either side, both axes."""
     parts = []

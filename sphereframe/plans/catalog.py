@@ -357,7 +357,43 @@ def smooth_guide_at_points(spark, d):
     return tidy(p.select("point_id", "f", (F.lit(2200.0) * F.col("f") - F.lit(900.0)).alias("elev")))
 
 
+@register
+def smooth_guide_channels(spark, d):
+    """All five channels of the smooth seeded world at points."""
+    return tidy(distribution.guide_channels(_directed(spark, d), SEED).select("point_id", *cm.CHANNELS))
+
+
+@register
+def channel_rescale(spark, d):
+    """Stored channels to model units and back, one channel less another, and spacing on the ground."""
+    spacing = g.ground_spacing(6371.0, inputs.sizes(spark, d).h)
+    c = inputs.climate_nodes(spark, d)
+    return tidy(c.select(
+        "y", "x", cm.standardise(F.col("temp"), 12.5, 4.0).alias("standard"),
+        cm.unstandardise(cm.standardise(F.col("precip"), 700.0, 35.0), 38.6, -31.4).alias("rescaled"),
+        cm.channel_difference(F.col("temp_std100"), F.col("precip_cv")).alias("rest"), F.lit(spacing).alias("spacing_km")))
+
+
 # ----------------------------------------------------------------------------- tiles
+@register
+def tile_context_lonlat(spark, d):
+    """Planned tiles over a node field, with the sum and the corners of what lies under each."""
+    s = inputs.sizes(spark, d)
+    c = tiles.gather_context_lonlat(grids.lonlat_tile_plan(spark, s.h, 8, 4), inputs.node_field(spark, d), s.h, 8)
+    return tidy(c.select("ty", "tx", F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total"),
+                         F.get("values", F.lit(0)).alias("first"), F.get("values", F.lit(63)).alias("last")), 4)
+
+
+@register
+def tile_accounting(spark, d):
+    """Tiles of the doubled lattice that all points use, found saved or to be scored."""
+    n = 2 * inputs.sizes(spark, d).tile_n
+    p = g.add_cube_coordinates(_directed(spark, d), n)
+    nodes = p.select("face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x"))
+    needed = tiles.tiles_for_nodes(nodes, n, 8, 4, include_endpoint=True)
+    return tidy(tiles.account(needed, inputs.tiles(spark, d)))
+
+
 def _plan(spark, d):
     return grids.tile_plan(spark, inputs.sizes(spark, d).tile_n, 8, 4, include_endpoint=True)
 
@@ -727,6 +763,17 @@ def field_error(spark, d):
     return tidy(quality.field_error(a, inputs.node_field(spark, d), ["y", "x"]))
 
 
+@register
+def stored_lonlat_tolerance(spark, d):
+    """A node field saved as float32, opened with its checks, against what was saved: exact, and within tolerance."""
+    field, path = inputs.node_field(spark, d), _scratch(spark, "nodes")
+    store.write_lonlat_field(field, path, inputs.sizes(spark, d).h, {"units": "m"})
+    saved, _ = store.open_lonlat_run(spark, path, {"units": "m"})
+    loose = quality.within_tolerance(saved, field, ["y", "x"], relative=1e-6)
+    exact = quality.within_tolerance(saved, field, ["y", "x"], relative=0.0, absolute=0.0)
+    return tidy(loose.withColumn("tolerance", F.lit("float")).unionByName(exact.withColumn("tolerance", F.lit("none"))))
+
+
 @register
 def verify_state_report(spark, d):
     s = inputs.sizes(spark, d)

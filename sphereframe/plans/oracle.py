@@ -233,7 +233,20 @@ SMOOTH = "(" + " + ".join(f"SIN({a!r}::DOUBLE*vx + {b!r}::DOUBLE*vy + {c!r}::DOU
 SQL["smooth_guide_at_points"] = query(["dpoints"], f"SELECT point_id, {r('f')} AS f, {r('2200*f-900')} AS elev FROM "
                                       f"(SELECT point_id, {SMOOTH} AS f FROM dpoints)")
 
+SQL["smooth_guide_channels"] = query(
+    ["dpoints"], f"SELECT point_id, {r('2200*f-900')} AS heightmap, {r('28-48*vz*vz')} AS temperature, {r('350+200*vz*vz')} AS temperature_std, "
+    f"{r('1200+400*TANH(f)')} AS precipitation, {r('55+10*TANH(f)')} AS precipitation_cv FROM (SELECT *, {SMOOTH} AS f FROM dpoints)")
+SQL["channel_rescale"] = query(
+    ["climate_nodes"], f"SELECT y, x, {r('(temp-12.5e0)/4')} AS standard, {r('(precip-700)/35e0*-31.4e0+38.6e0')} AS rescaled, "
+    f"{r('temp_std100-precip_cv')} AS rest, {r(f'PI()*6371e0/{H}')} AS spacing_km FROM climate_nodes")
+
 # ----------------------------------------------------------------------------- tiles
+SQL["tile_context_lonlat"] = query(
+    ["node_field"], f"SELECT {B('ty')} AS ty, {B('tx')} AS tx, {r('SUM(v)', 4)} AS total, {r('MAX(v) FILTER (k = 0)', 4)} AS first, "
+    f"{r('MAX(v) FILTER (k = 63)', 4)} AS last FROM (SELECT m.*, f.v FROM m JOIN node_field f USING (y, x)) GROUP BY ty, tx",
+    [("o", f"SELECT -4+4*a AS ty, 4*b AS tx, k, -4+4*a+k//8 AS y0, 4*b+k%8 AS x0 FROM range(CAST({H}//4 AS BIGINT)+2) r(a), "
+           f"range(CAST({H}//2 AS BIGINT)) s(b), range(64) t(k)"),
+     ("m", f"SELECT ty, tx, k, {fold_y('y0', H)} AS y, {fold_x('y0', 'x0', H)} AS x FROM o")])
 FTT = f"{B('face')} AS face, {B('ty')} AS ty, {B('tx')} AS tx"
 PLAN = ("pl", f"SELECT f AS face, -4+4*a AS ty, -4+4*b AS tx FROM range(6) r(f), range({P}) s(a), range({P}) t(b)")
 SQL["tile_plan"] = query(
@@ -539,6 +552,9 @@ SQL["layout_compare"] = query(
     + lonlat_lookup("vs", "vp", "node_field", H, ["v"])
     + [("lj", f"SELECT v_s AS v, share >= 0.5 AS m, hh, COS(PI()*((vs.row_i+0.5e0)/{QH}-0.5e0)) AS w FROM vs JOIN bl USING (row_i, col_i)")])
 
+SQL["stored_lonlat_tolerance"] = query(
+    ["node_field"], "SELECT tolerance, COUNT(*) AS values, COUNT(*) FILTER (ABS(CAST(CAST(v AS FLOAT) AS DOUBLE)-v) <= a+b*ABS(v)) AS within "
+    "FROM node_field, (VALUES ('float', 1e-8, 1e-6), ('none', 0e0, 0e0)) t(tolerance, a, b) GROUP BY tolerance")
 SQL["field_error"] = query(
     ["climate_nodes", "node_field"], f"SELECT {r('SQRT(AVG(d*d))')} AS rmse, {r('MAX(ABS(d))')} AS max_absolute, {r('SQRT(AVG(d*d))/SQRT(AVG(e*e))')} AS relative_rmse "
     "FROM (SELECT k.elev-f.v AS d, f.v AS e FROM k JOIN node_field f USING (y, x))", constrain("k", "climate_nodes", H, ["elev"]))
@@ -648,6 +664,15 @@ SQL["tile_blend_channels"] = query(
     ["tile_cells", "tiles"], f"SELECT DISTINCT {B('k.face')} AS face, {B('k.y')} AS y, {B('k.x')} AS x, {r('g.a')} AS \"values\", {r('g.b')} AS scaled FROM k JOIN g USING (kx, ky, kz)",
     [("k", f"SELECT c.*, t.label, {key(TN, 'c.face')} FROM tile_cells c JOIN tiles t USING (vec_id) WHERE y BETWEEN 0 AND {TN} AND x BETWEEN 0 AND {TN}"),
      ("g", f"SELECT kx, ky, kz, SUM({_w}*v)/SUM({_w}) AS a, SUM({_w}*v*label)/SUM({_w}) AS b FROM k GROUP BY kx, ky, kz")])
+TN2 = f"(2*{TN})"
+PLAN2 = ("pl", f"SELECT f AS face, -4+4*a AS ty, -4+4*b AS tx FROM range(6) r(f), range(CAST({TN2}//4 AS BIGINT)+2) s(a), range(CAST({TN2}//4 AS BIGINT)+2) t(b)")
+NEED = cube_coordinates("c", "dpoints", TN2) + [
+    ("rn", f"SELECT DISTINCT pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c"),
+    ("nk", f"SELECT DISTINCT kx, ky, kz FROM (SELECT {key(TN2)} FROM rn)"),
+    ("an", f"SELECT f AS face, a AS y, b AS x FROM range(6) r(f), range(CAST({TN2} AS BIGINT)+1) s(a), range(CAST({TN2} AS BIGINT)+1) t(b)"),
+    ("ak", f"SELECT *, {key(TN2)} FROM an"), PLAN2,
+    ("need", "SELECT DISTINCT p.face, p.ty, p.tx FROM nk JOIN ak a USING (kx, ky, kz) JOIN pl p ON p.face = a.face "
+             "AND a.y BETWEEN p.ty AND p.ty+7 AND a.x BETWEEN p.tx AND p.tx+7")]
 SQL["tile_saved"] = query(
     ["dpoints", "tiles"], f"SELECT {B('t.face')} AS face, {B('t.ty')} AS ty, {B('t.tx')} AS tx, COUNT(*) AS copies FROM tiles t SEMI JOIN need n "
     "ON n.face = t.face AND n.ty = t.ty AND n.tx = t.tx GROUP BY 1, 2, 3",
@@ -658,6 +683,9 @@ SQL["tile_saved"] = query(
        ("ak", f"SELECT *, {key(TN)} FROM an"), PLAN,
        ("need", "SELECT DISTINCT p.face, p.ty, p.tx FROM nk JOIN ak a USING (kx, ky, kz) JOIN pl p ON p.face = a.face "
                 "AND a.y BETWEEN p.ty AND p.ty+7 AND a.x BETWEEN p.tx AND p.tx+7")])
+SQL["tile_accounting"] = query(
+    ["dpoints", "tiles"], "SELECT COUNT(*) AS used, COUNT(t.face) AS reused, COUNT(*)-COUNT(t.face) AS scored FROM need n LEFT JOIN "
+    "(SELECT DISTINCT face, ty, tx FROM tiles) t ON n.face = t.face AND n.ty = t.ty AND n.tx = t.tx", NEED)
 SQL["points_clustered"] = query(
     ["dpoints"], f"SELECT point_id, {B('pf')} AS face, {B('FLOOR(cy/32e0)')} AS tile_y, {B('FLOOR(cx/32e0)')} AS tile_x FROM c",
     cube_coordinates("c", "dpoints", "256e0"))

@@ -241,6 +241,19 @@ def snapshot_input(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_lonlat_run(spark: SparkSession, path: str, identity: dict) -> tuple[DataFrame, dict]:
+    """Open a saved longitude/latitude field like :func:`open_run`: identity and content are verified."""
+    saved = read_manifest(spark, f"{path}/identity")
+    wrong = sorted(k for k, v in identity.items() if saved.get(k) != v)
+    if wrong:
+        raise ValueError(f"saved field has a different identity: {', '.join(wrong)}")
+    field, h = load_lonlat_field(spark, path, saved["values"]), saved["native_height"]
+    now = _require_complete(_survey(field, ["y", "x"]), (h + 1) * 2 * h, path)
+    if any(saved[k] != v for k, v in now.items()):
+        raise ValueError("saved field does not match its checksum")
+    return field, saved
+
+
 def open_run(spark: SparkSession, path: str, identity: dict) -> tuple[DataFrame, dict]:
     """Open a saved cube field for queries; every identity key must match and content be intact."""
     saved = read_manifest(spark, f"{path}/identity")
