@@ -5,6 +5,7 @@ local word numbers.  Counts, training and scoring are passes over blocks; only (
 """
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, id_and_text, stage
@@ -257,6 +258,56 @@ def fit(blocks: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKEN
     return model.from_flat(values.reshape(-1)[:n]), total
 
 
+BUCKET_WORDS = 1 << 18
+
+
+def _counts(blocks: DataFrame) -> DataFrame:
+    """``block, bucket, c, new``: corpus counts of a block's words, in the order of its vocabulary.
+
+    Words are dealt out to buckets by ranges of their hash, as many as all blocks' vocabularies need.  A block sends each
+    bucket a packed slice and gets its counts back; ``new`` adds up to the number of distinct training words.  A word has
+    at most one entry for each block, so no bucket grows with a word's frequency.
+    """
+    total = blocks.agg(F.sum(F.octet_length("vocab") / 8)).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_WORDS))
+    ddl = "bucket bigint, block bigint, vocab binary, train binary"
+    schema = arrow_schema(ddl)
+
+    def slices(batches):
+        for batch in batches:
+            for block, vocab, train in zip(*batch.columns, strict=True):
+                words, n = np.frombuffer(vocab.as_py(), "<u8"), np.frombuffer(train.as_py(), "<u4")
+                of = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending, as the words are
+                edges = np.flatnonzero(np.diff(of, prepend=of[:1] + 1, append=of[-1:] + 1))
+                yield batch_of([(int(of[a]), block.as_py(), words[a:b].tobytes(), n[a:b].tobytes())
+                                for a, b in zip(edges, edges[1:])], schema)
+    back = "block bigint, bucket bigint, c binary, new bigint"
+    back_schema = arrow_schema(back)
+
+    def add_up(bucket, held):
+        words, place = np.unique(np.concatenate([w for _, w, _ in held]), return_inverse=True)
+        c = np.bincount(place, np.concatenate([n for _, _, n in held]), len(words)).astype("<u4")
+        at, out = 0, []
+        for k, (block, own, _) in enumerate(held):
+            out.append((block, bucket, c[place[at:at + len(own)]].tobytes(), int((c > 0).sum()) if k == 0 else 0))
+            at += len(own)
+        return batch_of(out, back_schema)
+
+    def sums(batches):
+        bucket, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    if held:
+                        yield add_up(bucket, held)
+                    bucket, held = row["bucket"], []
+                held.append((row["block"], np.frombuffer(row["vocab"], "<u8"), np.frombuffer(row["train"], "<u4")))
+        if held:
+            yield add_up(bucket, held)
+    dealt = blocks.select("block", "vocab", "train").mapInArrow(slices, ddl).repartition("bucket")
+    return dealt.sortWithinPartitions("bucket", "block").mapInArrow(sums, back)
+
+
 SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_log double, class_log double, "
           "other_log double, n_other bigint, new_words bigint")
 
@@ -275,29 +326,12 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     blocks = stage(token_blocks(docs, block_tokens, id_col, text_col), "blocks")
     model, total = fit(blocks, size)
     shared = spark.sparkContext.broadcast(model)
-    ddl = "block bigint, place bigint, hash bigint, n bigint"
-    schema = arrow_schema(ddl)
-
-    def seats(batches):
-        for batch in batches:
-            for block, vocab, train in zip(*batch.columns, strict=True):
-                words, n = np.frombuffer(vocab.as_py(), "<u8").view(np.int64), np.frombuffer(train.as_py(), "<u4")
-                for a in range(0, len(words), 1 << 16):
-                    some = words[a:a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), block.as_py())), pa.array(np.arange(a, a + len(some))), pa.array(some),
-                         pa.array(n[a:a + len(some)].astype(np.int64))], schema=schema)
-    # A word has at most one row for each block, so no group grows with its frequency.
-    by_word = Window.partitionBy("hash")
-    counted = blocks.select("block", "vocab", "train").mapInArrow(seats, ddl).select(
-        "block", "place", F.sum("n").over(by_word).alias("c"),
-        F.row_number().over(by_word.orderBy("block")).alias("nth"))
-    counted = counted.select("block", "place", "c", ((F.col("nth") == 1) & (F.col("c") > 0)).alias("new"))
+    counted = _counts(blocks)
     empty = {"doc_ids": "array<bigint>", "sizes": "array<bigint>", "vocab": "binary", "stream": "binary"}
     rows = counted.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()}).unionByName(
-        blocks.select("block", F.lit(-1).cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("c"),
-                      F.lit(False).alias("new"), *empty))
-    rows = rows.repartition("block").sortWithinPartitions("block", "place")
+        blocks.select("block", F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("c"),
+                      F.lit(0).cast("bigint").alias("new"), *empty))
+    rows = rows.repartition("block").sortWithinPartitions("block", "bucket")
     out_schema = arrow_schema(SCORES)
 
     def finish(row, counts, new):
@@ -313,7 +347,7 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
         add = [np.add.reduceat(x, begin) for x in (logs[stream], lm.log_probabilities(ids, sizes),
                                                    np.where(other, logs, 0.0)[stream], other[stream].astype(np.int64),
                                                    (c > 0)[stream].astype(np.int64))]
-        fresh = [sum(int(x.sum()) for x in new)] + [0] * (len(sizes) - 1)
+        fresh = [sum(new)] + [0] * (len(sizes) - 1)
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(
             (row["doc_ids"], [is_held_out(n) for n in row["doc_ids"]], sizes, add[4], add[0], add[1], add[2], add[3], fresh),
             out_schema, strict=True)], schema=out_schema)
@@ -321,18 +355,14 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     def run(batches):
         row, counts, new = None, [], []
         for batch in batches:
-            heads = np.flatnonzero(batch.column(1).to_numpy() < 0)
-            c, flags = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            edges = [0, *heads.tolist(), batch.num_rows]
-            for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                if k:  # a block begins
+            for one in batch.to_pylist():
+                if one["bucket"] < 0:  # a block begins
                     if row is not None:
                         yield finish(row, counts, new)
-                    row, counts, new = {n: batch.column(j)[a].as_py() for j, n in enumerate(batch.schema.names)}, [], []
-                    a += 1
-                if b > a:
-                    counts.append(c[a:b].copy())
-                    new.append(flags[a:b].copy())
+                    row, counts, new = one, [], []
+                else:
+                    counts.append(np.frombuffer(one["c"], "<u4").astype(np.int64))
+                    new.append(one["new"])
         if row is not None:
             yield finish(row, counts, new)
     found = stage(rows.mapInArrow(run, SCORES), "scores")
