@@ -14,7 +14,7 @@ from .common import arrow_schema, batch_of, id_and_text, stage
 from .tokens import encoder
 
 WINDOW = 2048
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 TOGETHER = 100

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-KEEP_PIECES = 250_000
+KEEP_PIECES = 120_000
 SLICE = 1 << 20
 
 # No token of the public vocabularies spans the start of white space, or a letter beside a mark of these two classes.
@@ -16,6 +16,7 @@ _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _RUNS = rf"[{_LETTER}]+(?![^{_MARK}\s])", rf"[{_MARK}]+(?![^{_LETTER}\s])", r"\S+"
 SPACED = "|".join([*(rf"\s*{run}" for run in _RUNS), r"\s+"])
 WORDS = "|".join(_RUNS)
+WORD_END = "</w>"
 _BREAK = re.compile(r"(?<=\S)\s")
 _ODD = re.compile("[\x1c-\x1fΣ]")  # white space for Python only; a letter whose lower case depends on its place
 
@@ -35,6 +36,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.split, self.keep, self.known = re.compile(pieces).findall, keep, {}
         self.older: dict[str, bytes] = {}
+        # Where the vocabulary marks ends of words, many one-token-run pieces can be encoded as one text.
+        words = self.tokenizer.get_vocab()
+        ends = [i for w, i in words.items() if w.endswith(WORD_END)]
+        self.end = np.zeros(max(words.values()) + 1, bool)
+        self.end[ends] = True
+        self.simple = re.compile("|".join(_RUNS[:2])).fullmatch if ends and pieces == WORDS else None
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -51,9 +58,25 @@ class Encoder:
         for piece in todo.intersection(self.older):
             self.known[piece] = self.older[piece]
         todo = list(todo.difference(self.older))
+        if self.simple:
+            todo = self._learn_words([p for p in todo if self.simple(p)]) + [p for p in todo if not self.simple(p)]
         for piece, code in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(code.ids, np.uint32).tobytes()
 
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Encode single runs of letters or marks together, cut at ends of words; gives back those that this left out."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.end[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return words
+        data, at = ids.tobytes(), 0
+        for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
+            self.known[word] = data[at:cut]
+            at = cut
+        return []
+
     def ids(self, text: str) -> np.ndarray:
         return self.many([text])[0]
 
