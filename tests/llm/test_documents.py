@@ -112,7 +112,7 @@ def test_language_is_learned_and_predicted_by_text_only(spark, odd, empty):
     assert {r.lang_pred for r in language.predict(odd, None).collect()} == {"und"}
 
 
-def test_network_gradient_matches_differences():
+def test_network_learns_a_pattern():
     rng = np.random.default_rng(0)
     rows, labels = rng.integers(1, 256, (200, 16)).astype(np.uint8), rng.integers(0, 2, 200)
     rows[labels == 1, 3:6] = 200  # a pattern that only one class has
@@ -303,7 +303,7 @@ def test_passages_are_found_with_original_offsets(spark, odd, empty):
                                   (3, "é lazy dog"), (4, None)], "doc_id bigint, text string")
     for words in (50_000, 10):  # one automaton, or several in turn
         rows = {r.doc_id: r for r in decontaminate.scan(docs, bench, block_words=words).collect()}
-        assert rows[1].items == ["1", "2"] or rows[1].items == ["2"]
+        assert rows[1].items == ["2"]
         assert rows[2].n_words == 3 and rows[2].n_hit == 2 and [(s.start, s.end) for s in rows[2].spans] == [(2, 11)]
         assert [(s.start, s.end) for s in rows[3].spans] == [(2, 10)] and rows[4].n_words == 0
     assert decontaminate.scan(odd, bench).count() == odd.count() and decontaminate.scan(empty, bench).count() == 0
@@ -414,7 +414,6 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
 
 
 def test_language_model_is_normalised_and_learns():
-    rng = np.random.default_rng(2)
     ids = np.tile([0, 1, 2, 3], 3000)
     sizes = np.full(300, 40)
     model = lm_score.Model.start(np.arange(5, dtype=np.uint64), np.array([3000.0] * 4 + [1.0]), 5.0)
@@ -423,7 +422,7 @@ def test_language_model_is_normalised_and_learns():
         model.train(ids, sizes, rate=0.2, seed=seed)
     assert model.log_probabilities(ids, sizes).mean() > before + 0.3
     total = sum(10 ** model.log_probabilities(np.array([0, 1, k]), np.array([3]))[-1] for k in range(6))
-    assert abs(total - 1) < 1e-5 and rng is not None
+    assert abs(total - 1) < 1e-5
 
 
 def test_language_model_of_odd_rows(odd, empty):
