@@ -63,6 +63,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], ddl: str)
     return df.mapInArrow(run, ddl)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time, for rows that are large."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def batch_of(rows: Sequence[Sequence], schema: pa.Schema) -> pa.RecordBatch:
     columns: Iterable = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],

@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, id_and_text, stage
+from .common import arrow_schema, batch_of, id_and_text, rows_of, stage
 from .fingerprints import word_hashes
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 VOCABULARY = 1024   # words with a class of their own; all others share one
 CANDIDATES = 4096   # of each block for the vocabulary
 DIM = 32
@@ -223,7 +223,7 @@ def fit(blocks: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKEN
 
     def sample(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 ids, sizes = _training(row, start.value)
                 keep = np.cumsum(sizes) <= quota
                 keep[:1] = True
@@ -241,7 +241,7 @@ def fit(blocks: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKEN
         own = shared.value.from_flat(shared.value.flat())
         seen = 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 ids, sizes = _training(row, own)
                 if len(ids):
                     own.train(ids, sizes, seed=int(row["block"] % (1 << 31)))
@@ -296,7 +296,7 @@ def _counts(blocks: DataFrame) -> DataFrame:
     def sums(batches):
         bucket, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if row["bucket"] != bucket:
                     if held:
                         yield add_up(bucket, held)
@@ -355,7 +355,7 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     def run(batches):
         row, counts, new = None, [], []
         for batch in batches:
-            for one in batch.to_pylist():
+            for one in rows_of(batch):
                 if one["bucket"] < 0:  # a block begins
                     if row is not None:
                         yield finish(row, counts, new)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, id_and_text
+from .common import arrow_schema, batch_of, id_and_text, rows_of
 from .tokens import encoder
 
 SHARD_IDS = 1 << 19
@@ -196,7 +196,7 @@ def map_documents(spark: SparkSession, path: str, fn: Callable[[np.ndarray], tup
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard, at, out = Shard(row), row["start"], []
                 for name, ids in zip(shard.doc_ids, shard.documents(), strict=True):
                     out.append((name, at, len(ids), *fn(ids)))
@@ -221,7 +221,7 @@ def read_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard = Shard(row)
                 yield batch_of([(w["doc_id"], w["first"], w["stop"],
                                  shard.ids(w["k"], w["first"], w["stop"]).tolist()) for w in row["wanted"]], schema)
