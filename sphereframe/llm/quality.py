@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, id_and_text
 
-SAMPLE = 16_000   # documents that the models are fitted on, on average
+SAMPLE = 12_000   # documents that the models are fitted on, on average
 BUCKETS = 1 << 18
 PREFIX = 4
 FORM_TIMES = 4
+FIT_ROWS = 1_000
 SEEN = 5          # documents of the sample that must have a feature before it gets a weight
 THRESHOLD, TOXIC = 0.5, 0.35
 ABSTAIN = -1
@@ -141,18 +142,27 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, r
     place[usual] = np.arange(len(usual))
     n, size = len(rows), len(usual) + 2
     # Every row ends with the constant feature, the last but one; the last one stands for unusual features.
-    index = np.concatenate([np.append(place[r], len(usual)) for r in rows])
+    index = np.concatenate([np.append(place[r], len(usual)) for r in rows]).astype(np.int32)
     sizes = np.array([len(r) + 1 for r in rows])
-    begin, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    blocks = [slice(a, min(a + FIT_ROWS, n)) for a in range(0, n, FIT_ROWS)]  # temporary arrays are as long as a block
+
+    def over(values):
+        """Sum over the rows that have a feature of the rows' values."""
+        total = np.zeros(size)
+        for k in blocks:
+            part = np.repeat(values[k], sizes[k])
+            total += np.bincount(index[begin[k.start]:begin[k.stop]], part, size)
+        return total
     shrink = np.full(size, decay)
     shrink[-2] = 0
-    step = 1 / (np.bincount(index, (weight * sizes)[owner], size) / (4 * n) + shrink + 1e-9)
+    step = 1 / (over(weight * sizes) / (4 * n) + shrink + 1e-9)
     step[-1] = 0
     w, ahead, t = np.zeros(size), np.zeros(size), 1.0
     for _ in range(rounds):
-        z = np.add.reduceat(ahead[index], begin)
+        z = np.concatenate([np.add.reduceat(ahead[index[begin[k.start]:begin[k.stop]]], begin[k] - begin[k.start]) for k in blocks])
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-        now = ahead - step * (np.bincount(index, error[owner], size) / n + shrink * ahead)
+        now = ahead - step * (over(error) / n + shrink * ahead)
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = now + (t - 1) / nxt * (now - w)
         w, t = now, nxt
