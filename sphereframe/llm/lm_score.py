@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_of, id_and_text, rows_of, stage
 from .fingerprints import word_hashes
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 VOCABULARY = 1024   # words with a class of their own; all others share one
 CANDIDATES = 4096   # of each block for the vocabulary
 DIM = 32
