@@ -4,11 +4,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_rows
+from .long_words import LONG_WORDS
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 10.0
@@ -19,10 +21,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-# Wider than ASSIGN: more names of credentials, and values with any printable characters.
-CONTEXT = re.compile(r"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|bearer|auth|"""
-                     r"""(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*[:=]\x20*|\x20+is\x20+)"""
+# Wider than ASSIGN: more names of credentials, and values with any printable characters.  The names of ASSIGN may end any
+# word, as there; the others begin a word or a camel-case part (dbPwd, but not spin).
+CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|"""
+                     r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
+                     r"""(?:pass(?:phrase|code)?|pwd|pin|credentials?|bearer|auth|(?:api|access|private|secret|auth)[_-]?key))"""
+                     r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)"""
                      r"""(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([!-~]{6,}))""", re.ASCII | re.IGNORECASE)
+NAME_SPAN = 32  # longer than any name with its separator, so a context that a value's end begins is found
 HINTS = ("pass", "pwd", "pin", "secret", "token", "cred", "bearer", "auth", "key")
 
 # Words that attackers try first, from most to least used.
@@ -39,7 +45,7 @@ DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d
 REPEAT, PIECE = 64, 0.3  # longest repeated block; log10 of the choice of a kind of piece
 LOG_DATE, LOG_YEAR = math.log10(365 * 120), math.log10(120)
 
-_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS + LONG_WORDS))}
 _LONGEST = max(map(len, _RANK))
 _NEXT = {(a, b) for row in KEYBOARD_ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]}
 _NEXT |= {(a, b) for up, low in zip(KEYBOARD_ROWS, KEYBOARD_ROWS[1:]) for a, b in [*zip(up[1:], low), *zip(low, up[1:])]}
@@ -95,8 +101,20 @@ def log10_guesses(value: str) -> float:
     return best[n]
 
 
+def _values(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of every value in credential context; none begins inside another one."""
+    at = done = 0
+    while m := CONTEXT.search(text, at):
+        k = next(k for k in (1, 2, 3) if m[k] is not None)
+        start, end = m.span(k)
+        if start >= done:
+            yield start, m[k].rstrip(".,;:!?)") if k == 3 else m[k]
+            done = end
+        at = max(m.start() + 1, start, end - NAME_SPAN)  # a value may itself be the name of the next: "password: secret: x"
+
+
 def find(text: str, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int, float | None]]:
-    """(start, kind number, end, log10 guesses) in ascending order; a guess span never overlaps a fixed one."""
+    """(start, kind number, end, log10 guesses) in ascending order; no guess span lies inside a fixed one."""
     found = []
     low = text.lower()
     if "AKIA" in text:
@@ -105,13 +123,9 @@ def find(text: str, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, in
     if (":" in text or "=" in text or " is " in low) and any(h in low for h in HINTS):
         found += [(m.start(), 0, m.end(), log10_guesses(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
         taken = sorted((s, e) for s, _, e, _ in found)
-        for m in CONTEXT.finditer(text):
-            k = next(k for k in (1, 2, 3) if m[k] is not None)
-            start, end = m.span(k)
-            value = m[k].rstrip(".,;:!?)") if k == 3 else m[k]
+        for start, value in _values(text):
             end = start + len(value)
-            # A lone lower-case word with a capital or a mark at most is prose, whatever its length.
-            if len(value) < 6 or re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+", value) or any(s < end and start < e for s, e in taken):
+            if len(value) < 6 or any(s <= start and end <= e for s, e in taken):
                 continue
             if (cost := log10_guesses(value)) >= least:
                 found.append((start, 3, end, cost))
@@ -131,7 +145,7 @@ def scan(docs: DataFrame, least: float = MIN_LOG10_GUESSES, id_col: str = "doc_i
 
     ``found`` lists spans by start, then kind: ``assign``, ``access`` and ``hex`` by their fixed patterns (leftmost,
     non-overlapping within a kind), and ``guess``: values in credential context whose cheapest segmentation takes at
-    least ``10^least`` guesses and which no fixed span touches.  Offsets are code points.  A null or empty text has no
+    least ``10^least`` guesses and that reach beyond every fixed span.  Offsets are code points.  A null or empty text has no
     span; repeated rows each give a row; other columns are not read.
     """
     return map_rows(id_and_text(docs, id_col, text_col), lambda: _row(least), RESULT)

@@ -223,6 +223,17 @@ def test_secrets_of_odd_rows(odd, empty):
     assert [(k, s) for s, k, _, _ in secret_scan.find(hidden)] == [(3, 10)] or brute_base(hidden) == ""
 
 
+def test_every_value_in_context_is_costed():
+    hide = lambda text: secret_scan.mask(text)
+    assert hide('password="Correct1Horse2!Battery$9"; x') == '[SECRET]"; x'  # the fixed span ends before the mark
+    for text in ("pwd: zqxjkvbwmhtrplfn", "private_key=QZXJKVWPLMTRBNHG", 'dbPassword="kq$$w0rz!Xy7#"', "dbPwd = kq$$w0rz!Xy7#",
+                 "DBPwd = kq$$w0rz!Xy7#", "MYPASSWD: kq$$w0rz!Xy7#", "password: secret: kq$$w0rz!Xy7#"):
+        assert [k for _, k, _, _ in secret_scan.find(text)] == [3] and "[SECRET]" in hide(text), text
+    for text in ("the password is important here", "spin: kq$$w0rz!Xy7#", "the pin is available", "password: changeme"):
+        assert secret_scan.find(text) == [], text
+    assert [k for _, k, _, _ in secret_scan.find("token=abcdefghijklmnop9")] == [0]  # nothing beyond the fixed span
+
+
 # ----------------------------------------------------------------------------- token shards
 def test_encoder_equals_whole_encoding():
     odd = ["a  b\n\n c \t x", "  lead", "trail  ", "it's DON'T  we'll", "naïve é ́b", "ΑΣ ΣΑΣ. Σ", "a\x1cb c", "", "   ",
