@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,12 @@ from .common import arrow_schema, batch_of, id_and_text, rows_of, stage
 from .fingerprints import word_hashes
 
 BLOCK_TOKENS = 1 << 19
-VOCABULARY = 1024   # words with a class of their own; all others share one
-CANDIDATES = 4096   # of each block for the vocabulary
-DIM = 32
-NOISE = 64
+VOCABULARY = 1024   # words with a class of their own; the model's other words share classes, with a second level
+MIN_COUNT = 5       # training tokens of a word in the model; rarer words share one class
+DIM, TAIL_DIM = 32, 8
+NOISE, TAIL_NOISE = 64, 8
+WARM_BLOCKS = 256
+CHUNK = 1 << 16     # rows of the second level, or weights, that are averaged together
 WARM_TOKENS = 300_000
 BATCH = 2048
 END_HASH = np.uint64(0x9B1C3A5D7E2F4861)
@@ -71,31 +73,60 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str
 
 @dataclass
 class Model:
-    """score(w | context) = (R[before] C1 + R[before that] C2) . T[w] + b[w]; class K is every other word, K + 1 the start."""
+    """Words w = 0 .. K - 1, K for every rarer word, K + 1 for the start; about the square root of K classes of words.
+
+    first(c | context) = (e(before) C1 + e(before that) C2) . T[c] + b[c] over the classes c; in a class of several words
+    second(w | context) = (e(before) C1 + e(before that) C2) O . u[w] + d[w] over its words; e(w) = R[class of w] + v[w] I.
+    A word's probability is the product of the two normalised levels.
+    """
     words: np.ndarray  # sorted hashes of the K words
-    noise: np.ndarray  # unigram probabilities of the K + 1 classes
+    cls: np.ndarray    # class of each of the K + 2
+    place: np.ndarray  # row of the second level, sorted by class; the zero row at the end where there is none
+    edges: np.ndarray  # ranges of rows of the classes of several words
+    share: np.ndarray  # log probability of each row's word in its class, by counts
+    noise: np.ndarray  # unigram probabilities of the classes
     r: np.ndarray
     c1: np.ndarray
     c2: np.ndarray
     t: np.ndarray
     b: np.ndarray
+    i: np.ndarray
+    o: np.ndarray
+    v: np.ndarray
+    u: np.ndarray
+    d: np.ndarray
 
-    NAMES = ("r", "c1", "c2", "t", "b")
+    NAMES = ("r", "c1", "c2", "t", "b", "i", "o")
+    TAIL = ("v", "u", "d")
 
     @classmethod
-    def start(cls, words: np.ndarray, counts: np.ndarray, other: float, seed: int = 11) -> Model:
+    def start(cls, words: np.ndarray, counts: np.ndarray, other: float, seed: int = 11, head: int = VOCABULARY) -> Model:
         rng, k = np.random.default_rng(seed), len(words)
-        noise = np.append(counts, other) + 0.5
+        ranks = np.argsort(-counts, kind="stable")
+        heads, tail = np.sort(ranks[:head]), ranks[head:]
+        wide = max(1, math.ceil(math.sqrt(len(tail))))
+        edges = np.append(np.arange(0, len(tail), wide), len(tail))
+        n = len(heads) + len(edges)  # the edges are one more than the ranges; the last class is every other word
+        of, place = np.full(k + 2, n - 1, np.int32), np.full(k + 2, len(tail), np.int32)
+        of[heads], of[tail], of[k + 1] = np.arange(len(heads)), len(heads) + np.arange(len(tail)) // wide, n
+        place[tail] = np.arange(len(tail))
+        noise = np.bincount(of[:k + 1], np.append(counts, other) + 0.5, n)
+        share = np.log((counts[tail] + 0.5) / noise[of[tail]]).astype(np.float32)
         noise = noise / noise.sum()
-        return cls(words, noise, rng.normal(0, 0.1, (k + 2, DIM)).astype(np.float32), np.eye(DIM, dtype=np.float32),
-                   0.5 * np.eye(DIM, dtype=np.float32), np.zeros((k + 1, DIM), np.float32), np.log(noise).astype(np.float32))
+        r = rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32)
+        across = rng.normal(0, TAIL_DIM ** -0.5, (2, TAIL_DIM, DIM)).astype(np.float32)
+        return cls(words, of, place, edges, share, noise, r, np.eye(DIM, dtype=np.float32),
+                   0.5 * np.eye(DIM, dtype=np.float32), np.zeros((n, DIM), np.float32), np.log(noise).astype(np.float32),
+                   across[0], across[1].T.copy(), np.zeros((len(tail) + 1, TAIL_DIM), np.float32),
+                   np.zeros((len(tail), TAIL_DIM), np.float32), share.copy())
 
     def classes(self, vocab: np.ndarray) -> np.ndarray:
+        """The word numbers of hashes."""
         at = np.minimum(np.searchsorted(self.words, vocab), max(0, len(self.words) - 1))
         return np.where(self.words[at] == vocab, at, len(self.words)) if len(self.words) else np.zeros(len(vocab), np.int64)
 
     def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes one and two places before; the start stands before every document."""
+        """The words one and two places before; the start stands before every document."""
         first, start = np.cumsum(sizes) - sizes, len(self.words) + 1
         one, two = np.roll(ids, 1), np.roll(ids, 2)
         one[first] = start
@@ -103,6 +134,9 @@ class Model:
         two[(first + 1)[sizes > 1]] = start
         return one, two
 
+    def _embedded(self, words: np.ndarray) -> np.ndarray:
+        return self.r[self.cls[words]] + self.v[self.place[words]] @ self.i
+
     def log_probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of every token; every distinct context is normalised once, in batches."""
         one, two = self.contexts(ids, sizes)
@@ -112,22 +146,40 @@ class Model:
         edges = np.searchsorted(where[order], np.arange(0, len(pairs) + BATCH, BATCH))
         for k, a in enumerate(range(0, len(pairs), BATCH)):
             some = pairs[a:a + BATCH]
-            z = (self.r[some // width] @ self.c1 + self.r[some % width] @ self.c2) @ self.t.T + self.b
+            z = (self._embedded(some // width) @ self.c1 + self._embedded(some % width) @ self.c2) @ self.t.T + self.b
             top = z.max(axis=1, keepdims=True)
             total = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
             at = order[edges[k]:edges[k + 1]]
             row = where[at] - a
-            out[at] = z[row, ids[at]] - total[row]
+            out[at] = z[row, self.cls[ids[at]]] - total[row]
+        rows = self.place[ids]
+        order = np.argsort(rows, kind="stable")
+        starts = np.searchsorted(rows[order], self.edges)
+        for lo, hi, begin, end in zip(self.edges, self.edges[1:], starts, starts[1:]):
+            for a in range(begin, end, BATCH):
+                at = order[a:min(a + BATCH, end)]
+                q = self._embedded(one[at]) @ self.c1 + self._embedded(two[at]) @ self.c2
+                z = (q @ self.o) @ self.u[lo:hi].T + self.d[lo:hi]
+                top = z.max(axis=1)
+                out[at] += z[np.arange(len(at)), rows[at] - lo] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
         return out / np.log(10)
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, rate: float = 0.05, seed: int = 11) -> None:
-        """One pass of noise-contrastive estimation with AdaGrad; a batch shares its noise words."""
+        """One pass of noise-contrastive estimation with AdaGrad, on both levels.
+
+        A batch shares its noise classes; a word of the second level has noise words of its class.  Rows of the second
+        level have one AdaGrad sum each, of summed rather than mean gradients, because they are met rarely.
+        """
         one, two = self.contexts(ids, sizes)
         rng, k = np.random.default_rng(seed), NOISE
         square = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
         log_noise = (np.log(self.noise) + np.log(k)).astype(np.float32)
         cumulative = np.cumsum(self.noise)
         order = rng.permutation(len(ids))
+        last = len(self.share)
+        tail_square = {n: np.ones(len(getattr(self, n)), np.float32) for n in self.TAIL}
+        tail_noise = (self.share + np.log(TAIL_NOISE)).astype(np.float32)
+        ahead = np.concatenate([[0.0], np.cumsum(np.exp(self.share.astype(np.float64)))])
 
         def step(name, at, g):
             square[name][at] += g * g
@@ -136,11 +188,19 @@ class Model:
         def by_row(index, values, rows):
             flat = (index[:, None] * values.shape[1] + np.arange(values.shape[1])).reshape(-1)
             return np.bincount(flat, values.reshape(-1), rows * values.shape[1]).reshape(rows, -1).astype(np.float32)
+
+        def tail_step(name, index, values):
+            rows, at = np.unique(index, return_inverse=True)
+            g = by_row(at, values, len(rows))
+            tail_square[name][rows] += (g * g).mean(axis=1)
+            g *= rate / np.sqrt(tail_square[name][rows])[:, None]
+            getattr(self, name)[rows] -= g if name != "d" else g[:, 0]
         for a in range(0, len(order), BATCH):
             some = order[a:a + BATCH]
-            x1, x2, y = one[some], two[some], ids[some]
+            w1, w2, w = one[some], two[some], ids[some]
+            x1, x2, y = self.cls[w1], self.cls[w2], self.cls[w]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(k)), len(self.noise) - 1)
-            r1, r2 = self.r[x1], self.r[x2]
+            r1, r2 = self._embedded(w1), self._embedded(w2)
             q = r1 @ self.c1 + r2 @ self.c2
             true = (q * self.t[y]).sum(axis=1) + self.b[y] - log_noise[y]
             false = q @ self.t[noise].T + self.b[noise] - log_noise[noise]
@@ -151,73 +211,96 @@ class Model:
             np.add.at(dt, noise, e0.T @ q)
             db = np.bincount(y, e1, len(self.b)).astype(np.float32)
             np.add.at(db, noise, e0.sum(axis=0))
-            dr = by_row(x1, dq @ self.c1.T, len(self.r)) + by_row(x2, dq @ self.c2.T, len(self.r))
-            for name, g in (("c1", r1.T @ dq), ("c2", r2.T @ dq), ("t", dt), ("b", db), ("r", dr)):
+            deep = np.flatnonzero(self.place[w] < last)
+            do, tails = np.zeros_like(self.o), []
+            if len(deep):
+                row = self.place[w[deep]]
+                k2 = np.searchsorted(self.edges, row, "right") - 1
+                lo, hi = self.edges[k2], self.edges[k2 + 1]
+                draw = ahead[lo, None] + rng.random((len(deep), TAIL_NOISE)) * (ahead[hi] - ahead[lo])[:, None]
+                drawn = np.clip(np.searchsorted(ahead, draw, "right") - 1, lo[:, None], hi[:, None] - 1)
+                rows = np.concatenate([row[:, None], drawn], axis=1)  # the word itself and its noise
+                p = q[deep] @ self.o
+                near = self.u[rows]
+                z = np.einsum("nd,nkd->nk", p, near) + self.d[rows] - tail_noise[rows]
+                e = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)
+                e[:, 0] -= 1
+                dp = np.einsum("nk,nkd->nd", e, near)
+                dq[deep] += dp @ self.o.T / len(some)
+                do = q[deep].T @ dp / len(some)
+                tails += [("u", rows.reshape(-1), (e[:, :, None] * p[:, None, :]).reshape(-1, TAIL_DIM)),
+                          ("d", rows.reshape(-1), e.reshape(-1, 1))]
+            d1, d2 = dq @ self.c1.T, dq @ self.c2.T
+            at, di = np.concatenate([self.place[w1], self.place[w2]]), np.zeros_like(self.i)
+            known = np.flatnonzero(at < last)
+            if len(known):
+                both = np.concatenate([d1, d2])[known]
+                di = self.v[at[known]].T @ both
+                tails.append(("v", at[known], both @ self.i.T * len(some)))
+            dr = by_row(x1, d1, len(self.r)) + by_row(x2, d2, len(self.r))
+            for name, g in (("c1", r1.T @ dq), ("c2", r2.T @ dq), ("t", dt), ("b", db), ("r", dr), ("i", di), ("o", do)):
                 step(name, ..., g)
+            for name, index, values in tails:
+                tail_step(name, index, values)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES]).astype(np.float64)
+        """The weights of the first level."""
+        return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
 
     def from_flat(self, values: np.ndarray) -> Model:
-        parts, at = {}, 0
+        """A model with these weights of the first level, and its own copy of the second."""
+        parts, at = {n: getattr(self, n).copy() for n in self.TAIL}, 0
         for n in self.NAMES:
             old = getattr(self, n)
             parts[n] = values[at:at + old.size].reshape(old.shape).astype(np.float32)
             at += old.size
-        return Model(self.words, self.noise, **parts)
+        return replace(self, **parts)
+
+    def tail(self, a: int, b: int) -> np.ndarray:
+        """Rows of the second level side by side."""
+        return np.concatenate([self.v[a:b], self.u[a:b], self.d[a:b, None]], axis=1)
+
+    def move_tail(self, a: int, by: np.ndarray) -> None:
+        b = a + len(by)
+        self.v[a:b] += by[:, :TAIL_DIM]
+        self.u[a:b] += by[:, TAIL_DIM:2 * TAIL_DIM]
+        self.d[a:b] += by[:, -1]
 
 
 def _training(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and sizes of a block's training documents."""
+    """Words and sizes of a block's training documents."""
     sizes = np.array(row["sizes"], np.int64)
     learn = np.array([not is_held_out(n) for n in row["doc_ids"]], bool)
     ids = model.classes(np.frombuffer(row["vocab"], "<u8"))[np.frombuffer(row["stream"], "<u4")]
     return ids[np.repeat(learn, sizes)], sizes[learn]
 
 
-def vocabulary(blocks: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent words of the training documents with their counts, and the number of all training tokens.
-
-    Each block puts forward its ``CANDIDATES`` most frequent words.
-    """
-    ddl = "hash bigint, n bigint"
-    schema = arrow_schema(ddl)
-
-    def run(batches):
-        for batch in batches:
-            for vocab, train in zip(*batch.columns, strict=True):
-                words, n = np.frombuffer(vocab.as_py(), "<u8"), np.frombuffer(train.as_py(), "<u4").astype(np.int64)
-                top = np.argsort(-n, kind="stable")[:CANDIDATES]
-                top = top[n[top] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(words[top].view(np.int64)), pa.array(n[top])], schema=schema)
-    top = blocks.select("vocab", "train").mapInArrow(run, ddl).groupBy("hash").agg(F.sum("n").alias("n"))
-    got = [(r["hash"], r["n"]) for r in top.orderBy(F.desc("n"), "hash").limit(size).collect()]
-    words = np.array([h for h, _ in got], np.int64).view(np.uint64)
-    counts = np.array([n for _, n in got], np.float64)
+def vocabulary(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """All training words of at least the minimum count with their exact counts, and the number of all training tokens."""
+    got = counted.where("words IS NOT NULL").select("words", "n", "tokens").toPandas()  # as large as the vocabulary
+    words = np.frombuffer(b"".join(got["words"]), "<u8")
+    counts = np.frombuffer(b"".join(got["n"]), "<u4").astype(np.float64)
     order = np.argsort(words)
-
-    def total(batches):
-        for batch in batches:
-            n = sum(int(np.frombuffer(t.as_py(), "<u4").sum(dtype=np.int64)) for t in batch.column(0))
-            yield batch_of([(n,)], total_schema)
-    total_schema = arrow_schema("n bigint")
-    n = blocks.select("train").mapInArrow(total, "n bigint").agg(F.sum("n")).first()[0] or 0
-    return words[order], counts[order], n
+    return words[order], counts[order], int(got["tokens"].sum())
 
 
-def fit(blocks: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKENS) -> tuple[Model, int]:
-    """The model, trained on every training token, and the number of these tokens.
+def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKENS
+        ) -> tuple[Model, int, int]:
+    """The model, trained on every training token, the number of these tokens, and how many are of the model's words.
 
-    A start on about ``warm_tokens`` tokens gives all tasks one orientation; then each task makes a pass over the blocks
-    it holds, and the mean of the tasks' weights, by tokens, is the model.
+    A start on about ``warm_tokens`` tokens of a bounded number of blocks gives all tasks one orientation; then each task
+    makes a pass over the blocks it holds.  The mean of the tasks' weights, by tokens, is the model; a row of the second
+    level is the mean over the tasks that met it.
     """
     spark = blocks.sparkSession
-    words, counts, total = vocabulary(blocks, size)
-    model = Model.start(words, counts, max(0.0, total - counts.sum()))
+    words, counts, total = vocabulary(counted)
+    model = Model.start(words, counts, max(0.0, total - counts.sum()), head=size)
     if not total:
-        return model, total
+        return model, total, 0
     start = spark.sparkContext.broadcast(model)
-    quota = max(1, warm_tokens // max(1, blocks.select("block").count()))
+    all_blocks = blocks.select("block").count()
+    some_blocks = blocks.where(F.pmod(F.xxhash64("block"), F.lit(math.ceil(all_blocks / WARM_BLOCKS))) == 0)
+    quota = max(1, warm_tokens // max(1, some_blocks.select("block").count()))
     ddl = "block bigint, ids array<bigint>, sizes array<bigint>"
     schema = arrow_schema(ddl)
 
@@ -229,17 +312,18 @@ def fit(blocks: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKEN
                 keep[:1] = True
                 sizes = sizes[keep]
                 yield batch_of([(row["block"], ids[:sizes.sum()].tolist(), sizes.tolist())], schema)
-    got = blocks.mapInArrow(sample, ddl).toPandas().sort_values("block")
+    got = some_blocks.mapInArrow(sample, ddl).toPandas().sort_values("block")
     got = got[got["sizes"].map(len) > 0]
-    model.train(np.concatenate(got["ids"].to_list()).astype(np.int64), np.concatenate(got["sizes"].to_list()).astype(np.int64), rate=0.1)
+    if len(got):
+        model.train(np.concatenate(got["ids"].to_list()).astype(np.int64), np.concatenate(got["sizes"].to_list()).astype(np.int64), rate=0.1)
     shared = spark.sparkContext.broadcast(model)
-    n, wide = model.flat().size, 256
-    weights = ", ".join(f"w{k} double" for k in range(wide))
-    part_schema = arrow_schema(f"row bigint, tokens bigint, {weights}")
+    part_ddl = "part bigint, tokens bigint, rows binary, weights binary"
+    part_schema = arrow_schema(part_ddl)
+    dense = model.flat().size
 
     def learn(batches):
-        own = shared.value.from_flat(shared.value.flat())
-        seen = 0
+        old = shared.value
+        own, seen = old.from_flat(old.flat()), 0
         for batch in batches:
             for row in rows_of(batch):
                 ids, sizes = _training(row, own)
@@ -247,25 +331,57 @@ def fit(blocks: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKEN
                     own.train(ids, sizes, seed=int(row["block"] % (1 << 31)))
                     seen += len(ids)
         if seen:
-            table = np.zeros((-(-n // wide), wide))
-            table.reshape(-1)[:n] = own.flat() * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(np.full(len(table), seen)),
-                                              *(pa.array(table[:, k]) for k in range(wide))], schema=part_schema)
-    parts = blocks.mapInArrow(learn, f"row bigint, tokens bigint, {weights}")
-    mean = parts.groupBy("row").agg(F.sum("tokens").alias("tokens"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(wide)])
-    mean = mean.toPandas().sort_values("row")  # as large as the model
-    values = mean[[f"w{k}" for k in range(wide)]].to_numpy() / mean["tokens"].to_numpy()[:, None]
-    return model.from_flat(values.reshape(-1)[:n]), total
+            flat = own.flat()
+            for k, a in enumerate(range(0, dense, CHUNK)):
+                yield batch_of([(-1 - k, seen, b"", flat[a:a + CHUNK].astype("<f4").tobytes())], part_schema)
+            for k, a in enumerate(range(0, len(old.share), CHUNK)):
+                b = min(a + CHUNK, len(old.share))
+                moved = own.tail(a, b) - old.tail(a, b)
+                rows = np.flatnonzero(moved.any(axis=1))
+                if len(rows):
+                    yield batch_of([(k, seen, rows.astype("<u2").tobytes(), moved[rows].astype("<f2").tobytes())], part_schema)
+    mean_schema = arrow_schema("part bigint, weights binary")
+    width = 2 * TAIL_DIM + 1
+
+    def means(batches):
+        part, add, weight = None, None, None
+
+        def done():
+            return batch_of([(part, (add / np.maximum(weight, 1)).astype("<f4").tobytes())], mean_schema)
+        for batch in batches:
+            for row in rows_of(batch):
+                if row["part"] != part:
+                    if part is not None:
+                        yield done()
+                    part = row["part"]
+                    size = len(row["weights"]) // 4 if part < 0 else CHUNK
+                    add, weight = np.zeros((size, 1 if part < 0 else width)), np.zeros((size, 1))
+                if part < 0:
+                    at, values = slice(None), np.frombuffer(row["weights"], "<f4")[:, None]
+                else:
+                    at, values = np.frombuffer(row["rows"], "<u2"), np.frombuffer(row["weights"], "<f2").reshape(-1, width)
+                add[at] += values.astype(np.float64) * row["tokens"]
+                weight[at] += row["tokens"]
+        if part is not None:
+            yield done()
+    parts = blocks.mapInArrow(learn, part_ddl).repartition("part").sortWithinPartitions("part")
+    mean = dict(map(tuple, parts.mapInArrow(means, "part bigint, weights binary").collect()))  # as large as the model
+    model = model.from_flat(np.concatenate([np.frombuffer(mean[-1 - k], "<f4") for k in range(-(-dense // CHUNK))]))
+    for k, a in enumerate(range(0, len(model.share), CHUNK)):
+        if k in mean:
+            model.move_tail(a, np.frombuffer(mean[k], "<f4").reshape(-1, width)[:len(model.share) - a])
+    return model, total, int(counts.sum())
 
 
 BUCKET_WORDS = 1 << 18
 
 
 def _counts(blocks: DataFrame) -> DataFrame:
-    """``block, bucket, c, new``: corpus counts of a block's words, in the order of its vocabulary.
+    """``block, bucket, c, new, words, n, tokens``: corpus counts of a block's words, in the order of its vocabulary.
 
     Words are dealt out to buckets by ranges of their hash, as many as all blocks' vocabularies need.  A block sends each
-    bucket a packed slice and gets its counts back; ``new`` adds up to the number of distinct training words.  A word has
+    bucket a packed slice and gets its counts back; ``new`` adds up to the number of distinct training words and ``tokens``
+    to that of training tokens; ``words, n`` are the bucket's words of the minimum count, once.  A word has
     at most one entry for each block, so no bucket grows with a word's frequency.
     """
     total = blocks.agg(F.sum(F.octet_length("vocab") / 8)).first()[0] or 0
@@ -281,15 +397,16 @@ def _counts(blocks: DataFrame) -> DataFrame:
                 edges = np.flatnonzero(np.diff(of, prepend=of[:1] + 1, append=of[-1:] + 1))
                 yield batch_of([(int(of[a]), block.as_py(), words[a:b].tobytes(), n[a:b].tobytes())
                                 for a, b in zip(edges, edges[1:])], schema)
-    back = "block bigint, bucket bigint, c binary, new bigint"
+    back = "block bigint, bucket bigint, c binary, new bigint, words binary, n binary, tokens bigint"
     back_schema = arrow_schema(back)
 
     def add_up(bucket, held):
         words, place = np.unique(np.concatenate([w for _, w, _ in held]), return_inverse=True)
         c = np.bincount(place, np.concatenate([n for _, _, n in held]), len(words)).astype("<u4")
-        at, out = 0, []
+        at, out, often = 0, [], c >= MIN_COUNT
         for k, (block, own, _) in enumerate(held):
-            out.append((block, bucket, c[place[at:at + len(own)]].tobytes(), int((c > 0).sum()) if k == 0 else 0))
+            once = (int((c > 0).sum()), words[often].tobytes(), c[often].tobytes(), int(c.sum(dtype=np.int64)))
+            out.append((block, bucket, c[place[at:at + len(own)]].tobytes(), *(once if k == 0 else (0, None, None, 0))))
             at += len(own)
         return batch_of(out, back_schema)
 
@@ -318,15 +435,18 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
 
     Both scores are log10 probabilities of the whole text with its end.  The base is the smoothed unigram over the exact
     counts of all training documents (crc32 of the id as text, mod 5, isn't 1).  The model gives each token the normalised
-    probability of its class; a word of the shared class also that of the word among these by smoothed counts.  A null or
+    probability of its word (of its class, and of the word in the class, both by context); a word of fewer than ``MIN_COUNT``
+    training tokens has the probability of such a word by context times its own among these by smoothed counts.
+    ``size`` words have classes of their own; the number of the model's words grows with the corpus.  A null or
     empty text is its end alone; a null id counts as an empty one (training); repeated rows each give a row and count;
     without training documents all counts are 0; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     blocks = stage(token_blocks(docs, block_tokens, id_col, text_col), "blocks")
-    model, total = fit(blocks, size)
+    counted = stage(_counts(blocks), "counts")
+    model, total, known = fit(blocks, counted, size)
     shared = spark.sparkContext.broadcast(model)
-    counted = _counts(blocks)
+    counted = counted.select("block", "bucket", "c", "new")
     empty = {"doc_ids": "array<bigint>", "sizes": "array<bigint>", "vocab": "binary", "stream": "binary"}
     rows = counted.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()}).unionByName(
         blocks.select("block", F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("c"),
@@ -339,11 +459,11 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
         sizes = np.array(row["sizes"], np.int64)
         stream, vocab = np.frombuffer(row["stream"], "<u4"), np.frombuffer(row["vocab"], "<u8")
         c = np.concatenate(counts)
-        classes = lm.classes(vocab)
-        ids = classes[stream]
+        words = lm.classes(vocab)
+        ids = words[stream]
         begin = np.cumsum(sizes) - sizes
         logs = np.log10(c + 0.5)
-        other = classes == len(lm.words)
+        other = words == len(lm.words)
         add = [np.add.reduceat(x, begin) for x in (logs[stream], lm.log_probabilities(ids, sizes),
                                                    np.where(other, logs, 0.0)[stream], other[stream].astype(np.int64),
                                                    (c > 0)[stream].astype(np.int64))]
@@ -368,16 +488,8 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     found = stage(rows.mapInArrow(run, SCORES), "scores")
     distinct = found.agg(F.sum("new_words")).first()[0] or 0
     base = float(np.log10(total + 0.5 * (distinct + 1)))
-    named = float(((model.noise[:-1]) > 0).sum())
-    rest = max(0.0, total - _known_tokens(model, total))
-    other = float(np.log10(rest + 0.5 * (max(0.0, distinct - named) + 1)))
+    other = float(np.log10(total - known + 0.5 * (distinct - len(model.words) + 1)))
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base_log") - F.col("n_tokens") * base).alias("base_score"),
         (F.col("class_log") + F.col("other_log") - F.col("n_other") * other).alias("score"))
-
-
-def _known_tokens(model: Model, total: int) -> float:
-    """Training tokens of the words with a class, from the noise distribution that holds their counts."""
-    k = len(model.words)
-    return float((model.noise[:-1] * (total + 0.5 * (k + 1)) - 0.5).sum())

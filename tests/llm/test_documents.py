@@ -436,6 +436,31 @@ def test_language_model_is_normalised_and_learns():
     assert abs(total - 1) < 1e-5
 
 
+def test_language_model_has_every_frequent_word_with_exact_counts(spark):
+    # Each block has many more frequent words of its own than the common word, which still counts in all blocks.
+    docs = [(i, " ".join([f"w{i}x{k}" for k in range(5000)] * 5 + ["common"] * 2)) for i in range(8)]
+    blocks = lm_score.token_blocks(spark.createDataFrame(docs, "doc_id bigint, text string"), 1000).cache()
+    words, counts, total = lm_score.vocabulary(lm_score._counts(blocks))
+    learn = [(i, t) for i, t in docs if not lm_score.is_held_out(i)]
+    true = collections.Counter(int(h) for _, t in learn for h in lm_score.token_hashes(t))
+    assert total == sum(true.values())
+    assert dict(zip(words.tolist(), counts.tolist())) == {w: n for w, n in true.items() if n >= lm_score.MIN_COUNT}
+    assert len(words) > 4096
+
+
+def test_both_levels_of_the_language_model_are_normalised_and_learn():
+    ids = np.tile(np.arange(30), 600)
+    sizes = np.full(600, 30)
+    model = lm_score.Model.start(np.arange(30, dtype=np.uint64), np.full(30, 600.0), 5.0, head=4)
+    before = model.log_probabilities(ids, sizes).mean()
+    for seed in range(3):
+        model.train(ids, sizes, rate=0.2, seed=seed)
+    assert model.log_probabilities(ids, sizes).mean() > before + 0.3
+    for context in ([0, 1], [20, 21], [30, 7]):
+        total = sum(10 ** model.log_probabilities(np.array([*context, k]), np.array([3]))[-1] for k in range(31))
+        assert abs(total - 1) < 1e-4
+
+
 def test_language_model_of_odd_rows(odd, empty):
     rows = lm_score.score(odd, block_tokens=1000).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
