@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, id_and_text, stage
@@ -23,6 +23,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 TREES, DEPTH = 16, 8
 BLOCK = 1 << 18  # shingles of one side of a verification block
+MEMBERS = 2000   # texts of one side, whose pairs a block holds as arrays
 
 _RNG = np.random.default_rng(20)
 _A = (_RNG.integers(0, 1 << 31, TREES * DEPTH) * 2 + 1).astype(np.uint32)
@@ -173,15 +174,20 @@ def _classes(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _parts(block: int = BLOCK, members: int = MEMBERS) -> Column:
+    """Into how many parts a bucket of ``members`` texts with ``size`` shingles is dealt."""
+    return F.greatest(F.ceil(F.col("size") / F.lit(block)), F.ceil(F.col("members") / F.lit(members))).cast("int")
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE,
-           block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           block: int = BLOCK, members: int = MEMBERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, class_id, links`` for every row of ``docs``.
 
     ``links`` counts the other rows whose text is equal or has a Jaccard similarity of at least ``threshold`` on word
     shingles; ``class_id`` is the least doc_id of the rows connected by links (null where no member has an id).  A null
     text is empty; texts without words are linked to equal texts only.  Repeated rows each give a row and count as links
     of each other; other columns are not read.  Pairs are never written: a block of candidates yields a count for each
-    member and a spanning forest, and the members of a large bucket are dealt out to blocks of bounded size.
+    member and a spanning forest, and the members of a large bucket are dealt out to blocks of bounded numbers of shingles and members.
     """
     rows = stage(_signed_rows(id_and_text(docs, id_col, text_col), prefix_length(threshold, recall), shingle), "signatures")
     texts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"),
@@ -193,7 +199,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
                                                 F.bit_xor(F.xxhash64("digest")).alias("x"),
                                                 F.bit_xor(F.xxhash64(F.reverse("digest"))).alias("y")).where("members > 1"))
     buckets = buckets.groupBy("x", "y", "members", "size").agg(F.min(F.struct("tree", "key")).alias("b"))
-    buckets = buckets.select("b.*", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("parts"))
+    buckets = buckets.select("b.*", _parts(block, members).alias("parts"))
     part = F.pmod(F.xxhash64("digest", F.lit("part")), F.col("parts")).cast("int").alias("part")
     seats = seats.join(buckets, ["tree", "key"]).select("digest", "tree", "key", "parts", part)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

@@ -165,6 +165,15 @@ def test_large_groups_of_near_copies_are_split_without_losing_links(spark, block
     assert sorted(tuple(r) for r in got.select("doc_id", "class_id", "links").collect()) == sorted(brute_groups(docs))
 
 
+def test_many_short_near_copies_come_in_blocks_of_bounded_members(spark):
+    buckets = spark.createDataFrame([(30_000, 390_000), (1 << 18, 1 << 18), (60, 1 << 20), (2, 5)], "members bigint, size bigint")
+    assert [r[0] for r in buckets.select(jaccard_join._parts()).collect()] == [15, 132, 4, 1]
+    base = " ".join(f"t{k}" for k in range(16))  # 17 words, the last one running: 12 of 13 shingles shared
+    docs = [(i, f"{base} n{i}") for i in range(60)]
+    got = jaccard_join.groups(spark.createDataFrame(docs, "doc_id bigint, text string"), members=20)
+    assert sorted(tuple(r) for r in got.select("doc_id", "class_id", "links").collect()) == sorted(brute_groups(docs))
+
+
 def test_jaccard_of_odd_rows(odd, empty):
     docs = [(r[0], r[1]) for r in odd_rows()]
     got = jaccard_join.groups(odd).select("doc_id", "class_id", "links").collect()
