@@ -181,10 +181,11 @@ def _parts(block: int = BLOCK, members: int = MEMBERS) -> Column:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE,
            block: int = BLOCK, members: int = MEMBERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, class_id, links`` for every row of ``docs``.
+    """``doc_id, digest, class_id, links, root`` for every row of ``docs``.
 
     ``links`` counts the other rows whose text is equal or has a Jaccard similarity of at least ``threshold`` on word
-    shingles; ``class_id`` is the least doc_id of the rows connected by links (null where no member has an id).  A null
+    shingles; ``class_id`` is the least doc_id of the rows connected by links (null where no member has an id); ``root`` names
+    the class itself, because several classes may have the same least id.  A null
     text is empty; texts without words are linked to equal texts only.  Repeated rows each give a row and count as links
     of each other; other columns are not read.  Pairs are never written: a block of candidates yields a count for each
     member and a spanning forest, and the members of a large bucket are dealt out to blocks of bounded numbers of shingles and members.
@@ -232,7 +233,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     texts = texts.join(counts, "digest", "left").join(roots, "digest", "left").select(
         "digest", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "digest").alias("root"))
     named = texts.join(texts.groupBy("root").agg(F.min("first").alias("class_id")), "root").select(
-        "digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("links"))
+        "digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("links"), "root")
     return rows.select("doc_id", "digest").join(named, "digest")
 
 
@@ -242,9 +243,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     Of rows with equal id and text one stays.  A class without ids keeps a row with a null id.
     """
     found = groups(docs, threshold, id_col=id_col, text_col=text_col)
-    least = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("digest")).alias("text_class")).agg(
-        F.min("digest").alias("any"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("digest"))).alias("own"))
-    chosen = least.select(F.col("class_id").alias("_chosen_id"), F.coalesce("own", "any").alias("_chosen_digest"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
+    chosen = least.select(F.col("least.doc_id").alias("_chosen_id"), F.col("least.digest").alias("_chosen_digest"))
     digest = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))
     kept = docs.withColumn("_digest", digest)
     kept = kept.join(chosen, kept[id_col].cast("bigint").eqNullSafe(chosen["_chosen_id"])

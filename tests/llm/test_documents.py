@@ -186,6 +186,15 @@ def test_jaccard_of_odd_rows(odd, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_classes_of_one_id_are_kept_apart_and_classes_without_ids_together(spark):
+    other, near = "quite another text of seven words here", LONG.replace("word7 ", "changed ", 1)
+    docs = [(1, PROSE), (1, other), (2, other), (None, LONG), (None, near), (None, "alone")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    texts = sorted((r.doc_id or -1, r.text) for r in kept)
+    assert texts[2:] == sorted([(1, PROSE), (1, other)]) and len(texts) == 4
+    assert {t for _, t in texts[:2]} in ({LONG, "alone"}, {near, "alone"})
+
+
 def test_prefixes_are_shortened_to_the_target():
     depth = jaccard_join.prefix_length(0.8, 0.999)
     assert 1 - (1 - 0.8 ** depth) ** jaccard_join.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
