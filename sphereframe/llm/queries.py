@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language, lm_score, packing, quality, secret_scan, token_store, tokens, warc
+from . import (chat, decontaminate, fingerprints, jaccard_join, language, lm_score, packing, prefix_trie, quality, secret_scan,
+               spelling, token_store, tokens, warc)
 from .common import scratch, stage, table
 
 QUERIES = {}
@@ -118,3 +119,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to, TRUE AS verified
 FROM p LEFT JOIN k USING (d, n)
 """
+
+
+@register
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    path = scratch(spark, "chat")
+    chat.write(own.unionByName(more), path)
+    return chat.digests(spark, path)
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
