@@ -137,7 +137,7 @@ def steps(rows: DataFrame) -> DataFrame:
         "conv_id", (F.col("pos") + 1).alias("depth"), F.col("state")[1].alias("k1"), F.col("state")[3].alias("k2"),
         F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("words"))
     lines = stage(lines, "lines")
-    shared = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stage(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     return stage(lines.join(shared, KEY, "left").select("conv_id", *KEY, "words", F.col("members").isNotNull().alias("shared")), "steps")
 
 
