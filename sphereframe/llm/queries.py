@@ -7,12 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, fingerprints, jaccard_join, language, lm_score, packing, prefix_trie, quality, secret_scan,
-               spelling, token_store, tokens, warc)
+from . import (chat, decontaminate, fingerprints, jaccard_join, language, lm_score, oracle, packing, prefix_trie, quality,
+               secret_scan, spelling, token_store, tokens, warc)
 from .common import scratch, stage, table
 
 QUERIES = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)
 
 
 def register(fn):

@@ -78,10 +78,13 @@ def signature(word: str, rank: dict[str, int], counts: dict[str, int]) -> tuple[
 
 
 def keys(words: DataFrame) -> DataFrame:
-    """``word, n, pivot, side, gram, rest``: a row for each pivot or prefix bigram and side that an edit may leave equal."""
+    """``word, n, letters, pivot, side, gram, rest``: a row for each pivot or prefix bigram and side that an edit may leave equal.
+
+    ``letters`` is a bit mask of the letters that occur; an edit changes two bits at most.
+    """
     counts = gram_counts(words)
     rank = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
-    ddl = "word string, n bigint, pivot boolean, side int, gram string, rest string"
+    ddl = "word string, n bigint, letters bigint, pivot boolean, side int, gram string, rest string"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +92,13 @@ def keys(words: DataFrame) -> DataFrame:
             out = []
             for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pivots, prefix = signature(word, rank, counts)
+                mask = 0
+                for letter in word:
+                    mask |= 1 << ord(letter) % 63
                 for pivot, places in ((True, pivots), (False, prefix)):
                     for i in places:
-                        out += [(word, n, pivot, 0, word[i:i + 2], word[:i]), (word, n, pivot, 1, word[i:i + 2], word[i + 2:])]
+                        out += [(word, n, mask, pivot, 0, word[i:i + 2], word[:i]),
+                                (word, n, mask, pivot, 1, word[i:i + 2], word[i + 2:])]
             yield batch_of(out, schema)
     return words.select("word", "n").mapInArrow(run, ddl)
 
@@ -100,9 +107,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """``word, n, other, other_n``: both directions of each pair of words exactly one edit apart."""
     rows = stage(keys(words), "grams")
     join = ["side", "gram", "rest"]
-    left = rows.where("pivot").select(*join, F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = rows.where("not pivot").select(*join, F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = left.join(right, join).where((F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1))
+    left = rows.where("pivot").select(*join, F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("letters").alias("a_l"))
+    right = rows.where("not pivot").select(*join, F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("letters").alias("b_l"))
+    alike = (F.bit_count(F.col("a_l").bitwiseXOR(F.col("b_l"))) <= 2) & (F.abs(F.length("a") - F.length("b")) <= 1)
+    met = left.join(right, join).where(alike & (F.levenshtein("a", "b", 1) == 1))
     one, two = F.struct(F.col("a").alias("word"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"))
     pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
     both = pairs.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"))
