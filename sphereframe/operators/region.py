@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..sources import grids, store
-from . import sampling
+from ..sources import grids
+from ..sources.blocks import BlockStore
+from . import blocks, sampling
 
 BOUNDS = ["west", "south", "east", "north"]
 
@@ -79,13 +80,12 @@ def region_query(requests: DataFrame, field: DataFrame, n: int, *, signed_root:
     return sampling.sample_cube(g.add_lonlat_direction(pixels), field, n, prune=prune).drop(*g.VEC)
 
 
-def region_query_stored(requests: DataFrame, path: str, native_height: int | None = None) -> DataFrame:
-    """Region grids of all good requests from a saved cube field; only the blocks under the requests are read."""
-    spark = requests.sparkSession
-    info = store.read_manifest(spark, f"{path}/identity")
+def region_query_stored(requests: DataFrame, stored: BlockStore, native_height: int | None = None) -> DataFrame:
+    """Region grids of all good requests from a field in blocks; only the blocks under the requests are read and checked."""
     pixels = g.add_lonlat_direction(region_pixels(good_requests(requests, native_height)))
-    blocks = store.load_blocks(spark, path, info["values"])
-    return sampling.sample_stored_cube(pixels, blocks, info["intervals"], info["block"]).drop(*g.VEC)
+    if stored.lattice.kind == "cube":
+        return blocks.sample_cube(pixels, stored).drop(*g.VEC)
+    return blocks.sample_lonlat(g.add_lonlat_node(pixels, stored.lattice.size), stored).drop(*g.VEC, "ny", "nx")
 
 
 def region_query_lonlat(requests: DataFrame, field: DataFrame, h: int, *, signed_root: str | None = None,
@@ -121,3 +121,11 @@ def export_window(field: DataFrame, h: int, height: int,
     per = F.lit(180.0 / h)
     return s.withColumns({"lon": F.lit(-180.0) + F.col("nx") * per, "lat": F.lit(90.0) - F.col("ny") * per}
                          ).drop("nx", "ny")
+
+
+def export_stored(stored: BlockStore, height: int, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The same from a longitude/latitude field in blocks, of which a window reads and checks those under it."""
+    h = stored.lattice.size
+    s = blocks.sample_lonlat(grids.window_pixels(stored.spark, h, height, window), stored)
+    per = F.lit(180.0 / h)
+    return s.withColumns({"lon": F.lit(-180.0) + F.col("nx") * per, "lat": F.lit(90.0) - F.col("ny") * per}).drop("nx", "ny")

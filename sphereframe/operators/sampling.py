@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources import grids
 from ..sources.store import cut_lineage
-from .lookup import broadcast_if_bounded, keyed_lookup, pin
+from .lookup import keyed_lookup, pin
 
 CUBE_KEY = ["face", "y", "x"]
 
@@ -100,13 +100,13 @@ def lonlat_cells(field: DataFrame, h: int, needed: DataFrame | None = None,
     return _cells(field, extra, value_columns(field, [*extra, "y", "x"]), h, 2 * h, 2 * h, needed)
 
 
-def _blend(v: str) -> Column:
+def blend(v: str) -> Column:
     fy, fx, one = F.col("__fy"), F.col("__fx"), F.lit(1.0)
     return ((one - fy) * ((one - fx) * F.col(f"__{v}_0") + fx * F.col(f"__{v}_1"))
             + fy * ((one - fx) * F.col(f"__{v}_2") + fx * F.col(f"__{v}_3")))
 
 
-def _split_index(df: DataFrame, y, x, rows: int, cols: int) -> DataFrame:
+def split_index(df: DataFrame, y, x, rows: int, cols: int) -> DataFrame:
     """Integer cell and fraction; the last row of nodes belongs to the last cell.
 
     Keys never become NULL: a missing coordinate falls in cell -1, which holds nothing.  Join
@@ -125,7 +125,7 @@ def _interpolate(points: DataFrame, cells_of, keys: list[str], values: list[str]
     needed = points.select(*keys).distinct() if prune else None
     hit = keyed_lookup(points, cells_of(needed), keys, max_rows=max_cells,
                        spread_hot_keys=spread_hot_keys)
-    hit = hit.withColumns({o: _blend(v) for v, o in zip(values, out)})
+    hit = hit.withColumns({o: blend(v) for v, o in zip(values, out)})
     return hit.drop("cell_y", "cell_x", "__fy", "__fx",
                     *[f"__{v}_{s}" for v in values for s in range(4)])
 
@@ -142,7 +142,7 @@ def sample_cube(points: DataFrame, field: DataFrame, n: int, *, v=g.VEC,
     kept = points.columns
     out = list(out or values)
     p = g.add_cube_coordinates(points, n, v, ("__face", "__cy", "__cx"))
-    p = _split_index(p.withColumnRenamed("__face", "__pf"), F.col("__cy"), F.col("__cx"), n, n)
+    p = split_index(p.withColumnRenamed("__face", "__pf"), F.col("__cy"), F.col("__cx"), n, n)
     p = p.drop("__cy", "__cx")
     cells = lambda needed: cube_cells(
         field, n, None if needed is None else needed.withColumnRenamed("__pf", "face")
@@ -152,31 +152,6 @@ def sample_cube(points: DataFrame, field: DataFrame, n: int, *, v=g.VEC,
     return done.select(*kept, *out)
 
 
-def touched_blocks(points: DataFrame, n: int, block: int, v=g.VEC) -> DataFrame:
-    """Distinct ``face, by, bx`` of the stored blocks that hold the corners of the points' cells."""
-    p = g.add_cube_coordinates(points, n, v, ("face", "__cy", "__cx")).select("face", "__cy", "__cx")
-    p = _split_index(p, F.col("__cy"), F.col("__cx"), n, n).select("face", "cell_y", "cell_x").distinct()
-    size = F.lit(block)
-    corners = [F.struct(F.floor((F.col("cell_y") + dy) / size).cast("int").alias("by"),
-                        F.floor((F.col("cell_x") + dx) / size).cast("int").alias("bx")) for dy in (0, 1) for dx in (0, 1)]
-    p = p.select("face", F.explode(F.array(*corners)).alias("__b")).select("face", "__b.*")
-    # A missing coordinate falls before the first block.  The filter also tells the optimiser that pruning pays.
-    return p.where((F.col("by") >= 0) & (F.col("bx") >= 0)).distinct()
-
-
-def sample_stored_cube(points: DataFrame, blocks: DataFrame, n: int, block: int, *, v=g.VEC) -> DataFrame:
-    """Bilinear values from a stored field (:func:`sphereframe.sources.store.load_blocks`).
-
-    The blocks that the points touch are found first, on the side of the points; joining them on the
-    table's partition columns prunes the scan to their files, and cells are built from those only.
-    There are at most ``6 (n / block + 1)^2`` blocks, so their list has a proven bound.
-    """
-    most = 6 * (n // block + 1) ** 2
-    needed = broadcast_if_bounded(touched_blocks(points, n, block, v), most)
-    field = blocks.join(needed, ["face", "by", "bx"], "left_semi").drop("by", "bx")
-    return sample_cube(points, field, n, v=v, prune=True)
-
-
 def sample_cube_nearest(points: DataFrame, field: DataFrame, n: int, *, v=g.VEC,
                         spread_hot_keys: bool = False) -> DataFrame:
     """Value of the nearest node on the owning face."""
@@ -205,7 +180,7 @@ def sample_lonlat(points: DataFrame, field: DataFrame, h: int, *, ny="ny", nx="n
     values = value_columns(field, [*extra, "y", "x"])
     kept, out = points.columns, list(out or values)
     p = points.withColumns(dict(zip(("__y", "__x"), g.fold_lonlat(ny, nx, h))))
-    p = _split_index(p, F.col("__y"), F.col("__x"), h, 2 * h).drop("__y", "__x")
+    p = split_index(p, F.col("__y"), F.col("__x"), h, 2 * h).drop("__y", "__x")
     done = _interpolate(p, lambda needed: lonlat_cells(field, h, needed, extra),
                         [*extra, "cell_y", "cell_x"], values, out, max_fields * 2 * h * h,
                         prune, spread_hot_keys)
@@ -277,7 +252,7 @@ def read_chart(requests: DataFrame, field: DataFrame, n: int, nearest: bool = Fa
         hit = keyed_lookup(p, table, ["__pf", "__iy", "__ix"], max_rows=6 * (n + 1) ** 2,
                            spread_hot_keys=spread_hot_keys)
         return hit.select(*requests.columns, *[F.col(f"__v_{v}").alias(v) for v in values])
-    p = _split_index(p, F.col("__py"), F.col("__px"), n, n).drop("__py", "__px")
+    p = split_index(p, F.col("__py"), F.col("__px"), n, n).drop("__py", "__px")
     cells = cube_cells(field, n).withColumnRenamed("face", "__pf")
     done = _interpolate(p, lambda _: cells, ["__pf", "cell_y", "cell_x"], values, values,
                         6 * n * n, False, spread_hot_keys)
@@ -317,7 +292,7 @@ def at_scaled_nodes(nodes: DataFrame, field: DataFrame, n_old: int, n_new: int,
     """Coarse field values at fine nodes: the fine index divided by the resolution ratio."""
     ratio = F.lit(n_old / n_new)
     kept = nodes.columns
-    p = _split_index(nodes, F.col("y") * ratio, F.col("x") * ratio, n_old, n_old)
+    p = split_index(nodes, F.col("y") * ratio, F.col("x") * ratio, n_old, n_old)
     done = _interpolate(p, lambda needed: cube_cells(field, n_old, needed),
                         ["face", "cell_y", "cell_x"], values, values, 6 * n_old * n_old,
                         prune, False)

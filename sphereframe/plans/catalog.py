@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from ..functions import climate_math as cm
 from ..functions import geometry as g
 from ..operators import climate, distribution, filters, quality, raster, region, sampling, tiles
-from ..sources import grids, guide, store
+from ..operators import blocks as block_reads
+from ..sources import blocks, grids, guide, store
 from ..streaming import requests as stream
 from . import inputs
 
@@ -195,15 +196,59 @@ def region_query_multi(spark, d):
                                     signed_root="v").select("request_id", "row_i", "col_i", "v"))
 
 
+def _cube_blocks(spark, d, kind="float"):
+    lattice = blocks.Lattice("cube", inputs.sizes(spark, d).n, 8)
+    path = _scratch(spark, "cube-blocks")
+    blocks.write_blocks(inputs.cube_field(spark, d), path, lattice, {"source": "lineitem"}, kind)
+    return blocks.open_blocks(spark, path, {"source": "lineitem"})
+
+
+def _lonlat_blocks(spark, d):
+    path = _scratch(spark, "lonlat-blocks")
+    field = inputs.node_field(spark, d).withMetadata("v", {"units": "m"})
+    blocks.write_blocks(field, path, blocks.Lattice("lonlat", inputs.sizes(spark, d).h, 8), {})
+    return blocks.open_blocks(spark, path, units={"v": "m"})
+
+
 @register
 def region_query_stored(spark, d):
-    """The same requests from a field saved in blocks, of which the touched ones are read."""
-    path = _scratch(spark, "blocks")
-    store.write_cube_field(inputs.cube_field(spark, d), path, inputs.sizes(spark, d).n, {"units": "m"}, block=8)
-    out = region.region_query_stored(inputs.requests(spark, d), path)
+    """The same requests from a field saved in blocks, of which the touched ones are read and checked."""
+    out = region.region_query_stored(inputs.requests(spark, d), _cube_blocks(spark, d))
     return tidy(out.select("request_id", "row_i", "col_i", "v"), 3)
 
 
+@register
+def region_query_lonlat_stored(spark, d):
+    out = region.region_query_stored(inputs.requests(spark, d), _lonlat_blocks(spark, d))
+    return tidy(out.select("request_id", "row_i", "col_i", "v"), 3)
+
+
+@register
+def export_stored(spark, d):
+    """A window over the date line and the whole half-resolution grid, both from one saved field."""
+    stored, h = _lonlat_blocks(spark, d), inputs.sizes(spark, d).h
+    window = region.export_stored(stored, h, _dateline(h)).withColumn("grid", F.lit("window"))
+    return tidy(window.unionByName(region.export_stored(stored, h // 2).withColumn("grid", F.lit("global"))), 3)
+
+
+@register
+def block_damage(spark, d):
+    """Blocks of three faces whose values changed on disk after they were saved, found by reading the whole field and by
+    reading every fourth block only."""
+    s = _cube_blocks(spark, d)
+    hit = (F.col("by") * 5 + F.col("bx") * 3 + F.col("face")) % 3 == 0
+    changed = s.read().withColumn("v", F.when(hit & (F.col("face") % 2 == 1), F.transform("v", lambda e: e + F.lit(1).cast("float"))).otherwise(F.col("v")))
+    path = _scratch(spark, "damaged")
+    changed.withColumn("part", F.shiftright("z", s.lattice.folder_shift).cast("int")).write.partitionBy("part").parquet(f"{path}/field")
+    for k in range(s.info["levels"]):
+        s._level(k).write.parquet(f"{path}/digests/level={k}")
+    store.write_manifest(spark, f"{path}/identity", s.info)
+    other = blocks.open_blocks(spark, path)
+    some = s.read().select("z").where("z % 4 = 0")
+    found = other.damaged().withColumn("read", F.lit("all")).unionByName(other.damaged(some).withColumn("read", F.lit("fourth")))
+    return tidy(found.select("read", "face", F.col("by").alias("block_y"), F.col("bx").alias("block_x")))
+
+
 @register
 def region_query_lonlat(spark, d):
     out = region.region_query_lonlat(inputs.requests(spark, d), inputs.node_field(spark, d), inputs.sizes(spark, d).h)
@@ -528,6 +573,15 @@ def tile_score_stencil(spark, d):
     return tidy(tiles.blend_cube(tiles.score_tiles(contexts, tiles.stencil_scorer(0.25), 8), n, 8))
 
 
+@register
+def tile_score_blocks(spark, d):
+    """The same tiles put together from stored blocks by slicing."""
+    stored = _cube_blocks(spark, d, "double")
+    n = stored.lattice.size
+    contexts = block_reads.gather_context(grids.tile_plan(spark, n, 8, 4, True), stored, 8, 8, "v")
+    return tidy(tiles.blend_cube(tiles.score_tiles(contexts, tiles.stencil_scorer(0.25), 8), n, 8))
+
+
 @register
 def tile_score_channels(spark, d):
     """Two context channels and a coarse condition go in, two blended channels come out."""

@@ -127,6 +127,11 @@ REGION_LL = [("rp", f"SELECT *, {lonlat_node(H)} FROM region_d")] + lonlat_looku
 SQL["region_query_lonlat"] = query(
     ["region_d", "node_field"], f"SELECT request_id, row_i, col_i, {r('lon')} AS lon, {r('lat')} AS lat, {r('v_s')} AS v FROM s", REGION_LL)
 
+NODE32 = ("f", "SELECT y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM node_field")
+SQL["region_query_lonlat_stored"] = query(
+    ["region_d", "node_field"], f"SELECT request_id, row_i, col_i, {r('v_s', 3)} AS v FROM s",
+    [NODE32, ("rp", f"SELECT *, {lonlat_node(H)} FROM region_d")] + lonlat_lookup("s", "rp", "f", H, ["v"]))
+
 WIN = (f"SELECT i AS row_i, j AS col_i, i+{H}/2-4+0.5e0 AS ny, j+2*{H}-8+0.5e0 AS nx FROM range(8) a(i), range(16) b(j)")
 SQL["export_window_dateline"] = query(
     ["node_field"], f"SELECT row_i, col_i, {r('v_s')} AS v, {r(f'-180+nx*180e0/{H}')} AS lon, {r(f'90-ny*180e0/{H}')} AS lat FROM s",
@@ -135,6 +140,16 @@ SQL["export_global_half"] = query(
     ["node_field"], f"SELECT row_i, col_i, {r('v_s')} AS v FROM s",
     [("p", f"SELECT i AS row_i, j AS col_i, (i+0.5e0)*2 AS ny, (j+0.5e0)*2 AS nx FROM range(CAST({H}/2 AS BIGINT)) a(i), range({H}) b(j)")]
     + lonlat_lookup("s", "p", "node_field", H, ["v"]))
+SQL["export_stored"] = query(
+    ["node_field"], f"SELECT grid, row_i, col_i, {r('v_s', 3)} AS v, {r(f'-180+nx*180e0/{H}', 3)} AS lon, {r(f'90-ny*180e0/{H}', 3)} AS lat FROM s",
+    [NODE32, ("p", f"SELECT 'window' AS grid, * FROM ({WIN}) UNION ALL SELECT 'global', i, j, (i+0.5e0)*2, (j+0.5e0)*2 "
+              f"FROM range(CAST({H}/2 AS BIGINT)) a(i), range({H}) b(j)")] + lonlat_lookup("s", "p", "f", H, ["v"]))
+_Z = " + ".join(f"((block_y >> {k}) & 1) * {2 ** (2 * k + 1)} + ((block_x >> {k}) & 1) * {2 ** (2 * k)}" for k in range(12))
+SQL["block_damage"] = query(
+    ["cube_field"], "SELECT 'all' AS \"read\", face, block_y, block_x FROM b UNION ALL SELECT 'fourth', face, block_y, block_x FROM b WHERE z % 4 = 0",
+    [("k", f"SELECT DISTINCT CAST(face AS BIGINT) AS face, CAST(LEAST(FLOOR(y/8e0), CEIL({N}/8e0)-1) AS BIGINT) AS block_y, "
+      f"CAST(LEAST(FLOOR(x/8e0), CEIL({N}/8e0)-1) AS BIGINT) AS block_x FROM cube_field"),
+     ("b", f"SELECT *, {_Z} AS z FROM k WHERE (block_y*5 + block_x*3 + face) % 3 = 0 AND face % 2 = 1")])
 SQL["window_equals_global"] = query(
     ["node_field"], "SELECT COUNT(*) AS pixels, COUNT(*) FILTER (ROUND(s.v_s, 6) IS DISTINCT FROM ROUND(t.v_s, 6)) AS different FROM s "
     f"LEFT JOIN t ON t.row_i = s.row_i+{H}/2-4 AND t.col_i = (s.col_i+2*{H}-8) % (2*{H})",
@@ -337,6 +352,7 @@ STENCIL = (context_cells("cx0", N, 8, 4, nearest_read)
                "JOIN cx0 b ON b.face=a.face AND b.ty=a.ty AND b.tx=a.tx AND b.dy=a.dy AND b.dx=(a.dx+7)%8 "
                "JOIN cx0 c ON c.face=a.face AND c.ty=a.ty AND c.tx=a.tx AND c.dx=a.dx AND c.dy=(a.dy+7)%8")])
 SQL["tile_score_stencil"] = query(["cube_field"], f"SELECT {FYX}, {r('v')} AS \"values\" FROM b", STENCIL + blended("b", "st", N, LINEAR, True))
+SQL["tile_score_blocks"] = SQL["tile_score_stencil"]
 SQL["tile_score_columns"] = SQL["tile_score_stencil"]
 
 CROP_CELLS = (f"SELECT f AS face, -8+8*a AS ty, -8+8*b AS tx, k, (-8+8*a)/4e0-1+k//4 AS y, (-8+8*b)/4e0-1+k%4 AS x "

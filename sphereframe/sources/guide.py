@@ -11,7 +11,7 @@ from ..functions import climate_math as cm
 from ..functions import geometry as g
 from ..operators import distribution, raster, sampling
 from . import grids
-from .store import CUBE_KEY, _exists, cut_lineage
+from .store import CUBE_KEY, exists, cut_lineage
 
 CHANNELS = cm.CHANNELS
 PIXEL_SCHEMA = "row_i int, col_i int, v double"
@@ -29,7 +29,7 @@ def read_channels(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Pixel tables of whichever of the five channels a folder holds."""
     found = {c: spark.read.schema(PIXEL_SCHEMA).parquet(f"{folder}/{c}.parquet").select(
         F.lit(c).alias("band"), "row_i", "col_i", "v")
-        for c in CHANNELS if _exists(spark, f"{folder}/{c}.parquet")}
+        for c in CHANNELS if exists(spark, f"{folder}/{c}.parquet")}
     if not found:
         raise ValueError("no channel found; expected at least one of: " + ", ".join(CHANNELS))
     return found

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -36,6 +37,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once into the shared folder and read it back: lineage ends and columns stay prunable."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def content_checksum(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Order-free checksum of a table: row count, hash sum and hash xor."""
     h = F.xxhash64(*[F.col(c) for c in [*keys, *[c for c in df.columns if c not in keys]]])
@@ -63,7 +71,7 @@ def record_digest(payload) -> Column:
     return F.sha2(F.col(payload) if isinstance(payload, str) else payload, 256)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
 
@@ -71,7 +79,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_manifest(spark: SparkSession, path: str, identity: dict) -> None:
     """Create the identity of a run once; a rerun must bring exactly the same one."""
     text = json.dumps(identity, sort_keys=True)
-    if _exists(spark, path):
+    if exists(spark, path):
         if read_manifest(spark, path) != json.loads(text):
             raise ValueError("the folder belongs to a run with different settings")
         return
@@ -128,20 +136,19 @@ def _require_complete(found: dict, rows: int, name: str) -> dict:
 
 
 def write_cube_field(df: DataFrame, path: str, n: int, identity: dict, block: int = 256) -> DataFrame:
-    """Save a cube field as float32, partitioned by face and square block of ``block`` nodes.
+    """Save a cube field as a node table of float32, by face and along rows of blocks.
 
-    Refuses to overwrite.  Regional reads open the files of the blocks they touch only.  Returns the
-    saved table.
+    Refuses to overwrite.  Returns the saved table.  :mod:`sphereframe.sources.blocks` stores fields for regional reads.
     """
     spark = df.sparkSession
-    if _exists(spark, path):
-        raise FileExistsError(f"refusing to overwrite {path}")
+    if exists(spark, path):
+        raise FileExistsError(f"{path} holds a field already")
     values = [c for c in df.columns if c not in CUBE_KEY]
     out = df.select(*[F.col(k).cast("int").alias(k) for k in CUBE_KEY],
                     *[F.col(v).cast("float").alias(v) for v in values])
-    out = out.withColumns({b: F.floor(F.col(c) / F.lit(block)).cast("int") for b, c in (("by", "y"), ("bx", "x"))})
-    (out.repartitionByRange(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "y", "x")
-     .write.mode("errorifexists").partitionBy(*BLOCK_KEY).parquet(f"{path}/field"))
+    by, bx = (F.floor(F.col(c) / F.lit(block)) for c in ("y", "x"))
+    (out.repartitionByRange("face", by, bx).sortWithinPartitions("face", by, bx, "y", "x")
+     .write.mode("errorifexists").partitionBy("face").parquet(f"{path}/field"))
     saved = load_cube_field(spark, path, values)
     content = _require_complete(_survey(saved, CUBE_KEY), 6 * (n + 1) ** 2, path)
     write_manifest(spark, f"{path}/identity", {**identity, "intervals": n, "block": block, "values": values, **content})
@@ -150,13 +157,7 @@ def write_cube_field(df: DataFrame, path: str, n: int, identity: dict, block: in
 
 def load_cube_field(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
     """The table itself, with a fixed schema; :func:`open_run` also verifies it."""
-    return load_blocks(spark, path, values).select(*CUBE_KEY, *values)
-
-
-def load_blocks(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
-    """The table with its block columns ``by, bx``, which are partitions: a filter or join on them prunes files."""
-    schema = T.StructType([*field_schema(values), *[T.StructField(b, T.IntegerType()) for b in BLOCK_KEY[1:]]])
-    return spark.read.schema(schema).parquet(f"{path}/field").select(*CUBE_KEY, *values, *BLOCK_KEY[1:])
+    return spark.read.schema(field_schema(values)).parquet(f"{path}/field").select(*CUBE_KEY, *values)
 
 
 def write_grid(df: DataFrame, path: str, keys: Sequence[str], block_rows: int = 128) -> None:
@@ -169,8 +170,8 @@ def write_grid(df: DataFrame, path: str, keys: Sequence[str], block_rows: int =
 
 def write_lonlat_field(df: DataFrame, path: str, h: int, identity: dict) -> DataFrame:
     spark = df.sparkSession
-    if _exists(spark, path):
-        raise FileExistsError(f"refusing to overwrite {path}")
+    if exists(spark, path):
+        raise FileExistsError(f"{path} holds a field already")
     values = [c for c in df.columns if c not in ("y", "x")]
     out = df.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
                     *[F.col(v).cast("float").alias(v) for v in values])
@@ -212,7 +213,7 @@ def write_export(df: DataFrame, path: str, h: int, height: int, identity: dict,
         **identity, "native_height": h, "export_height": height, "window": [x, y, width, rows],
         "pixel_degrees": step, "west": -180 + x * step, "north": 90 - y * step,
         "east": -180 + (x + width) * step, "south": 90 - (y + rows) * step,
-        "sampling": "point evaluation at pixel centres"})
+        "sampling": "bilinear at the centre of each pixel"})
     write_grid(df, f"{path}/grid", ["row_i", "col_i"])
 
 
@@ -226,7 +227,7 @@ def observe_stage(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 def record_stage(df: DataFrame, path: str, keys: Sequence[str], rows: int, name: str) -> DataFrame:
     """Write a stage, read it back (this ends its lineage) and validate it; restore if present."""
     spark = df.sparkSession
-    if not _exists(spark, path):
+    if not exists(spark, path):
         df.write.mode("errorifexists").parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     _require_complete(_survey(saved, keys), rows, name)
@@ -236,7 +237,7 @@ def record_stage(df: DataFrame, path: str, keys: Sequence[str], rows: int, name:
 def snapshot_input(df: DataFrame, path: str) -> DataFrame:
     """Keep the validated input beside the results, once."""
     spark = df.sparkSession
-    if not _exists(spark, path):
+    if not exists(spark, path):
         df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -276,6 +277,6 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     schema = "ty int, tx int, values array<double>, face int"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema).select(*TILE_KEY, "values")
     return spark.read.schema(schema).parquet(path).select(*TILE_KEY, "values")

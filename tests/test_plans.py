@@ -59,21 +59,3 @@ def test_large_fields_are_not_broadcast(spark):
         field = grids.cube_nodes(spark, n).withColumn("v", F.lit(1.0))
         logical = sampling.sample_cube(points, field, n)._jdf.queryExecution().optimizedPlan().toString()
         assert ("rightHint=(strategy=broadcast)" in logical) == hinted
-
-
-def test_small_requests_read_only_their_blocks(spark, tmp_path):
-    from sphereframe.operators import region, sampling
-    from sphereframe.sources import grids, store
-    n, block, path = 32, 8, str(tmp_path / "field")
-    field = grids.cube_nodes(spark, n).withColumn("v", F.col("y") * 100.0 + F.col("x") + F.col("face"))
-    store.write_cube_field(field, path, n, {}, block=block)
-    one = spark.createDataFrame([(1, 10.0, 5.0, 12.0, 7.0, 4, 3)], "request_id int, west double, south double, east double, "
-                                "north double, width int, height int")
-    out = region.region_query_stored(one, path)
-    want = region.region_query(one, field, n)
-    assert {tuple(r) for r in out.select("row_i", "col_i", F.round("v", 3)).collect()} == {
-        tuple(r) for r in want.select("row_i", "col_i", F.round("v", 3)).collect()}
-    assert "dynamicpruning" in plan_of(out)
-    pixels = g.add_lonlat_direction(region.region_pixels(one))
-    touched = sampling.touched_blocks(pixels, n, block).count()
-    assert touched <= 4 < 6 * (n // block + 1) ** 2

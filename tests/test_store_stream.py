@@ -14,7 +14,6 @@ def test_cube_field_round_trip_and_refusals(spark, tmp_path):
     n, path = 3, str(tmp_path / "run")
     field, df = random_cube(spark, n)
     store.write_cube_field(df, path, n, {"seed": "18446744073709551615", "units": "m"}, block=2)
-    assert store.load_blocks(spark, path, ["v"]).where("by <> floor(y / 2) or bx <> floor(x / 2)").isEmpty()
     saved, info = store.open_run(spark, path, {"units": "m"})
     assert dict(saved.dtypes)["v"] == "float" and info["intervals"] == n
     assert max(abs(v - field[k]) for k, v in as_dict(saved).items()) < 1e-6
