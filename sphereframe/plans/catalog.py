@@ -11,7 +11,7 @@ from ..functions import climate_math as cm
 from ..functions import geometry as g
 from ..operators import climate, distribution, filters, quality, raster, region, sampling, tiles
 from ..operators import blocks as block_reads
-from ..sources import blocks, grids, guide, store
+from ..sources import blocks, grids, guide, store, tile_store
 from ..streaming import requests as stream
 from . import inputs
 
@@ -463,6 +463,27 @@ def tile_cost_estimate(spark, d):
     return tidy(tiles.estimate_tiles(region.good_requests(_inset_requests(spark, d)), 4096))
 
 
+@register
+def tile_cost_bitmap(spark, d):
+    return tidy(tiles.estimate_tiles_bitmap(region.good_requests(_inset_requests(spark, d)), 4096))
+
+
+@register
+def tile_cost_sketch(spark, d):
+    """Whether the approximate count of each request is within four standard errors of the exact one."""
+    r = region.good_requests(_inset_requests(spark, d))
+    both = tiles.estimate_tiles(r, 4096).join(tiles.estimate_tiles_sketch(r, 4096).withColumnRenamed("tiles", "about"), "request_id")
+    return both.select("request_id", (F.abs(F.col("about") - F.col("tiles")) <= F.greatest(
+        F.lit(1.0), F.col("tiles") * (4 * tiles.SKETCH_ERROR))).alias("within"))
+
+
+@register
+def tile_cost_stopped(spark, d):
+    """Counts that stop beyond twelve tiles, in rounds of sample rows."""
+    r = region.good_requests(_inset_requests(spark, d))
+    return tidy(tiles.estimate_tiles_until(r, 4096, 12, first_rows=1))
+
+
 @register
 def tile_cost_guard(spark, d):
     r = region.validate(_inset_requests(spark, d))
@@ -566,6 +587,14 @@ def points_clustered(spark, d):
     return tidy(p.select("point_id", "face", F.col("by").alias("tile_y"), F.col("bx").alias("tile_x")))
 
 
+@register
+def point_groups(spark, d):
+    """Ordered chunks of at most 50 points a storage tile."""
+    c = tiles.point_groups(_directed(spark, d), 64, 32, most=50)
+    return tidy(c.select("face", F.col("by").alias("tile_y"), F.col("bx").alias("tile_x"), "chunk", F.size("ids").alias("points"),
+                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")))
+
+
 @register
 def tile_score_stencil(spark, d):
     """Plan, gather with halo, score in Arrow batches, blend."""
@@ -999,10 +1028,28 @@ def stream_tile_store(spark, d):
 
     def contexts(origins):
         return tiles.gather_context(origins, field, n, 8)
+    kept = tile_store.open_tiles(spark, f"{path}/store", 8, {"model": "stencil"})
     for _ in range(2):  # the second, fresh run of the stream finds every tile saved
-        q = stream.feed_tile_store(_request_stream(spark, d), needed, contexts, tiles.stencil_scorer(), 8,
-                                   f"{path}/store", _scratch(spark, "state"))
+        q = stream.feed_tile_store(_request_stream(spark, d), needed, contexts, tiles.stencil_scorer(), kept, _scratch(spark, "state"))
         q.awaitTermination()
-    saved = store.read_tiles(spark, f"{path}/store")
-    return tidy(saved.select("face", "ty", "tx", F.aggregate(
+    return tidy(kept.read().select("face", "ty", "tx", F.aggregate(
         "values", F.lit(0.0), lambda a, v: a + v).alias("total")), 4)
+
+
+@register
+def tile_run_counts(spark, d):
+    """Tiles of half the points, then of all points, then again; between them a batch dies and one is repeated."""
+    n, field = inputs.sizes(spark, d).n, store.stage(inputs.cube_field(spark, d), "field")
+    p = g.add_cube_coordinates(_directed(spark, d), n)
+    nodes = p.select("point_id", "face", g.nearest_index("cy").alias("y"), g.nearest_index("cx").alias("x"))
+    kept = tile_store.open_tiles(spark, _scratch(spark, "store"), 8)
+    dead = spark.range(1).select(*[F.lit(0).alias(k) for k in tiles.TILE_KEY], F.array_repeat(F.lit(0.0), 64).alias("values"))
+    rows = []
+    for run, (part, batch) in enumerate(((nodes.where("point_id % 2 = 0"), "half"), (nodes, "all"), (nodes, "all"))):
+        dead.write.parquet(f"{kept.path}/data/batch=dead-{run}")  # no record names it
+        needed = tiles.tiles_for_nodes(part, n, 8, 4, include_endpoint=True)
+        out, counts = stream.score_incremental(
+            needed, lambda o: tiles.gather_context(o, field, n, 8), tiles.stencil_scorer(), kept, batch)
+        found = out.agg(F.count(F.lit(1)).alias("found"))
+        rows.append(found.select(F.lit(run + 1).alias("run"), *[F.lit(counts[k]).alias(k) for k in ("used", "reused", "scored")], "found"))
+    return tidy(rows[0].unionByName(rows[1]).unionByName(rows[2]))

@@ -284,6 +284,19 @@ EST = ([("s0", "SELECT request_id, west+3e-3 AS west, north-2e-3 AS north, CASE
        + [("t0", "SELECT DISTINCT request_id, pf, FLOOR(cy/384e0)-i AS py, FLOOR(cx/384e0)-j AS px FROM s9, range(2) a(i), range(2) b(j)"),
           ("est", f"SELECT request_id, COUNT(*) AS tiles FROM t0 WHERE py*384 <= {EST_N} AND px*384 <= {EST_N} GROUP BY request_id")])
 SQL["tile_cost_estimate"] = query(["requests"], "SELECT request_id, tiles FROM est", EST)
+SQL["tile_cost_bitmap"] = SQL["tile_cost_estimate"]
+SQL["tile_cost_sketch"] = query(["requests"], "SELECT request_id, TRUE AS within FROM est", EST)
+SQL["tile_cost_stopped"] = query(
+    ["requests"], "SELECT e.request_id, LEAST(e.tiles, 13) AS tiles, e.tiles > 12 AS exceeds, CAST(CASE WHEN COALESCE(f.tiles, 0) > 12 THEN 1 ELSE nr END AS BIGINT) AS sample_rows "
+    "FROM est e JOIN s1 USING (request_id) LEFT JOIN top f USING (request_id)",
+    EST + [("u4", f"SELECT request_id, {lonlat_direction()} FROM (SELECT request_id, west+(0.5e0+ci*(width-1)/(nc-1))*(east-west)/width AS lon, "
+                  "north-0.5e0*(north-south)/height AS lat FROM s2 WHERE ri = 0)")]
+    + cube_coordinates("u5", "u4", EST_N)
+    + [("u6", "SELECT request_id, pf AS face, cy+(a.i-1)*384 AS hy, cx+(b.j-1)*384 AS hx FROM u5, range(3) a(i), range(3) b(j)")]
+    + cube_direction("u7", "u6", EST_N, y="hy", x="hx", unit=False)
+    + [("u8", "SELECT request_id, vx, vy, vz FROM u7")] + cube_coordinates("u9", "u8", EST_N)
+    + [("tops", f"SELECT DISTINCT s9.request_id, s9.pf, FLOOR(s9.cy/384e0)-i AS py, FLOOR(s9.cx/384e0)-j AS px FROM u9 s9, range(2) a(i), range(2) b(j)"),
+           ("top", f"SELECT request_id, COUNT(*) AS tiles FROM tops WHERE py*384 <= {EST_N} AND px*384 <= {EST_N} GROUP BY request_id")])
 SQL["tile_cost_guard"] = query(
     ["requests"], "SELECT q.request_id, COALESCE(e.tiles, 0) AS tiles, CASE WHEN NOT (q.south < q.north) THEN 'bounds_order' WHEN e.tiles > 12 THEN 'too_many_tiles' END AS error "
     "FROM requests q LEFT JOIN est e USING (request_id)", EST)
@@ -648,6 +661,14 @@ SQL["stream_tile_store"] = query(
     + [("nk", f"SELECT DISTINCT kx, ky, kz FROM (SELECT {key(N)} FROM rn)"),
        ("need", "SELECT DISTINCT s.face, s.ty, s.tx FROM nk JOIN cube_field f USING (kx, ky, kz) JOIN st s ON s.face = f.face AND s.y = f.y AND s.x = f.x")])
 
+SQL["tile_run_counts"] = query(
+    ["cube_field", "dpoints"], "SELECT run, used, reused, used-reused AS scored, used AS found FROM (SELECT 1::BIGINT AS run, a AS used, 0::BIGINT AS reused FROM k "
+    "UNION ALL SELECT 2, b, a FROM k UNION ALL SELECT 3, b, b FROM k)",
+    STENCIL + CC + [("rn", f"SELECT DISTINCT point_id % 2 AS odd, pf AS face, {B('FLOOR(cy+0.5e0)')} AS y, {B('FLOOR(cx+0.5e0)')} AS x FROM c"),
+                    ("nk", f"SELECT DISTINCT odd, kx, ky, kz FROM (SELECT odd, {key(N)} FROM rn)"),
+                    ("need", "SELECT DISTINCT odd, s.face, s.ty, s.tx FROM nk JOIN cube_field f USING (kx, ky, kz) JOIN st s ON s.face = f.face AND s.y = f.y AND s.x = f.x"),
+                    ("k", "SELECT COUNT(DISTINCT (face, ty, tx)) FILTER (odd = 0) AS a, COUNT(DISTINCT (face, ty, tx)) AS b FROM need")])
+
 # ----------------------------------------------------------------------------- further compositions
 SQL["area_mean_pixels"] = query(
     ["node_field"], f"SELECT {r('SUM(w*v_s)/SUM(w)')} AS mean_v, {r('MIN(v_s)')} AS low, {r('MAX(v_s)')} AS high FROM "
@@ -705,6 +726,11 @@ SQL["tile_accounting"] = query(
 SQL["points_clustered"] = query(
     ["dpoints"], f"SELECT point_id, {B('pf')} AS face, {B('FLOOR(cy/32e0)')} AS tile_y, {B('FLOOR(cx/32e0)')} AS tile_x FROM c",
     cube_coordinates("c", "dpoints", "256e0"))
+SQL["point_groups"] = query(
+    ["dpoints"], "SELECT face, tile_y, tile_x, chunk, COUNT(*) AS points, SHA256(STRING_AGG(CAST(point_id AS VARCHAR), ',' ORDER BY point_id)) AS ids_sha256 FROM "
+    "(SELECT *, (ROW_NUMBER() OVER (PARTITION BY face, tile_y, tile_x ORDER BY point_id)-1)//50 AS chunk FROM k) GROUP BY ALL",
+    cube_coordinates("c", "dpoints", "64e0")
+    + [("k", f"SELECT point_id, {B('pf')} AS face, {B('FLOOR(cy/32e0)')} AS tile_y, {B('FLOOR(cx/32e0)')} AS tile_x FROM c")])
 _lk = ["'42'", "'9'", "'2'", "CAST(y AS VARCHAR)", f"CAST(CASE WHEN y IN (0, {H}) THEN 0 ELSE x END AS VARCHAR)"]
 SQL["seeded_gaussian_lonlat"] = query(
     ["node_field"], f"SELECT y, x, {r('g')} AS noise FROM w",

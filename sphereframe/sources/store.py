@@ -266,17 +266,3 @@ def open_run(spark: SparkSession, path: str, identity: dict) -> tuple[DataFrame,
     if any(saved[k] != v for k, v in now.items()):
         raise ValueError("saved field does not match its checksum")
     return field, saved
-
-
-# ----------------------------------------------------------------------------- tile store
-def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Append tiles, neighbours together, so that later blends merge overlaps before shuffling."""
-    (tiles.select(*TILE_KEY, "values").repartitionByRange(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
-     .write.mode("append").partitionBy("face").parquet(path))
-
-
-def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    schema = "ty int, tx int, values array<double>, face int"
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema).select(*TILE_KEY, "values")
-    return spark.read.schema(schema).parquet(path).select(*TILE_KEY, "values")

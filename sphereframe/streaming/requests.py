@@ -1,11 +1,15 @@
 """Region requests as a stream: stream-static lookups, error isolation and incremental tiles."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import region, tiles
 from ..sources import store
+from ..sources.tile_store import TileStore
 
 REQUEST_SCHEMA = ("request_id bigint, ts timestamp, west double, south double, east double, "
                   "north double, width int, height int")
@@ -30,7 +34,7 @@ def serve(requests: DataFrame, field: DataFrame, h: int, good_path: str, bad_pat
     Each micro-batch writes to its own folder, so a repeated batch replaces itself.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = region.validate(batch, native_height)
+        checked = store.stage(region.validate(batch, native_height), "checked")  # the batch is read and judged once
         (checked.where(F.col("error").isNotNull()).select("request_id", "ts", "error")
          .write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}"))
         good = checked.where(F.col("error").isNull()).drop("error")
@@ -72,28 +76,39 @@ def unique_requests(requests: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def score_incremental(needed: DataFrame, contexts_of, load, size: int, path: str, inputs=("values",),
-                      batch: int = 64) -> DataFrame:
-    """Score only tiles that are not in the store, append them, and return all needed ones.
+def score_incremental(needed: DataFrame, contexts_of, load, saved: TileStore, batch: str, inputs=("values",),
+                      rows: int = 64) -> tuple[DataFrame, dict]:
+    """Score the tiles that the store lacks, commit them as one batch, and give all needed ones with the counts of the run.
 
-    The store is checked before any context is gathered.  ``contexts_of`` maps tile keys to
-    model inputs.
+    The store is checked before any context is gathered; used and reused tiles are counted while the missing ones are
+    staged, scored ones while they are written.  ``contexts_of`` maps tile keys to model inputs.  A batch that is committed
+    scores nothing again.
     """
-    spark = needed.sparkSession
-    todo = store.cut_lineage(tiles.missing_tiles(needed, store.read_tiles(spark, path)))
-    if not todo.isEmpty():
-        store.write_tiles(tiles.score_tiles(contexts_of(todo), load, size, inputs, batch=batch), path)
-    return tiles.saved_tiles(needed, store.read_tiles(spark, path))
-
-
-def feed_tile_store(requests: DataFrame, needed_of, contexts_of, load, size: int, path: str, checkpoint: str,
+    began, seen = time.time(), Observation("needed")
+    known = saved.keys().distinct().withColumn("__saved", F.lit(True))
+    marked = needed.select(*tiles.TILE_KEY).distinct().join(known, tiles.TILE_KEY, "left")
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("used"), F.count("__saved").alias("reused"))
+    todo = store.stage(marked.where("__saved is null").drop("__saved"), "todo")
+    counts = {**seen.get, "scored": 0}
+    if counts["used"] > counts["reused"]:
+        if saved.committed(batch):
+            raise ValueError(f"batch {batch} is committed, with other tiles")
+        scored = tiles.score_tiles(contexts_of(todo), load, saved.size, inputs, batch=rows)
+        counts["scored"] = saved.append(scored, batch, used=counts["used"], reused=counts["reused"])["rows"]
+    counts["seconds"] = round(time.time() - began, 3)
+    return tiles.saved_tiles(needed, saved.read()), counts
+
+
+def feed_tile_store(requests: DataFrame, needed_of, contexts_of, load, saved: TileStore, checkpoint: str,
                     trigger: dict | None = None):
     """Keep a tile store complete for a stream of requests.
 
-    A tile is keyed by its place, so a repeated batch finds its tiles saved and adds nothing.
+    A batch of the store is named after the stream's checkpoint and the micro-batch, so a repeated one is known by name.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         good = region.good_requests(batch)
-        score_incremental(needed_of(good), contexts_of, load, size, path)
+        score_incremental(needed_of(good), contexts_of, load, saved, f"{stream}-{batch_id}")
     return (requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -9,7 +9,7 @@ from test_sampling import as_dict, close, random_cube, random_lonlat
 
 from sphereframe.functions import geometry as g
 from sphereframe.operators import filters, sampling, tiles
-from sphereframe.sources import grids, store
+from sphereframe.sources import grids, store, tile_store
 from sphereframe.streaming import requests as stream
 
 WEIGHTS = [0.1, 0.2, 0.4, 0.2, 0.1]
@@ -225,18 +225,65 @@ def test_incremental_scoring_only_adds_missing_tiles(spark, tmp_path):
     n, size = 8, 8
     _, df = random_cube(spark, n, 8)
     plan = grids.tile_plan(spark, n, size, 4, True)
-    path = str(tmp_path / "store")
+    saved = tile_store.open_tiles(spark, str(tmp_path / "store"), size, {"model": 1})
     contexts = lambda origins: tiles.gather_context(origins, df, n, size)
-    first = stream.score_incremental(plan.where("face < 2"), contexts, tiles.stencil_scorer(), size, path)
-    assert first.count() == plan.where("face < 2").count()
+    first, counts = stream.score_incremental(plan.where("face < 2"), contexts, tiles.stencil_scorer(), saved, "one")
+    third = plan.where("face = 1").count()
+    assert first.count() == 2 * third == counts["used"] == counts["scored"] and counts["reused"] == 0
 
     def never():
         raise AssertionError("a saved tile was scored again")
-    again = stream.score_incremental(plan.where("face = 1"), contexts, never, size, path)
-    assert again.count() == plan.where("face = 1").count()
-    full = stream.score_incremental(plan, contexts, tiles.stencil_scorer(), size, path)
-    saved = store.read_tiles(spark, path)
-    assert full.count() == saved.count() == saved.select("face", "ty", "tx").distinct().count() == plan.count()
+    again, counts = stream.score_incremental(plan.where("face = 1"), contexts, never, saved, "two")
+    assert again.count() == third == counts["reused"] and counts["scored"] == 0 and list(saved.commits()) == ["one"]
+    with pytest.raises(ValueError, match="other tiles"):
+        stream.score_incremental(plan, contexts, never, saved, "one")
+    full, counts = stream.score_incremental(plan, contexts, tiles.stencil_scorer(), saved, "three")
+    assert full.count() == saved.read().count() == saved.keys().distinct().count() == plan.count()
+    assert (counts["used"], counts["reused"], counts["scored"]) == (6 * third, 2 * third, 4 * third)
+    assert saved.commits()["three"]["reused"] == 2 * third and saved.differences().isEmpty()
+
+
+def test_a_batch_shows_whole_or_not_at_all(spark, tmp_path):
+    size, path = 2, str(tmp_path / "store")
+    saved = tile_store.open_tiles(spark, path, size, {"model": 1})
+    rows = lambda lo, hi: spark.range(lo, hi, 1, 4).select(F.lit(0).alias("face"), F.col("id").cast("int").alias("ty"), F.lit(0).alias("tx"),
+                                                           F.array_repeat(F.col("id").cast("double"), 4).alias("values"))
+    saved.append(rows(0, 10), "a")
+
+    def dies():
+        def predict(arrays):
+            if (arrays["values"] > 35).any():
+                raise RuntimeError("lost")
+            return arrays["values"]
+        return predict
+    with pytest.raises(Exception, match="lost"):
+        saved.append(tiles.score_tiles(rows(10, 40), dies, size), "b")
+    assert saved.read().count() == 10 and list(saved.commits()) == ["a"]
+    for wrong, text in ((F.array(F.lit(1.0)), "2 x 2"), (F.array_repeat(F.lit(float("nan")), 4), "2 x 2"), (F.lit(None).cast("array<double>"), "2 x 2")):
+        with pytest.raises(Exception, match=text):
+            saved.append(rows(10, 12).withColumn("values", wrong), "c")
+    assert saved.append(rows(10, 40), "b")["rows"] == 30
+    assert saved.append(rows(0, 99), "b")["rows"] == 30 and saved.read().count() == 40  # the repeated batch adds nothing
+    record = saved.compact()
+    assert record["rows"] == saved.read().count() == 40 and len(saved.commits()) == 1 and saved.compact() is None
+    with pytest.raises(ValueError, match="different settings"):
+        tile_store.open_tiles(spark, path, size, {"model": 2})
+
+
+def test_bad_stored_tiles_raise_when_they_are_read(spark, tmp_path):
+    saved = tile_store.open_tiles(spark, str(tmp_path / "store"), 2)
+    good = spark.createDataFrame([(0, 0, 0, [1.0, 2.0, 3.0, 4.0]), (0, 4, 0, [5.0, 6.0, 7.0, 8.0])], tile_store.SCHEMA)
+    folder = saved.append(good, "a")["folder"]
+    assert saved.differences().isEmpty()
+    bad = good.withColumn("values", F.when(F.col("ty") == 4, F.array_repeat(F.lit(float("inf")), 4)).otherwise(F.col("values")))
+    bad.write.mode("overwrite").parquet(f"{saved.path}/data/{folder}")
+    assert [r.batch for r in saved.differences().collect()] == ["a"]
+    with pytest.raises(Exception, match="stored tile 0 4 0 is invalid"):
+        saved.read().collect()
+    assert saved.keys().count() == 2
+    store.write_manifest(spark, str(tmp_path / "other/commits/x"), {})
+    with pytest.raises(ValueError, match="no manifest"):
+        tile_store.open_tiles(spark, str(tmp_path / "other"), 2)
 
 
 def test_estimate_spans_tiles_and_grows_with_the_region(spark):
@@ -246,6 +293,54 @@ def test_estimate_spans_tiles_and_grows_with_the_region(spark):
     assert 1 < got[1] < got[2]
 
 
+SIZED = "request_id int, west double, south double, east double, north double, width int, height int"
+AREAS = [(1, 0.1, 0.1, 1.0, 1.0, 4, 4), (2, -179.0, -89.0, 179.0, 89.0, 64, 32), (3, 20.0, -30.0, 60.0, 30.0, 16, 40), (4, 5.0, 5.0, 5.5, 5.2, 1, 1)]
+
+
+def test_bitmap_and_sketch_counts(spark):
+    r = spark.createDataFrame(AREAS, SIZED)
+    exact = {x.request_id: x.tiles for x in tiles.estimate_tiles(r, 16384).collect()}
+    assert {x.request_id: x.tiles for x in tiles.estimate_tiles_bitmap(r, 16384).collect()} == exact and max(exact.values()) > 500
+    sketch = {x.request_id: x.tiles for x in tiles.estimate_tiles_sketch(r, 16384).collect()}
+    assert sketch.keys() == exact.keys() and all(abs(sketch[k] - v) <= max(1, 4 * tiles.SKETCH_ERROR * v) for k, v in exact.items())
+    plan = tiles.estimate_tiles_bitmap(r, 16384)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3  # the samples, the bitmaps by block, the sums
+
+
+def test_early_stop_agrees_and_expands_less(spark):
+    r = spark.createDataFrame(AREAS, SIZED)
+    exact = {x.request_id: x.tiles for x in tiles.estimate_tiles(r, 4096).collect()}
+    for limit in (0, 8, 10_000):
+        got = {x.request_id: x for x in tiles.estimate_tiles_until(r, 4096, limit, first_rows=1).collect()}
+        assert got.keys() == exact.keys()
+        for k, v in exact.items():
+            assert got[k].exceeds == (v > limit) and got[k].tiles == min(v, limit + 1)
+    got = {x.request_id: x for x in tiles.estimate_tiles_until(r, 4096, 8, first_rows=1).collect()}
+    assert got[2].sample_rows <= 2 < 32 and got[3].sample_rows < 40 and got[4].sample_rows == 1
+    assert tiles.estimate_tiles_until(r.where("false"), 4096, 8).count() == 0
+    with pytest.raises(ValueError):
+        tiles.estimate_tiles_until(r, 4096, -1)
+
+
+def test_groups_are_bounded_ordered_and_keep_duplicates(spark):
+    i = F.col("id")
+    hot = spark.range(4000).select((i % 1500).alias("point_id"), F.lit(12.3).alias("lon"), F.lit(5.5).alias("lat"))
+    rest = spark.range(3000).select((i + 5000).alias("point_id"), ((i * 7919) % 36000 / 100 - 179.9).alias("lon"), ((i * 311) % 178 - 88.5).alias("lat"))
+    p = g.add_lonlat_direction(hot.unionByName(rest))
+    rows = tiles.point_groups(p, 64, 16, most=256, partitions=6).collect()
+    assert max(len(r.ids) for r in rows) == 256 and sum(len(r.ids) for r in rows) == 7000
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r.face, r.by, r.bx, r.chunk)):
+        seen = whole.setdefault((r.face, r.by, r.bx), [])
+        assert len(seen) == r.chunk * 256  # chunks are numbered without gaps, all but the last full
+        seen += r.ids
+    want = {}
+    for r in tiles.cluster_points(p, 64, 16).select("face", "by", "bx", "point_id").collect():
+        want.setdefault((r.face, r.by, r.bx), []).append(r.point_id)
+    assert whole == {k: sorted(v) for k, v in want.items()} and max(map(len, whole.values())) >= 4000
+    assert tiles.point_groups(p.where("false"), 64, 16).count() == 0
+
+
 def test_clustered_points_keep_all_rows_and_split_a_hot_tile(spark):
     p = spark.range(6000).select(F.col("id").alias("point_id"), F.when(F.col("id") % 2 == 0, F.lit(12.3)).otherwise(
         F.col("id") % 360 - F.lit(180.0)).alias("lon"), F.lit(5.5).alias("lat"))
