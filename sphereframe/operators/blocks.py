@@ -13,10 +13,10 @@ from . import sampling
 from .lookup import pin
 
 
-def _with_blocks(points: DataFrame, stored: BlockStore, how: str = "left") -> DataFrame:
+def _with_blocks(points: DataFrame, stored: BlockStore, check: bool = True) -> DataFrame:
     """Points with the block of their key ``z``; -1 is no block."""
-    blocks = stored.read(points.select("z").where("z >= 0"))
-    return points.join(blocks.drop("face", "by", "bx"), "z", how)
+    blocks = stored.read(points.select("z").where("z >= 0"), check)
+    return points.join(blocks.select("z", "y0", "x0", "w", *stored.values.names), "z", "left")
 
 
 def _keyed(points: DataFrame, stored: BlockStore, face: Column, y: str, x: str, also: Sequence[str] = ()) -> DataFrame:
@@ -26,12 +26,12 @@ def _keyed(points: DataFrame, stored: BlockStore, face: Column, y: str, x: str,
     return pin(points.withColumn("z", F.coalesce(z, F.lit(-1).cast("bigint"))), ["z", y, x, *also])
 
 
-def bilinear(points: DataFrame, stored: BlockStore, face: str | None, y: str, x: str) -> DataFrame:
+def bilinear(points: DataFrame, stored: BlockStore, face: str | None, y: str, x: str, check: bool = True) -> DataFrame:
     """Bilinear values at fractional indices on the lattice; a missing coordinate gives NULL."""
     kept, values, (rows, cols) = points.columns, stored.values.names, stored.lattice.last
     p = sampling.split_index(points, F.col(y), F.col(x), rows, cols)
     p = _keyed(p, stored, F.col(face) if face else F.lit(0), "cell_y", "cell_x", ["__fy", "__fx"])
-    j = _with_blocks(p, stored)
+    j = _with_blocks(p, stored, check)
     at = (F.col("cell_y") - F.col("y0")) * F.col("w") + F.col("cell_x") - F.col("x0")
     j = j.withColumns({f"__{v}_{s}": F.get(v, at + F.col("w") * (s // 2) + s % 2).cast("double") for v in values for s in range(4)})
     return j.select(*[c for c in kept if c not in values], *[sampling.blend(v).alias(v) for v in values])
@@ -51,9 +51,9 @@ def sample_cube(points: DataFrame, stored: BlockStore, v=g.VEC) -> DataFrame:
     return bilinear(p, stored, "__pf", "__cy", "__cx").drop("__pf", "__cy", "__cx")
 
 
-def sample_lonlat(points: DataFrame, stored: BlockStore, ny: str = "ny", nx: str = "nx") -> DataFrame:
+def sample_lonlat(points: DataFrame, stored: BlockStore, ny: str = "ny", nx: str = "nx", check: bool = True) -> DataFrame:
     p = points.withColumns(dict(zip(("__y", "__x"), g.fold_lonlat(ny, nx, stored.lattice.size), strict=True)))
-    return bilinear(p, stored, None, "__y", "__x").drop("__y", "__x")
+    return bilinear(p, stored, None, "__y", "__x", check).drop("__y", "__x")
 
 
 # ----------------------------------------------------------------------------- tile contexts
@@ -123,3 +123,52 @@ def gather_context(origins: DataFrame, stored: BlockStore, size: int, reach: int
     torn = F.raise_error(F.lit("the blocks lack nodes under a tile")).cast("array<double>")
     return gathered.select(*key, tile.alias("values")).select(
         *key, F.when(F.size("values") == size * size, F.col("values")).otherwise(torn).alias("values"))
+
+
+# ----------------------------------------------------------------------------- line sums
+def line_sums(stored: BlockStore, value: str) -> DataFrame:
+    """Sums of squared steps along every row and column of a longitude/latitude field, from one scan of its blocks.
+
+    ``axis, line, squares, steps`` leave out the step over the date line, which rows have in ``seam``.  Rows also hold
+    ``nodes, bad, low, high`` of their values, and ``damaged`` blocks that begin with them.  A block sums up its own part of
+    each line, so what is shuffled is linear in the side of the blocks.
+    """
+    h, (down, _) = stored.lattice.size, stored.lattice.count
+    b = stored.read(check=False).select(
+        "y0", "x0", "h", "w", F.col(value).cast("array<double>").alias("v"), (~F.col("stored").eqNullSafe(F.col("found"))).alias("off"),
+        (F.col("by") == down - 1).alias("bottom"), (F.col("x0") + F.col("w") - 1 == 2 * h).alias("right"))
+    w, zero = F.col("w"), F.lit(0.0)
+
+    def add(a, e):
+        return a + e
+
+    def squares(one, two):
+        return F.zip_with(one, two, lambda p, q: (q - p) * (q - p))
+
+    def row(r):
+        line = F.slice("v", r * w + 1, w)
+        steps = squares(F.slice(line, F.lit(1), w - 1), F.slice(line, F.lit(2), w - 1))
+        own = F.slice(line, F.lit(1), w - 1)
+        return F.struct(
+            F.lit("row").alias("axis"), (F.col("y0") + r).alias("line"),
+            F.aggregate(F.slice(steps, F.lit(1), w - F.when(F.col("right"), 2).otherwise(1)), zero, add).alias("squares"),
+            (w - F.when(F.col("right"), 2).otherwise(1)).cast("bigint").alias("steps"),
+            F.when(F.col("right"), F.element_at(steps, w - 1)).alias("seam"), (w - 1).cast("bigint").alias("nodes"),
+            F.size(F.filter(own, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))).cast("bigint").alias("bad"),
+            F.array_min(own).alias("low"), F.array_max(own).alias("high"), ((r == 0) & F.col("off")).cast("bigint").alias("damaged"))
+
+    def column(c):
+        height = F.col("h")
+        at = lambda r: F.get("v", r * w + c)
+        nothing = F.lit(None)
+        return F.struct(
+            F.lit("column").alias("axis"), (F.col("x0") + c).alias("line"),
+            F.aggregate(F.sequence(F.lit(0), height - 2), zero, lambda a, r: a + (at(r + 1) - at(r)) * (at(r + 1) - at(r))).alias("squares"),
+            (height - 1).cast("bigint").alias("steps"), nothing.cast("double").alias("seam"), nothing.cast("bigint").alias("nodes"),
+            nothing.cast("bigint").alias("bad"), nothing.cast("double").alias("low"), nothing.cast("double").alias("high"),
+            nothing.cast("bigint").alias("damaged"))
+    rows = F.transform(F.sequence(F.lit(0), F.col("h") - F.when(F.col("bottom"), 1).otherwise(2)), row)
+    columns = F.transform(F.sequence(F.lit(0), w - 2), column)
+    e = b.select(F.explode(F.concat(rows, columns)).alias("e")).select("e.*")
+    return e.groupBy("axis", "line").agg(*[F.sum(c).alias(c) for c in ("squares", "steps", "seam", "nodes", "bad", "damaged")],
+                                         F.min("low").alias("low"), F.max("high").alias("high"))

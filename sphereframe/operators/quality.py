@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..sources.store import content_checksum
-from . import sampling
+from ..sources.blocks import BlockStore
+from ..sources.store import content_checksum, stage
+from . import blocks, sampling
 from .filters import differences
 
 EPS = 1e-12
@@ -50,8 +51,10 @@ def grid_phase_profile(grid: DataFrame, rows: int, cols: int, period: int = 8,
 def grid_phase_report(grid: DataFrame, rows: int, cols: int, period: int = 8,
                       value: str = "v") -> DataFrame:
     """Largest over smallest phase mean per axis: a value far above 1 shows a lattice artifact."""
-    p = grid_phase_profile(grid, rows, cols, period, value)
+    return _phase_ratios(grid_phase_profile(grid, rows, cols, period, value))
 
+
+def _phase_ratios(p: DataFrame) -> DataFrame:
     def ratio(axis):
         rms = F.when(F.col("axis") == axis, F.col("rms"))
         return F.max(rms) / F.greatest(F.min(rms), F.lit(EPS))
@@ -80,7 +83,13 @@ def polar_anisotropy(field: DataFrame, h: int, latitudes=(0, 45, 60, 75, 80, 85,
 
     The sample is a fixed number of ring points; the field is reduced to the cells they touch.
     """
-    p = ring_points(field.sparkSession, latitudes, count)
+    s = sampling.sample_lonlat(anisotropy_points(field.sparkSession, h, latitudes, count), field.select("y", "x", value), h, prune=True)
+    return _anisotropy(s, value)
+
+
+def anisotropy_points(spark, h: int, latitudes=(0, 45, 60, 75, 80, 85, 88), count: int = 512) -> DataFrame:
+    """Two places a step apart, east and west and north and south of each ring point, as node coordinates with a sign."""
+    p = ring_points(spark, latitudes, count)
     lat, lon = F.radians("latitude_degrees"), F.col("__lon")
     p = p.withColumns({"q0": F.cos(lat) * F.cos(lon), "q1": F.cos(lat) * F.sin(lon), "q2": F.sin(lat)})
     east = F.struct(F.lit("east").alias("axis"), (-F.sin(lon)).alias("t0"), F.cos(lon).alias("t1"),
@@ -92,8 +101,10 @@ def polar_anisotropy(field: DataFrame, h: int, latitudes=(0, 45, 60, 75, 80, 85,
     p = p.withColumn("sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
     p = p.withColumn("angle", F.col("sign") * F.lit(math.pi / h))
     p = g.add_lonlat_node(_step(p, ("q0", "q1", "q2"), ("t0", "t1", "t2"), "angle"), h)
-    p = p.select("latitude_degrees", "axis", "point", "sign", "ny", "nx")
-    s = sampling.sample_lonlat(p, field.select("y", "x", value), h, prune=True)
+    return p.select("latitude_degrees", "axis", "point", "sign", "ny", "nx")
+
+
+def _anisotropy(s: DataFrame, value: str) -> DataFrame:
     d = s.groupBy("latitude_degrees", "axis", "point").agg(F.sum(F.col("sign") * F.col(value)).alias("d"))
 
     def rms(axis):
@@ -157,13 +168,8 @@ def shared_node_error(field: DataFrame, n: int, value: str = "v") -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- state report
-def verify_state(field: DataFrame, h: int, expected: dict | None = None, value: str = "v") -> DataFrame:
-    """One-row integrity report of a global node field.
-
-    Probe points, seam, ordinary edges, phase profile and content each reduce to one row on
-    their own; the rows are then merged by a union.
-    """
-    spark, field = field.sparkSession, field.select("y", "x", value)
+def _probes(spark, h: int) -> DataFrame:
+    """Places along the date line, at the poles and near them, as node coordinates."""
     eps = 1e-6
     line = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"),
                               F.lit(c).alias("c"), F.lit(sign).alias("sign"))
@@ -176,9 +182,11 @@ def verify_state(field: DataFrame, h: int, expected: dict | None = None, value:
     p = spark.range(0, 129, 1, 1).select(F.col("id").alias("i"), F.explode(line).alias("__l"))
     p = p.select("i", "__l.*")
     along = F.col("i") / F.lit(128.0)
-    p = p.withColumns({"ny": F.when(F.col("kind") == "col", along * h).otherwise(F.col("c")),
-                       "nx": F.when(F.col("kind") == "col", F.col("c")).otherwise(along * (2 * h))})
-    s = sampling.sample_lonlat(p, field, h, prune=True)
+    return p.withColumns({"ny": F.when(F.col("kind") == "col", along * h).otherwise(F.col("c")),
+                          "nx": F.when(F.col("kind") == "col", F.col("c")).otherwise(along * (2 * h))})
+
+
+def _probe_parts(s: DataFrame, value: str) -> list[DataFrame]:
     d = s.where(F.col("kind") == "col").groupBy("part", "i").agg(
         F.abs(F.sum(F.col("sign") * F.col(value))).alias("d"))
     gaps = d.agg(F.max(F.when(F.col("part") == "seam", F.col("d"))).alias("dateline_error"),
@@ -186,6 +194,58 @@ def verify_state(field: DataFrame, h: int, expected: dict | None = None, value:
     spread = s.where(F.col("kind") == "row").agg(*[
         (F.max(F.when(F.col("part") == k, F.col(value))) - F.min(F.when(F.col("part") == k, F.col(value))))
         .alias(k) for k in ("pole_n", "pole_s", "cap_n", "cap_s", "far_n", "far_s")])
+    return [gaps, spread]
+
+
+def _state_report(parts: list[DataFrame], h: int, checked: bool) -> DataFrame:
+    report = _combine(parts)
+    matches = F.col("checksum_matches") if checked else F.lit(True)
+    report = report.withColumn("edge_ratio", F.col("seam_edge_rms")
+                               / F.greatest(F.col("ordinary_edge_rms"), F.lit(EPS)))
+    passed = ((F.col("not_finite") == 0) & (F.col("nodes") == (h + 1) * 2 * h)
+              & (F.col("dateline_error") < 1e-8) & (F.greatest("pole_n", "pole_s") < 1e-8) & matches
+              & (F.col("cap_n") <= F.col("far_n") * 0.011 + 1e-5)
+              & (F.col("cap_s") <= F.col("far_s") * 0.011 + 1e-5))
+    return report.withColumns({
+        "passed": passed, "seam_outlier": F.col("edge_ratio") > 5,
+        "phase_warning": F.greatest("row_phase_ratio", "column_phase_ratio") > 1.15})
+
+
+def verify_stored(stored: BlockStore, expected_root: str | None = None, value: str = "v") -> DataFrame:
+    """The same report, and directions near the poles, of a longitude/latitude field in blocks.
+
+    Seam, belt, phases, range, content and checksum come from one scan of the blocks; probes and rings read the few blocks
+    under them.  The checksum holds if no block differs from its digest, the digests give the root of the manifest, and that
+    is ``expected_root``, if given.
+    """
+    spark, h = stored.spark, stored.lattice.size
+    lines = stage(blocks.line_sums(stored, value), "lines")
+    belt = (F.col("axis") == "row") & F.col("line").between(max(1, h // 8), h - h // 8 - 1)
+    sound = expected_root in (None, stored.info["root"]) and stored.wrong_digests().isEmpty()
+    whole = lines.agg(
+        F.sqrt(F.sum(F.when(belt, F.col("seam"))) / F.count_if(belt)).alias("seam_edge_rms"),
+        F.sqrt(F.sum(F.when(belt, F.col("squares"))) / F.sum(F.when(belt, F.col("steps")))).alias("ordinary_edge_rms"),
+        F.sum("nodes").alias("nodes"), F.sum("bad").alias("not_finite"), F.min("low").alias("low"), F.max("high").alias("high"),
+        (F.lit(sound) & (F.sum("damaged") == 0)).alias("checksum_matches"))
+    trim = F.when(F.col("axis") == "row", F.col("line").between((h + 1) // 8, h + 1 - (h + 1) // 8 - 1)).otherwise(
+        F.col("line").between(2 * h // 8, 2 * h - 2 * h // 8 - 1))
+    phases = lines.where(trim).groupBy("axis", (F.col("line") % 8).alias("phase")).agg(F.avg(F.sqrt(F.col("squares") / F.col("steps"))).alias("rms"))
+    probes = _probes(spark, h).select(F.lit("probe").alias("of"), "i", "part", "kind", "sign", "ny", "nx")
+    rings = anisotropy_points(spark, h).select(F.lit("ring").alias("of"), "latitude_degrees", "axis", "point", "sign", "ny", "nx")
+    s = stage(blocks.sample_lonlat(probes.unionByName(rings, allowMissingColumns=True), stored, check=False), "probes")
+    polar = _anisotropy(s.where("of = 'ring'"), value).agg(
+        F.min("direction_ratio").alias("polar_ratio_low"), F.max("direction_ratio").alias("polar_ratio_high"))
+    return _state_report([whole, _phase_ratios(phases), polar, *_probe_parts(s.where("of = 'probe'"), value)], h, True)
+
+
+def verify_state(field: DataFrame, h: int, expected: dict | None = None, value: str = "v") -> DataFrame:
+    """One-row integrity report of a global node field.
+
+    Probe points, seam, ordinary edges, phase profile and content each reduce to one row on
+    their own; the rows are then merged by a union.
+    """
+    spark, field = field.sparkSession, field.select("y", "x", value)
+    probes = _probe_parts(sampling.sample_lonlat(_probes(spark, h), field, h, prune=True), value)
     y0, y1 = max(1, h // 8), h - h // 8 - 1
     belt = field.where(F.col("y").between(y0, y1))
     ends = belt.where(F.col("x").isin(0, 2 * h - 1)).groupBy("y").agg(
@@ -195,22 +255,12 @@ def verify_state(field: DataFrame, h: int, expected: dict | None = None, value:
     content = field.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(_not_finite(value)).alias("not_finite"),
                         F.min(value).alias("low"), F.max(value).alias("high"))
     phase = grid_phase_report(field, h + 1, 2 * h, value=value)
-    parts = [gaps, spread, seam, inner, content, phase]
+    parts = [*probes, seam, inner, content, phase]
     if expected is not None:
         parts.append(content_checksum(field, ["y", "x"]).select(
             ((F.col("hash_sum") == expected["hash_sum"]) & (F.col("hash_xor") == expected["hash_xor"]))
             .alias("checksum_matches")))
-    report = _combine(parts)
-    matches = F.col("checksum_matches") if expected is not None else F.lit(True)
-    report = report.withColumn("edge_ratio", F.col("seam_edge_rms")
-                               / F.greatest(F.col("ordinary_edge_rms"), F.lit(EPS)))
-    passed = ((F.col("not_finite") == 0) & (F.col("nodes") == (h + 1) * 2 * h)
-              & (F.col("dateline_error") < 1e-8) & (F.greatest("pole_n", "pole_s") < 1e-8) & matches
-              & (F.col("cap_n") <= F.col("far_n") * 0.011 + 1e-5)
-              & (F.col("cap_s") <= F.col("far_s") * 0.011 + 1e-5))
-    return report.withColumns({
-        "passed": passed, "seam_outlier": F.col("edge_ratio") > 5,
-        "phase_warning": F.greatest("row_phase_ratio", "column_phase_ratio") > 1.15})
+    return _state_report(parts, h, expected is not None)
 
 
 def verify_region(grid: DataFrame, keys: Sequence[str], expected: dict, value: str = "v") -> DataFrame:

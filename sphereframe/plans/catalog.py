@@ -203,10 +203,10 @@ def _cube_blocks(spark, d, kind="float"):
     return blocks.open_blocks(spark, path, {"source": "lineitem"})
 
 
-def _lonlat_blocks(spark, d):
+def _lonlat_blocks(spark, d, kind="float"):
     path = _scratch(spark, "lonlat-blocks")
     field = inputs.node_field(spark, d).withMetadata("v", {"units": "m"})
-    blocks.write_blocks(field, path, blocks.Lattice("lonlat", inputs.sizes(spark, d).h, 8), {})
+    blocks.write_blocks(field, path, blocks.Lattice("lonlat", inputs.sizes(spark, d).h, 8), {}, kind)
     return blocks.open_blocks(spark, path, units={"v": "m"})
 
 
@@ -863,6 +863,22 @@ def verify_state_report(spark, d):
     return tidy(quality.verify_state(inputs.node_field(spark, d), s.h))
 
 
+@register
+def verify_stored_report(spark, d):
+    """The report of a saved field in blocks, and of a copy one of whose digests is wrong."""
+    stored = _lonlat_blocks(spark, d, "double")
+    path = _scratch(spark, "changed")
+    stored._table().write.partitionBy("part").parquet(f"{path}/field")
+    for k in range(stored.info["levels"]):
+        level = stored._level(k)
+        level = level.withColumn("digest", F.when(F.col("z") == 1, F.lit(0).cast("bigint")).otherwise(F.col("digest"))) if k == 0 else level
+        level.write.parquet(f"{path}/digests/level={k}")
+    store.write_manifest(spark, f"{path}/identity", stored.info)
+    both = [quality.verify_stored(s, stored.info["root"]).withColumn("copy", F.lit(name))
+            for s, name in ((stored, "saved"), (blocks.open_blocks(spark, path), "changed"))]
+    return tidy(both[0].unionByName(both[1]))
+
+
 @register
 def seam_vs_interior(spark, d):
     h = inputs.sizes(spark, d).h

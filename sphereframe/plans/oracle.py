@@ -609,6 +609,13 @@ SQL["verify_state_report"] = query(
     f"(not_finite = 0 AND nodes = ({H}+1)*2*{H} AND dateline_error < 1e-8 AND GREATEST(pole_n, pole_s) < 1e-8 AND cap_n <= far_n*0.011+1e-5 AND cap_s <= far_s*0.011+1e-5) AS passed, "
     "edge_ratio > 5 AS seam_outlier, GREATEST(row_phase_ratio, column_phase_ratio) > 1.15 AS phase_warning FROM g7", VERIFY)
 
+_stored_report = ", ".join(f"{r(c)} AS {c}" for c in (*_round, "polar_ratio_low", "polar_ratio_high"))
+SQL["verify_stored_report"] = query(
+    ["node_field"], f"SELECT {_stored_report}, nodes, not_finite, copy, copy = 'saved' AS checksum_matches, "
+    f"(copy = 'saved' AND not_finite = 0 AND nodes = ({H}+1)*2*{H} AND dateline_error < 1e-8 AND GREATEST(pole_n, pole_s) < 1e-8 AND cap_n <= far_n*0.011+1e-5 AND cap_s <= far_s*0.011+1e-5) AS passed, "
+    "edge_ratio > 5 AS seam_outlier, GREATEST(row_phase_ratio, column_phase_ratio) > 1.15 AS phase_warning FROM g7, "
+    "(SELECT MIN(e/GREATEST(n, 1e-12)) AS polar_ratio_low, MAX(e/GREATEST(n, 1e-12)) AS polar_ratio_high FROM ar), (VALUES ('saved'), ('changed')) t(copy)", VERIFY + ANISO)
+
 SQL["seam_vs_interior"] = query(
     ["node_field"], f"SELECT y, {r('MAX(ABS(d)) FILTER (x = 0)')} AS seam_step, {r('SQRT(AVG(d*d) FILTER (x > 0))')} AS inner_rms FROM "
     f"(SELECT a.y, a.x, a.v-b.v AS d FROM node_field a JOIN node_field b ON b.y = a.y AND b.x = (a.x+2*{H}-1) % (2*{H})) GROUP BY y")
