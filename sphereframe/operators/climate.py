@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import climate_math as cm
 from ..functions import geometry as g
+from ..sources.blocks import BlockStore, Lattice, open_blocks, write_blocks
 from ..sources.store import cut_lineage
 from . import sampling
 from .filters import BLOCK, _own_block, _with_blocks
@@ -75,6 +76,30 @@ def climate_features(coarse: DataFrame, n: int, block: int = BLOCK) -> DataFrame
     return cm.describe_bands(out)
 
 
+CLIMATE_VERSION = "sphere-climate-1"  # of the bands, their order and units
+
+
+def write_climate(features: DataFrame, path: str, n: int, block: int = 64, kind: str = "float") -> BlockStore:
+    """Save the five bands of a cube field in blocks, with their units and the version of their meaning."""
+    if n < 2:
+        raise ValueError("a climate field has two intervals a face at least")
+    bands = cm.describe_bands(features.select(*sampling.CUBE_KEY, *cm.BAND_UNITS))
+    return write_blocks(bands, path, Lattice("cube", n, block), {"climate": CLIMATE_VERSION}, kind)
+
+
+def open_climate(spark, path: str) -> BlockStore:
+    """Open saved bands; another version, other bands or other units are refused."""
+    saved = open_blocks(spark, path)
+    if "climate" not in saved.info:
+        raise ValueError(f"{path} holds a field, but no climate")
+    if saved.info["climate"] != CLIMATE_VERSION:
+        raise ValueError(f"climate version {saved.info['climate']} is not {CLIMATE_VERSION}")
+    units = {f.name: f.metadata.get("unit") for f in saved.values}
+    if units != {band: unit for band, (_, unit) in cm.BAND_UNITS.items()} or saved.lattice.kind != "cube" or saved.lattice.size < 2:
+        raise ValueError(f"{path} does not hold the five bands in their units")
+    return saved
+
+
 def climate_at(points: DataFrame, features: DataFrame, n: int, elevation: str,
                prune: bool = False) -> DataFrame:
     """Climate of points with ``lon, lat`` and an elevation column."""

@@ -1,6 +1,7 @@
 """Registered queries: every operator applied to inputs derived from whole driver tables."""
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -171,6 +172,13 @@ def lonlat_resample(spark, d):
     return tidy(sampling.resize_lonlat(inputs.node_field(spark, d), h, 3 * h // 2))
 
 
+@register
+def expression_field(spark, d):
+    """A field from an expression over directions, at the size that the rows of the table give."""
+    v = F.col("vx") * 1000 + F.col("vy") * F.col("vz") * 907
+    return tidy(sampling.field_from_expression(spark, inputs.sizes(spark, d).n, v=v), 5)
+
+
 @register
 def cube_to_lonlat(spark, d):
     s = inputs.sizes(spark, d)
@@ -183,6 +191,16 @@ def region_validate(spark, d):
     return region.validate(inputs.requests(spark, d), 40).select("request_id", "error")
 
 
+@register
+def region_validate_codes(spark, d):
+    """Requests with every kind of fault; each is told by its first one."""
+    m = F.col("request_id") % 7
+    r = inputs.requests(spark, d).withColumns({
+        "west": F.when(m == 0, F.lit(float("nan"))).when(m == 1, F.col("west") + 400).otherwise(F.col("west")),
+        "width": F.when(m == 2, F.lit(0)).when(m == 3, F.lit(400)).otherwise(F.col("width"))})
+    return region.validate(r, 40).select("request_id", "error")
+
+
 @register
 def region_guide_height(spark, d):
     big = inputs.requests(spark, d).withColumns({"width": F.col("width") * 128, "height": F.col("height") * 128})
@@ -205,7 +223,7 @@ def _cube_blocks(spark, d, kind="float"):
 
 def _lonlat_blocks(spark, d, kind="float"):
     path = _scratch(spark, "lonlat-blocks")
-    field = inputs.node_field(spark, d).withMetadata("v", {"units": "m"})
+    field = inputs.node_field(spark, d).withMetadata("v", {"unit": "m"})
     blocks.write_blocks(field, path, blocks.Lattice("lonlat", inputs.sizes(spark, d).h, 8), {}, kind)
     return blocks.open_blocks(spark, path, units={"v": "m"})
 
@@ -271,6 +289,15 @@ def export_global_half(spark, d):
     return tidy(region.export_window(inputs.node_field(spark, d), h, h // 2).select("row_i", "col_i", "v"))
 
 
+@register
+def export_saved(spark, d):
+    """An exported window written with its place, and read back."""
+    h, path = inputs.sizes(spark, d).h, _scratch(spark, "export")
+    out = region.export_window(inputs.node_field(spark, d), h, h, _dateline(h))
+    store.write_export(out, path, h, h, {}, _dateline(h))
+    return tidy(spark.read.schema(out.schema).parquet(f"{path}/grid"))
+
+
 @register
 def window_equals_global(spark, d):
     """Number of window pixels that differ from the same pixels of the global export."""
@@ -354,6 +381,22 @@ def guide_fill(spark, d):
     return tidy(raster.build_guide({"heightmap": imported}, fallback, n))
 
 
+@register
+def guide_from_files(spark, d):
+    """Corner means of the channels that a folder holds, two of five."""
+    s, folder = inputs.sizes(spark, d), _scratch(spark, "channels")
+    px = inputs.pixels(spark, d).select("row_i", "col_i", "v")
+    px.write.parquet(f"{folder}/heightmap.parquet")
+    px.withColumn("v", F.abs("v")).write.parquet(f"{folder}/precipitation.parquet")
+    found = guide.read_channels(spark, folder)
+    rows = None
+    for band, pixels in found.items():
+        part = raster.complete_lattice(raster.corner_mean(raster.premultiply(pixels.drop("band"), band=band), s.pixel_h), s.pixel_h)
+        part = part.select(F.lit(band).alias("band"), "y", "x", "value", "coverage")
+        rows = part if rows is None else rows.unionByName(part)
+    return tidy(rows, 5)
+
+
 @register
 def guide_partial_channels(spark, d):
     """Two imported channels of five; the others keep the fallback."""
@@ -711,6 +754,15 @@ def climate_features_cube(spark, d):
     return tidy(climate.climate_features(inputs.cube_climate(spark, d), inputs.sizes(spark, d).n))
 
 
+@register
+def climate_stored(spark, d):
+    """Features saved with units and version, opened under that contract and read back at every node."""
+    n, path = inputs.sizes(spark, d).n, _scratch(spark, "climate")
+    climate.write_climate(climate.climate_features(inputs.cube_climate(spark, d), n), path, n, 8, "double")
+    saved = climate.open_climate(spark, path)
+    return tidy(block_reads.nearest(grids.cube_nodes(spark, n), saved, "face", "y", "x"))
+
+
 @register
 def climate_at_points(spark, d):
     n = inputs.sizes(spark, d).n
@@ -875,7 +927,7 @@ def verify_stored_report(spark, d):
         level.write.parquet(f"{path}/digests/level={k}")
     store.write_manifest(spark, f"{path}/identity", stored.info)
     both = [quality.verify_stored(s, stored.info["root"]).withColumn("copy", F.lit(name))
-            for s, name in ((stored, "saved"), (blocks.open_blocks(spark, path), "changed"))]
+            for s, name in ((stored, "saved"), (dataclasses.replace(stored, path=path), "changed"))]
     return tidy(both[0].unionByName(both[1]))
 
 
@@ -1021,6 +1073,34 @@ def stream_bad_requests(spark, d):
         good.select("request_id", F.lit(None).cast("string").alias("error"), "pixels", "total")), 4)
 
 
+@register
+def stream_unique_requests(spark, d):
+    """Requests in two deliveries, with repeats within and across them, rows too late, and a restart between; each is kept once."""
+    path, r = _scratch(spark, "unique"), inputs.requests(spark, d)
+    late = r.withColumns({"request_id": F.col("request_id") + 10**9, "ts": F.col("ts") - F.expr("INTERVAL 20 YEARS")})
+    first = r.where("request_id % 3 <> 0")
+    for delivery in (first.unionByName(first.where("request_id % 4 = 1")), r.unionByName(late)):
+        delivery.write.mode("append").parquet(f"{path}/inbox")
+        arriving = spark.readStream.schema(r.schema).parquet(f"{path}/inbox")
+        _run_append(stream.unique_requests(arriving, "3650 days").select("request_id", "ts"), path)
+    kept = spark.read.schema("request_id bigint, ts timestamp").parquet(f"{path}/out")
+    return kept.select("request_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@register
+def observed_stages(spark, d):
+    """An input kept once, a stage written and restored, and what was counted while another was written."""
+    path, s = _scratch(spark, "stages"), inputs.sizes(spark, d)
+    kept = store.snapshot_input(inputs.node_field(spark, d), f"{path}/input")
+    again = store.snapshot_input(kept.limit(0), f"{path}/input")
+    stage = store.record_stage(again, f"{path}/stage", ["y", "x"], (s.h + 1) * 2 * s.h, "nodes")
+    back = store.record_stage(stage.withColumn("v", F.lit(0.0)), f"{path}/stage", ["y", "x"], (s.h + 1) * 2 * s.h, "nodes")
+    holes, seen = store.observe_stage(back.withColumn("v", F.when(F.col("y") % 5 > 0, F.col("v"))), "holes")
+    holes.write.parquet(f"{path}/holes")
+    return tidy(back.agg(F.count(F.lit(1)).alias("nodes"), F.sum("v").alias("total")).withColumns(
+        {"observed": F.lit(seen.get["rows"]), "bad": F.lit(seen.get["bad"])}), 3)
+
+
 @register
 def stream_progress(spark, d):
     """Requests per hour of event time, every window included."""

@@ -38,6 +38,8 @@ SQL["cube_node_directions"] = query(
     f"{r('b.vx')} AS ux, {r('b.vy')} AS uy, {r('b.vz')} AS uz FROM s a JOIN u b USING (face, y, x)",
     cube_direction("s", "cube_raw", N) + cube_direction("u", "cube_raw", N, unit=False))
 
+SQL["expression_field"] = query(
+    ["cube_nodes"], f"SELECT {B('face')} AS face, {B('y')} AS y, {B('x')} AS x, {r('vx*1000+vy*vz*907', 5)} AS v FROM s", cube_direction("s", "cube_nodes", N))
 SQL["signed_root_round_trip"] = query(
     ["node_field"], f"SELECT y, x, {r(sign_root('v'))} AS root, {r('v')} AS square FROM node_field")
 
@@ -113,6 +115,10 @@ SQL["cube_to_lonlat"] = query(["lonlat_nodes", "cube_field"], f"SELECT y, x, {r(
 DENSITY = "GREATEST(width*180e0/(CASE WHEN east<west THEN east+360 ELSE east END-west), height*180e0/(north-south))"
 ERROR = f"CASE WHEN NOT (south < north AND north <= 90) THEN 'bounds_order' WHEN {DENSITY} > 40+1e-8 THEN 'exceeds_native_detail' END"
 SQL["region_validate"] = query(["requests"], f"SELECT request_id, {ERROR} AS error FROM requests")
+_M = "request_id % 7"
+SQL["region_validate_codes"] = query(
+    ["requests"], f"SELECT request_id, CASE WHEN {_M} = 0 THEN 'bounds_not_finite' WHEN {_M} = 1 THEN 'longitude_out_of_range' WHEN NOT (south < north AND north <= 90) THEN 'bounds_order' "
+    f"WHEN {_M} = 2 THEN 'size_not_positive' WHEN {_M} = 3 THEN 'exceeds_native_detail' WHEN {DENSITY} > 40+1e-8 THEN 'exceeds_native_detail' END AS error FROM requests")
 SQL["region_guide_height"] = query(
     ["requests"], f"SELECT request_id, {B('GREATEST(4, 4*CEIL(128*' + DENSITY + '/1024e0))')} AS guide_height FROM requests WHERE south < north")
 ROOTED = ("f", f"SELECT face, y, x, SIGN(v)*POWER({sign_root('v')}, 2) AS v FROM cube_field")
@@ -150,6 +156,7 @@ SQL["block_damage"] = query(
     [("k", f"SELECT DISTINCT CAST(face AS BIGINT) AS face, CAST(LEAST(FLOOR(y/8e0), CEIL({N}/8e0)-1) AS BIGINT) AS block_y, "
       f"CAST(LEAST(FLOOR(x/8e0), CEIL({N}/8e0)-1) AS BIGINT) AS block_x FROM cube_field"),
      ("b", f"SELECT *, {_Z} AS z FROM k WHERE (block_y*5 + block_x*3 + face) % 3 = 0 AND face % 2 = 1")])
+SQL["export_saved"] = SQL["export_window_dateline"]
 SQL["window_equals_global"] = query(
     ["node_field"], "SELECT COUNT(*) AS pixels, COUNT(*) FILTER (ROUND(s.v_s, 6) IS DISTINCT FROM ROUND(t.v_s, 6)) AS different FROM s "
     f"LEFT JOIN t ON t.row_i = s.row_i+{H}/2-4 AND t.col_i = (s.col_i+2*{H}-8) % (2*{H})",
@@ -195,6 +202,12 @@ PREMULT = ("pm", "SELECT row_i, col_i, COALESCE(v, 0e0) AS value, CASE WHEN v IS
 CORNER = [PREMULT] + corner_nodes("cn", "pm", ["value", "coverage"])
 SQL["raster_corner_mean"] = query(["pixels"], f"SELECT y, x, {r('value')} AS value, {r('coverage')} AS coverage FROM cn", CORNER)
 
+PREMULT_ABS = ("pa", PREMULT[1].replace("COALESCE(v, 0e0)", "COALESCE(ABS(v), 0e0)"))
+SQL["guide_from_files"] = query(
+    ["pixels"], " UNION ALL ".join(f"SELECT '{band}' AS band, y, x, {r('value', 5)} AS value, {r('coverage', 5)} AS coverage FROM {k}"
+                                   for band, k in (("heightmap", "cn"), ("precipitation", "pn"))),
+    CORNER + [PREMULT_ABS] + corner_nodes("pn", "pa", ["value", "coverage"]))
+
 GREY = "CASE WHEN bits = 16 THEN code/65535e0 ELSE code/255e0 END"
 BLACK, WHITE = DRAFT["black_metres"], DRAFT["white_metres"]
 DRAFT_PX = ("dp", f"SELECT row_i, col_i, ({BLACK}+({WHITE}-({BLACK}))*({GREY}))*alpha AS value, alpha AS coverage, "
@@ -469,6 +482,7 @@ CLIM = ([("he", f"SELECT f AS face, a-7 AS y, b-7 AS x FROM range(6) r(f), range
         + identify("cf", "cj", N, ["baseline", "temp_std100", "precip", "precip_cv", "beta"]))
 SQL["climate_features_cube"] = query(
     ["cube_climate"], f"SELECT {FYX}, " + ", ".join(f"{r(c)} AS {c}" for c in ("baseline", "temp_std100", "precip", "precip_cv", "beta")) + " FROM cf", CLIM)
+SQL["climate_stored"] = SQL["climate_features_cube"]
 SQL["climate_at_points"] = query(
     ["cube_climate", "dpoints"], f"SELECT point_id, {r('baseline_s+beta_s*GREATEST(value, 0)')} AS temp, {r('temp_std100_s/100')} AS temp_std, "
     f"{r('precip_s')} AS precip, {r('precip_cv_s')} AS precip_cv, {r('beta_s')} AS beta FROM ps",
@@ -658,6 +672,9 @@ SQL["stream_region_requests"] = query(
 SQL["stream_bad_requests"] = query(
     ["requests", "region_d", "node_field"], "SELECT request_id, 'bounds_order' AS error, 0::BIGINT AS pixels, 0e0 AS total FROM requests WHERE south >= north "
     f"UNION ALL SELECT request_id, NULL, COUNT(v_s), {r('SUM(v_s)', 4)} FROM s GROUP BY request_id", REGION_LL)
+SQL["stream_unique_requests"] = query(["requests"], "SELECT DISTINCT request_id, STRFTIME(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM requests")
+SQL["observed_stages"] = query(
+    ["node_field"], f"SELECT COUNT(*) AS nodes, {r('SUM(v)', 3)} AS total, COUNT(*) AS observed, COUNT(*) FILTER (y % 5 = 0) AS bad FROM node_field")
 SQL["stream_progress"] = query(
     ["requests"], "SELECT STRFTIME(DATE_TRUNC('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, COUNT(*) AS requests, COUNT(*) FILTER (south >= north) AS errors FROM requests "
     "GROUP BY DATE_TRUNC('hour', ts)")

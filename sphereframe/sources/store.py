@@ -32,9 +32,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise once in reliable storage, so a lost executor never recomputes it differently."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise once in shared storage, so a lost executor never recomputes it differently; columns stay prunable."""
+    return stage(df, "cut")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

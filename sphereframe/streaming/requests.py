@@ -28,9 +28,10 @@ def answer(requests: DataFrame, field: DataFrame, h: int, native_height: int | N
 
 
 def serve(requests: DataFrame, field: DataFrame, h: int, good_path: str, bad_path: str,
-          checkpoint: str, native_height: int | None = None, trigger: dict | None = None):
+          checkpoint: str, native_height: int | None = None, trigger: dict | None = None, repeats_within: str | None = None):
     """Run the request loop: good requests give pixels, bad ones give an error row, none stops it.
 
+    ``repeats_within`` keeps the ids of that time as state, over restarts too, and answers a repeated request once.
     Each micro-batch writes to its own folder, so a repeated batch replaces itself.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -40,6 +41,7 @@ def serve(requests: DataFrame, field: DataFrame, h: int, good_path: str, bad_pat
         good = checked.where(F.col("error").isNull()).drop("error")
         (region.region_query_lonlat(good, field, h)
          .write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}"))
+    requests = unique_requests(requests, repeats_within) if repeats_within else requests
     return (requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

@@ -8,7 +8,7 @@ from test_sampling import random_cube, random_lonlat
 
 from sphereframe.functions import geometry as g
 from sphereframe.operators import blocks as reads
-from sphereframe.operators import region, sampling, tiles
+from sphereframe.operators import climate, quality, region, sampling, tiles
 from sphereframe.sources import blocks, grids, store
 
 REQUEST = "request_id int, west double, south double, east double, north double, width int, height int"
@@ -129,8 +129,8 @@ def test_incomplete_fields_identity_units_and_versions(spark, tmp_path):
             (field.where("face < 5"), "expected 24 blocks")]):
         with pytest.raises(Exception, match=message):
             blocks.write_blocks(wrong, str(tmp_path / f"w{k}"), lattice, {})
-    blocks.write_blocks(field.withMetadata("v", {"units": "m"}), str(tmp_path / "b"), lattice, {"seed": 1})
-    assert blocks.open_blocks(spark, str(tmp_path / "b"), {"seed": 1}, {"v": "m"}).values["v"].metadata == {"units": "m"}
+    blocks.write_blocks(field.withMetadata("v", {"unit": "m"}), str(tmp_path / "b"), lattice, {"seed": 1})
+    assert blocks.open_blocks(spark, str(tmp_path / "b"), {"seed": 1}, {"v": "m"}).values["v"].metadata == {"unit": "m"}
     for kwargs, message in (({"identity": {"seed": 2}}, "identity"), ({"units": {"v": "feet"}}, "not stored in feet"), ({"units": {"w": "m"}}, "not stored")):
         with pytest.raises(ValueError, match=message):
             blocks.open_blocks(spark, str(tmp_path / "b"), **kwargs)
@@ -181,3 +181,49 @@ def test_curve_is_one_to_one(spark):
     place = [F.floor(i / (rows * cols)), F.floor(i / cols) % rows, i % cols]
     z = spark.range(lattice.blocks).select(lattice.curve(*place).alias("z")).agg(F.countDistinct("z").alias("k"), F.max("z").alias("m")).first()
     assert z.k == lattice.blocks and z.m < 6 << 2 * lattice.bits and blocks.Lattice("lonlat", 100, 7).count == (15, 29)
+
+
+def test_small_fields_compare_all_digests_when_they_are_opened(spark, tmp_path):
+    _, field = random_cube(spark, 8)
+    stored = blocks.write_blocks(field, str(tmp_path / "b"), blocks.Lattice("cube", 8, 4), {})
+    path = str(tmp_path / "c")
+    stored._table().write.partitionBy("part").parquet(f"{path}/field")
+    stored._level(0).withColumn("digest", F.col("digest") + (F.col("z") == 3).cast("int")).write.parquet(f"{path}/digests/level=0")
+    stored._level(1).write.parquet(f"{path}/digests/level=1")
+    store.write_manifest(spark, f"{path}/identity", stored.info)
+    with pytest.raises(ValueError, match="digests of its blocks"):
+        blocks.open_blocks(spark, path)
+
+
+def test_stored_report_equals_that_of_the_node_table(spark, tmp_path):
+    h = 19  # blocks of uneven size
+    _, field = random_lonlat(spark, h)
+    stored = blocks.write_blocks(field, str(tmp_path / "b"), blocks.Lattice("lonlat", h, 4), {}, "double")
+    got, want = quality.verify_stored(stored, stored.info["root"]).first(), quality.verify_state(field, h).first()
+    for c in want.asDict():
+        same = abs(got[c] - want[c]) < 1e-9 if isinstance(want[c], float) else got[c] == want[c]
+        assert same, c
+    ratios = [r.direction_ratio for r in quality.polar_anisotropy(field, h).collect()]
+    assert got.checksum_matches and abs(got.polar_ratio_high - max(ratios)) < 1e-9 and abs(got.polar_ratio_low - min(ratios)) < 1e-9
+    assert not quality.verify_stored(stored, "0").first().checksum_matches
+    plan = reads.line_sums(stored, "v")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Scan parquet .*field", plan.split("== Initial Plan ==")[0])) <= 1 and plan.count("piece") == 0
+
+
+def test_climate_bands_keep_units_and_version(spark, tmp_path):
+    n = 4
+    values = {b: (F.col("y") * (k + 1) + F.col("x")).cast("double") for k, b in enumerate(climate.FEATURES)}
+    bands = grids.cube_nodes(spark, n).withColumns(values)
+    climate.write_climate(bands, str(tmp_path / "c"), n, 2)
+    saved = climate.open_climate(spark, str(tmp_path / "c"))
+    assert saved.values["beta"].metadata["unit"] == "degC/m" and saved.values.names == climate.FEATURES
+    back = reads.nearest(grids.cube_nodes(spark, n), saved, "face", "y", "x")
+    assert bands.join(back.select("face", "y", "x", F.col("beta").alias("b")), ["face", "y", "x"]).where("beta <> b").isEmpty()
+    blocks.write_blocks(bands, str(tmp_path / "plain"), blocks.Lattice("cube", n, 2), {})
+    blocks.write_blocks(bands, str(tmp_path / "old"), blocks.Lattice("cube", n, 2), {"climate": "sphere-climate-0"})
+    blocks.write_blocks(bands, str(tmp_path / "bare"), blocks.Lattice("cube", n, 2), {"climate": climate.CLIMATE_VERSION})
+    for name, text in (("plain", "no climate"), ("old", "is not"), ("bare", "five bands")):
+        with pytest.raises(ValueError, match=text):
+            climate.open_climate(spark, str(tmp_path / name))
+    with pytest.raises(ValueError, match="two intervals"):
+        climate.write_climate(bands, str(tmp_path / "small"), 1)

@@ -146,3 +146,18 @@ def test_progress_windows_and_repeated_requests(spark, tmp_path):
     assert [(r.start.hour, r.requests, r.errors) for r in rows] == [(0, 3, 1)]
     run_append(stream.unique_requests(requests), tmp_path / "u", tmp_path / "us")
     assert sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [1, 2, 3]
+
+
+def test_request_loop_answers_a_repeated_request_once_across_restarts(spark, tmp_path):
+    h = 6
+    _, field = random_lonlat(spark, h)
+    inbox, good, bad, state = (tmp_path / k for k in ("in", "good", "bad", "state"))
+    run = lambda: stream.serve(stream.read_requests(spark, str(inbox)), field, h, str(good), str(bad), str(state),
+                               repeats_within="2 days").awaitTermination()
+    write_requests(inbox, "a.json", [GOOD, GOOD, BAD])
+    run()
+    write_requests(inbox, "b.json", [GOOD, BAD, LATER, (4, "2020-01-01T00:00:00", *LATER[2:])])  # repeats, and one too late
+    run()
+    pixels = spark.read.parquet(str(good))
+    assert {r.request_id: r["count"] for r in pixels.groupBy("request_id").count().collect()} == {1: 8, 3: 4}
+    assert [r.request_id for r in spark.read.parquet(str(bad)).collect()] == [2]
