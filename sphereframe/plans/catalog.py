@@ -1058,13 +1058,9 @@ def stream_region_requests(spark, d):
     return tidy(spark.read.schema("request_id bigint, row_i int, col_i int, v double").parquet(path))
 
 
-@register
-def stream_bad_requests(spark, d):
-    """What the request loop wrote: an error for each bad request, and the pixels of each good one."""
-    s = inputs.sizes(spark, d)
-    field = store.cut_lineage(inputs.node_field(spark, d))
+def _served(spark, d, field):
     path = _scratch(spark, "served")
-    q = stream.serve(_request_stream(spark, d), field, s.h, f"{path}/good", f"{path}/bad", f"{path}/state")
+    q = stream.serve(_request_stream(spark, d), field, inputs.sizes(spark, d).h, f"{path}/good", f"{path}/bad", f"{path}/state")
     q.awaitTermination()
     bad = spark.read.schema("request_id bigint, ts timestamp, error string, batch int").parquet(f"{path}/bad")
     good = spark.read.schema("request_id bigint, row_i int, col_i int, v double, batch int").parquet(f"{path}/good")
@@ -1073,6 +1069,34 @@ def stream_bad_requests(spark, d):
         good.select("request_id", F.lit(None).cast("string").alias("error"), "pixels", "total")), 4)
 
 
+@register
+def stream_bad_requests(spark, d):
+    """What the request loop wrote: an error for each bad request, and the pixels of each good one."""
+    return _served(spark, d, store.cut_lineage(inputs.node_field(spark, d)))
+
+
+@register
+def stream_served_blocks(spark, d):
+    """The same from a field in blocks."""
+    return _served(spark, d, _lonlat_blocks(spark, d, "double"))
+
+
+@register
+def stream_batch_counts(spark, d):
+    """What a listener heard while the stream ran."""
+    counts = stream.BatchCounts("heard")
+    spark.streams.addListener(counts)
+    try:
+        _run_append(stream.observe_requests(_request_stream(spark, d), "heard").select("request_id", "error"), _scratch(spark, "heard"))
+        if not counts.finished.wait(60) or counts.failure:
+            raise RuntimeError(f"the stream did not end well: {counts.failure}")
+    finally:
+        spark.streams.removeListener(counts)
+    rows = [(b, c["requests"], c["errors"], c["pixels"]) for b, c in counts.rows.items()]
+    heard = spark.createDataFrame(rows, "batch bigint, requests bigint, errors bigint, pixels bigint")
+    return heard.agg(*[F.sum(c).alias(c) for c in ("requests", "errors", "pixels")])
+
+
 @register
 def stream_unique_requests(spark, d):
     """Requests in two deliveries, with repeats within and across them, rows too late, and a restart between; each is kept once."""

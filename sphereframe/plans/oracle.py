@@ -672,6 +672,9 @@ SQL["stream_region_requests"] = query(
 SQL["stream_bad_requests"] = query(
     ["requests", "region_d", "node_field"], "SELECT request_id, 'bounds_order' AS error, 0::BIGINT AS pixels, 0e0 AS total FROM requests WHERE south >= north "
     f"UNION ALL SELECT request_id, NULL, COUNT(v_s), {r('SUM(v_s)', 4)} FROM s GROUP BY request_id", REGION_LL)
+SQL["stream_served_blocks"] = SQL["stream_bad_requests"]
+SQL["stream_batch_counts"] = query(
+    ["requests"], "SELECT COUNT(*) AS requests, COUNT(*) FILTER (south >= north) AS errors, CAST(SUM(width*height) FILTER (south < north) AS BIGINT) AS pixels FROM requests")
 SQL["stream_unique_requests"] = query(["requests"], "SELECT DISTINCT request_id, STRFTIME(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM requests")
 SQL["observed_stages"] = query(
     ["node_field"], f"SELECT COUNT(*) AS nodes, {r('SUM(v)', 3)} AS total, COUNT(*) AS observed, COUNT(*) FILTER (y % 5 = 0) AS bad FROM node_field")

@@ -225,7 +225,7 @@ def write_blocks(field: DataFrame, path: str, lattice: Lattice, identity: dict,
     saved = BlockStore(spark, path, lattice, values, {})
     level, k = saved._table().select("z", block_digest(values.names).alias("digest")), 0
     while True:
-        level.repartitionByRange("z").sortWithinPartitions("z").write.parquet(f"{path}/digests/level={k}")
+        level.sortWithinPartitions("z").write.parquet(f"{path}/digests/level={k}")
         level = saved._level(k)
         rows = level.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("z").alias("keys"), F.first("digest").alias("digest")).first()
         if k == 0 and (rows.rows, rows["keys"]) != (lattice.blocks, lattice.blocks):

@@ -70,9 +70,15 @@ def record_digest(payload) -> Column:
     return F.sha2(F.col(payload) if isinstance(payload, str) else payload, 256)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hpath = file_system(spark, path)
+    return fs.exists(hpath)
 
 
 def write_manifest(spark: SparkSession, path: str, identity: dict) -> None:
@@ -82,7 +88,21 @@ def write_manifest(spark: SparkSession, path: str, identity: dict) -> None:
         if read_manifest(spark, path) != json.loads(text):
             raise ValueError("the folder belongs to a run with different settings")
         return
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    put_text(spark, f"{path}/manifest.json", text)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file in the shared storage, complete from the moment it shows; False if there is one already."""
+    fs, place = file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(place.getParent().getParent(), f"_draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.mkdirs(place.getParent())
+    if not fs.exists(place) and fs.rename(draft, place):
+        return True
+    fs.delete(draft, False)
+    return False
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:

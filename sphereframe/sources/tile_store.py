@@ -27,13 +27,9 @@ class TileStore:
     path: str
     size: int
 
-    def _fs(self, path: str):
-        hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), hpath
-
     def commits(self) -> dict[str, dict]:
         """Records by batch; those that a compaction replaced are left out."""
-        fs, folder = self._fs(f"{self.path}/commits")
+        fs, folder = store.file_system(self.spark, f"{self.path}/commits")
         if not fs.exists(folder):
             return {}
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
@@ -45,19 +41,9 @@ class TileStore:
         return {b: r for b, r in sorted(records.items()) if b not in replaced}
 
     def committed(self, batch: str) -> dict | None:
-        fs, record = self._fs(f"{self.path}/commits/{batch}.json")
+        fs, record = store.file_system(self.spark, f"{self.path}/commits/{batch}.json")
         return json.loads(self.spark.read.text(str(record)).first().value) if fs.exists(record) else None
 
-    def _commit(self, record: dict) -> bool:
-        """Put the record in place by one rename; False if the batch has one."""
-        fs, place = self._fs(f"{self.path}/commits/{record['batch']}.json")
-        _, draft = self._fs(f"{self.path}/drafts/{uuid.uuid4().hex}.json")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(record).encode()))
-        out.close()
-        fs.mkdirs(place.getParent())
-        return not fs.exists(place) and fs.rename(draft, place)
-
     def _sound(self) -> Column:
         return (F.col("values").isNotNull() & (F.size("values") == self.size * self.size)
                 & F.forall("values", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
@@ -81,7 +67,7 @@ class TileStore:
         (rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"),
                       F.bit_xor(h).alias("hash_xor")).write.parquet(f"{self.path}/data/{folder}"))
         record = {"batch": batch, "folder": folder, "replaces": list(replaces), **seen.get, "seconds": round(time.time() - began, 3), **noted}
-        if not self._commit(record):
+        if not store.put_text(self.spark, f"{self.path}/commits/{batch}.json", json.dumps(record)):
             return self.committed(batch)
         return record
 

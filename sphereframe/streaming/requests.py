@@ -2,13 +2,16 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import region, tiles
 from ..sources import store
+from ..sources.blocks import BlockStore
 from ..sources.tile_store import TileStore
 
 REQUEST_SCHEMA = ("request_id bigint, ts timestamp, west double, south double, east double, "
@@ -27,20 +30,53 @@ def answer(requests: DataFrame, field: DataFrame, h: int, native_height: int | N
     return region.region_query_lonlat(requests, field, h, native_height=native_height, spread=False)
 
 
-def serve(requests: DataFrame, field: DataFrame, h: int, good_path: str, bad_path: str,
+class BatchCounts(StreamingQueryListener):
+    """What a stream observed in each micro-batch, without another pass: ``rows[batch]`` holds its metrics and seconds.
+
+    A repeated batch replaces its row.  ``finished`` is set when the stream has ended and all its batches are in.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.rows, self.finished, self.failure = name, {}, threading.Event(), None
+
+    def onQueryStarted(self, event):
+        self.finished.clear()
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.rows[event.progress.batchId] = {**seen.asDict(), "seconds": event.progress.durationMs.get("triggerExecution", 0) / 1000}
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.failure = event.exception
+        self.finished.set()
+
+
+def observe_requests(requests: DataFrame, name: str, native_height: int | None = None) -> DataFrame:
+    """Judged requests that tell a listener how many there were, and how many bad, in each micro-batch."""
+    checked = region.validate(requests, native_height)
+    return checked.observe(name, F.count(F.lit(1)).alias("requests"), F.count("error").alias("errors"),
+                           F.sum(F.when(F.col("error").isNull(), F.col("width").cast("bigint") * F.col("height"))).alias("pixels"))
+
+
+def serve(requests: DataFrame, field: DataFrame | BlockStore, h: int, good_path: str, bad_path: str,
           checkpoint: str, native_height: int | None = None, trigger: dict | None = None, repeats_within: str | None = None):
     """Run the request loop: good requests give pixels, bad ones give an error row, none stops it.
 
     ``repeats_within`` keeps the ids of that time as state, over restarts too, and answers a repeated request once.
-    Each micro-batch writes to its own folder, so a repeated batch replaces itself.
+    Each micro-batch writes to its own folder, so a repeated batch replaces itself.  Of a field in blocks it reads those
+    under its requests only; a node table gives its cells again for each micro-batch.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = store.stage(region.validate(batch, native_height), "checked")  # the batch is read and judged once
         (checked.where(F.col("error").isNotNull()).select("request_id", "ts", "error")
          .write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}"))
         good = checked.where(F.col("error").isNull()).drop("error")
-        (region.region_query_lonlat(good, field, h)
-         .write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}"))
+        answers = region.region_query_stored(good, field) if isinstance(field, BlockStore) else region.region_query_lonlat(good, field, h)
+        (answers.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}"))
     requests = unique_requests(requests, repeats_within) if repeats_within else requests
     return (requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
