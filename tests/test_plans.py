@@ -25,7 +25,8 @@ def test_every_sphere_query_has_comparison_sql():
 
 
 @pytest.mark.parametrize("name", ["bilinear_points", "cube_identify_mean", "region_query_multi", "raster_corner_mean",
-                                  "tile_blend_shared", "tile_missing", "pole_constraint", "grid_phase_report"])
+                                  "tile_blend_shared", "tile_missing", "pole_constraint", "grid_phase_report",
+                                  "export_stored", "tile_cost_bitmap", "point_groups"])
 def test_query_equals_its_sql_and_uses_no_cross_join(spark, name):
     df = contract.queries()[name](spark, DATA)
     plan = plan_of(df)
