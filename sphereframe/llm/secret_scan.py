@@ -22,12 +22,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # Wider than ASSIGN: more names of credentials, and values with any printable characters.  The names of ASSIGN may end any
-# word, as there; the others begin a word or a camel-case part (dbPwd, but not spin).
+# word, as there; the others begin a word or a camel-case part (dbPwd, but not spin).  A quoted value reaches to its closing
+# quote: as far as it goes without a blank, as a phrase within one line and PHRASE characters (longer quotations are prose).
+# After a quote that doesn't close so, and without one, the value ends at white space.
+PHRASE = 256
 CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|"""
                      r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
                      r"""(?:pass(?:phrase|code)?|pwd|pin|credentials?|bearer|auth|(?:api|access|private|secret|auth)[_-]?key))"""
                      r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)"""
-                     r"""(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([!-~]{6,}))""", re.ASCII | re.IGNORECASE)
+                     r"""(?:"([^"\s]{6,})"|'([^'\s]{6,})'|"([^"\r\n]{6,%d})"|'([^'\r\n]{6,%d})'|"""
+                     r"""["']([^\s"']{6,})|([^\s"']\S{5,}))""" % (PHRASE, PHRASE), re.ASCII | re.IGNORECASE)
 NAME_SPAN = 32  # longer than any name with its separator, so a context that a value's end begins is found
 HINTS = ("pass", "pwd", "pin", "secret", "token", "cred", "bearer", "auth", "key")
 
@@ -105,10 +109,10 @@ def _values(text: str) -> Iterator[tuple[int, str]]:
     """Start and text of every value in credential context; none begins inside another one."""
     at = done = 0
     while m := CONTEXT.search(text, at):
-        k = next(k for k in (1, 2, 3) if m[k] is not None)
+        k = m.lastindex
         start, end = m.span(k)
         if start >= done:
-            yield start, m[k].rstrip(".,;:!?)") if k == 3 else m[k]
+            yield start, m[k].rstrip(".,;:!?)") if k > 4 else m[k]
             done = end
         at = max(m.start() + 1, start, end - NAME_SPAN)  # a value may itself be the name of the next: "password: secret: x"
 

@@ -1,5 +1,6 @@
 """Document operators on small tables: brute-force versions, round trips, held-out accuracy and odd rows."""
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -252,6 +253,50 @@ def test_every_value_in_context_is_costed():
     assert [k for _, k, _, _ in secret_scan.find("token=abcdefghijklmnop9")] == [0]  # nothing beyond the fixed span
 
 
+def test_phrases_and_values_of_any_script_are_masked_whole():
+    for text, left in (('password = "correct horse battery staple zq" end', 'password = "[SECRET]" end'),
+                       ('passphrase: "my own long secret phrase here"', 'passphrase: "[SECRET]"'),
+                       ("pin = 'vier lange wörter zusammen'.", "pin = '[SECRET]'."),
+                       ("password: пароль-очень-секрет, ok", "password: [SECRET], ok"),
+                       ('pwd="kq$$w0rz!Xy7# not closed', 'pwd="[SECRET] not closed'),
+                       ('pwd="kq$$w0rz!Xy7# not\nclosed"', 'pwd="[SECRET] not\nclosed"'),
+                       (f'pwd: "{"zq" * 20}#{"kv!" * 200}"', 'pwd: "[SECRET]"')):
+        assert secret_scan.mask(text) == left, text
+    for text in ('{"token":"abc","user":"longusername42"}', 'password: "" and then nothing', 'password: "your password"',
+                 'pwd = "' + "a quotation that goes on and on " * 20 + '"'):
+        assert secret_scan.mask(text) == text, text
+
+
+def brute_guesses(value):
+    """The least cost over all segmentations, by trying every last piece of every prefix."""
+    pieces = collections.defaultdict(list)
+    for i, j, cost in secret_scan._segments(value):
+        pieces[i, j].append(cost + secret_scan.PIECE)
+
+    @functools.cache
+    def least(j):
+        if not j:
+            return 0.0
+        options = [least(j - 1) + math.log10(secret_scan._alphabet(value[j - 1]))]
+        options += [least(i) + min(pieces[i, j]) for i in range(j) if pieces[i, j]]
+        for size in range(1, min(j - 1, secret_scan.REPEAT) + 1):
+            copies = 1
+            while j >= (copies + 1) * size and value[j - (copies + 1) * size:j - copies * size] == value[j - size:j]:
+                copies += 1
+            if copies > 1:
+                options.append(least(j - (copies - 1) * size) + math.log10(copies) + secret_scan.PIECE)
+        return min(options)
+    return least(len(value))
+
+
+def test_guess_costs_equal_brute_force():
+    rng = np.random.default_rng(4)
+    bits = ["password", "P4ssw0rd", "2021-03-04", "1999", "qwerty", "zxcv", "abc", "abcabc", "!!", "Zq", "7", "ö", " ", "dragon"]
+    for _ in range(200):
+        value = "".join(rng.choice(bits, rng.integers(0, 7)))
+        assert secret_scan.log10_guesses(value) == pytest.approx(brute_guesses(value), abs=1e-9), value
+
+
 # ----------------------------------------------------------------------------- token shards
 def test_encoder_equals_whole_encoding():
     odd = ["a  b\n\n c \t x", "  lead", "trail  ", "it's DON'T  we'll", "naïve é ́b", "ΑΣ ΣΑΣ. Σ", "a\x1cb c", "", "   ",
