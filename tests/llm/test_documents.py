@@ -387,6 +387,45 @@ def test_passages_are_found_with_original_offsets(spark, odd, empty):
     assert kept.columns == odd.columns and not {1, 4, 7} & {r.doc_id for r in kept.collect()} and kept.where("doc_id = 5").count() == 1
 
 
+def brute_scan(text, items):
+    """n_words, ids of occurring items and hit ranks, by comparing every window with every place."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+    own, hit, ids = split(text or ""), set(), set()
+    for item, body in items:
+        parts = split(body or "")
+        size = min(len(parts), decontaminate.WINDOW)
+        for i in range(len(parts) - size + 1 if size else 0):
+            for j in range(len(own) - size + 1):
+                if own[j:j + size] == parts[i:i + size]:
+                    hit |= set(range(j, j + size))
+                    ids.add(item)
+    return len(own), sorted(i for i in ids if i is not None), hit
+
+
+@pytest.mark.parametrize("block_words", [50_000, 200, 40])
+def test_benchmark_blocks_equal_brute_force(spark, block_words):
+    rng = np.random.default_rng(6)
+    draw = lambda n: " ".join(rng.choice(["Aa", "b", "é", "c1"], n))
+    items = [(f"q{k}", draw(int(rng.integers(0, 25)))) for k in range(40)] + [(None, draw(12)), ("q0", None), ("q1", "zz")]
+    texts = [draw(int(rng.integers(0, 60))) for _ in range(30)]
+    texts += [texts[0], texts[0], None, "", *(f"{draw(9)}! {b}... {draw(5)} {c}" for (_, b), (_, c) in zip(items[:20], items[5:25]))]
+    docs = [(k if k % 7 else None, t, "x") for k, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    table_ = spark.createDataFrame(docs, "doc_id bigint, text string, digest string")
+    blocks = decontaminate.Benchmark(bench, block_words).n
+    assert (blocks == 1) if block_words == 50_000 else blocks >= 3
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), len(r.spans))
+                              for r in decontaminate.scan(table_, bench, block_words=block_words).collect())
+    want, clean = collections.Counter(), collections.Counter()
+    for i, t, _ in docs:
+        n, ids, hit = brute_scan(t, items)
+        want[i, n, len(hit), tuple(ids), sum(k - 1 not in hit for k in hit)] += 1
+        clean[i, t] += not hit
+    assert got == want
+    kept = decontaminate.remove_contaminated(table_, bench, block_words=block_words)
+    assert kept.columns == table_.columns and collections.Counter((r.doc_id, r.text) for r in kept.collect()) == +clean
+
+
 # ----------------------------------------------------------------------------- packing
 def check_packing(rows, texts, window=2048):
     plain = Tokenizer.from_file(WORD)
