@@ -597,6 +597,63 @@ def test_label_model_finds_accuracies():
     assert ((p > 0.5) == truth).mean() > 0.9 and np.abs(right.mean(axis=1) - accuracy).max() < 0.06
 
 
+@pytest.mark.parametrize("told", [0.0, 0.5, 1.0])
+def test_label_table_gets_the_accuracy_that_it_turns_out_to_have(told):
+    rng = np.random.default_rng(9)
+    truth = rng.random(12_000) < 0.6
+    votes = np.stack([np.where(rng.random(12_000) < 0.9, truth, ~truth) for _ in range(6)]
+                     + [np.where(rng.random(12_000) < told, truth, ~truth)], 1).astype(np.int64)
+    p, right = quality.posterior(votes, 0.8, [quality.HEURISTIC] * 6 + [quality.TABLE])
+    assert ((p > 0.5) == truth).mean() > 0.95 and np.abs(right[-1] - told).max() < 0.03
+
+
+def brute_posterior(votes, base, trust, rounds=60):
+    """One vote at a time, in the textbook's words."""
+    known = [[(j, v) for j, v in enumerate(row) if v >= 0] for row in votes]
+    p = [(sum(v for _, v in row) + base) / (len(row) + 1) for row in known]
+    for _ in range(rounds):
+        right = {}
+        for j, (accuracy, worth) in enumerate(trust):
+            for truth in (0, 1):
+                mass = [(q if truth else 1 - q, v) for q, row in zip(p, known) for k, v in row if k == j]
+                right[j, truth] = ((sum(m for m, v in mass if v == truth) + accuracy * worth) / (sum(m for m, _ in mass) + worth))
+        prior, now = min(0.999, max(0.001, sum(p) / len(p))), []
+        for row in known:
+            one, zero = prior, 1 - prior
+            for j, v in row:
+                one *= right[j, 1] if v else 1 - right[j, 1]
+                zero *= 1 - right[j, 0] if v else right[j, 0]
+            now.append(one / (one + zero))
+        moved = max(abs(a - b) for a, b in zip(p, now))
+        p = now
+        if moved < 1e-6:
+            break
+    return p
+
+
+@needs_data
+def test_quality_query_against_plain_python(spark, small, tmp_path):
+    """The query's scores are those of a plain scorer, whose weak labels come from a plain expectation-maximisation."""
+    docs, labels = table(spark, DATA, "documents"), {r.doc_id: r for r in table(spark, DATA, "labels").collect()}
+    model = quality.fit(docs, table(spark, DATA, "labels"))
+    forms = {i: quality.Form.of(t) for i, t in small if t}
+    some = sorted(forms)
+    votes = [[*quality.form_votes(forms[i]), labels[i].quality if i in labels and labels[i].quality is not None else -1] for i in some]
+    trust = [quality.HEURISTIC] * (len(votes[0]) - 1) + [quality.TABLE]
+    assert quality.posterior(np.array(votes), 0.8, trust)[0] == pytest.approx(brute_posterior(votes, 0.8, trust), abs=1e-4)
+    rows = {r.doc_id: r for r in result(spark, tmp_path, "op10_quality")}
+    assert len(rows) == len(small)
+    for i, text in small:
+        r = rows[i]
+        if not text or not text.strip():
+            assert (r.quality, r.toxicity, r.keep) == (0.0, 0.0, False)
+            continue
+        got = [1 / (1 + math.exp(-(sum(float(w[k]) for k in quality.features(forms[i])) + b)))
+               for w, b in (model.form, model.insult)]
+        assert (r.quality, r.toxicity) == pytest.approx(got, abs=1e-4)
+        assert r.keep == (r.quality >= quality.THRESHOLD and r.toxicity < quality.TOXIC)
+
+
 # ----------------------------------------------------------------------------- pipeline
 @needs_data
 def test_pipeline_stage_by_stage_against_row_wise_decisions(spark, tmp_path):
