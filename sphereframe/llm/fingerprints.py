@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, id_and_text
@@ -19,6 +19,7 @@ BITS = 64
 SHINGLE = 2
 RADIUS = 3
 BLOCKS, KEEP = 5, 2
+MEMBERS = 8192  # fingerprints of a bucket that are compared in one place
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
@@ -115,12 +116,14 @@ def _table_rows(prints: DataFrame, blocks: int, keep: int) -> DataFrame:
     return prints.select("fingerprint", "copies", F.explode(F.array(*keys)).alias("t")).select("t.*", "fingerprint", "copies")
 
 
-def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, keep: int = KEEP) -> DataFrame:
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, keep: int = KEEP,
+                members: int = MEMBERS) -> DataFrame:
     """For every distinct fingerprint: its rows (``copies``) and the rows of other fingerprints within ``radius`` bits.
 
     With ``blocks - keep >= radius`` two fingerprints within the radius agree on the bits of some table, so nothing is
     missed; a pair counts in the first table that joins it only.  Equal fingerprints are one row beforehand, and pairs
-    are counted where they meet, never written.  The empty table gives an empty table.
+    are counted where they meet, never written.  A bucket of more than ``members`` fingerprints is dealt out to parts of about
+    that many, whose pairs are compared in tasks of their own.  The empty table gives an empty table.
     """
     if blocks - keep < radius:
         raise ValueError("too few blocks for this radius")
@@ -129,20 +132,31 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, k
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["fingerprint"].to_numpy(np.int64).view(np.uint64)
-        copies, number = rows["copies"].to_numpy(np.int64), int(rows["number"].iloc[0])
+        copies, part = rows["copies"].to_numpy(np.int64), rows["part"].to_numpy()
+        number, apart_only = int(rows["number"].iloc[0]), rows["one"].iloc[0] != rows["two"].iloc[0]
         near = np.zeros(len(own), np.int64)
         step = max(1, (1 << 21) // len(own))
         for a in range(0, len(own), step):
             apart = own[a:a + step, None] ^ own[None, :]
             hit = (np.bitwise_count(apart) <= radius) & (apart != 0)
+            if apart_only:
+                hit &= part[a:a + step, None] != part[None, :]
             for earlier in masks[:number]:
                 hit &= (apart & earlier) != 0
             near[a:a + step] = hit @ copies
-        return pd.DataFrame({"fingerprint": own.view(np.int64), "near": near})
-    # A bucket of one fingerprint has no pair; it needn't be dealt to Python.
+        met = near > 0
+        return pd.DataFrame({"fingerprint": own[met].view(np.int64), "near": near[met]})
+    # A bucket of one fingerprint has no pair; it needn't be dealt to Python.  A large one is dealt out to parts, and two
+    # parts meet in one place each, so a place holds at most about two parts whatever the bucket's size.
     rows = _table_rows(distinct, blocks, keep)
-    several = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("number", "key"))).where("n > 1").drop("n")
-    found = several.groupBy("number", "key").applyInPandas(count, "fingerprint bigint, near bigint").where("near > 0")
+    buckets = rows.groupBy("number", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "number", "key", F.ceil(F.col("n") / F.lit(members)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("fingerprint", F.lit("part")), F.col("parts")).cast("int").alias("part")
+    seats = rows.join(buckets, ["number", "key"]).select("number", "key", "fingerprint", "copies", "parts", part)
+    seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "number", "key", "fingerprint", "copies", "part", F.least("part", "other").alias("one"),
+        F.greatest("part", "other").alias("two"))
+    found = seats.groupBy("number", "key", "one", "two").applyInPandas(count, "fingerprint bigint, near bigint")
     total = found.groupBy("fingerprint").agg(F.sum("near").alias("near"))
     return distinct.join(total, "fingerprint", "left").select("fingerprint", "copies", F.coalesce("near", F.lit(0)).alias("near"))
 

@@ -244,9 +244,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     """
     found = groups(docs, threshold, id_col=id_col, text_col=text_col)
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
-    chosen = least.select(F.col("least.doc_id").alias("_chosen_id"), F.col("least.digest").alias("_chosen_digest"))
+    chosen = least.select(F.col("least.doc_id").alias("chosen_id"), F.col("least.digest").alias("chosen_digest"))
     digest = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))
-    kept = docs.withColumn("_digest", digest)
-    kept = kept.join(chosen, kept[id_col].cast("bigint").eqNullSafe(chosen["_chosen_id"])
-                     & (kept["_digest"] == chosen["_chosen_digest"]))
-    return kept.dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+    # The table's own columns travel as one struct, so that no name of theirs meets one of this function.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("own_id"), digest.alias("own_digest"))
+    kept = rows.join(chosen, rows["own_id"].cast("bigint").eqNullSafe(chosen["chosen_id"]) & (rows["own_digest"] == chosen["chosen_digest"]))
+    return kept.dropDuplicates(["own_id", "own_digest"]).select("row.*")

@@ -87,6 +87,20 @@ def test_permuted_tables_find_all_near_fingerprints(spark):
         fingerprints.near_counts(df, 3, 4, 2)
 
 
+@pytest.mark.parametrize("members", [8192, 60])
+def test_hot_buckets_are_dealt_out_without_losing_pairs(spark, members):
+    """Most fingerprints share their first 40 bits, so three of the ten tables have one bucket for all of them."""
+    rng = np.random.default_rng(8)
+    same = (rng.integers(0, 1 << 24, 500).astype(np.uint64) & np.uint64(0x3FF0FF)) << np.uint64(40) | np.uint64(0x1234567890)
+    prints = np.concatenate([same, same[:50], same[:100] ^ np.uint64(5), rng.integers(0, 1 << 63, 50).astype(np.uint64)]).view(np.int64)
+    rows = spark.createDataFrame([(int(p),) for p in prints], "fingerprint bigint")
+    copies = collections.Counter(prints.tolist())
+    mask = (1 << 64) - 1
+    want = {a: (n, sum(m for b, m in copies.items() if b != a and ((a ^ b) & mask).bit_count() <= 3)) for a, n in copies.items()}
+    got = {r.fingerprint: (r.copies, r.near) for r in fingerprints.near_counts(rows, members=members).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 500
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = fingerprints.edits(odd).collect()
     assert len(rows) == odd.count() and fingerprints.edits(empty).count() == 0
@@ -196,6 +210,13 @@ def test_classes_of_one_id_are_kept_apart_and_classes_without_ids_together(spark
     assert {t for _, t in texts[:2]} in ({LONG, "alone"}, {near, "alone"})
 
 
+def test_kept_rows_keep_columns_of_any_name(spark):
+    rows = [(1, PROSE, "d", 7, "r", 1, "o"), (2, PROSE, "e", 8, "s", 2, "p"), (3, "alone", "f", None, "t", 3, "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _digest string, _chosen_id bigint, row string, own_id int, root string")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_prefixes_are_shortened_to_the_target():
     depth = jaccard_join.prefix_length(0.8, 0.999)
     assert 1 - (1 - 0.8 ** depth) ** jaccard_join.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
