@@ -25,6 +25,7 @@ MIN_COUNT = 5       # training tokens of a word in the model; rarer words share
 DIM, TAIL_DIM = 32, 8
 NOISE, TAIL_NOISE = 64, 8
 WARM_BLOCKS = 256
+LEARNERS = 2        # for each slot of the cluster
 CHUNK = 1 << 16     # rows of the second level, or weights, that are averaged together
 WARM_TOKENS = 300_000
 BATCH = 2048
@@ -43,6 +44,16 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
 
+def pack_stream(numbers: np.ndarray) -> bytes:
+    """Word numbers as a plane of low and a plane of high halves; the high one compresses to little."""
+    return (numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
+
+
+def unpack_stream(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(packed, "<u2").astype(np.uint32).reshape(2, -1)
+    return low | high << np.uint32(16)
+
+
 def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole documents in blocks of about ``block_tokens`` tokens, with each word's count in training documents."""
     schema = arrow_schema(BLOCKS)
@@ -56,7 +67,7 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str
             learn = np.repeat([not is_held_out(n) for n in names], sizes)
             train = np.bincount(stream[learn], minlength=len(vocab)).astype("<u4")
             return batch_of([((part << 32) + seq, names, sizes.tolist(), vocab.astype("<u8").tobytes(), train.tobytes(),
-                              stream.astype("<u4").tobytes())], schema)
+                              pack_stream(stream))], schema)
         for batch in batches:
             doc_id, text = batch.columns
             for i in range(batch.num_rows):
@@ -271,7 +282,7 @@ def _training(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Words and sizes of a block's training documents."""
     sizes = np.array(row["sizes"], np.int64)
     learn = np.array([not is_held_out(n) for n in row["doc_ids"]], bool)
-    ids = model.classes(np.frombuffer(row["vocab"], "<u8"))[np.frombuffer(row["stream"], "<u4")]
+    ids = model.classes(np.frombuffer(row["vocab"], "<u8"))[unpack_stream(row["stream"])]
     return ids[np.repeat(learn, sizes)], sizes[learn]
 
 
@@ -285,18 +296,19 @@ def vocabulary(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_tokens: int = WARM_TOKENS
-        ) -> tuple[Model, int, int]:
-    """The model, trained on every training token, the number of these tokens, and how many are of the model's words.
+        ) -> tuple[Model, int, np.ndarray]:
+    """The model, trained on every training token, the number of these tokens, and the counts of the model's words.
 
-    A start on about ``warm_tokens`` tokens of a bounded number of blocks gives all tasks one orientation; then each task
-    makes a pass over the blocks it holds.  The mean of the tasks' weights, by tokens, is the model; a row of the second
+    A start on about ``warm_tokens`` tokens of a bounded number of blocks gives all tasks one orientation; then each of
+    ``LEARNERS`` tasks a slot of the cluster makes a pass over the blocks it holds, so that the weights exchanged follow the
+    cluster and the vocabulary rather than the number of blocks.  The mean of the tasks' weights, by tokens, is the model; a row of the second
     level is the mean over the tasks that met it.
     """
     spark = blocks.sparkSession
     words, counts, total = vocabulary(counted)
     model = Model.start(words, counts, max(0.0, total - counts.sum()), head=size)
     if not total:
-        return model, total, 0
+        return model, total, counts.astype(np.int64)
     start = spark.sparkContext.broadcast(model)
     all_blocks = blocks.select("block").count()
     some_blocks = blocks.where(F.pmod(F.xxhash64("block"), F.lit(math.ceil(all_blocks / WARM_BLOCKS))) == 0)
@@ -364,13 +376,14 @@ def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_toke
                 weight[at] += row["tokens"]
         if part is not None:
             yield done()
-    parts = blocks.mapInArrow(learn, part_ddl).repartition("part").sortWithinPartitions("part")
+    learners = LEARNERS * spark.sparkContext.defaultParallelism
+    parts = blocks.coalesce(learners).mapInArrow(learn, part_ddl).repartition("part").sortWithinPartitions("part")
     mean = dict(map(tuple, parts.mapInArrow(means, "part bigint, weights binary").collect()))  # as large as the model
     model = model.from_flat(np.concatenate([np.frombuffer(mean[-1 - k], "<f4") for k in range(-(-dense // CHUNK))]))
     for k, a in enumerate(range(0, len(model.share), CHUNK)):
         if k in mean:
             model.move_tail(a, np.frombuffer(mean[k], "<f4").reshape(-1, width)[:len(model.share) - a])
-    return model, total, int(counts.sum())
+    return model, total, counts.astype(np.int64)
 
 
 BUCKET_WORDS = 1 << 18
@@ -379,6 +392,8 @@ BUCKET_WORDS = 1 << 18
 def _counts(blocks: DataFrame) -> DataFrame:
     """``block, bucket, c, new, words, n, tokens``: corpus counts of a block's words, in the order of its vocabulary.
 
+    A count is one byte, ``MIN_COUNT`` for all from there on, which are counts of the model's words.
+
     Words are dealt out to buckets by ranges of their hash, as many as all blocks' vocabularies need.  A block sends each
     bucket a packed slice and gets its counts back; ``new`` adds up to the number of distinct training words and ``tokens``
     to that of training tokens; ``words, n`` are the bucket's words of the minimum count, once.  A word has
@@ -403,10 +418,10 @@ def _counts(blocks: DataFrame) -> DataFrame:
     def add_up(bucket, held):
         words, place = np.unique(np.concatenate([w for _, w, _ in held]), return_inverse=True)
         c = np.bincount(place, np.concatenate([n for _, _, n in held]), len(words)).astype("<u4")
-        at, out, often = 0, [], c >= MIN_COUNT
+        at, out, often, few = 0, [], c >= MIN_COUNT, np.minimum(c, MIN_COUNT).astype("u1")
         for k, (block, own, _) in enumerate(held):
             once = (int((c > 0).sum()), words[often].tobytes(), c[often].tobytes(), int(c.sum(dtype=np.int64)))
-            out.append((block, bucket, c[place[at:at + len(own)]].tobytes(), *(once if k == 0 else (0, None, None, 0))))
+            out.append((block, bucket, few[place[at:at + len(own)]].tobytes(), *(once if k == 0 else (0, None, None, 0))))
             at += len(own)
         return batch_of(out, back_schema)
 
@@ -444,8 +459,9 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     spark = docs.sparkSession
     blocks = stage(token_blocks(docs, block_tokens, id_col, text_col), "blocks")
     counted = stage(_counts(blocks), "counts")
-    model, total, known = fit(blocks, counted, size)
-    shared = spark.sparkContext.broadcast(model)
+    model, total, often = fit(blocks, counted, size)
+    known = int(often.sum())
+    shared = spark.sparkContext.broadcast((model, often))
     counted = counted.select("block", "bucket", "c", "new")
     empty = {"doc_ids": "array<bigint>", "sizes": "array<bigint>", "vocab": "binary", "stream": "binary"}
     rows = counted.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()}).unionByName(
@@ -455,11 +471,11 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     out_schema = arrow_schema(SCORES)
 
     def finish(row, counts, new):
-        lm = shared.value
+        lm, often = shared.value
         sizes = np.array(row["sizes"], np.int64)
-        stream, vocab = np.frombuffer(row["stream"], "<u4"), np.frombuffer(row["vocab"], "<u8")
-        c = np.concatenate(counts)
+        stream, vocab = unpack_stream(row["stream"]), np.frombuffer(row["vocab"], "<u8")
         words = lm.classes(vocab)
+        c = np.where(words < len(lm.words), np.append(often, 0)[words], np.concatenate(counts))
         ids = words[stream]
         begin = np.cumsum(sizes) - sizes
         logs = np.log10(c + 0.5)
@@ -481,7 +497,7 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
                         yield finish(row, counts, new)
                     row, counts, new = one, [], []
                 else:
-                    counts.append(np.frombuffer(one["c"], "<u4").astype(np.int64))
+                    counts.append(np.frombuffer(one["c"], "u1"))
                     new.append(one["new"])
         if row is not None:
             yield finish(row, counts, new)
