@@ -14,24 +14,19 @@ from .common import arrow_schema, batch_of, id_and_text, stage
 from .tokens import encoder
 
 WINDOW = 2048
-SHARD_IDS = 1 << 19
-QUERY_TERMS = 32
+SHARD_IDS = 1 << 20
 K1, B = 1.2, 0.75
 TOGETHER = 100
+KEY_IDS = 1 << 18  # ids whose keys are computed at once
+COMMON = 4         # a term in more than one of this many documents of a shard is held as a dense row
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, ids binary")
-_MIXERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-
-
-def _near_keys(ids: np.ndarray) -> tuple[int, ...]:
-    """Least hashes of the ids: documents with like vocabularies tend to share them, and so meet in a shard."""
-    x = ids.astype(np.uint32)[:, None] * _MIXERS
-    return tuple((x ^ (x >> np.uint32(15))).min(axis=0).tolist())
+KEYS = 3
 
 
 def encoded(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n, k1, k2, k3, ids``: little-endian 32-bit ids of each text with its end, and keys of its vocabulary."""
-    ddl = "doc_id bigint, n bigint, k1 bigint, k2 bigint, k3 bigint, ids binary"
+    """``doc_id, n, ids``: the ids of each text with its end, see :func:`unpack`."""
+    ddl = "doc_id bigint, n bigint, ids binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -43,7 +38,7 @@ def encoded(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, id_col: s
                 out = []
                 for i, ids in zip(some, coder.many([text[i].as_py() for i in some]), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
-                    out.append((doc_id[i].as_py(), len(ids), *_near_keys(ids), _pack(ids)))
+                    out.append((doc_id[i].as_py(), len(ids), _pack(ids)))
                 yield batch_of(out, schema)
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ddl)
 
@@ -81,31 +76,68 @@ def statistics(rows: DataFrame) -> tuple[np.ndarray, float]:
     return np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32), (whole["ids"] or 0) / max(1, count)
 
 
+def clocks(terms: int) -> np.ndarray:
+    """Exponential variates of every term, a row for each key; the same in every task."""
+    return np.random.default_rng(7).exponential(size=(KEYS, terms))
+
+
+def near_keys(docs: list[np.ndarray], idf: np.ndarray, mean: float, clock: np.ndarray) -> np.ndarray:
+    """A row of keys for each document: terms drawn in proportion to the square of their BM25 weight.
+
+    Draws of different documents agree (the least of clock / weight^2), so two documents share a key the more often, the
+    more of their weight is on common terms, and copies always do.
+    """
+    sizes = np.array([len(d) for d in docs])
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    found, tf = np.unique(np.concatenate(docs).astype(np.int64) | owner << 32, return_counts=True)
+    term, doc = found & 0xFFFFFFFF, found >> 32
+    weight = _weight(idf[term], tf, sizes[doc], mean)
+    starts = np.searchsorted(doc, np.arange(len(docs)))
+    keys = np.empty((len(docs), len(clock)), np.int64)
+    for k, row in enumerate(clock):
+        time = row[term] / (weight * weight)
+        hit = np.flatnonzero(time == np.minimum.reduceat(time, starts)[doc])
+        keys[:, k] = term[hit[np.searchsorted(doc[hit], np.arange(len(docs)))]]
+    return keys
+
+
+def _weight(idf: np.ndarray, tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    return idf.astype(np.float64) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1.0)))
+
+
 class Index:
-    """BM25 inverted index of one shard, whose terms are token ids."""
+    """BM25 inverted index of one shard, whose terms are token ids.
+
+    Terms of many documents are rows of a dense matrix, the others lists of postings; a query uses all terms of its document.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), sizes)
         keys, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
         term, self.doc = np.divmod(keys, len(docs))
-        norm = K1 * (1 - B + B * sizes[self.doc] / max(mean, 1.0))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm)
-        self.term, starts = np.unique(term, return_index=True)
+        self.weight = _weight(idf[term], tf, sizes[self.doc], mean)
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
         self.ends = np.append(starts, len(term))
-        self.n = len(docs)
-        # The heaviest terms of each document are its query.
-        order = np.lexsort((-self.weight, self.doc))
-        self.order = order
-        self.of = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.slot = np.repeat(np.arange(len(self.term)), np.diff(self.ends))
+        df = np.diff(self.ends)
+        self.n, slot = len(docs), np.repeat(np.arange(len(df)), df)
+        common = df * COMMON > self.n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)  # of a common term in the matrix
+        self.dense = np.zeros((int(common.sum()), self.n))
+        self.dense[self.row[slot[common[slot]]], self.doc[common[slot]]] = self.weight[common[slot]]
+        order = np.argsort(self.doc, kind="stable")
+        self.slots, self.of = slot[order], np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
     def scores(self, k: int) -> np.ndarray:
-        """BM25 of every document of the shard for the query made of document ``k``."""
-        terms = self.slot[self.order[self.of[k]:min(self.of[k + 1], self.of[k] + QUERY_TERMS)]]
+        """BM25 of every document of the shard for the query of all distinct terms of document ``k``."""
+        terms = self.slots[self.of[k]:self.of[k + 1]]
+        rows = self.row[terms]
+        asked = np.zeros(len(self.dense))
+        asked[rows[rows >= 0]] = 1
+        terms = terms[rows < 0]
         a, size = self.ends[terms], self.ends[terms + 1] - self.ends[terms]
-        at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return asked @ self.dense + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 class Windows:
@@ -180,14 +212,29 @@ def pack(docs: DataFrame, tokenizer: str, pieces: str, end_id: int = 1, window:
          with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of ``window`` ids: every id lies in one piece, offsets have no gap.
 
-    Documents with like vocabularies are brought together by range of vocabulary keys (a hot key is split by further
-    keys and the id), shards of ``shard_ids`` ids get a BM25 index with statistics of the whole corpus, and only the last
-    window of a partition is not full; it becomes sequences of powers of two.  A null or empty text is its end id;
-    repeated rows are packed each; an empty table gives none; other columns are not read.  ``ids`` (see ``unpack``) is null
-    unless ``with_ids``.
+    Documents with like vocabularies are brought together by range of vocabulary keys (see :func:`near_keys`; a hot key is
+    split by further keys and the id), shards of ``shard_ids`` ids get a BM25 index with statistics of the whole corpus, and
+    only the last window of a partition is not full; it becomes sequences of powers of two.  A null or empty text is its end
+    id; repeated rows are packed each; an empty table gives none; other columns are not read.  ``ids`` (see ``unpack``) is
+    null unless ``with_ids``.
     """
     rows = stage(encoded(docs, tokenizer, pieces, end_id, id_col, text_col), "encoded")
     shared = docs.sparkSession.sparkContext.broadcast(statistics(rows))  # a float for each id of the vocabulary
+    key_ddl = "doc_id bigint, k1 bigint, k2 bigint, k3 bigint, ids binary"
+    key_schema = arrow_schema(key_ddl)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = shared.value
+        clock = clocks(len(idf))
+        for batch in batches:
+            first, some, count = 0, [], 0
+            for i, data in enumerate(batch.column(1)):
+                some.append(unpack(data.as_buffer().to_pybytes()))
+                count += len(some[-1])
+                if count >= KEY_IDS or i + 1 == batch.num_rows:
+                    part, keys = batch.slice(first, len(some)), near_keys(some, idf, mean, clock)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, keys.T), part.column(1)], schema=key_schema)
+                    first, some, count = i + 1, [], 0
     schema = arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,5 +254,5 @@ def pack(docs: DataFrame, tokenizer: str, pieces: str, end_id: int = 1, window:
             fill(held, idf, mean, windows)
         windows.finish()
         yield batch_of(windows.rows, schema)
-    near = rows.repartitionByRange("k1", "k2", "k3", "doc_id").sortWithinPartitions("k1", "k2", "k3", "doc_id", "ids")
+    near = rows.select("doc_id", "ids").mapInArrow(keyed, key_ddl).repartitionByRange("k1", "k2", "k3", "doc_id").sortWithinPartitions("k1", "k2", "k3", "doc_id", "ids")
     return near.select("doc_id", "ids").mapInArrow(run, PIECES)

@@ -497,8 +497,52 @@ def test_scores_equal_plain_bm25():
         tf = int((d == t).sum())
         return idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 40.0))
     for k in range(30):
-        query = sorted(set(docs[k].tolist()), key=lambda t: -weight(t, docs[k]))[:packing.QUERY_TERMS]
-        assert np.allclose(index.scores(k), [sum(weight(t, d) for t in query) for d in docs], rtol=1e-4)
+        assert np.allclose(index.scores(k), [sum(weight(t, d) for t in set(docs[k].tolist())) for d in docs], rtol=1e-4)
+
+
+def test_keys_of_packing_follow_the_weights():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint32) for _ in range(40)]
+    docs.append(rng.permutation(docs[7]))
+    idf = rng.random(300).astype(np.float32) + 0.01
+    clock = packing.clocks(300)
+    got = packing.near_keys(docs, idf, 90.0, clock)
+    for d, keys in zip(docs, got.tolist(), strict=True):
+        weight = {t: idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / 90.0)) for t, n in collections.Counter(d.tolist()).items()}
+        assert keys == [min(weight, key=lambda t: row[t] / weight[t] ** 2) for row in clock]
+    assert (got[7] == got[-1]).all()
+
+
+def test_windows_are_filled_with_the_best_unused_neighbours():
+    rng = np.random.default_rng(3)
+    docs = [(i, rng.integers(0, 80, rng.integers(1, 40)).astype(np.uint32)) for i in range(60)]
+    idf, mean = rng.random(80).astype(np.float32) + 0.1, 20.0
+    windows = packing.Windows(128, 0, False)
+    packing.fill(docs, idf, mean, windows)
+    windows.finish()
+    order = list(dict.fromkeys(r[0] for r in sorted(windows.rows, key=lambda r: (r[5], r[6]))))
+
+    def score(q, d):
+        own = collections.Counter(d.tolist())
+        return sum(idf[t] * own[t] * 2.2 / (own[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(q.tolist()) if own[t])
+    unused, want, room, seed, queue = set(range(60)), [], 128, None, []
+    while unused:
+        if seed is None or not queue:
+            if seed is None:
+                seed = min(unused)
+                queue = [seed]
+            else:
+                queue = sorted(unused, key=lambda d: (-score(docs[seed][1], docs[d][1]), d))
+        k = queue.pop(0)
+        unused.discard(k)
+        want.append(k)
+        size = len(docs[k][1])
+        if size >= room:
+            left = (size - room) % 128
+            room, seed, queue = 128 - left, k if left else None, []
+        else:
+            room -= size
+    assert order == want
 
 
 # ----------------------------------------------------------------------------- archives
