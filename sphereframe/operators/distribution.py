@@ -30,17 +30,17 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     """Interpolated order statistics of one column, per group, without sorting a group in one task.
 
     Equal values are counted first, so a value that holds a third of all rows is one row from
-    then on.  Distinct values are range partitioned once, across groups, and kept in the
-    checkpoint folder; only one total per partition and group is accumulated in order, and only
+    then on.  These counts are stored, so the rows are read once: sampling the ranges and sizing
+    them read the counts.  Distinct values are range partitioned once, across groups, and kept in
+    the checkpoint folder; only one total per partition and group is accumulated in order, and only
     partitions that contain a wanted rank are looked at again.
     """
     by = list(by)
     spark = df.sparkSession
+    counts = cut_lineage(df.where(F.col(value).isNotNull() & ~F.isnan(value))
+                         .groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     if partitions is None:  # a range of distinct values has to fit one task
-        distinct = df.agg(F.approx_count_distinct(value)).first()[0]
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct / RANGE_VALUES))
-    counts = (df.where(F.col(value).isNotNull() & ~F.isnan(value))
-              .groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(counts.count() / RANGE_VALUES))
     ranged = cut_lineage(counts.repartitionByRange(partitions, *by, "v")
                          .withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "part").agg(F.sum("c").alias("t"))  # at most partitions x groups rows

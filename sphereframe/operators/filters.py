@@ -202,9 +202,15 @@ def reduce_lonlat(field: DataFrame, h: int, scale: int, constrained: bool = True
     return constrain(out, rows) if constrained else out
 
 
-def constrain(field: DataFrame, h: int) -> DataFrame:
-    """One value per pole; the rows next to the poles keep only their mean and first harmonic."""
+def constrain(field: DataFrame, h: int, stored: bool = False) -> DataFrame:
+    """One value per pole; the rows next to the poles keep only their mean and first harmonic.
+
+    The field is needed twice, for the four cap rows and for the result.  It is evaluated once, into a table sorted by row,
+    so the caps come from the row groups that hold them; ``stored`` says that the field is a stored table already.
+    """
     values = value_columns(field, ["y", "x"])
+    if not stored:
+        field = cut_lineage(field.sortWithinPartitions("y"))
     width = 2 * h
     angle = F.lit(2 * math.pi / width) * F.col("x")
     aggs = []
@@ -228,10 +234,8 @@ def merge_low_frequency_lonlat(residual: DataFrame, h: int, low: DataFrame, h_lo
     scale = h // h_low
     values = value_columns(residual, ["y", "x"])
     provisional = _add_scaled_lonlat(residual, h, low, h_low, values)
-    # Pole rows are read twice; the small reduced stages are kept so their inputs are not.
-    reduced = constrain(cut_lineage(reduce_lonlat(provisional, h, scale, constrained=False)), h_low)
-    smooth = cut_lineage(filter_lonlat(reduced, h_low, grids.gaussian_kernel(), constrained=False))
-    smooth = constrain(smooth, h_low)
+    reduced = reduce_lonlat(provisional, h, scale)
+    smooth = filter_lonlat(reduced, h_low, grids.gaussian_kernel())
     return constrain(_add_scaled_lonlat(residual, h, smooth, h_low, values), h)
 
 

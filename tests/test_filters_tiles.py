@@ -71,6 +71,33 @@ def test_lonlat_reduce_is_the_triangular_gather(spark, scale):
     close(ll_dict(filters.reduce_lonlat(df, h, scale)), constrain(want, h // scale))
 
 
+def test_operators_that_read_twice_evaluate_their_input_once(spark):
+    from sphereframe.operators import distribution
+    h, size = 8, 4
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            counted.add(b.num_rows)
+            yield b
+    field = spark.range((h + 1) * 2 * h).select(
+        (F.col("id") / (2 * h)).cast("int").alias("y"), (F.col("id") % (2 * h)).cast("int").alias("x"), F.sin("id").alias("v"))
+    rows = field.count()
+    seen = field.mapInArrow(count, field.schema)
+    assert filters.constrain(seen, h).count() == rows == counted.value
+    distribution.exact_quantiles(seen, "v", [0.1, 0.5]).collect()
+    assert counted.value == 2 * rows
+    origins = spark.range(9).select(F.lit(0).alias("face"), ((F.col("id") - 1) * 2).cast("int").alias("ty")).crossJoin(
+        spark.range(8).select((F.col("id") * 2).cast("int").alias("tx")))
+    made = origins.select("*", F.array_repeat(F.lit(1.0), size * size).alias("values"))
+    blended = tiles.blend_lonlat(made.mapInArrow(count, made.schema), h, size, window="linear")
+    assert blended.count() == rows and counted.value == 2 * rows + made.count()
+    with pytest.raises(ValueError, match="uncovered"):
+        tiles.blend_lonlat(made.where("tx > 4"), h, size, window="linear")
+    caps = filters.constrain(field, h)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(y, [0,1,7,8])" in caps
+
+
 def test_pole_constraint_is_the_low_pass_of_cap_rows(spark):
     h = 5
     rng = random.Random(9)
