@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -17,6 +18,7 @@ _RUNS = rf"[{_LETTER}]+(?![^{_MARK}\s])", rf"[{_MARK}]+(?![^{_LETTER}\s])", r"\S
 SPACED = "|".join([*(rf"\s*{run}" for run in _RUNS), r"\s+"])
 WORDS = "|".join(_RUNS)
 WORD_END = "</w>"
+BYTE_SPACES = "ĠĊ"  # space and line feed in a vocabulary of bytes
 _BREAK = re.compile(r"(?<=\S)\s")
 _ODD = re.compile("[\x1c-\x1fΣ]")  # white space for Python only; a letter whose lower case depends on its place
 
@@ -31,17 +33,29 @@ class Encoder:
 
     def __init__(self, path: str, pieces: str, keep: int = KEEP_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split, self.keep, self.known = re.compile(pieces).findall, keep, {}
         self.older: dict[str, bytes] = {}
-        # Where the vocabulary marks ends of words, many one-token-run pieces can be encoded as one text.
+        # A marked end of a word, or start of white space, tells where a piece ends or starts: many can be encoded as one text.
         words = self.tokenizer.get_vocab()
-        ends = [i for w, i in words.items() if w.endswith(WORD_END)]
-        self.end = np.zeros(max(words.values()) + 1, bool)
-        self.end[ends] = True
-        self.simple = re.compile("|".join(_RUNS[:2])).fullmatch if ends and pieces == WORDS else None
+        ends = pieces == WORDS and any(w.endswith(WORD_END) for w in words)
+        self.edge = np.zeros(max(words.values()) + 1, bool)
+        self.edge[[i for w, i in words.items() if (w.endswith(WORD_END) if ends else w[0] in BYTE_SPACES)]] = True
+        run, self.shift = "|".join(_RUNS[:2]), 1 if ends else 0
+        if not ends:
+            run = f"[ \\n](?:{run})" if pieces == SPACED and self.edge.any() else None
+        self.simple = re.compile(run).fullmatch if run else None
+        # Such runs are words to the vocabulary's own splitting, so a copy that splits at tabs only gives the same ids.
+        self.lower, self.runs = ends, Tokenizer(self.tokenizer.model)
+        self.runs.pre_tokenizer = pre_tokenizers.Split("\t", "removed")
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes = {i: spell(chr(i))[0][0] for i in range(256) if chr(i) != "\t"}
+        self.bytes[10] += "\t"  # a line feed is a word of its own
+        for one in (self.tokenizer, self.runs):
+            if hasattr(one.model, "_resize_cache"):
+                one.model._resize_cache(0)  # a piece comes once; the memory here has the others
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -50,31 +64,33 @@ class Encoder:
             at = m.start()
         yield text[at:] if at else text
 
-    def _learn(self, parts: Iterable[str]) -> None:
-        new = set(parts)
-        if len(self.known) + len(new.difference(self.known)) > self.keep:
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > self.keep:
             self.known, self.older = {}, self.known
-        todo = new.difference(self.known)
-        for piece in todo.intersection(self.older):
+        again = new.intersection(self.older)
+        for piece in again:
             self.known[piece] = self.older[piece]
-        todo = list(todo.difference(self.older))
+        todo = list(new.difference(again))
         if self.simple:
-            todo = self._learn_words([p for p in todo if self.simple(p)]) + [p for p in todo if not self.simple(p)]
+            simple = list(filter(self.simple, todo))
+            rest = set(todo).difference(simple) if len(simple) < len(todo) else ()
+            todo = [*self._learn_runs(simple), *rest]
         for piece, code in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(code.ids, np.uint32).tobytes()
 
-    def _learn_words(self, words: list[str]) -> list[str]:
-        """Encode single runs of letters or marks together, cut at ends of words; gives back those that this left out."""
-        if not words:
+    def _learn_runs(self, runs: list[str]) -> list[str]:
+        """Encode single runs of letters or marks together, cut at the marks of the vocabulary; gives back those that this left out."""
+        if not runs:
             return []
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(self.end[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):
-            return words
-        data, at = ids.tobytes(), 0
-        for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
-            self.known[word] = data[at:cut]
-            at = cut
+        text = "\t".join(runs)
+        code, = self.runs.encode_batch_fast([(text.lower() if self.lower else text).translate(self.bytes)], add_special_tokens=False)
+        ids = np.array(code.ids, np.uint32)
+        edges = np.flatnonzero(self.edge[ids]) + self.shift
+        cuts = np.append(edges, len(ids)) if not self.shift else np.append(0, edges)
+        if len(edges) != len(runs) or cuts[0] != 0 or cuts[-1] != len(ids):
+            return runs
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.known.update(zip(runs, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
         return []
 
     def ids(self, text: str) -> np.ndarray:
@@ -85,24 +101,28 @@ class Encoder:
         if sum(map(len, texts)) > SLICE and len(texts) > 1:
             half = len(texts) // 2
             return self.many(texts[:half]) + self.many(texts[half:])
-        out = []
         if len(texts) == 1 and len(texts[0]) > SLICE and not _ODD.search(texts[0]):
-            return [np.concatenate([self._join(self._split([t])[0]) for t in self._slices(texts[0])])]
-        for text, parts in zip(texts, self._split(texts), strict=True):
-            if _ODD.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(self._join(parts))
+            return [np.concatenate([self._ids_of([self.split(t)])[0] for t in self._slices(texts[0])])]
+        odd = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+               for i, t in enumerate(texts) if _ODD.search(t)}
+        found = self._ids_of([[] if i in odd else self.split(t) for i, t in enumerate(texts)])
+        return [odd.get(i, ids) for i, ids in enumerate(found)]
+
+    def _ids_of(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts given as pieces: each piece is looked up once, and a second time if it was new."""
+        pieces = list(chain.from_iterable(parts))
+        codes = list(map(self.known.get, pieces))
+        if None in codes:
+            gaps = [i for i, code in enumerate(codes) if code is None]
+            self._learn({pieces[i] for i in gaps})
+            for i in gaps:
+                codes[i] = self.known[pieces[i]]
+        out, at = [], 0
+        for some in parts:
+            out.append(np.frombuffer(b"".join(codes[at:at + len(some)]), np.uint32))
+            at += len(some)
         return out
 
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        parts = [self.split(t) for t in texts]
-        self._learn(p for some in parts for p in some)
-        return parts
-
-    def _join(self, parts: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.uint32)
-
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 

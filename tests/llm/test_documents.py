@@ -334,6 +334,16 @@ def test_encoder_equals_whole_encoding():
             tokens.SLICE = old
 
 
+def test_encoder_learns_runs_together():
+    runs = ["Hello", "naïve", "don", "ÉTÉ", "--..", "zqxj", "a", "]"]
+    for path, pieces, lead in ((BYTE, tokens.SPACED, " "), (BYTE, tokens.SPACED, "\n"), (WORD, tokens.WORDS, "")):
+        coder, plain = tokens.Encoder(path, pieces), Tokenizer.from_file(path)
+        some = [lead + run for run in runs]
+        assert all(map(coder.simple, some)) and coder._learn_runs(some) == []
+        for piece in some:
+            assert np.frombuffer(coder.known[piece], np.uint32).tolist() == plain.encode(piece, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
