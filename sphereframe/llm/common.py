@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], ddl: str)
     return df.mapInArrow(run, ddl)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside give Python at most so many rows in one Arrow batch, for tables whose rows are megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
     """The rows of a batch one at a time, for rows that are large."""
     for i in range(batch.num_rows):

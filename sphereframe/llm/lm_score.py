@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, id_and_text, rows_of, stage
+from .common import arrow_schema, batch_of, id_and_text, rows_at_once, rows_of, stage
 from .fingerprints import word_hashes
 
 BLOCK_TOKENS = 1 << 19
@@ -324,7 +324,8 @@ def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_toke
                 keep[:1] = True
                 sizes = sizes[keep]
                 yield batch_of([(row["block"], ids[:sizes.sum()].tolist(), sizes.tolist())], schema)
-    got = some_blocks.mapInArrow(sample, ddl).toPandas().sort_values("block")
+    with rows_at_once(spark, 1):  # one block at a time, however many a task has
+        got = some_blocks.mapInArrow(sample, ddl).toPandas().sort_values("block")
     got = got[got["sizes"].map(len) > 0]
     if len(got):
         model.train(np.concatenate(got["ids"].to_list()).astype(np.int64), np.concatenate(got["sizes"].to_list()).astype(np.int64), rate=0.1)
@@ -378,7 +379,8 @@ def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_toke
             yield done()
     learners = LEARNERS * spark.sparkContext.defaultParallelism
     parts = blocks.coalesce(learners).mapInArrow(learn, part_ddl).repartition("part").sortWithinPartitions("part")
-    mean = dict(map(tuple, parts.mapInArrow(means, "part bigint, weights binary").collect()))  # as large as the model
+    with rows_at_once(spark, 1):
+        mean = dict(map(tuple, parts.mapInArrow(means, "part bigint, weights binary").collect()))  # as large as the model
     model = model.from_flat(np.concatenate([np.frombuffer(mean[-1 - k], "<f4") for k in range(-(-dense // CHUNK))]))
     for k, a in enumerate(range(0, len(model.share), CHUNK)):
         if k in mean:
@@ -387,6 +389,7 @@ def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_toke
 
 
 BUCKET_WORDS = 1 << 18
+SLICES = 64         # slices of a block or bucket that Python gets at once
 
 
 def _counts(blocks: DataFrame) -> DataFrame:
@@ -458,7 +461,8 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
     """
     spark = docs.sparkSession
     blocks = stage(token_blocks(docs, block_tokens, id_col, text_col), "blocks")
-    counted = stage(_counts(blocks), "counts")
+    with rows_at_once(spark, SLICES):
+        counted = stage(_counts(blocks), "counts")
     model, total, often = fit(blocks, counted, size)
     known = int(often.sum())
     shared = spark.sparkContext.broadcast((model, often))
@@ -501,7 +505,8 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
                     new.append(one["new"])
         if row is not None:
             yield finish(row, counts, new)
-    found = stage(rows.mapInArrow(run, SCORES), "scores")
+    with rows_at_once(spark, SLICES):  # a block lies before its slices
+        found = stage(rows.mapInArrow(run, SCORES), "scores")
     distinct = found.agg(F.sum("new_words")).first()[0] or 0
     base = float(np.log10(total + 0.5 * (distinct + 1)))
     other = float(np.log10(total - known + 0.5 * (distinct - len(model.words) + 1)))

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sphereframe.llm import (decontaminate, fingerprints, jaccard_join, language, lm_score, packing, quality, queries,
                              secret_scan, token_store, tokens, warc)
-from sphereframe.llm.common import table
+from sphereframe.llm.common import rows_at_once, table
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
@@ -763,3 +763,20 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, empty):
         for name, stage in corpus_pipeline.STAGES:
             if os.path.isdir(DATA):
                 assert stage(spark, docs, DATA).count() <= (docs.count() if name != "lexical_packing" else 10_000)
+
+
+def test_language_model_takes_one_block_at_a_time(spark, monkeypatch):
+    blocks = lm_score.token_blocks(spark.range(40).coalesce(1).selectExpr("id AS doc_id", "concat('a b c ', id) AS text"), 8)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, old = [], spark.conf.get(name)
+
+    def one_block(batches):
+        for batch in batches:
+            if batch.num_rows > 1:
+                raise ValueError("several blocks at once")
+            yield batch.select(["block"])
+    with rows_at_once(spark, 1):
+        assert blocks.coalesce(1).mapInArrow(one_block, "block bigint").count() > 3
+    monkeypatch.setattr(lm_score, "rows_at_once", lambda s, rows: seen.append(rows) or rows_at_once(s, rows))
+    lm_score.score(spark.range(40).selectExpr("id AS doc_id", "concat('a b c ', id) AS text"), 4, 8).count()
+    assert seen == [lm_score.SLICES, 1, 1, lm_score.SLICES] and spark.conf.get(name) == old
