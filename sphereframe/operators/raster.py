@@ -157,20 +157,20 @@ def footprint_mean(nodes: DataFrame, raster: DataFrame, h: int, n: int,
                    samples: int = 8) -> DataFrame:
     """Area-weighted mean of a raster over the footprint of each given cube node.
 
-    Every footprint is sampled on a ``samples x samples`` lattice; its sums merge in the partial
-    aggregate when the raster is broadcast, and need one shuffle otherwise.
+    Every footprint is sampled on a ``samples x samples`` lattice.  A node's samples are made in one task, where those in
+    one raster cell merge to four corner weights; only these are looked up and exchanged.
     """
     values = [c for c in raster.columns if c not in ("y", "x")]
     steps = F.array(*[F.lit((k + 0.5) / samples - 0.5) for k in range(samples)])
-    p = nodes.select("face", "y", "x", F.explode(steps).alias("oy"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = nodes.select("face", "y", "x").repartition(tasks, "face", "y", "x").withColumn("oy", F.explode(steps))
     p = p.withColumn("ox", F.explode(steps))
     p = p.withColumns({"sy": F.col("y") + F.col("oy"), "sx": F.col("x") + F.col("ox")})
     p = g.add_area_weight(p, n, "sy", "sx", "area")
     p = g.add_direction(p, n, "face", "sy", "sx", normalize=False)
     p = g.add_lonlat_node(p, h).select("face", "y", "x", "area", "ny", "nx")
-    s = sampling.sample_lonlat(p, raster, h)
-    return s.groupBy("face", "y", "x").agg(
-        *[(F.sum(F.col("area") * F.col(v)) / F.sum("area")).alias(v) for v in values])
+    s = sampling.weighted_sums_lonlat(p, raster, h, sampling.CUBE_KEY, "area")
+    return s.select("face", "y", "x", *[(F.col(v) / F.col("area")).alias(v) for v in values])
 
 
 def raster_to_cube(raster: DataFrame, h: int, n: int, samples: int = 8) -> DataFrame:

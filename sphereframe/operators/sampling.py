@@ -187,6 +187,27 @@ def sample_lonlat(points: DataFrame, field: DataFrame, h: int, *, ny="ny", nx="n
     return done.select(*kept, *out)
 
 
+def weighted_sums_lonlat(points: DataFrame, field: DataFrame, h: int, keys: Sequence[str], weight: str, *,
+                         ny="ny", nx="nx") -> DataFrame:
+    """Sums over the points of each key: ``weight``, and ``weight`` times the bilinear values of a node field.
+
+    Corner weights of a key's points in one cell are added before the lookup, which then sees one row for each key and
+    cell.  Points of a key that already lie in one task are merged there.
+    """
+    values, keys = value_columns(field, ["y", "x"]), list(keys)
+    p = points.withColumns(dict(zip(("__y", "__x"), g.fold_lonlat(ny, nx, h))))
+    p = pin(split_index(p, F.col("__y"), F.col("__x"), h, 2 * h).select(
+        *keys, weight, "cell_y", "cell_x", "__fy", "__fx"), ["cell_y", "cell_x", "__fy", "__fx"])
+    fy, fx, one = F.col("__fy"), F.col("__fx"), F.lit(1.0)
+    corners = ((one - fy) * (one - fx), (one - fy) * fx, fy * (one - fx), fy * fx)
+    merged = p.groupBy(*keys, "cell_y", "cell_x").agg(
+        F.sum(weight).alias("__all"), *[F.sum(F.col(weight) * c).alias(f"__w_{k}") for k, c in enumerate(corners)])
+    hit = keyed_lookup(merged, lonlat_cells(field, h), ["cell_y", "cell_x"], max_rows=2 * h * h)
+    sums = [F.sum(sum((F.col(f"__w_{k}") * F.col(f"__{v}_{k}") for k in range(1, 4)), F.col("__w_0") * F.col(f"__{v}_0"))).alias(v)
+            for v in values]
+    return hit.groupBy(*keys).agg(F.sum("__all").alias(weight), *sums)
+
+
 def gather_lonlat(points: DataFrame, field: DataFrame, h: int, *, y="y", x="x",
                   spread_hot_keys: bool = False) -> DataFrame:
     """Node values at integer node indices, which may lie beyond a pole or the date line."""

@@ -75,6 +75,14 @@ def test_footprint_against_a_direct_sum(spark):
     close(as_dict(got), brute.identify(want, n))
 
 
+def test_footprint_samples_merge_before_the_lookup(spark, monkeypatch):
+    nodes, h = nodes_of(spark, np.random.default_rng(3).normal(size=(6, 12)))
+    looked_up, lookup = [], sampling.keyed_lookup
+    monkeypatch.setattr(sampling, "keyed_lookup", lambda rows, *a, **k: looked_up.append(rows.count()) or lookup(rows, *a, **k))
+    assert raster.footprint_mean(grids.cube_nodes(spark, 4), nodes, h, 4).count() == 150
+    assert looked_up[0] < 150 * 64 / 4  # of 64 samples a node
+
+
 def test_constant_raster_and_full_gap(spark):
     nodes, h = nodes_of(spark, np.full((4, 8), -1600.0))
     r = raster.raster_to_cube(nodes, h, 2).agg(F.min("value"), F.max("value"), F.min("coverage")).first()
