@@ -13,6 +13,8 @@ from ..sources.store import content_checksum, stage
 from . import blocks, sampling
 from .filters import differences
 
+BUCKETS = 1 << 16  # of rows that are compared by hash sums
+
 EPS = 1e-12
 
 
@@ -414,9 +416,22 @@ def ocean_audit(field: DataFrame, h: int, value: str = "v") -> DataFrame:
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of either side without an equal partner on the other; empty when both are equal."""
+    """Rows of either side without an equal partner on the other; empty when both are equal.
+
+    Both sides are staged.  Sums of two 64-bit hashes by bucket tell where they differ, so a task's state is bounded by
+    ``BUCKETS``; only rows of unequal buckets are exchanged and counted.  Halves of a hash are summed apart, which cannot
+    overflow below 2^31 rows of a bucket.
+    """
     columns = left.columns
     a = left.withColumn("__side", F.lit(1))
     b = right.select(*columns).withColumn("__side", F.lit(-1))
-    return (a.unionByName(b).groupBy(*columns).agg(F.sum("__side").alias("surplus"))
+    both = stage(a.unionByName(b), "sides")
+    first, second = F.xxhash64(*columns), F.xxhash64(*columns, F.lit(1))
+    bucket = F.pmod(first, F.lit(BUCKETS)).cast("int").alias("__bucket")
+    halves = [half for h in (first, second) for half in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sums = both.groupBy(bucket).agg(F.sum("__side").alias("__n"), *[
+        F.sum(half * F.col("__side")).alias(f"__h{k}") for k, half in enumerate(halves)])
+    unequal = sums.where((F.col("__n") != 0) | (F.greatest(*[F.abs(f"__h{k}") for k in range(4)]) > 0)).select("__bucket")
+    rows = both.select("*", bucket).join(F.broadcast(unequal), "__bucket", "left_semi")
+    return (rows.groupBy(*columns).agg(F.sum("__side").alias("surplus"))
             .where(F.col("surplus") != 0))

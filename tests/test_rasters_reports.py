@@ -396,3 +396,13 @@ def test_land_metrics_and_layout(spark):
 def test_same_rows_reports_both_sides(spark):
     a, b = spark.range(5), spark.range(1, 7)
     assert {r.id: r.surplus for r in quality.same_rows(a, b).collect()} == {0: 1, 5: -1, 6: -1}
+
+
+def test_same_rows_counts_only_rows_of_unequal_buckets(spark):
+    rows = spark.range(1000).selectExpr("id % 400 AS k", "if(id % 7 = 0, null, id % 5 / 3D) AS v")
+    zeros = spark.sql("SELECT 0L AS k, 0D AS v UNION ALL SELECT 1L, double('NaN')")
+    signed = spark.sql("SELECT 0L AS k, -0D AS v UNION ALL SELECT 1L, double('NaN')")
+    equal = quality.same_rows(rows.unionByName(zeros), signed.unionByName(rows))
+    assert equal.isEmpty() and "LeftSemi" in equal._jdf.queryExecution().optimizedPlan().toString()
+    changed = quality.same_rows(rows, rows.where("k <> 3").unionByName(rows.where("k = 3").selectExpr("k + 1000 AS k", "v")))
+    assert sum(r.surplus for r in changed.collect()) == 0 and {r.k for r in changed.collect()} == {3, 1003}
