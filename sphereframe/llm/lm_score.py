@@ -29,6 +29,8 @@ LEARNERS = 2        # for each slot of the cluster
 CHUNK = 1 << 16     # rows of the second level, or weights, that are averaged together
 WARM_TOKENS = 300_000
 BATCH = 2048
+ROWS = 64           # contexts that are normalised at once, so that their logits stay in the cache
+OFTEN = 4096        # words whose exponentials are kept for pairs
 END_HASH = np.uint64(0x9B1C3A5D7E2F4861)
 FOLDS, HELD = 5, 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -148,31 +150,70 @@ class Model:
     def _embedded(self, words: np.ndarray) -> np.ndarray:
         return self.r[self.cls[words]] + self.v[self.place[words]] @ self.i
 
+    def _log_totals(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Log of the sum of exp over all classes for each pair of context words.
+
+        The logit is a sum of a part by each word, so the exponentials of words that come often are computed once and
+        a pair of two such words takes a product of two rows.  Other pairs, and products near underflow, go directly.
+        """
+        out, apart = np.empty(len(one)), np.ones(len(one), bool)
+        found, count = np.unique(np.concatenate([one, two]), return_counts=True)
+        often = np.sort(found[np.argsort(-count, kind="stable")[:OFTEN]][:int((count >= 8).sum())])
+        if len(often):
+            sides = []
+            for across, shift in ((self.c1, self.b), (self.c2, np.float32(0))):
+                z = np.empty((len(often), len(self.b)), np.float32)
+                for i in range(0, len(often), ROWS):
+                    np.matmul(self._embedded(often[i:i + ROWS]) @ across, self.t.T, out=z[i:i + ROWS])
+                    z[i:i + ROWS] += shift
+                top = z.max(axis=1)
+                for i in range(0, len(often), ROWS):
+                    z[i:i + ROWS] -= top[i:i + ROWS, None]
+                    np.exp(z[i:i + ROWS], out=z[i:i + ROWS])
+                sides.append((z, top))
+            (left, up), (right, down) = sides
+            i, j = (np.minimum(np.searchsorted(often, w), len(often) - 1) for w in (one, two))
+            both = np.flatnonzero((often[i] == one) & (often[j] == two))
+            for k in range(0, len(both), ROWS):
+                at = both[k:k + ROWS]
+                total = np.einsum("nk,nk->n", left[i[at]], right[j[at]])
+                good = total > 1e-25
+                out[at[good]] = np.log(total[good]) + up[i[at[good]]] + down[j[at[good]]]
+                apart[at[good]] = False
+        rest = np.flatnonzero(apart)
+        z, ones = np.empty((ROWS, len(self.b)), np.float32), np.ones(len(self.b), np.float32)
+        for k in range(0, len(rest), ROWS):
+            at = rest[k:k + ROWS]
+            y = np.matmul(self._embedded(one[at]) @ self.c1 + self._embedded(two[at]) @ self.c2, self.t.T, out=z[:len(at)])
+            y += self.b
+            top = y.max(axis=1)
+            y -= top[:, None]
+            out[at] = np.log(np.exp(y, out=y) @ ones) + top
+        return out
+
     def log_probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of every token; every distinct context is normalised once, in batches."""
         one, two = self.contexts(ids, sizes)
         width = len(self.words) + 2
         pairs, where = np.unique(one * width + two, return_inverse=True)
-        out, order = np.empty(len(ids)), np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[order], np.arange(0, len(pairs) + BATCH, BATCH))
-        for k, a in enumerate(range(0, len(pairs), BATCH)):
-            some = pairs[a:a + BATCH]
-            z = (self._embedded(some // width) @ self.c1 + self._embedded(some % width) @ self.c2) @ self.t.T + self.b
-            top = z.max(axis=1, keepdims=True)
-            total = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
-            at = order[edges[k]:edges[k + 1]]
-            row = where[at] - a
-            out[at] = z[row, self.cls[ids[at]]] - total[row]
+        totals = self._log_totals(pairs // width, pairs % width)
+        out, deep = np.empty(len(ids)), np.empty((len(ids), TAIL_DIM), np.float32)
+        for a in range(0, len(ids), BATCH):
+            q = self._embedded(one[a:a + BATCH]) @ self.c1 + self._embedded(two[a:a + BATCH]) @ self.c2
+            c = self.cls[ids[a:a + BATCH]]
+            out[a:a + BATCH] = np.einsum("nd,nd->n", q, self.t[c]) + self.b[c] - totals[where[a:a + BATCH]]
+            deep[a:a + BATCH] = q @ self.o
         rows = self.place[ids]
         order = np.argsort(rows, kind="stable")
         starts = np.searchsorted(rows[order], self.edges)
         for lo, hi, begin, end in zip(self.edges, self.edges[1:], starts, starts[1:]):
-            for a in range(begin, end, BATCH):
-                at = order[a:min(a + BATCH, end)]
-                q = self._embedded(one[at]) @ self.c1 + self._embedded(two[at]) @ self.c2
-                z = (q @ self.o) @ self.u[lo:hi].T + self.d[lo:hi]
-                top = z.max(axis=1)
-                out[at] += z[np.arange(len(at)), rows[at] - lo] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+            for a in range(begin, end, ROWS):
+                at = order[a:min(a + ROWS, end)]
+                z = deep[at] @ self.u[lo:hi].T
+                z += self.d[lo:hi]
+                own, top = z[np.arange(len(at)), rows[at] - lo], z.max(axis=1)
+                z -= top[:, None]
+                out[at] += own - top - np.log(np.exp(z, out=z).sum(axis=1))
         return out / np.log(10)
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, rate: float = 0.05, seed: int = 11) -> None:
@@ -191,6 +232,16 @@ class Model:
         tail_square = {n: np.ones(len(getattr(self, n)), np.float32) for n in self.TAIL}
         tail_noise = (self.share + np.log(TAIL_NOISE)).astype(np.float32)
         ahead = np.concatenate([[0.0], np.cumsum(np.exp(self.share.astype(np.float64)))])
+        # Noise words of the second level are drawn class by class, so that a search stays in the rows of its class.
+        tails = np.flatnonzero(self.place[ids] < last)
+        tails = tails[np.argsort(self.place[ids[tails]], kind="stable")]
+        drawn, draw_of = np.empty((len(tails), TAIL_NOISE), np.int32), np.zeros(len(ids), np.int32)
+        draw_of[tails] = np.arange(len(tails))
+        for a in range(0, len(tails), CHUNK):
+            k2 = np.searchsorted(self.edges, self.place[ids[tails[a:a + CHUNK]]], "right") - 1
+            lo, hi = self.edges[k2], self.edges[k2 + 1]
+            draw = ahead[lo, None] + rng.random((len(k2), TAIL_NOISE)) * (ahead[hi] - ahead[lo])[:, None]
+            drawn[a:a + CHUNK] = np.clip(np.searchsorted(ahead, draw, "right") - 1, lo[:, None], hi[:, None] - 1)
 
         def step(name, at, g):
             square[name][at] += g * g
@@ -226,11 +277,7 @@ class Model:
             do, tails = np.zeros_like(self.o), []
             if len(deep):
                 row = self.place[w[deep]]
-                k2 = np.searchsorted(self.edges, row, "right") - 1
-                lo, hi = self.edges[k2], self.edges[k2 + 1]
-                draw = ahead[lo, None] + rng.random((len(deep), TAIL_NOISE)) * (ahead[hi] - ahead[lo])[:, None]
-                drawn = np.clip(np.searchsorted(ahead, draw, "right") - 1, lo[:, None], hi[:, None] - 1)
-                rows = np.concatenate([row[:, None], drawn], axis=1)  # the word itself and its noise
+                rows = np.concatenate([row[:, None], drawn[draw_of[some[deep]]]], axis=1)  # the word itself and its noise
                 p = q[deep] @ self.o
                 near = self.u[rows]
                 z = np.einsum("nd,nkd->nk", p, near) + self.d[rows] - tail_noise[rows]

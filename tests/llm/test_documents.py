@@ -638,6 +638,21 @@ def test_both_levels_of_the_language_model_are_normalised_and_learn():
         assert abs(total - 1) < 1e-4
 
 
+def test_pairs_of_frequent_words_are_normalised_from_shared_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = lm_score.Model.start(np.arange(60, dtype=np.uint64), np.arange(600.0, 0, -10), 5.0, head=20)
+    model.train(rng.integers(0, 61, 6000), np.full(200, 30), rate=0.2)
+    one, two = (w.reshape(-1) for w in np.meshgrid(np.arange(62), np.arange(62)))
+    shared = model._log_totals(one, two)
+    model.t *= 2000  # such wide logits would underflow in a product of two rows
+    wide = model._log_totals(one, two)
+    z = ((model._embedded(one) @ model.c1 + model._embedded(two) @ model.c2) @ model.t.T + model.b).astype(float)
+    assert np.allclose(wide, np.log(np.exp(z - z.max(axis=1)[:, None]).sum(axis=1)) + z.max(axis=1), rtol=1e-4, atol=1e-3)
+    model.t /= 2000
+    monkeypatch.setattr(lm_score, "OFTEN", 0)
+    assert np.allclose(shared, model._log_totals(one, two), atol=1e-4)
+
+
 def test_language_model_of_odd_rows(odd, empty):
     rows = lm_score.score(odd, block_tokens=1000).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
