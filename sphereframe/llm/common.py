@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +28,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{store.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once in shared storage and read it back: lineage ends there, columns stay prunable."""
+def stage(df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
+    """Write a table once in shared storage and read it back: lineage ends there, columns stay prunable.
+
+    ``at_once``: see :func:`rows_at_once`.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with rows_at_once(df.sparkSession, at_once) if at_once else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,13 +1,14 @@
-"""Language-model scores: a log-bilinear model trained by noise-contrastive estimation, and a unigram base.
+"""Language-model scores: a log-bilinear model in three levels, trained by noise-contrastive estimation, and a unigram base.
 
 Tokens live in blocks: one row holds the documents of a part of the corpus, its distinct words as hashes, and the stream of
-local word numbers.  Counts, training and scoring are passes over blocks; only (block, word) rows are ever exchanged.
+local word numbers.  Counts, training and scoring are passes over blocks; only (block, word) rows and the places of rare words
+are ever exchanged.
 """
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -20,17 +21,20 @@ from .common import arrow_schema, batch_of, id_and_text, rows_at_once, rows_of,
 from .fingerprints import word_hashes
 
 BLOCK_TOKENS = 1 << 19
-VOCABULARY = 1024   # words with a class of their own; the model's other words share classes, with a second level
+VOCABULARY = 1024   # words with a class of their own; the model's other words share classes, with a third level
 MIN_COUNT = 5       # training tokens of a word in the model; rarer words share one class
 DIM, TAIL_DIM = 32, 8
 NOISE, TAIL_NOISE = 64, 8
 WARM_BLOCKS = 256
 LEARNERS = 2        # for each slot of the cluster
-CHUNK = 1 << 16     # rows of the second level, or weights, that are averaged together
+CHUNK = 1 << 16     # rows of words, or weights, that are averaged together
 WARM_TOKENS = 300_000
 BATCH = 2048
-ROWS = 64           # contexts that are normalised at once, so that their logits stay in the cache
-OFTEN = 4096        # words whose exponentials are kept for pairs
+STEPS = 32          # batches of a block, within these bounds of tokens
+LEAST_BATCH, MOST_BATCH = 256, 1 << 13
+WORD_BATCH = 512    # tokens of a class in a step of the third level
+WIDE = 1.5          # words of a class, as a multiple of the cube root of their number
+OFTEN = 4096        # contexts from which on the two sides of a context are computed once for each word
 END_HASH = np.uint64(0x9B1C3A5D7E2F4861)
 FOLDS, HELD = 5, 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -84,17 +88,42 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str
     return id_and_text(docs, id_col, text_col).mapInArrow(run, BLOCKS)
 
 
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp of each row; ``z`` is kept."""
+    top = z.max(axis=1)
+    e = z - top[:, None]
+    return np.log(np.exp(e, out=e).sum(axis=1)) + top
+
+
+def _noise_contrast(z: np.ndarray, shift: np.ndarray, draws: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Gradient of the noise-contrastive loss by the logits z + log(draws) - shift, of which ``own`` is each row's true one.
+
+    ``draws`` is the expected number of noise draws of a column.  Overwrites ``z``.
+    """
+    np.subtract(shift, z, out=z)
+    np.exp(z, out=z)  # infinite is right
+    z += 1
+    np.divide(draws, z, out=z)
+    rows = np.arange(len(z))
+    z[rows, own] = z[rows, own] * (1 + 1 / draws)[own] - 1
+    return z
+
+
 @dataclass
 class Model:
-    """Words w = 0 .. K - 1, K for every rarer word, K + 1 for the start; about the square root of K classes of words.
+    """Words w = 0 .. K - 1, K for every rarer word, K + 1 for the start.
 
-    first(c | context) = (e(before) C1 + e(before that) C2) . T[c] + b[c] over the classes c; in a class of several words
-    second(w | context) = (e(before) C1 + e(before that) C2) O . u[w] + d[w] over its words; e(w) = R[class of w] + v[w] I.
-    A word's probability is the product of the two normalised levels.
+    Frequent words are classes of their own, the others share classes, in order of their counts; about the square root of
+    the number of classes are a group.  With q = e(before) C1 + e(before that) C2 the three levels are
+    first(g | context) = q . T[g] + b[g] over the groups, second(c | context) = q . S[c] + a[c] over the classes of the group
+    and third(w | context) = q O . u[w] + d[w] over the words of the class; e(w) = R[class of w] + v[w] I.
+    A word's probability is the product of the normalised levels.
     """
     words: np.ndarray  # sorted hashes of the K words
     cls: np.ndarray    # class of each of the K + 2
-    place: np.ndarray  # row of the second level, sorted by class; the zero row at the end where there is none
+    group: np.ndarray  # group of each class
+    spans: np.ndarray  # ranges of classes of the groups
+    place: np.ndarray  # row of the third level, sorted by class; the zero row at the end where there is none
     edges: np.ndarray  # ranges of rows of the classes of several words
     share: np.ndarray  # log probability of each row's word in its class, by counts
     noise: np.ndarray  # unigram probabilities of the classes
@@ -103,33 +132,39 @@ class Model:
     c2: np.ndarray
     t: np.ndarray
     b: np.ndarray
+    s: np.ndarray
+    a: np.ndarray
     i: np.ndarray
     o: np.ndarray
     v: np.ndarray
     u: np.ndarray
     d: np.ndarray
 
-    NAMES = ("r", "c1", "c2", "t", "b", "i", "o")
+    NAMES = ("r", "c1", "c2", "t", "b", "s", "a", "i", "o")
     TAIL = ("v", "u", "d")
 
     @classmethod
     def start(cls, words: np.ndarray, counts: np.ndarray, other: float, seed: int = 11, head: int = VOCABULARY) -> Model:
         rng, k = np.random.default_rng(seed), len(words)
         ranks = np.argsort(-counts, kind="stable")
-        heads, tail = np.sort(ranks[:head]), ranks[head:]
-        wide = max(1, math.ceil(math.sqrt(len(tail))))
+        heads, tail = ranks[:head], ranks[head:]
+        wide = max(1, math.ceil(WIDE * len(tail) ** (1 / 3)))
         edges = np.append(np.arange(0, len(tail), wide), len(tail))
         n = len(heads) + len(edges)  # the edges are one more than the ranges; the last class is every other word
         of, place = np.full(k + 2, n - 1, np.int32), np.full(k + 2, len(tail), np.int32)
         of[heads], of[tail], of[k + 1] = np.arange(len(heads)), len(heads) + np.arange(len(tail)) // wide, n
         place[tail] = np.arange(len(tail))
+        side = math.ceil(math.sqrt(n))
+        group, spans = (np.arange(n) // side).astype(np.int32), np.append(np.arange(0, n, side), n)
         noise = np.bincount(of[:k + 1], np.append(counts, other) + 0.5, n)
         share = np.log((counts[tail] + 0.5) / noise[of[tail]]).astype(np.float32)
         noise = noise / noise.sum()
+        mass = np.bincount(group, noise)
         r = rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32)
         across = rng.normal(0, TAIL_DIM ** -0.5, (2, TAIL_DIM, DIM)).astype(np.float32)
-        return cls(words, of, place, edges, share, noise, r, np.eye(DIM, dtype=np.float32),
-                   0.5 * np.eye(DIM, dtype=np.float32), np.zeros((n, DIM), np.float32), np.log(noise).astype(np.float32),
+        return cls(words, of, group, spans, place, edges, share, noise, r, np.eye(DIM, dtype=np.float32),
+                   0.5 * np.eye(DIM, dtype=np.float32), np.zeros((len(mass), DIM), np.float32), np.log(mass).astype(np.float32),
+                   np.zeros((n, DIM), np.float32), np.log(noise / mass[group]).astype(np.float32),
                    across[0], across[1].T.copy(), np.zeros((len(tail) + 1, TAIL_DIM), np.float32),
                    np.zeros((len(tail), TAIL_DIM), np.float32), share.copy())
 
@@ -150,163 +185,146 @@ class Model:
     def _embedded(self, words: np.ndarray) -> np.ndarray:
         return self.r[self.cls[words]] + self.v[self.place[words]] @ self.i
 
-    def _log_totals(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log of the sum of exp over all classes for each pair of context words.
-
-        The logit is a sum of a part by each word, so the exponentials of words that come often are computed once and
-        a pair of two such words takes a product of two rows.  Other pairs, and products near underflow, go directly.
-        """
-        out, apart = np.empty(len(one)), np.ones(len(one), bool)
-        found, count = np.unique(np.concatenate([one, two]), return_counts=True)
-        often = np.sort(found[np.argsort(-count, kind="stable")[:OFTEN]][:int((count >= 8).sum())])
-        if len(often):
-            sides = []
-            for across, shift in ((self.c1, self.b), (self.c2, np.float32(0))):
-                z = np.empty((len(often), len(self.b)), np.float32)
-                for i in range(0, len(often), ROWS):
-                    np.matmul(self._embedded(often[i:i + ROWS]) @ across, self.t.T, out=z[i:i + ROWS])
-                    z[i:i + ROWS] += shift
-                top = z.max(axis=1)
-                for i in range(0, len(often), ROWS):
-                    z[i:i + ROWS] -= top[i:i + ROWS, None]
-                    np.exp(z[i:i + ROWS], out=z[i:i + ROWS])
-                sides.append((z, top))
-            (left, up), (right, down) = sides
-            i, j = (np.minimum(np.searchsorted(often, w), len(often) - 1) for w in (one, two))
-            both = np.flatnonzero((often[i] == one) & (often[j] == two))
-            for k in range(0, len(both), ROWS):
-                at = both[k:k + ROWS]
-                total = np.einsum("nk,nk->n", left[i[at]], right[j[at]])
-                good = total > 1e-25
-                out[at[good]] = np.log(total[good]) + up[i[at[good]]] + down[j[at[good]]]
-                apart[at[good]] = False
-        rest = np.flatnonzero(apart)
-        z, ones = np.empty((ROWS, len(self.b)), np.float32), np.ones(len(self.b), np.float32)
-        for k in range(0, len(rest), ROWS):
-            at = rest[k:k + ROWS]
-            y = np.matmul(self._embedded(one[at]) @ self.c1 + self._embedded(two[at]) @ self.c2, self.t.T, out=z[:len(at)])
-            y += self.b
-            top = y.max(axis=1)
-            y -= top[:, None]
-            out[at] = np.log(np.exp(y, out=y) @ ones) + top
+    def _context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self._embedded(one) @ self.c1 + self._embedded(two) @ self.c2
+
+    def _queries(self, one: np.ndarray, two: np.ndarray) -> Callable[[np.ndarray | slice], np.ndarray]:
+        """The vectors of chosen ones of these contexts.  Each is a sum of a row by each word, so rows of many contexts are shared."""
+        if len(one) <= OFTEN:
+            return lambda at: self._context(one[at], two[at])
+        met = np.zeros(len(self.words) + 2, bool)
+        met[one] = met[two] = True
+        number, words = np.cumsum(met, dtype=np.int32) - np.int32(1), np.flatnonzero(met)
+        near, far = np.empty((2, len(words), DIM), np.float32)
+        for a in range(0, len(words), BATCH):
+            e = self._embedded(words[a:a + BATCH])
+            near[a:a + BATCH], far[a:a + BATCH] = e @ self.c1, e @ self.c2
+        one, two = number[one], number[two]
+        return lambda at: near[one[at]] + far[two[at]]
+
+    def _log_totals(self, one: np.ndarray, two: np.ndarray, query: Callable | None = None) -> np.ndarray:
+        """Log of the sum of exp over all groups for each pair of context words."""
+        out, query = np.empty(len(one)), query or self._queries(one, two)
+        for a in range(0, len(one), BATCH):
+            out[a:a + BATCH] = _log_sums(query(slice(a, a + BATCH)) @ self.t.T + self.b)
         return out
 
     def log_probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of every token; every distinct context is normalised once, in batches."""
+        """Normalised log10 probability of every token: of its group, its class in the group, and its word in the class.
+
+        Tokens are sorted by class, so that a level is normalised for many tokens at once.
+        """
         one, two = self.contexts(ids, sizes)
-        width = len(self.words) + 2
-        pairs, where = np.unique(one * width + two, return_inverse=True)
-        totals = self._log_totals(pairs // width, pairs % width)
-        out, deep = np.empty(len(ids)), np.empty((len(ids), TAIL_DIM), np.float32)
-        for a in range(0, len(ids), BATCH):
-            q = self._embedded(one[a:a + BATCH]) @ self.c1 + self._embedded(two[a:a + BATCH]) @ self.c2
-            c = self.cls[ids[a:a + BATCH]]
-            out[a:a + BATCH] = np.einsum("nd,nd->n", q, self.t[c]) + self.b[c] - totals[where[a:a + BATCH]]
-            deep[a:a + BATCH] = q @ self.o
-        rows = self.place[ids]
-        order = np.argsort(rows, kind="stable")
-        starts = np.searchsorted(rows[order], self.edges)
-        for lo, hi, begin, end in zip(self.edges, self.edges[1:], starts, starts[1:]):
-            for a in range(begin, end, ROWS):
-                at = order[a:min(a + ROWS, end)]
-                z = deep[at] @ self.u[lo:hi].T
-                z += self.d[lo:hi]
-                own, top = z[np.arange(len(at)), rows[at] - lo], z.max(axis=1)
-                z -= top[:, None]
-                out[at] += own - top - np.log(np.exp(z, out=z).sum(axis=1))
+        query, c, rows, last = self._queries(one, two), self.cls[ids], self.place[ids], len(self.share)
+        out, order = -self._log_totals(one, two, query), np.argsort(c, kind="stable")
+        cuts = np.searchsorted(self.group[c[order]], np.arange(len(self.spans)))
+        for g, (lo, hi) in enumerate(zip(self.spans, self.spans[1:])):
+            for a in range(cuts[g], cuts[g + 1], BATCH):
+                at = order[a:min(a + BATCH, cuts[g + 1])]
+                q = query(at)
+                z = q @ self.s[lo:hi].T + self.a[lo:hi]
+                out[at] += q @ self.t[g] + self.b[g] + z[np.arange(len(at)), c[at] - lo] - _log_sums(z)
+                begins = np.flatnonzero(np.diff(c[at], prepend=-1))
+                for x, y in zip(begins, np.append(begins[1:], len(at))):
+                    if rows[at[x]] < last:  # a class of several words
+                        k = int(np.searchsorted(self.edges, rows[at[x]], "right"))
+                        some, (u, v) = at[x:y], self.edges[k - 1:k + 1]
+                        z = q[x:y] @ self.o @ self.u[u:v].T + self.d[u:v]
+                        out[some] += z[np.arange(y - x), rows[some] - u] - _log_sums(z)
         return out / np.log(10)
 
+    @np.errstate(over="ignore")
     def train(self, ids: np.ndarray, sizes: np.ndarray, rate: float = 0.05, seed: int = 11) -> None:
-        """One pass of noise-contrastive estimation with AdaGrad, on both levels.
+        """One pass of noise-contrastive estimation with AdaGrad, on all levels.
 
-        A batch shares its noise classes; a word of the second level has noise words of its class.  Rows of the second
-        level have one AdaGrad sum each, of summed rather than mean gradients, because they are met rarely.
+        Noise is of the unigram distribution of the groups, of the classes of a group, or of the words of a class, and enters
+        by its expectation.  The third level is trained first, class by class, so that a step has all words of a class and
+        many tokens; its gradient by the context goes into the batches of the other levels.  Rows of words and classes
+        have one AdaGrad sum each, of summed rather than mean gradients, because they are met rarely.
         """
-        one, two = self.contexts(ids, sizes)
-        rng, k = np.random.default_rng(seed), NOISE
-        square = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
-        log_noise = (np.log(self.noise) + np.log(k)).astype(np.float32)
-        cumulative = np.cumsum(self.noise)
+        rng, size = np.random.default_rng(seed), min(max(len(ids) // STEPS, LEAST_BATCH), MOST_BATCH)
         order = rng.permutation(len(ids))
-        last = len(self.share)
-        tail_square = {n: np.ones(len(getattr(self, n)), np.float32) for n in self.TAIL}
-        tail_noise = (self.share + np.log(TAIL_NOISE)).astype(np.float32)
-        ahead = np.concatenate([[0.0], np.cumsum(np.exp(self.share.astype(np.float64)))])
-        # Noise words of the second level are drawn class by class, so that a search stays in the rows of its class.
-        tails = np.flatnonzero(self.place[ids] < last)
-        tails = tails[np.argsort(self.place[ids[tails]], kind="stable")]
-        drawn, draw_of = np.empty((len(tails), TAIL_NOISE), np.int32), np.zeros(len(ids), np.int32)
-        draw_of[tails] = np.arange(len(tails))
-        for a in range(0, len(tails), CHUNK):
-            k2 = np.searchsorted(self.edges, self.place[ids[tails[a:a + CHUNK]]], "right") - 1
-            lo, hi = self.edges[k2], self.edges[k2 + 1]
-            draw = ahead[lo, None] + rng.random((len(k2), TAIL_NOISE)) * (ahead[hi] - ahead[lo])[:, None]
-            drawn[a:a + CHUNK] = np.clip(np.searchsorted(ahead, draw, "right") - 1, lo[:, None], hi[:, None] - 1)
+        of = self.group[self.cls[ids[order]]]
+        order = order[np.lexsort((of, np.arange(len(ids)) // size))]  # a batch is sorted by group
+        one, two = (w[order] for w in self.contexts(ids, sizes))
+        ids = ids[order]
+        y, row, last = self.cls[ids], self.place[ids], len(self.share)
+        square = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
+        row_square = {n: np.ones(len(getattr(self, n)), np.float32) for n in ("r", "s", "a", *self.TAIL)}
+        mass = np.bincount(self.group, self.noise)
+        group_draws = (NOISE * mass).astype(np.float32)
+        class_draws = (NOISE * self.noise / mass[self.group]).astype(np.float32)
+        word_draws = TAIL_NOISE * np.exp(self.share)
+        log_groups, log_classes, log_words = map(np.log, (group_draws, class_draws, word_draws))
 
         def step(name, at, g):
             square[name][at] += g * g
             getattr(self, name)[at] -= rate * g / np.sqrt(square[name][at])
 
+        def row_step(name, at, g):
+            row_square[name][at] += np.einsum("nd,nd->n", g, g) / g.shape[1]
+            g = g * (rate / np.sqrt(row_square[name][at]))[:, None]
+            getattr(self, name)[at] -= g if g.shape[1] > 1 else g[:, 0]
+
         def by_row(index, values, rows):
-            flat = (index[:, None] * values.shape[1] + np.arange(values.shape[1])).reshape(-1)
-            return np.bincount(flat, values.reshape(-1), rows * values.shape[1]).reshape(rows, -1).astype(np.float32)
-
-        def tail_step(name, index, values):
-            rows, at = np.unique(index, return_inverse=True)
-            g = by_row(at, values, len(rows))
-            tail_square[name][rows] += (g * g).mean(axis=1)
-            g *= rate / np.sqrt(tail_square[name][rows])[:, None]
-            getattr(self, name)[rows] -= g if name != "d" else g[:, 0]
-        for a in range(0, len(order), BATCH):
-            some = order[a:a + BATCH]
-            w1, w2, w = one[some], two[some], ids[some]
-            x1, x2, y = self.cls[w1], self.cls[w2], self.cls[w]
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(k)), len(self.noise) - 1)
+            columns = np.ascontiguousarray(values.T)
+            return np.stack([np.bincount(index, column, rows) for column in columns], axis=1).astype(np.float32)
+        deep = np.flatnonzero(row < last)
+        deep = deep[np.argsort(row[deep], kind="stable")]
+        slot, pull = np.full(len(ids), -1, np.int32), np.empty((len(deep), TAIL_DIM), np.float32)
+        slot[deep] = np.arange(len(deep))
+        for a in range(0, len(deep), size):
+            some = deep[a:a + size]
+            pull[a:a + size] = self._context(one[some], two[some]) @ self.o
+        cuts = np.searchsorted(row[deep], self.edges)
+        for lo, hi, begin, end in zip(self.edges, self.edges[1:], cuts, cuts[1:]):
+            parts = -(-(end - begin) // WORD_BATCH)
+            for k in range(parts):  # a part has every so many of the class's tokens
+                at = slice(begin + k, end, parts)
+                p = pull[at]
+                e = _noise_contrast(p @ self.u[lo:hi].T, log_words[lo:hi] - self.d[lo:hi], word_draws[lo:hi], row[deep[at]] - lo)
+                pull[at] = e @ self.u[lo:hi]
+                row_step("u", slice(lo, hi), e.T @ p)
+                row_step("d", slice(lo, hi), e.sum(axis=0)[:, None])
+        for a in range(0, len(ids), size):
+            w1, w2, c = one[a:a + size], two[a:a + size], y[a:a + size]
+            count, g = np.float32(len(c)), self.group[c]
             r1, r2 = self._embedded(w1), self._embedded(w2)
             q = r1 @ self.c1 + r2 @ self.c2
-            true = (q * self.t[y]).sum(axis=1) + self.b[y] - log_noise[y]
-            false = q @ self.t[noise].T + self.b[noise] - log_noise[noise]
-            e1 = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1) / len(some)
-            e0 = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / len(some)
-            dq = e1[:, None] * self.t[y] + e0 @ self.t[noise]
-            dt = by_row(y, e1[:, None] * q, len(self.t))
-            np.add.at(dt, noise, e0.T @ q)
-            db = np.bincount(y, e1, len(self.b)).astype(np.float32)
-            np.add.at(db, noise, e0.sum(axis=0))
-            deep = np.flatnonzero(self.place[w] < last)
-            do, tails = np.zeros_like(self.o), []
-            if len(deep):
-                row = self.place[w[deep]]
-                rows = np.concatenate([row[:, None], drawn[draw_of[some[deep]]]], axis=1)  # the word itself and its noise
-                p = q[deep] @ self.o
-                near = self.u[rows]
-                z = np.einsum("nd,nkd->nk", p, near) + self.d[rows] - tail_noise[rows]
-                e = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)
-                e[:, 0] -= 1
-                dp = np.einsum("nk,nkd->nd", e, near)
-                dq[deep] += dp @ self.o.T / len(some)
-                do = q[deep].T @ dp / len(some)
-                tails += [("u", rows.reshape(-1), (e[:, :, None] * p[:, None, :]).reshape(-1, TAIL_DIM)),
-                          ("d", rows.reshape(-1), e.reshape(-1, 1))]
-            d1, d2 = dq @ self.c1.T, dq @ self.c2.T
-            at, di = np.concatenate([self.place[w1], self.place[w2]]), np.zeros_like(self.i)
+            e = _noise_contrast(q @ self.t.T, log_groups - self.b, group_draws, g)
+            dq, dt, db = e @ self.t, e.T @ q, e.sum(axis=0)
+            ds, da = np.zeros_like(self.s), np.zeros_like(self.a)
+            cuts = np.searchsorted(g, np.arange(len(self.spans)))
+            for lo, hi, begin, end in zip(self.spans, self.spans[1:], cuts, cuts[1:]):
+                if begin < end:
+                    near = q[begin:end]
+                    e = _noise_contrast(near @ self.s[lo:hi].T, log_classes[lo:hi] - self.a[lo:hi], class_draws[lo:hi], c[begin:end] - lo)
+                    dq[begin:end] += e @ self.s[lo:hi]
+                    ds[lo:hi], da[lo:hi] = e.T @ near, e.sum(axis=0)
+            at = np.flatnonzero(slot[a:a + size] >= 0)
+            dp = pull[slot[a:a + size][at]]
+            dq[at] += dp @ self.o.T
+            do = q[at].T @ dp
+            both = np.concatenate([dq @ self.c1.T, dq @ self.c2.T])
+            met, at = np.concatenate([self.cls[w1], self.cls[w2]]), np.concatenate([self.place[w1], self.place[w2]])
             known = np.flatnonzero(at < last)
+            for name, g in (("c1", r1.T @ dq), ("c2", r2.T @ dq), ("t", dt), ("b", db), ("o", do)):
+                step(name, ..., g / count)
+            for name, g in (("s", ds), ("a", da[:, None]), ("r", by_row(met, both, len(self.r)))):
+                row_step(name, slice(None), g)
             if len(known):
-                both = np.concatenate([d1, d2])[known]
-                di = self.v[at[known]].T @ both
-                tails.append(("v", at[known], both @ self.i.T * len(some)))
-            dr = by_row(x1, d1, len(self.r)) + by_row(x2, d2, len(self.r))
-            for name, g in (("c1", r1.T @ dq), ("c2", r2.T @ dq), ("t", dt), ("b", db), ("r", dr), ("i", di), ("o", do)):
-                step(name, ..., g)
-            for name, index, values in tails:
-                tail_step(name, index, values)
+                some = both[known]
+                di = self.v[at[known]].T @ some
+                rows, index = np.unique(at[known], return_inverse=True)
+                row_step("v", rows, by_row(index, some @ self.i.T, len(rows)))
+                step("i", ..., di / count)
 
     def flat(self) -> np.ndarray:
-        """The weights of the first level."""
+        """All weights but the rows of words."""
         return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
 
     def from_flat(self, values: np.ndarray) -> Model:
-        """A model with these weights of the first level, and its own copy of the second."""
+        """A model with these weights, and its own copy of the rows of words."""
         parts, at = {n: getattr(self, n).copy() for n in self.TAIL}, 0
         for n in self.NAMES:
             old = getattr(self, n)
@@ -315,7 +333,7 @@ class Model:
         return replace(self, **parts)
 
     def tail(self, a: int, b: int) -> np.ndarray:
-        """Rows of the second level side by side."""
+        """Rows of words side by side."""
         return np.concatenate([self.v[a:b], self.u[a:b], self.d[a:b, None]], axis=1)
 
     def move_tail(self, a: int, by: np.ndarray) -> None:
@@ -348,8 +366,8 @@ def fit(blocks: DataFrame, counted: DataFrame, size: int = VOCABULARY, warm_toke
 
     A start on about ``warm_tokens`` tokens of a bounded number of blocks gives all tasks one orientation; then each of
     ``LEARNERS`` tasks a slot of the cluster makes a pass over the blocks it holds, so that the weights exchanged follow the
-    cluster and the vocabulary rather than the number of blocks.  The mean of the tasks' weights, by tokens, is the model; a row of the second
-    level is the mean over the tasks that met it.
+    cluster and the vocabulary rather than the number of blocks.  The mean of the tasks' weights, by tokens, is the model; a row of
+    a word is the mean over the tasks that met it.
     """
     spark = blocks.sparkSession
     words, counts, total = vocabulary(counted)
@@ -490,6 +508,8 @@ def _counts(blocks: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket", "block").mapInArrow(sums, back)
 
 
+MODELLED = ("block bigint, bucket bigint, doc_ids array<bigint>, sizes array<bigint>, others array<bigint>, base binary, "
+            "class binary, stream binary")
 SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_log double, class_log double, "
           "other_log double, n_other bigint, new_words bigint")
 
@@ -512,31 +532,37 @@ def score(docs: DataFrame, size: int = VOCABULARY, block_tokens: int = BLOCK_TOK
         counted = stage(_counts(blocks), "counts")
     model, total, often = fit(blocks, counted, size)
     known = int(often.sum())
-    shared = spark.sparkContext.broadcast((model, often))
-    counted = counted.select("block", "bucket", "c", "new")
-    empty = {"doc_ids": "array<bigint>", "sizes": "array<bigint>", "vocab": "binary", "stream": "binary"}
-    rows = counted.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()}).unionByName(
-        blocks.select("block", F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("c"),
-                      F.lit(0).cast("bigint").alias("new"), *empty))
+    shared = spark.sparkContext.broadcast((model, np.log10(np.append(often, 0) + 0.5)))
+    part_schema, out_schema = arrow_schema(MODELLED), arrow_schema(SCORES)
+
+    def by_model(batches):
+        lm, logs = shared.value
+        for batch in batches:
+            for row in rows_of(batch):
+                sizes, stream = np.array(row["sizes"], np.int64), unpack_stream(row["stream"])
+                ids = lm.classes(np.frombuffer(row["vocab"], "<u8"))[stream]
+                other, begin = ids == len(lm.words), np.cumsum(sizes) - sizes
+                others, base, model_log = (np.add.reduceat(x, begin) for x in (
+                    other.astype(np.int64), np.where(other, 0.0, logs[ids]), lm.log_probabilities(ids, sizes)))
+                yield batch_of([(row["block"], -1, row["doc_ids"], row["sizes"], others.tolist(), base.astype("<f8").tobytes(),
+                                 model_log.astype("<f8").tobytes(), pack_stream(stream[other]))], part_schema)
+    modelled = stage(blocks.mapInArrow(by_model, MODELLED), "modelled", at_once=1)
+    new = {"c": "binary", "new": "bigint"}
+    rows = counted.select("block", "bucket", "c", "new").unionByName(
+        modelled.withColumns({k: F.lit(None).cast(t) for k, t in new.items()}), allowMissingColumns=True)
     rows = rows.repartition("block").sortWithinPartitions("block", "bucket")
-    out_schema = arrow_schema(SCORES)
 
     def finish(row, counts, new):
-        lm, often = shared.value
-        sizes = np.array(row["sizes"], np.int64)
-        stream, vocab = unpack_stream(row["stream"]), np.frombuffer(row["vocab"], "<u8")
-        words = lm.classes(vocab)
-        c = np.where(words < len(lm.words), np.append(often, 0)[words], np.concatenate(counts))
-        ids = words[stream]
-        begin = np.cumsum(sizes) - sizes
-        logs = np.log10(c + 0.5)
-        other = words == len(lm.words)
-        add = [np.add.reduceat(x, begin) for x in (logs[stream], lm.log_probabilities(ids, sizes),
-                                                   np.where(other, logs, 0.0)[stream], other[stream].astype(np.int64),
-                                                   (c > 0)[stream].astype(np.int64))]
-        fresh = [sum(new)] + [0] * (len(sizes) - 1)
+        """Words that the model doesn't have count by what their buckets say."""
+        sizes, others = np.array(row["sizes"], np.int64), np.array(row["others"], np.int64)
+        c = np.concatenate(counts)[unpack_stream(row["stream"])]
+        of, n = np.repeat(np.arange(len(sizes)), others), len(sizes)
+        logs, base, model_log = (np.bincount(of, np.log10(c + 0.5), n), np.frombuffer(row["base"], "<f8"),
+                                 np.frombuffer(row["class"], "<f8"))
+        known = sizes - others + np.bincount(of[c > 0], minlength=n)
+        fresh = [sum(new)] + [0] * (n - 1)
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(
-            (row["doc_ids"], [is_held_out(n) for n in row["doc_ids"]], sizes, add[4], add[0], add[1], add[2], add[3], fresh),
+            (row["doc_ids"], [is_held_out(d) for d in row["doc_ids"]], sizes, known, base + logs, model_log, logs, others, fresh),
             out_schema, strict=True)], schema=out_schema)
 
     def run(batches):

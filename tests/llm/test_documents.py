@@ -653,6 +653,32 @@ def test_pairs_of_frequent_words_are_normalised_from_shared_rows(monkeypatch):
     assert np.allclose(shared, model._log_totals(one, two), atol=1e-4)
 
 
+def test_no_level_of_the_language_model_is_wide():
+    rng = np.random.default_rng(5)
+    model = lm_score.Model.start(np.arange(20_000, dtype=np.uint64), np.sort(rng.zipf(1.3, 20_000) % 9999 + 5.0), 500.0)
+    assert max(len(model.t), np.diff(model.spans).max(), np.diff(model.edges).max()) < 100
+    for name in ("t", "s", "u", "v", "i"):
+        getattr(model, name)[...] = rng.normal(0, 0.3, getattr(model, name).shape)
+    ids = np.concatenate([[7, 19_990], np.arange(20_001)])
+    sizes = np.array([len(ids)])
+    got = model.log_probabilities(ids, sizes)
+    one, two = model.contexts(ids, sizes)
+    for at in (2, 3, 10_000, 19_000, 20_001, 20_002):
+        q = (model._embedded(one[at:at + 1]) @ model.c1 + model._embedded(two[at:at + 1]) @ model.c2)[0]
+
+        def level(z, own):
+            return z[own] - np.log(np.exp(z).sum())
+        c, row = model.cls[ids[at]], model.place[ids[at]]
+        g = model.group[c]
+        span = slice(*model.spans[g:g + 2])
+        want = level(model.t @ q + model.b, g) + level(model.s[span] @ q + model.a[span], c - span.start)
+        if row < len(model.share):
+            k = np.searchsorted(model.edges, row, "right")
+            words = slice(*model.edges[k - 1:k + 1])
+            want += level(model.u[words] @ (q @ model.o) + model.d[words], row - words.start)
+        assert abs(got[at] - want / np.log(10)) < 1e-4
+
+
 def test_language_model_of_odd_rows(odd, empty):
     rows = lm_score.score(odd, block_tokens=1000).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
