@@ -1,6 +1,7 @@
 """Token ids of whole texts by a public tokenizer."""
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -8,7 +9,8 @@ from itertools import chain
 
 import numpy as np
 
-KEEP_PIECES = 120_000
+KEEP_PIECES = 400_000  # about 200 bytes each, twice at most
+JOINED = 32            # runs that are encoded as one word
 SLICE = 1 << 20
 
 # No token of the public vocabularies spans the start of white space, or a letter beside a mark of these two classes.
@@ -18,11 +20,27 @@ _RUNS = rf"[{_LETTER}]+(?![^{_MARK}\s])", rf"[{_MARK}]+(?![^{_LETTER}\s])", r"\S
 SPACED = "|".join([*(rf"\s*{run}" for run in _RUNS), r"\s+"])
 WORDS = "|".join(_RUNS)
 WORD_END = "</w>"
+_ENDS = 0xE000  # a character plus this is the end of a word in a respelled vocabulary
 BYTE_SPACES = "ĠĊ"  # space and line feed in a vocabulary of bytes
 _BREAK = re.compile(r"(?<=\S)\s")
 _ODD = re.compile("[\x1c-\x1fΣ]")  # white space for Python only; a letter whose lower case depends on its place
 
 
+def _marked_ends(tokenizer):
+    """The tokenizer's model with the end of a word spelled as another last character, so that words need no splitting."""
+    from tokenizers import models
+
+    def spelled(token: str) -> str:
+        body = token.removesuffix(WORD_END)
+        return token if body == token or not body else body[:-1] + chr(ord(body[-1]) + _ENDS)
+    model = json.loads(tokenizer.to_str())["model"]
+    pairs = (pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"])
+    vocabulary = {spelled(token): i for token, i in model["vocab"].items()}
+    if len(vocabulary) < len(model["vocab"]):
+        return tokenizer.model  # runs are given back then
+    return models.BPE(vocabulary, [(spelled(a), spelled(b)) for a, b in pairs])
+
+
 class Encoder:
     """Encodes pieces with the tokenizers library and remembers them; a text is the concatenation of its pieces.
 
@@ -47,12 +65,14 @@ class Encoder:
         if not ends:
             run = f"[ \\n](?:{run})" if pieces == SPACED and self.edge.any() else None
         self.simple = re.compile(run).fullmatch if run else None
-        # Such runs are words to the vocabulary's own splitting, so a copy that splits at tabs only gives the same ids.
-        self.lower, self.runs = ends, Tokenizer(self.tokenizer.model)
-        self.runs.pre_tokenizer = pre_tokenizers.Split("\t", "removed")
+        # Such runs are words to the vocabulary's own splitting, and no token spans two of them where their edges are marked:
+        # several in a row give the same ids as one after another.
+        self.lower, self.runs = ends, Tokenizer(_marked_ends(self.tokenizer) if ends else self.tokenizer.model)
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.bytes = {i: spell(chr(i))[0][0] for i in range(256) if chr(i) != "\t"}
-        self.bytes[10] += "\t"  # a line feed is a word of its own
+        self.spelling = np.zeros(256, "<u4")  # of the bytes of the letters and marks above
+        for char in map(chr, range(256)):
+            self.spelling[list(char.encode())] = list(map(ord, spell(char)[0][0]))
+        self.spelling[[9, 13]] = 9, 10  # between runs, and between those encoded as one word and the next
         for one in (self.tokenizer, self.runs):
             if hasattr(one.model, "_resize_cache"):
                 one.model._resize_cache(0)  # a piece comes once; the memory here has the others
@@ -83,8 +103,15 @@ class Encoder:
         if not runs:
             return []
         text = "\t".join(runs)
-        code, = self.runs.encode_batch_fast([(text.lower() if self.lower else text).translate(self.bytes)], add_special_tokens=False)
-        ids = np.array(code.ids, np.uint32)
+        text = text.lower() if self.lower else text.replace("\n", "\n\r")  # a line feed is a word of its own
+        points = self.spelling[np.frombuffer((text + "\t").encode(), np.uint8)]
+        tabs = np.flatnonzero(points == 9)
+        if self.lower:
+            points[tabs - 1] += _ENDS
+        points[tabs[JOINED - 1::JOINED]] = 10
+        some = points[points != 9].tobytes().decode("utf-32-le").split("\n")
+        codes = self.runs.encode_batch_fast(some, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(code.ids for code in codes), np.uint32)
         edges = np.flatnonzero(self.edge[ids]) + self.shift
         cuts = np.append(edges, len(ids)) if not self.shift else np.append(0, edges)
         if len(edges) != len(runs) or cuts[0] != 0 or cuts[-1] != len(ids):

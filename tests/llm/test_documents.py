@@ -334,6 +334,28 @@ def test_encoder_equals_whole_encoding():
             tokens.SLICE = old
 
 
+def test_encoder_gives_the_library_few_long_words(monkeypatch):
+    from tokenizers import Tokenizer
+    rng = np.random.default_rng(3)
+    letters = list("aeinorstAEÀéñöÿ")
+    for path, pieces, leads in ((BYTE, tokens.SPACED, " \n"), (WORD, tokens.WORDS, [""])):
+        coder, plain = tokens.Encoder(path, pieces), Tokenizer.from_file(path)
+        runs = sorted({str(rng.choice(list(leads))) + "".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(2000)})
+        runs += [leads[0] + mark for mark in ("!", "--", "</", ">", "...")]
+        words = []
+
+        class Counted:
+            def encode_batch_fast(self, some, inner=coder.runs, **options):
+                words.extend(some)
+                return inner.encode_batch_fast(some, **options)
+        monkeypatch.setattr(coder, "runs", Counted())
+        assert coder._learn_runs(runs) == []
+        starts = sum(run[0] == "\n" for run in runs)
+        assert len(words) <= len(runs) / tokens.JOINED + 1 + starts
+        for run in runs:
+            assert np.frombuffer(coder.known[run], np.uint32).tolist() == plain.encode(run, add_special_tokens=False).ids
+
+
 def test_encoder_learns_runs_together():
     runs = ["Hello", "naïve", "don", "ÉTÉ", "--..", "zqxj", "a", "]"]
     for path, pieces, lead in ((BYTE, tokens.SPACED, " "), (BYTE, tokens.SPACED, "\n"), (WORD, tokens.WORDS, "")):
